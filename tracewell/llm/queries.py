@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_digest, sharding, simhash, url_filter
+from . import decontam, exact_digest, sharding, simhash, url_filter
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op9_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -28,5 +33,34 @@ def op10_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_digest.compare(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_url_filter, op4_hash_tree_shards, op9_vantage_simhash, op10_exact_digest)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_url_filter, op4_hash_tree_shards, op7_positional_index, op9_vantage_simhash, op10_exact_digest)}
+
+#: Words and windows by regular expression and a join of window texts.
+OP7_SQL = r"""
+WITH doc_words AS (
+    SELECT rowid_, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM (SELECT row_number() OVER () AS rowid_, doc_id, text FROM documents)
+), item_words AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), item_windows AS (
+    SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + 9], ' ') AS win
+    FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM item_words WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM item_windows),
+doc_windows AS (
+    SELECT rowid_, n, i, array_to_string(w[i : i + n - 1], ' ') AS win
+    FROM (SELECT rowid_, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words, sizes WHERE len(w) >= n)
+), hits AS (
+    SELECT d.rowid_, d.i, d.n, t.item_id FROM doc_windows d JOIN item_windows t ON d.n = t.n AND d.win = t.win
+), covered AS (
+    SELECT rowid_, count(DISTINCT p) AS n_hit FROM (SELECT rowid_, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1
+), owners AS (
+    SELECT rowid_, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT rowid_, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(o.n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(o.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN covered c USING (rowid_) LEFT JOIN owners o USING (rowid_)
+"""
+
+ORACLES: dict[str, str] = {"op7_positional_index": OP7_SQL}
