@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_digest, sharding, simhash, url_filter
+from . import decontam, exact_digest, langid, quality, sharding, simhash, url_filter
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,11 +20,19 @@ def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op6_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.drop("text_hash")
 
 
+def op8_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -33,7 +41,7 @@ def op10_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_digest.compare(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_url_filter, op4_hash_tree_shards, op7_positional_index, op9_vantage_simhash, op10_exact_digest)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_url_filter, op4_hash_tree_shards, op6_bitmask_langid, op7_positional_index, op8_random_indexing_quality, op9_vantage_simhash, op10_exact_digest)}
 
 #: Words and windows by regular expression and a join of window texts.
 OP7_SQL = r"""
