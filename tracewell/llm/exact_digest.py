@@ -25,8 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Ranges of ids are ordered on their own; only the first row of each is looked up across ranges.
 ROWS_IN_RANGE, MOST_RANGES = 256, 65536
+#: Hashes of 32 characters that are broadcast at most, about 10 MB.
+BROADCAST_HASHES = 1 << 17
 
 
 def canonical(text: Column) -> Column:
@@ -42,19 +46,25 @@ def wide_hash(canon: Column) -> Column:
 
 
 def digest_classes(docs: DataFrame) -> DataFrame:
-    """A row for each class of equal canonical texts: hash, digest, class_doc_id (smallest), n_class.
+    """A row for each class of equal canonical texts in a hash bucket of two rows or more: hash, digest, class_doc_id (smallest), n_class.
 
     ``digest`` is the hash, with a suffix where the bucket holds several different texts; ``check``
     is the canonical text's SHA-256, by which a document finds its class in such a bucket.
     """
     rows = docs.select("doc_id", canonical(F.col("text")).alias("canon")).select("doc_id", "canon", wide_hash(F.col("canon")).alias("hash"))
-    groups = rows.groupBy("hash", "canon").agg(F.min("doc_id").alias("class_doc_id"), F.count(F.lit(1)).alias("n_class"))
+    groups = _in_shared_buckets(rows).groupBy("hash", "canon").agg(F.min("doc_id").alias("class_doc_id"), F.count(F.lit(1)).alias("n_class"))
     checked = groups.select("hash", F.sha2("canon", 256).alias("check"), "class_doc_id", "n_class")
     bucket = W.partitionBy("hash")
     placed = checked.select("*", F.count(F.lit(1)).over(bucket).alias("n_in_bucket"), F.row_number().over(bucket.orderBy("check")).alias("nth"))
     return placed.select("hash", "check", "class_doc_id", "n_class", F.when(F.col("n_in_bucket") > 1, F.concat("hash", F.lit("-"), F.col("nth"))).otherwise(F.col("hash")).alias("digest"), (F.col("n_in_bucket") > 1).alias("collides"))
 
 
+def _in_shared_buckets(rows: DataFrame) -> DataFrame:
+    """The rows whose hash another row has, so that few texts move; all rows where those hashes are too many to broadcast."""
+    shared = cut(rows.groupBy("hash").count().filter("count > 1").select("hash"))
+    return rows.join(F.broadcast(shared), "hash", "left_semi") if shared.count() <= BROADCAST_HASHES else rows
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, class_doc_id, n_class for every row of docs."""
     rows = docs.select("doc_id", canonical(F.col("text")).alias("__canon"))
