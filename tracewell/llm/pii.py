@@ -163,13 +163,14 @@ class SpanModel:
 def estimate(patterns: dict[tuple[str, tuple[int, ...]], int]) -> tuple[dict[str, list[tuple[float, float]]], dict[tuple[str, tuple[int, ...]], float]]:
     """Labelers' reliabilities and patterns' probabilities by EM; patterns: how often each (kind, votes) occurs.
 
-    Starts from the majority of votes; a pattern without votes has its kind's prior. Counts are
-    smoothed by one vote each way in favour of labelers that do better than chance.
+    Starts from the majority of votes; a pattern without votes has its kind's prior. A match that fails
+    its kind's check is known not to be one and stays at 0. Counts are smoothed by one vote each way in
+    favour of labelers that do better than chance.
     """
     reliability, posterior = {}, {}
     for kind in sorted({k for k, _ in patterns}):
         own = {v: n for (k, v), n in patterns.items() if k == kind}
-        p = {v: (1 + 2 * v.count(1)) / (2 + 2 * (v.count(1) + v.count(0))) for v in own}
+        p = {v: 0.0 if v[0] == 0 else (1 + 2 * v.count(1)) / (2 + 2 * (v.count(1) + v.count(0))) for v in own}
         rates: list[tuple[float, float]] = []
         for _ in range(EM_ROUNDS):
             prior = (1 + sum(n * p[v] for v, n in own.items())) / (2 + sum(own.values()))
@@ -177,7 +178,7 @@ def estimate(patterns: dict[tuple[str, tuple[int, ...]], int]) -> tuple[dict[str
             for j in range(len(next(iter(own)))):
                 weigh = lambda said, true: sum(n * (p[v] if true else 1 - p[v]) for v, n in own.items() if v[j] in said)  # noqa: B023, E731
                 rates.append(((4 + weigh((1,), True)) / (5 + weigh((0, 1), True)), (1 + weigh((1,), False)) / (5 + weigh((0, 1), False))))
-            for v in own:
+            for v in (v for v in own if v[0] != 0):
                 yes, no = math.log(prior), math.log(1 - prior)
                 for said, (a, b) in zip(v, rates):
                     if said >= 0:
@@ -214,7 +215,7 @@ def find(docs: DataFrame) -> DataFrame:
                 spans = [(c["kind"], c["start"], c["end"]) for c in found if c["base"]]
                 taken, base = list(spans), len(spans)
                 for c in sorted((c for c in found if not c["base"]), key=lambda c: (c["start"], KINDS.index(c["kind"]))):
-                    if sent.value.accepts(c["features"]) and not any(a < c["end"] and c["start"] < b for _, a, b in taken):
+                    if c["votes"][0] != 0 and sent.value.accepts(c["features"]) and not any(a < c["end"] and c["start"] < b for _, a, b in taken):
                         taken.append((c["kind"], c["start"], c["end"]))
                 said.append(ordered(taken))
                 added.append(len(taken) - base)
