@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_digest, langid, mixing, pii, quality, sharding, simhash, url_filter
+from . import decontam, exact_digest, langid, linededup, mixing, pii, quality, sharding, simhash, url_filter
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_prefix_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_digest.compare(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hierarchical_mix, op2_weak_pii, op3_url_filter, op4_hash_tree_shards, op6_bitmask_langid, op7_positional_index, op8_random_indexing_quality, op9_vantage_simhash, op10_exact_digest)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hierarchical_mix, op2_weak_pii, op3_url_filter, op4_hash_tree_shards, op5_prefix_line_join, op6_bitmask_langid, op7_positional_index, op8_random_indexing_quality, op9_vantage_simhash, op10_exact_digest)}
 
 #: Words and windows by regular expression and a join of window texts.
 OP7_SQL = r"""
@@ -79,4 +83,27 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
 FROM doc_words d LEFT JOIN covered c USING (rowid_) LEFT JOIN owners o USING (rowid_)
 """
 
-ORACLES: dict[str, str] = {"op7_positional_index": OP7_SQL}
+#: Every pair of distinct lines that share a word, by counting the words they share.
+OP5_SQL = r"""
+WITH lines AS (
+    SELECT doc_id, i - 1 AS line, parts[i] AS body
+    FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))
+), classes AS (
+    SELECT body, min({'doc': doc_id, 'line': line}) AS first, row_number() OVER (ORDER BY min({'doc': doc_id, 'line': line})) AS c FROM lines GROUP BY body
+), words AS (
+    SELECT DISTINCT c, w FROM (SELECT c, unnest(string_split(translate(body, chr(9) || chr(13) || chr(11) || chr(12), '    '), ' ')) AS w FROM classes) WHERE w <> ''
+), sizes AS (SELECT c, count(*) AS n FROM words GROUP BY c),
+shared AS (
+    SELECT a.c AS early, b.c AS later, count(*) AS s FROM words a JOIN words b ON a.w = b.w AND a.c < b.c GROUP BY 1, 2
+), gone AS (
+    SELECT DISTINCT later AS c FROM shared JOIN sizes x ON x.c = early JOIN sizes y ON y.c = later WHERE 5 * s >= 4 * (x.n + y.n - s)
+), marked AS (
+    SELECT l.doc_id, l.line, k.c IN (SELECT c FROM sizes) AND (k.first < {'doc': l.doc_id, 'line': l.line} OR k.c IN (SELECT c FROM gone)) AS gone
+    FROM lines l JOIN classes k ON l.body = k.body
+)
+SELECT d.doc_id, CAST(count(m.line) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE m.gone) AS BIGINT) AS n_removed,
+       coalesce(string_agg(CAST(m.line AS VARCHAR), ',' ORDER BY m.line) FILTER (WHERE m.gone), '') AS removed
+FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op5_prefix_line_join": OP5_SQL, "op7_positional_index": OP7_SQL}
