@@ -34,10 +34,16 @@ def clamp_limit(limit: int | None) -> int:
 def index_of(corpora: dict[str, DataFrame]) -> DataFrame:
     """One index of corpora (ref, body) by name."""
     frames = [df.select(F.lit(name).alias("source_table"), F.col("ref").cast("long").alias("ref"), F.col("body")) for name, df in corpora.items()]
-    joined = reduce(DataFrame.unionByName, frames).withColumn("tokens", tokens(F.col("body")))
+    joined = spread(reduce(DataFrame.unionByName, frames)).withColumn("tokens", tokens(F.col("body")))
     return joined.withColumn("dl", F.size("tokens").cast("long"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores where the input is too few files to fill them; a large input stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
+
+
 def postings(index: DataFrame) -> DataFrame:
     """source_table, term, ref, tf, positions."""
     each = index.select("source_table", "ref", F.posexplode("tokens").alias("pos", "term"))
@@ -85,24 +91,40 @@ def matches(tree: M.Node) -> Column:
     return reduce(lambda a, b: a & b, map(matches, parts)) if parts else F.lit(False)
 
 
-def ranked(index: DataFrame, tree: M.Node, keep: Column | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Stats:
+    """What a query needs of the whole index: rows, mean length, rows with each phrase, and rows that match each tree."""
+
+    n: int
+    avgdl: float
+    with_phrase: tuple[int, ...]
+    matched: tuple[int, ...]
+
+
+def statistics(index: DataFrame, phrases: list[M.Phrase], trees: tuple[M.Node, ...] = (), keep: Column | None = None) -> Stats:
+    """One pass over the index; ``keep`` only restricts which rows count as matches."""
+    within = F.lit(True) if keep is None else keep
+    asked = [F.count_if(F.size(phrase_starts(p)) > 0).alias(f"n{k}") for k, p in enumerate(phrases)] + [F.count_if(matches(t) & within).alias(f"m{k}") for k, t in enumerate(trees)]
+    said = index.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *asked).first()
+    return Stats(said["n"], said["avgdl"] or 1.0, tuple(said[f"n{k}"] for k in range(len(phrases))), tuple(said[f"m{k}"] for k in range(len(trees))))
+
+
+def ranked(index: DataFrame, tree: M.Node, keep: Column | None = None, stats: Stats | None = None) -> DataFrame:
     """The matching rows of the index with their BM25 ``rank`` (the lower, the better).
 
     Rows, mean length and phrase frequencies are those of the whole index; ``keep`` only decides which
     matching rows are returned.
     """
     phrases = M.phrases_of(tree)
-    counted = index.withColumns({f"__f{k}": F.size(phrase_starts(p)) for k, p in enumerate(phrases)})
-    wanted = [F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"__f{k}") > 0).cast("long")).alias(f"n{k}") for k in range(len(phrases)))]
-    stats = counted.agg(*wanted).first()
+    stats = stats or statistics(index, phrases)
+    found = index.filter(matches(tree) if keep is None else matches(tree) & keep)
+    counted = found.withColumns({f"__f{k}": F.size(phrase_starts(p)) for k, p in enumerate(phrases)})
     rank = F.lit(0.0)
-    for k in range(len(phrases)):
-        n = stats[f"n{k}"] or 0
-        idf = math.log((stats["n"] - n + 0.5) / (n + 0.5)) if stats["n"] else 0.0
-        f, dl = F.col(f"__f{k}").cast("double"), F.col("dl") / (stats["avgdl"] or 1.0)
+    for k, n in enumerate(stats.with_phrase):
+        idf = math.log((stats.n - n + 0.5) / (n + 0.5)) if stats.n else 0.0
+        f, dl = F.col(f"__f{k}").cast("double"), F.col("dl") / stats.avgdl
         rank = rank - F.lit(idf if idf > 0 else IDF_FLOOR) * f * (K1 + 1) / (f + K1 * (1 - B + B * dl))
-    found = counted.filter(matches(tree) if keep is None else matches(tree) & keep)
-    return found.withColumn("rank", rank).select("source_table", "ref", "body", "tokens", "dl", "rank")
+    return counted.withColumn("rank", rank).select("source_table", "ref", "body", "tokens", "dl", "rank")
 
 
 @dataclass(frozen=True)
@@ -110,23 +132,28 @@ class Counted:
     match: str
     total: int
     query_broadened: bool
+    stats: Stats
 
 
 def count_with_fallback(index: DataFrame, raw: str, keep: Column | None = None) -> Counted:
-    """Matches of all words, or of any where none has all: both counted in one pass."""
+    """Matches of all words, or of any where none has all; both are counted in one pass, with the statistics of either."""
     plain = M.sanitize(raw)
     wide = M.broadened(raw, plain)
-    rows = index if keep is None else index.filter(keep)
-    counts = rows.agg(F.count_if(matches(M.parse(plain))).alias("a"), (F.count_if(matches(M.parse(wide))) if wide else F.lit(0)).alias("o")).first()
-    if counts["a"] == 0 and counts["o"] > 0:
-        return Counted(wide, counts["o"], True)
-    return Counted(plain, counts["a"], False)
+    trees = [M.parse(plain), *([M.parse(wide)] if wide else [])]
+    stats = statistics(index, M.phrases_of(trees[0]), tuple(trees), keep)  # the wide tree has the same phrases
+    if wide and stats.matched[0] == 0 and stats.matched[1] > 0:
+        return Counted(wide, stats.matched[1], True, stats)
+    return Counted(plain, stats.matched[0], False, stats)
 
 
 def top(index: DataFrame, raw: str, limit: int | None = None, broaden: bool = True, keep: Column | None = None) -> DataFrame:
     """The best rows for a query, by rank and key; a query of several words falls back to any of them."""
-    said = count_with_fallback(index, raw, keep).match if broaden else M.sanitize(raw)
-    return ranked(index, M.parse(said), keep).orderBy("rank", "source_table", "ref").limit(clamp_limit(limit))
+    if broaden:
+        counted = count_with_fallback(index, raw, keep)
+        rows = ranked(index, M.parse(counted.match), keep, counted.stats)
+    else:
+        rows = ranked(index, M.parse(M.sanitize(raw)), keep)
+    return rows.orderBy("rank", "source_table", "ref").limit(clamp_limit(limit))
 
 
 def rank_span(rows: DataFrame) -> DataFrame:
@@ -149,16 +176,19 @@ def neighbourhood(index: DataFrame, raw: str) -> DataFrame:
     empty = index.sparkSession.createDataFrame([], "term string, score double")
     if wide is None:
         return empty
-    counted = index.agg(F.count_if(matches(M.parse(M.sanitize(raw)))).alias("a"), F.count_if(matches(M.parse(wide))).alias("o"), F.count(F.lit(1)).alias("n")).first()
-    if counted["o"] <= counted["a"]:
+    tree = M.parse(wide)
+    stats = statistics(index, M.phrases_of(tree), (M.parse(M.sanitize(raw)), tree))
+    if stats.matched[1] <= stats.matched[0]:
         return empty
-    best = ranked(index, M.parse(wide)).orderBy("rank", "source_table", "ref").limit(NEIGHBOUR_DOCS).select("source_table", "ref", F.array_distinct(terms(F.col("body"))).alias("own"))
+    best = ranked(index, tree, stats=stats).orderBy("rank", "source_table", "ref").limit(NEIGHBOUR_DOCS).select("source_table", "ref", F.array_distinct(terms(F.col("body"))).alias("own"))
     local = best.withColumn("n_docs", F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))).select("n_docs", F.explode("own").alias("term"))  # NEIGHBOUR_DOCS rows
     local = local.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("n_docs").alias("n_docs"))
     asked = [t for w in raw.split() for t in M.tokenize(w)]
     local = local.filter((F.col("n") >= 2) & (F.col("n") <= F.ceil(F.col("n_docs") * NEIGHBOUR_SHARE)) & is_candidate(F.col("term")) & ~F.col("term").isin(asked))
-    rows = vocabulary(index).join(F.broadcast(local), "term", "right")
-    score = F.col("n") * F.greatest(F.lit(0.0), F.log(F.lit(float(counted["n"])) / F.coalesce("df", F.lit(1))))
+    local = F.broadcast(local)  # words of NEIGHBOUR_DOCS documents, in half of them at least two
+    own = index.select(F.explode(F.array_distinct("tokens")).alias("term")).join(local, "term", "left_semi")
+    rows = own.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(local, "term", "right")
+    score = F.col("n") * F.greatest(F.lit(0.0), F.log(F.lit(float(stats.n)) / F.coalesce("df", F.lit(1))))
     return rows.select("term", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "term").limit(NEIGHBOUR_TERMS)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,11 +41,30 @@ def ranking_sql(index: str, phrases: list[str], condition: str, tail: str, colum
 TOP10 = "ORDER BY ranked.rank, source_table, ref LIMIT 10"
 
 
+#: Indexes of this session by name and folder: tokenised once, on first use, and kept for the queries that follow.
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _kept(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in _KEPT:
+        _KEPT[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+    return _KEPT[key]
+
+
 def documents_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.index_of({"documents": table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), F.col("text").alias("body"))})
+    return _kept(spark, "documents", sf_dir, lambda: _documents(spark, sf_dir))
 
 
 def unified_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, "unified", sf_dir, lambda: _unified(spark, sf_dir))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.index_of({"documents": table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), F.col("text").alias("body"))})
+
+
+def _unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.index_of(
         {
             "documents": table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), F.col("text").alias("body")),
