@@ -1,0 +1,463 @@
+"""Each operator on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import math
+import random
+import re
+import unicodedata
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tracewell.llm import components, decontam, exact_digest, langid, linededup, mixing, pii, quality, sharding, simhash, url_filter
+from tracewell.llm.common import one_of
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Columns that operators use themselves.
+CLASHES = ("fingerprint", "fp", "shard", "slot", "range", "hash", "score", "path", "epoch", "rank", "cut", "body", "spans", "found", "quality", "__passes_", "component_id", "n_class")
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, lang, src, None if t is None else len(t)) for i, t, lang, src in rows], SCHEMA)
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and white texts, a long one, ties, repeated rows, and clashing further columns."""
+    words = [f"word{n % 50}" for n in range(60_000)]
+    rows = [
+        (1, "The quick brown fox jumps over the lazy dog near the river bank today", "en", "src0"), (2, "The quick brown fox jumps over the lazy dog near the river bank today", "en", "src1"),
+        (3, None, None, None), (4, "", "en", "src2"), (5, " \n\t ", None, "src3"), (6, " ".join(words), "en", "src0"), (7, "Straße Ünïcode ﬁ ÉTÉ", "de", "src11"), (7, "Straße Ünïcode ﬁ ÉTÉ", "de", "src11"),
+        (None, "no id here at all", "en", "src16"), (None, None, None, None), (8, "a", "fr", ""), (9, "mail me: x@y.org or 10.0.0.1", "es", "srcx"), (10, "line one\nline one\nline two", "en", "src0"),
+    ]
+    frame = documents(spark, rows)
+    for c in CLASHES:
+        frame = frame.withColumn(c, F.lit("taken"))
+    return frame
+
+
+def empty(spark):
+    return documents(spark, []).withColumn("fingerprint", F.lit("x"))
+
+
+def items(spark, rows):
+    return spark.createDataFrame(rows, "item_id long, text string").withColumn("doc_id", F.lit(1))
+
+
+def labels(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+EACH = {
+    "mixing": lambda s, d: mixing.plan(d), "pii": lambda s, d: pii.find(d), "sharding": lambda s, d: sharding.shard_documents(d), "lines": lambda s, d: linededup.dedup_report(d),
+    "langid": lambda s, d: langid.identify(d), "decontam": lambda s, d: decontam.contamination(d, items(s, [(1, "quick brown fox jumps over the lazy dog near the river")])),
+    "quality": lambda s, d: quality.judge(d, labels(s, [(1, 1, 0), (4, 0, 0), (None, 1, None), (99, 1, 0)])), "simhash": lambda s, d: simhash.near_duplicates(d), "digest": lambda s, d: exact_digest.compare(d),
+}
+
+
+@pytest.mark.parametrize("name", EACH)
+def test_odd_rows_give_a_row_each(spark, name):
+    found = EACH[name](spark, odd_documents(spark)).collect()
+    if name == "mixing":
+        assert {r.domain for r in found} <= {"web", "books", "code", "unknown"}
+    elif name == "lines":
+        assert len(found) == 11
+    else:
+        assert len(found) == 13
+    again = EACH[name](spark, odd_documents(spark)).collect()
+    assert Counter(map(str, found)) == Counter(map(str, again))
+
+
+@pytest.mark.parametrize("name", EACH)
+def test_empty_tables_give_empty_results(spark, name):
+    assert EACH[name](spark, empty(spark)).collect() == []
+
+
+@pytest.mark.parametrize("stage", ["keep_good", "keep_first", "without_contaminated", "select", "without_repeated_lines"])
+def test_stages_keep_all_columns(spark, stage):
+    docs = odd_documents(spark)
+    run = {
+        "keep_good": lambda d: quality.keep_good(d, labels(spark, [(1, 1, 0)])), "keep_first": simhash.keep_first, "without_contaminated": lambda d: decontam.without_contaminated(d, items(spark, [(1, "quick brown fox jumps over the lazy dog near the river")])),
+        "select": mixing.select, "without_repeated_lines": linededup.without_repeated_lines,
+    }[stage]
+    kept = run(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert rows and all(r.shard == "taken" for r in rows)
+    assert run(empty(spark)).collect() == []
+    if stage == "without_contaminated":
+        assert {1, 2}.isdisjoint(r.doc_id for r in rows) and len(rows) == 11
+    if stage == "keep_first":
+        ids = [r.doc_id for r in rows]
+        assert 1 in ids and 2 not in ids and ids.count(7) == 1 and ids.count(None) == 2
+
+
+def test_working_names_avoid_columns():
+    assert one_of("a", ["A", "a_", "b"]) == "a__"
+
+
+# mixing
+
+
+def test_budgets_fill_siblings_before_ancestors():
+    recipe = mixing.Recipe(weights={("a",): 0.5, ("b",): 0.5, ("a", "x"): 0.5, ("a", "y"): 0.5, ("b", "z"): 1.0}, total=1000, max_epochs=1, levels=mixing.PRODUCTION.levels[:2])
+    have = {("a", "x"): 100, ("a", "y"): 600, ("b", "z"): 900}
+    assert mixing.budgets(have, recipe) == {("a", "x"): 100, ("a", "y"): 400, ("b", "z"): 500}
+    have[("a", "y")] = 150
+    assert mixing.budgets(have, recipe) == {("a", "x"): 100, ("a", "y"): 150, ("b", "z"): 750}
+    assert sum(mixing.budgets({("a", "x"): 7, ("a", "y"): 5, ("b", "z"): 3}, recipe).values()) == 15
+
+
+def test_mixing_matches_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(n, " ".join("w" for _ in range(rng.randrange(0, 30))), rng.choice(["en", "de", "fr", None]), f"src{rng.randrange(20)}") for n in range(600)]
+    found = Counter((r.doc_id, r.epoch) for r in mixing.plan(documents(spark, rows)).collect())
+    domain = lambda s: "web" if int(s[3:]) < 10 else "books" if int(s[3:]) < 15 else "code"
+    leaves: dict = {}
+    for i, t, lang, src in rows:
+        leaves.setdefault((domain(src), lang or "unknown", src), []).append((i, len(t.split())))
+    have = {p: sum(n for _, n in d) for p, d in leaves.items()}
+    asked = mixing.budgets(have, mixing.PRODUCTION)
+    sent = {(r.seed, r.epoch, r.doc_id): r.h for r in spark.createDataFrame([(mixing.SEED, e, i) for i in range(600) for e in range(5)], "seed int, epoch int, doc_id long").selectExpr("*", "shiftrightunsigned(xxhash64(seed, epoch, doc_id), 1) AS h").collect()}
+    expected: Counter = Counter()
+    for p, docs in leaves.items():
+        if not have[p]:
+            continue
+        whole, rest = divmod(asked[p], have[p])
+        for i, _ in docs:
+            expected.update((i, e) for e in range(whole))
+        taken = 0
+        for h, i, n in sorted((sent[mixing.SEED, whole, i], i, n) for i, n in docs):
+            if taken >= rest:
+                break
+            expected[i, whole] += 1
+            taken += n
+    assert found == expected
+
+
+# personal data
+
+
+def test_base_spans():
+    text = "a@b.co x@y c.d@e-f.org 1.2.3.256 1.2.3.4 4111 1111-1111 1111 4111 1111 1111 1112 +1 (234) 567-8901 +12 34 é +49 30 1234567"
+    good, failed = pii.base_spans(text)
+    assert [(k, text[a:b]) for k, a, b in good] == [("email", "a@b.co"), ("email", "c.d@e-f.org"), ("ip", "1.2.3.4"), ("phone", "+1 (234) 567-8901"), ("phone", "+49 30 1234567")]
+    assert ("ip", "1.2.3.256") in [(k, text[a:b]) for k, a, b in failed]
+    assert pii.base_spans("4111 1111-1111 1111")[0] == [("card", 0, 19)]
+
+
+def test_pii_finds_base_and_adds_secrets(spark):
+    rows = [(n, f"The password=hunter{n}x here and mail u{n}@example.org, token = \"9f8e7d6c5b4a39281706f5e4d3c2b1a0\"", "en", "s") for n in range(40)] + [(99, "Nothing to see, version 1.2 of page 345", "en", "s"), (100, "card 4111111111111112 fails", "en", "s")]
+    found = {r.doc_id: r for r in pii.find(documents(spark, rows)).collect()}
+    assert found[0].n_email == 1 and "email:" in found[0].spans and "secret:" in found[0].spans
+    a = rows[0][1].index("u0@")
+    assert found[0].base_sha256 == hashlib.sha256(f"email:{a}:{a + len('u0@example.org')}".encode()).hexdigest()
+    for n in (99, 100):
+        assert found[n].spans == "" and found[n].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+# URLs
+
+
+def _grams(host, path):
+    for kind, s in (("h", host), ("p", path)):
+        s = f"\x02{kind}{s}\x03"
+        for n in url_filter.SIZES:
+            for i in range(max(1, len(s) - n + 1)):
+                h = xxhash.xxh64_intdigest(s[i : i + n].encode(), 42)
+                yield (h - (1 << 64) if h >> 63 else h) % url_filter.BUCKETS
+
+
+def test_urls_match_a_plain_implementation(spark):
+    model = url_filter.train(spark)
+    urls = ["http://A.Example.NET/en/x?y#z", "https://example.com/de/1", "http://org/fr/", "http://xorg/fr/", "http://net", "net/", None, "", "http://a.net/?x", "http://spam-farm.example.org/en/1", "http://thering.example.org/es/3", "ftp://u:p@h.com:80/p/q", "http://é.example.net/de/"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("x")).withColumn("html", F.lit(None).cast("string"))
+    found = {r.page_id: r for r in url_filter.judge(frame, model).collect()}
+    for n, url in enumerate(urls):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [(said, h, p) for said, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, key=lambda r: len(r[1] + r[2]), default=None)
+        grams = list(_grams(host, path))
+        p = 1 / (1 + math.exp(-(sum(model.weights[g] for g in grams) / math.sqrt(len(grams)) + model.bias)))
+        r = found[n]
+        assert (r.host, r.path, r.rule) == (host, path, best and best[1] + best[2])
+        assert r.p_block == pytest.approx(p, abs=1e-9)
+        assert r.verdict == (best[0] if best else "block" if p >= 0.5 else "allow")
+    assert found[9].verdict == "block" and found[10].verdict == "allow"
+    assert url_filter.judge(frame.limit(0), model).collect() == []
+    assert url_filter.train(spark, ()).bias == 0
+
+
+def test_url_training_separates_its_table(spark):
+    model = url_filter.train(spark)
+    frame = spark.createDataFrame([(n, u) for n, (u, _) in enumerate(url_filter.LABELLED)], "page_id long, url string")
+    said = {r.page_id: r.p_block >= 0.5 for r in url_filter.judge(frame, model).collect()}
+    assert all(said[n] == bool(y) for n, (_, y) in enumerate(url_filter.LABELLED))
+
+
+# sharding
+
+
+def _xx(spark, rows):
+    return {tuple(r)[:4]: r.h for r in spark.createDataFrame(rows, "seed int, level string, id int, key string").selectExpr("*", "xxhash64(seed, level, id, key) AS h").collect()}
+
+
+def test_shards_match_a_plain_descent(spark):
+    rows = [(n, f"text {n % 7}", "en", "s") for n in range(400)]
+    found = {r.doc_id: r for r in sharding.shard_documents(documents(spark, rows)).collect()}
+    nodes = [("region", 4), ("rack", 7), ("shard", 25)]
+    hashes = _xx(spark, [(sharding.SEED, level, i, f"={n}") for n in range(400) for level, count in nodes for i in range(count)])
+
+    def place(n, tree):
+        draw = lambda level, kids: max(kids, key=lambda c: (math.log((((hashes[sharding.SEED, level, c[0], f"={n}"] % (1 << 64)) >> 11) + 0.5) / (1 << 53)) / c[1], -c[0]))[0]
+        return draw("shard", tree.leaves[draw("rack", tree.racks[draw("region", tree.regions)])])
+
+    for n in range(400):
+        assert found[n].shard == place(n, sharding.tree_for(24)) and found[n].grown_shard == place(n, sharding.tree_for(25))
+        assert found[n].grown_shard in (found[n].shard, 24)
+        assert found[n].size == len(rows[n][1]) + 8 and found[n].text_crc32 == zlib.crc32(rows[n][1].encode())
+    for shard in range(24):
+        slots = sorted(r.slot for r in found.values() if r.shard == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_weights_confine_movement(spark):
+    docs = spark.range(3000).withColumnRenamed("id", "doc_id")
+    place = lambda w, to: sharding.with_shard(docs, F.col("doc_id"), sharding.tree_for(24, w), to)
+    rows = place(None, "a").join(place({3: 3.0}, "b"), "doc_id").filter("a <> b").collect()
+    assert rows and all(r.b // 8 == 0 for r in rows)
+    heavy = place({3: 3.0}, "b").filter("b = 3").count()
+    assert heavy > 2 * place(None, "a").filter("a = 3").count()
+
+
+# lines
+
+
+def _words(line):
+    return set(re.split(r"[ \t\r\x0b\f]", line)) - {""}
+
+
+def _removed(rows):
+    lines = [(i, n, x) for i, t, *_ in rows if t is not None for n, x in enumerate(t.split("\n"))]
+    out = {i: [] for i, *_ in rows}
+    for i, n, x in lines:
+        a = _words(x)
+        if a and any((j, m) < (i, n) and _words(y) and 5 * len(a & _words(y)) >= 4 * len(a | _words(y)) for j, m, y in lines):
+            out[i].append(n)
+    return {i: ",".join(map(str, sorted(x))) for i, x in out.items()}
+
+
+@pytest.mark.parametrize("hot", [linededup.HOT, 3])
+def test_lines_match_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(linededup, "HOT", hot)
+    rng = random.Random(hot)
+    base = [" ".join(rng.choice("abcdefghij") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 14))) for _ in range(12)]
+    rows = []
+    for n in range(60):
+        text = []
+        for _ in range(rng.randrange(0, 5)):
+            w = rng.choice(base).split()
+            for _ in range(rng.randrange(0, 3)):
+                w[rng.randrange(len(w))] = rng.choice("xyzuvw") * rng.randrange(1, 3)
+            text.append(rng.choice(["  ", ""]) + " ".join(w))
+        rows.append((n, None if n == 5 else "\n".join(text), "en", "s"))
+    found = {r.doc_id: r.removed for r in linededup.dedup_report(documents(spark, rows)).collect()}
+    assert found == _removed(rows)
+
+
+# language
+
+
+def test_language_filters():
+    rng = random.Random(1)
+    make = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(80))
+    kinds = {"aa": ["tion", "the", "ing", "er"], "bb": ["ung", "sch", "keit", "ei"], "cc": ["ció", "mente", "ado", "que"]}
+    filters = langid.fit([(make(p), lang) for lang, p in kinds.items() for _ in range(20)])
+    for lang, parts in kinds.items():
+        assert filters.predict(make(parts))[0] == lang
+    mask = filters.languages_of(langid.grams(langid.codes_of("keitung"), 3)[0])
+    assert all(int(m) >> 1 & 1 for m in mask[1:-1])
+    assert filters.predict("12 34 !") == ("und", 0.0) and filters.predict(None) == ("und", 0.0) and filters.predict("") == ("und", 0.0)
+    assert langid.fit([]).predict("abc") == ("und", 0.0)
+    long = make(kinds["bb"]) * 4000
+    assert len(long) > langid.PIECE and filters.predict(long)[0] == "bb"
+
+
+def test_language_accuracy_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert len(rows) > 200 and sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.98
+    assert all(0 <= r.score <= 1 for r in rows) and all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows)
+
+
+# decontamination
+
+
+def _windows(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return w, [tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))] if w else []
+
+
+def test_decontamination_matches_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: rng.choice(["the", "a", "É", "x1", "foo", "bar", "baz", "qux"])
+    bench = [(1, " ".join(word() for _ in range(14))), (2, "Foo-bar BAZ"), (3, None), (4, "..."), (None, "qux qux qux qux"), (5, " ".join(word() for _ in range(10)))]
+    rows = [(n, " ".join([word() for _ in range(rng.randrange(0, 40))] + (rng.choice(bench)[1] or "").split() + [word() for _ in range(5)]), "en", "s") for n in range(80)] + [(200, None, None, None), (201, "", None, None)]
+    expected = {}
+    for i, t, *_ in rows:
+        w, _ = _windows(t)
+        hit, owners = set(), set()
+        for item, text in bench:
+            for win in _windows(text)[1]:
+                for k in range(len(w) - len(win) + 1):
+                    if tuple(w[k : k + len(win)]) == win:
+                        hit.update(range(k, k + len(win)))
+                        if item is not None:
+                            owners.add(str(item))
+        expected[i] = (len(w), len(hit), len(owners), hashlib.sha256(",".join(sorted(owners)).encode()).hexdigest(), bool(hit))
+    for block in (decontam.BLOCK_BYTES, 40):
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+        found = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.contamination(documents(spark, rows), items(spark, bench)).collect()}
+        assert found == expected
+    assert decontam.contamination(documents(spark, rows), items(spark, [])).filter("contaminated").count() == 0
+
+
+def test_small_segments_and_proximity(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "SEGMENT_WORDS", 30)
+    rows = [(n, f"alpha beta {'x ' * (n % 4)}gamma delta", "en", "s") for n in range(20)]
+    near = decontam.proximity(documents(spark, rows), items(spark, [(1, "alpha beta gamma delta")]), 4, 2)
+    assert {r.doc_id for r in near.collect()} == {n for n in range(20) if n % 4 <= 2}
+    exact = decontam.contamination(documents(spark, rows), items(spark, [(1, "alpha beta gamma delta")])).filter("contaminated")
+    assert {r.doc_id for r in exact.collect()} == {n for n in range(20) if n % 4 == 0}
+
+
+def test_index_of_all_terms(spark):
+    index = decontam.build_index(documents(spark, [(1, "b a b", None, None), (2, None, None, None)])).collect()
+    assert sum(sum(r.counts) for r in index) == 3 and sum(len(r.doc_ids) for r in index) == 2
+
+
+# quality
+
+
+def test_quality_accuracy_held_out(spark):
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    rows = quality.judge(docs, marks).join(marks, "doc_id").filter("held_out").collect()
+    assert len(rows) > 1000 and sum(r.predicted == r.quality for r in rows) / len(rows) > 0.98
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+
+
+def test_quality_without_two_kinds_of_labels(spark):
+    docs = documents(spark, [(1, "a", None, None), (2, None, None, None)])
+    assert {r.score for r in quality.judge(docs, labels(spark, [])).collect()} == {0.5}
+    assert {r.score for r in quality.judge(docs, labels(spark, [(2, 1, 0), (2, None, 0)])).collect()} <= {0.5, 1.0}
+
+
+def test_temperature_lowers_confidence_of_wrong_logits():
+    z, y = np.array([4.0, 4.0, 4.0, -4.0]), np.array([1.0, 1.0, 0.0, 0.0])
+    assert quality._temperature(z, y) > 1 > quality._temperature(np.array([1.0, -1.0] * 9), np.array([1.0, 0.0] * 9))
+
+
+# SimHash
+
+
+def _fingerprint(text, k=4):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not w:
+        return 0
+    grams = [" ".join(w)] if len(w) < k else [" ".join(w[n : n + k]) for n in range(len(w) - k + 1)]
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints_match_brute_force(spark):
+    texts = [None, "", "One", "a b c d", "É\x0bÈ x y Z z", " ".join(f"w{n % 97}" for n in range(70_000)), "A b\tc d e f g"]
+    found = {r.doc_id: r.fingerprint for r in simhash.near_duplicates(documents(spark, [(n, t, None, None) for n, t in enumerate(texts)])).collect()}
+    assert found == {n: f"{_fingerprint(t):016x}" for n, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("leaf", [(1024, 4096), (8, 16)])
+def test_links_match_brute_force(spark, monkeypatch, leaf):
+    monkeypatch.setattr(simhash, "LEAF", leaf[0])
+    monkeypatch.setattr(simhash, "LEAF_CAP", leaf[1])
+    monkeypatch.setattr(simhash, "SAMPLE_PART", 1)
+    rng = np.random.default_rng(2)
+    points = list(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    for p in points[:60]:
+        for _ in range(6):
+            p = p ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 6), replace=False)))
+            points.append(p)
+    points = np.unique(np.array(points, np.uint64))
+    frame = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long")
+    roots = {r.node: r.root for r in components.components(simhash.links(frame)).collect()}
+    parent = list(range(len(points)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(points)):
+        for j in np.flatnonzero(np.bitwise_count(points ^ points[i]) <= 4):
+            parent[find(int(j))] = find(i)
+    ids = [int(x) for x in points.view(np.int64)]
+    groups: dict = {}
+    for i, x in enumerate(ids):
+        groups.setdefault(find(i), []).append(x)
+    for members in groups.values():
+        assert len({roots.get(m, m) for m in members}) == 1
+    assert len({roots.get(x, x) for x in ids}) == len(groups)
+
+
+def test_components_of_a_path_and_loops(spark):
+    edges = [(n, n + 1) for n in range(200)] + [(500, 501), (501, 500), (7, 7), (None, 3)]
+    found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {n: 0 for n in range(201)} | {500: 500, 501: 500}
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+# exact digests
+
+
+def _canonical(text):
+    folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text or "").casefold())
+    return re.sub(r"[\t\n\v\f\r \u0085   -     　]+", " ", folded).strip(" ")
+
+
+def test_digests_match_brute_force(spark):
+    texts = ["Ab  c", "ab c", " AB\nC ", "ﬁne", "FINE", "Straße", "STRASSE", "é", "é", None, "", "ab cd", "x" * 50_000, " a b"]
+    rows = [(n, t, None, None) for n, t in enumerate(texts)]
+    found = {r.doc_id: r for r in exact_digest.compare(documents(spark, rows)).collect()}
+    digest = lambda s: "{:016x}".format(xxhash.xxh64_intdigest(s.encode(), 42))
+    for n, t in enumerate(texts):
+        t = t or ""
+        after = texts[n - 1 if n else len(texts) - 1] or ""
+        third = len(t) // 3
+        edit = t[: len(t) - third] + after[:third]
+        r = found[n]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edit.encode()).hexdigest())
+        assert r.fingerprint[:16] == digest(_canonical(t)) and r.edited_fingerprint[:16] == digest(_canonical(edit)) and len(r.fingerprint) == 32
+        assert r.near_edited == float(_canonical(edit) == _canonical(t)) and r.near_next == float(_canonical(after) == _canonical(t))
+        same = [m for m, o in enumerate(texts) if _canonical(o) == _canonical(t)]
+        assert (r.class_doc_id, r.n_class) == (min(same), len(same))
+
+
+def test_colliding_hashes_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(exact_digest, "wide_hash", lambda canon: F.substring(canon, 1, 1))
+    rows = [(1, "ab", None, None), (2, "ac", None, None), (3, "AB", None, None), (4, "b", None, None)]
+    found = {r.doc_id: r for r in exact_digest.fingerprints(documents(spark, rows)).collect()}
+    assert found[1].fingerprint == found[3].fingerprint != found[2].fingerprint
+    assert (found[3].class_doc_id, found[2].class_doc_id, found[4].fingerprint) == (1, 2, "b")
+
+
+def test_next_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(exact_digest, "ROWS_IN_RANGE", 7)
+    ids = random.Random(4).sample(range(-5000, 5000), 300)
+    found = {r.doc_id: r.next_text for r in exact_digest.with_next(documents(spark, [(i, f"t{i}", None, None) for i in ids]).select("doc_id", "text"), ["text"]).collect()}
+    order = sorted(ids, reverse=True)
+    assert found == {i: f"t{order[(k + 1) % len(order)]}" for k, i in enumerate(order)}

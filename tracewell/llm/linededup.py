@@ -165,7 +165,7 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs, all columns, with the removed lines taken out of the texts."""
-    report = dedup_report(docs).select(F.col("doc_id").alias("__id"), F.split("removed", ",").cast("array<int>").alias("__gone"))
+    report = dedup_report(docs).select(F.col("doc_id").alias("__id"), F.split(F.nullif("removed", F.lit("")), ",").cast("array<int>").alias("__gone"))
     joined = docs.join(report, docs["doc_id"].eqNullSafe(F.col("__id")), "left")
     kept = F.filter(F.split("text", "\n"), lambda _, n: ~F.coalesce(F.array_contains("__gone", n), F.lit(False)))
     return joined.select(*(F.when(F.col("text").isNotNull(), F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns))
