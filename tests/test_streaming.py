@@ -1,0 +1,35 @@
+"""File streams: merges that take each key once, late rows, counters."""
+
+from tracewell.streaming.ingest import Table, is_live, progress_counts, start_merge, windowed
+
+
+def test_merge_survives_restarts_and_repeats(spark, tmp_path):
+    schema = "uuid string, ordinal int, body string"
+    put = lambda name, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    table = Table(spark, str(tmp_path / "table"))
+
+    def run():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        query = start_merge(stream, table, ["uuid", "ordinal"], ["body"], str(tmp_path / "checkpoint"), {"availableNow": True})
+        query.awaitTermination()
+        return query
+
+    put("a", [("x", 0, "first"), ("x", 0, "again"), ("y", 0, "y")])
+    counts = progress_counts(run())
+    assert counts == {"events_total": 3, "events_coalesced_total": 1}
+    put("b", [("x", 0, "later"), ("x", 1, "second")])
+    run()
+    run()
+    assert sorted(tuple(r) for r in table.read().collect()) == [("x", 0, "again"), ("x", 1, "second"), ("y", 0, "y")]
+
+
+def test_windows(spark, tmp_path):
+    spark.createDataFrame([("2024-01-01 00:05:00", "a", 1.0), ("2024-01-01 00:55:00", "a", 2.0), ("2024-01-01 01:05:00", "b", 3.0)], "t string, k string, v double").selectExpr("CAST(t AS TIMESTAMP) AS ts", "k", "v").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, k string, v double").parquet(str(tmp_path / "in"))
+    query = windowed(stream, "ts", "10 minutes", "1 hour", None, "k", "v").writeStream.format("memory").queryName("windows_test").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((r.k, r.n, r.total) for r in spark.table("windows_test").collect()) == [("a", 2, 3.0), ("b", 1, 3.0)]
+
+
+def test_liveness():
+    assert is_live(100, 160) and not is_live(100, 161) and not is_live(None, 0)

@@ -71,18 +71,37 @@ def phrase_starts(phrase: M.Phrase) -> Column:
     return F.filter(starts, lambda n: n == 0) if phrase.first else starts
 
 
+def near_starts(near: M.Near) -> list[Column]:
+    """For each of the group's phrases, the positions that take part in a stretch that holds them all.
+
+    A stretch begins at some phrase and reaches as far as the distance beyond that phrase's end.
+    """
+    found = [(len(p.words), phrase_starts(p)) for p in near.phrases if p.words]
+    begins = []
+    for n, starts in found:
+        whole = lambda p: reduce(lambda a, b: a & b, (F.exists(s, lambda q: (q >= p) & (q - p - n <= near.distance)) for _, s in found))  # noqa: B023, E731
+        begins.append(F.transform(F.filter(starts, whole), lambda p: F.struct(p.alias("low"), (p + n + near.distance).alias("high"))))  # noqa: B023
+    stretches = F.concat(*begins)
+    return [F.filter(s, lambda q: F.exists(stretches, lambda w: (q >= w["low"]) & (q <= w["high"]))) for _, s in found]
+
+
+def frequencies(tree: M.Node) -> list[Column]:
+    """How often each of the tree's scored phrases counts in a row; in a NEAR group, where it is near the others."""
+    if isinstance(tree, M.Phrase):
+        return [F.size(phrase_starts(tree))] if tree.words else []
+    if isinstance(tree, M.Near):
+        return [F.size(s) for s in near_starts(tree)]
+    if isinstance(tree, M.Not):
+        return frequencies(tree.kept)
+    return [f for part in tree.parts for f in frequencies(part)]
+
+
 def matches(tree: M.Node) -> Column:
     """Whether a document's tokens satisfy the tree."""
     if isinstance(tree, M.Phrase):
         return F.size(phrase_starts(tree)) > 0 if tree.words else F.lit(False)
     if isinstance(tree, M.Near):
-        found = [(len(p.words), phrase_starts(p)) for p in tree.phrases if p.words]
-
-        def begins(n: int, starts: Column) -> Column:
-            inside = lambda p: reduce(lambda a, b: a & b, (F.exists(s, lambda q: (q >= p) & (q - p - n <= tree.distance)) for _, s in found))
-            return F.exists(starts, inside)
-
-        return reduce(lambda a, b: a | b, (begins(n, s) for n, s in found))
+        return F.size(near_starts(tree)[0]) > 0
     if isinstance(tree, M.Not):
         return matches(tree.kept) & ~matches(tree.dropped)
     if isinstance(tree, M.Or):
@@ -118,7 +137,7 @@ def ranked(index: DataFrame, tree: M.Node, keep: Column | None = None, stats: St
     phrases = M.phrases_of(tree)
     stats = stats or statistics(index, phrases)
     found = index.filter(matches(tree) if keep is None else matches(tree) & keep)
-    counted = found.withColumns({f"__f{k}": F.size(phrase_starts(p)) for k, p in enumerate(phrases)})
+    counted = found.withColumns({f"__f{k}": f for k, f in enumerate(frequencies(tree))})
     rank = F.lit(0.0)
     for k, n in enumerate(stats.with_phrase):
         idf = math.log((stats.n - n + 0.5) / (n + 0.5)) if stats.n else 0.0

@@ -108,7 +108,15 @@ def find_doc_not(spark, sf_dir):
     return _found(spark, sf_dir, "license NOT apache")
 
 
-@query(ranking_sql(DOCS, ["t[i] = 'license'", "t[i] = 'version'", "t[i] = 'license' AND (list_contains(t[i + 1 : i + 4], 'version') OR list_contains(t[i - 4 : i - 1], 'version') AND i > 4)"], "f2 > 0", TOP10).replace("- (CASE WHEN ln((n - n2", "- 0 * (CASE WHEN ln((n - n2"))
+#: A word counts where the other one begins at most three words after its end.
+_NEAR = lambda a, b: f"t[i] = '{a}' AND (list_contains(t[i + 1 : i + 4], '{b}') OR i > 1 AND list_contains(t[greatest(i - 4, 1) : i - 1], '{b}'))"
+
+
+@query(
+    ranking_sql(DOCS, [_NEAR("license", "version"), _NEAR("version", "license"), "t[i] = 'license'", "t[i] = 'version'"], "f0 > 0", TOP10, "ref, round(rank, 6) AS rank")
+    .replace("ln((n - n0 + 0.5) / (n0 + 0.5))", "ln((n - n2 + 0.5) / (n2 + 0.5))").replace("ln((n - n1 + 0.5) / (n1 + 0.5))", "ln((n - n3 + 0.5) / (n3 + 0.5))")
+    .replace("* f2 *", "* 0 *").replace("* f3 *", "* 0 *")
+)
 def find_doc_near(spark, sf_dir):
     return _found(spark, sf_dir, "NEAR(license version, 3)")
 
