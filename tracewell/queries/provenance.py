@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators import analytics as A
 from ..operators import provenance as P
+from ..operators.search import spread
 from .registry import query, table
 from .search import TOKENS_OF
 
@@ -38,7 +39,7 @@ MEASURED = f"""{FEEDERS}, measured AS (SELECT r.term, count(*) AS df, max(CASE W
 
 def _each_term(rows, *columns):
     """A row for each term that a text has, with its frequency: the text is tokenised once for all terms."""
-    t = rows.withColumn("t", tokens(F.col("text")))
+    t = spread(rows.select("text", *columns)).withColumn("t", tokens(F.col("text")))
     times = lambda word: F.size(F.filter("t", lambda x: x == word))
     counts = F.filter(F.array(*(F.struct(F.lit(w).alias("term"), times(w).alias("tf")) for w in TERMS)), lambda c: c["tf"] > 0)
     return t.select(*columns, F.explode(counts).alias("c")).select("c.term", *columns, (-F.col("c.tf")).alias("rank"))
