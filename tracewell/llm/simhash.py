@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     roots = components(links(distinct.select("fp"), radius))
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    totals = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_component"))
+    totals = cut(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_component")))  # so that a large component's side of the join can be split
     members = cut(placed.select("fp", "root").join(totals, "root").select("fp", "component_id", "n_component"))
     joined = prints.join(members, "fp")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_component")
@@ -194,7 +194,7 @@ def keep_first(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Dat
     known = docs.filter(F.col("doc_id").isNotNull())
     found = near_duplicates(known, words, radius)
     heads = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__times"))
-    repeated = heads.filter("__times > 1").isEmpty() is False
+    repeated = not heads.filter("__times > 1").isEmpty()
     kept = known.join(heads.select("doc_id"), "doc_id", "left_semi")
     if repeated:
         rest = [c for c in docs.columns if c != "doc_id"]
