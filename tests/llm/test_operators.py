@@ -253,9 +253,10 @@ def _removed(rows):
     return {i: ",".join(map(str, sorted(x))) for i, x in out.items()}
 
 
-@pytest.mark.parametrize("hot", [linededup.HOT, 3])
-def test_lines_match_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "most"), [(linededup.HOT, linededup.MOST_POSTINGS), (3, linededup.MOST_POSTINGS), (3, 20), (linededup.HOT, 20)])
+def test_lines_match_brute_force(spark, monkeypatch, hot, most):
     monkeypatch.setattr(linededup, "HOT", hot)
+    monkeypatch.setattr(linededup, "MOST_POSTINGS", most)
     rng = random.Random(hot)
     base = [" ".join(rng.choice("abcdefghij") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 14))) for _ in range(12)]
     rows = []
@@ -461,3 +462,16 @@ def test_next_over_many_ranges(spark, monkeypatch):
     found = {r.doc_id: r.next_text for r in exact_digest.with_next(documents(spark, [(i, f"t{i}", None, None) for i in ids]).select("doc_id", "text"), ["text"]).collect()}
     order = sorted(ids, reverse=True)
     assert found == {i: f"t{order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
+
+
+def test_word_hashes():
+    h, line = linededup.word_hashes("a bb\ta\r\n\n\x0bbb é".encode())
+    assert line.tolist() == [0, 0, 0, 2, 2] and h[0] == h[2] != h[1] == h[3] and len(set(h.tolist())) == 3
+    assert len(linededup.word_hashes(b"")[0]) == len(linededup.word_hashes(b" \n ")[0]) == 0
+    long = [f"w{n}" for n in range(5000)]
+    assert len(set(linededup.word_hashes(" ".join(long * 2).encode())[0].tolist())) == 5000
+
+
+@pytest.mark.parametrize(("a", "b", "same"), [(b"a b c d e", b"e d c b a", True), (b"a b c d e", b"a b c d", True), (b"a b c d", b"a b c", False), (b"a a a", b"a", True)])
+def test_similar_lines(a, b, same):
+    assert linededup.similar(a, b) == same

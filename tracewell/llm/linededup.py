@@ -1,7 +1,7 @@
-"""Line dedup: an exact set-similarity join of lines, by built-in functions only.
+"""Line dedup: an exact set-similarity join of lines.
 
-A line is the set of its space-separated words. A line goes if an earlier one (by doc_id, then line
-number) has a Jaccard similarity of 0.8 or more with it, whether that one stays or goes. Copies are
+A line is the set of its words, which white space parts. A line goes if an earlier one (by doc_id, then
+line number) has a Jaccard similarity of 0.8 or more with it, whether that one stays or goes. Copies are
 settled first: a line's text stands for all its occurrences, and only its first one can stay.
 
 Distinct lines are joined through an inverted index. Words are numbered so that their order is the
@@ -11,8 +11,12 @@ indexed by the first n // 5 + 1 of its words (as the longer one of a pair; n //
 and a pair that shares such a word is a candidate if the lengths, the words that remain after it, and
 the lines' 64-bit word bitmaps allow a similarity of 0.8. Candidates are verified on their words.
 
-A word that more than HOT lines have is treated apart: those lines are first compared with the three
-earliest lines that have the word, and only those that no such comparison removes are joined with all.
+Words are read and numbered by Arrow functions over whole texts (in expressions they cost ten times as
+much; the README has the figures), and postings travel as blocks. A shard's words have MOST_POSTINGS
+postings each at most: words that the corpus has more often go past the shards as rows. Words that more
+than HOT lines have in their prefixes are treated apart, as joins of rows: those lines are first
+compared with the three earliest lines that have the word, and only those that no such comparison
+removes are joined with all.
 
 Edge cases: a null text has no lines; a line without words stays; documents with one id count as one,
 whose lines share their numbers, and lines in one place don't remove each other; null ids come first
@@ -21,63 +25,263 @@ in the order; an empty table gives an empty result; other columns are ignored; l
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, staged
+from ..workers import ship_package
+from .common import cut, map_batches, staged
 
-BUCKETS, HOT, HEADS = 1 << 15, 256, 3
-#: Places whose number is checked before they are broadcast to fetch their lines; more are joined by a shuffle.
-BROADCAST_PLACES = 1 << 18
+BUCKET_BITS, CODE_BITS = 21, 52
+BUCKETS, CHUNKS = 1 << BUCKET_BITS, 64
+HOT, HEADS, MOST_POSTINGS = 256, 3, 1 << 17
+#: Postings that a shard is meant to hold, the least number of shards, bytes and lines that are numbered at once.
+SHARD_POSTINGS, LEAST_SHARDS, PIECE_BYTES, PIECE_LINES = 100_000, 64, 1 << 20, 1 << (64 - CODE_BITS)
+#: Documents whose number is checked before they are broadcast to fetch their lines; more are joined by a shuffle.
+BROADCAST_DOCS = 1 << 16
 NO_ID = -(1 << 63)
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc, line, body for every line; doc is the id, or NO_ID for a missing one."""
-    split = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    return split.select("doc", "line", "body")
-
-
-def words_of(body: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(F.translate(body, "\t\r\u000b\f", "    "), " ")), "")
-
-
-def rarity_ranks(docs: DataFrame) -> list[int]:
-    """The rank of each bucket of word hashes by its words' number of lines, the rarest first."""
-    each = lines_of(docs).select(F.explode(F.transform(words_of(F.col("body")), lambda w: F.shiftrightunsigned(F.xxhash64(w), 49).cast("int"))).alias("bucket"))
-    counts = {r["bucket"]: r["count"] for r in each.groupBy("bucket").count().collect()}  # BUCKETS rows at most
-    ranks = [0] * BUCKETS
-    for rank, bucket in enumerate(sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))):
-        ranks[bucket] = rank
-    return ranks
-
-
-def codes_of(body: Column, ranks: list[int]) -> Column:
-    """A line's words as numbers, the rarest first."""
-    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<long>")
-    low = F.lit((1 << 48) - 1)
-
-    def code(word: Column) -> Column:
-        h = F.xxhash64(word)
-        return F.shiftleft(F.element_at(table, F.shiftrightunsigned(h, 49).cast("int") + 1), 48).bitwiseOR(h.bitwiseAND(low))
-
-    return F.sort_array(F.transform(words_of(body), code))
-
-
-def classes_of(docs: DataFrame) -> DataFrame:
-    """k1, k2 (a text's 128-bit hash), and its first occurrence's doc, line and body; lines without words are left out."""
-    rows = lines_of(docs).filter(F.col("body").rlike(r"[^ \t\r\x0B\f]"))
-    rows = rows.select(F.xxhash64("body").alias("k1"), F.xxhash64(F.lit("second half"), "body").alias("k2"), F.struct("doc", "line", "body").alias("at"))
-    return rows.groupBy("k1", "k2").agg(F.min("at").alias("at")).select("k1", "k2", "at.doc", "at.line", "at.body")
-
-
-def postings_of(classes: DataFrame, ranks: list[int]) -> DataFrame:
-    """word, place (doc, line), n, pos, bits for each word of a distinct line's prefix."""
-    coded = classes.select("doc", "line", codes_of(F.col("body"), ranks).alias("codes"))
-    bits = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
-    sized = coded.select("doc", "line", F.size("codes").alias("n"), bits.alias("bits"), F.slice("codes", F.lit(1), F.floor(F.size("codes") / 5).cast("int") + 1).alias("prefix"))
-    return sized.select("doc", "line", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
+#: What a worker keeps at most: hashes of lines that it has indexed, postings not yet sent.
+KEPT_LINES, KEPT_POSTINGS = 1 << 17, 1 << 18
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+SPACES = np.isin(np.arange(256), list(b" \t\n\r\v\f"))
+
+POSTING = np.dtype([("code", "<u8"), ("key", "<i8"), ("bits", "<u8"), ("n", "<u4"), ("pos", "<u4")])
+
+
+def packed(rows: np.ndarray) -> bytes:
+    """Postings sorted by code, column by column, the codes as differences."""
+    columns = [np.diff(rows["code"], prepend=np.uint64(0)), *(np.ascontiguousarray(rows[c]) for c in POSTING.names[1:])]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    rows, at = np.empty(len(raw) // POSTING.itemsize, POSTING), 0
+    for name in POSTING.names:
+        kind = POSTING[name]
+        rows[name] = np.frombuffer(raw, kind, len(rows), at)
+        at += len(rows) * kind.itemsize
+    rows["code"] = np.cumsum(rows["code"])
+    return rows
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+class _Powers:
+    """Powers of FACTOR and of its inverse modulo 2**64, as many as a text has needed so far."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            inverse = np.uint64(pow(int(FACTOR), -1, 1 << 64))
+            one = np.ones(1, np.uint64)
+            cls.up, cls.down = (np.multiply.accumulate(np.concatenate([one, np.full(n - 1, f, np.uint64)])) for f in (FACTOR, inverse))
+        return cls.up, cls.down
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of a text, and the number of its line: a polynomial in a word's bytes, from running sums."""
+    codes = np.frombuffer(data, np.uint8)
+    gap = np.concatenate([[True], SPACES[codes], [True]])
+    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    up, down = _Powers.of(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h, np.searchsorted(np.flatnonzero(codes == 10), starts)
+
+
+def survey(docs: DataFrame) -> DataFrame:
+    """A row for each document: doc, and k1, k2 (128-bit hashes of its lines, null for those without words); and rows of
+    chunk and counts, a part of the word buckets' frequencies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(BUCKETS, np.int64)
+
+        def count(bodies: list[bytes]) -> None:
+            words, _ = word_hashes(b"\n".join(bodies))
+            totals[:] += np.bincount((words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=BUCKETS)
+            bodies.clear()
+
+        names = ["doc", "k1", "k2", "chunk", "counts"]
+        longs, size = pa.list_(pa.int64()), BUCKETS // CHUNKS
+        for batch in batches:
+            own, size_of, first, second = [], 0, [], []
+            for text in batch.column(1):
+                body = text.as_py()
+                keys = []
+                if body is not None:
+                    own.append(body)
+                    size_of += len(body)
+                    if size_of > PIECE_BYTES:
+                        count(own)
+                        size_of = 0
+                    keys = [xxhash.xxh3_128_intdigest(line) if line.strip() else None for line in body.split(b"\n")]
+                first.append([None if k is None else _signed(k >> 64) for k in keys])
+                second.append([None if k is None else _signed(k & 0xFFFFFFFFFFFFFFFF) for k in keys])
+            count(own)
+            none = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, longs), pa.array(second, longs), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names)
+        if totals.any():
+            parts = [np.minimum(totals[k * size : k * size + size], (1 << 32) - 1).astype(np.uint32).tobytes() for k in range(CHUNKS)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, longs), pa.nulls(CHUNKS, longs), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names)
+
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.col("text").cast("binary").alias("text"))
+    return map_batches(rows, run, "doc long, k1 array<long>, k2 array<long>, chunk int, counts binary")
+
+
+def bucket_counts(surveyed: DataFrame) -> np.ndarray:
+    """The buckets' frequencies over the whole corpus."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c.as_py(), np.uint32).astype(np.int64) for c in table.column("counts"))
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    ship_package(surveyed.sparkSession)
+    parts = surveyed.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()  # BUCKETS numbers
+    counts = np.zeros(BUCKETS, np.int64)
+    for part in parts:
+        counts[part["chunk"] * (BUCKETS // CHUNKS) :][: BUCKETS // CHUNKS] = np.frombuffer(part["counts"], np.int64)
+    return counts
+
+
+def lines_of(surveyed: DataFrame) -> DataFrame:
+    """doc, line, k1, k2 for every line."""
+    each = surveyed.filter("chunk IS NULL").select("doc", F.posexplode(F.arrays_zip("k1", "k2")).alias("line", "k"))
+    return each.select("doc", "line", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"))
+
+
+def classes_of(lines: DataFrame) -> DataFrame:
+    """k1, k2 and the place (doc, line) of a text's first occurrence; lines without words are left out."""
+    firsts = lines.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("doc", "line")).alias("at"))
+    return firsts.select("k1", "k2", "at.doc", "at.line")
+
+
+def prefixes(lines: list[bytes], keys: list[int], ranks: np.ndarray) -> np.ndarray:
+    """The postings of PIECE_LINES lines at most."""
+    h, row = word_hashes(b"\n".join(lines))
+    low = np.uint64((1 << (CODE_BITS - BUCKET_BITS)) - 1)
+    code = ranks[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(CODE_BITS - BUCKET_BITS) | (h & low)
+    both = np.sort((row.astype(np.uint64) << np.uint64(CODE_BITS)) | code)
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    row, code = (both >> np.uint64(CODE_BITS)).astype(np.int64), both & np.uint64((1 << CODE_BITS) - 1)
+    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(row)))
+    n, pos = np.repeat(sizes, sizes), np.arange(len(row)) - np.repeat(starts, sizes)
+    bits = np.repeat(np.bitwise_or.reduceat(np.uint64(1) << (code & np.uint64(63)), starts), sizes) if len(starts) else code
+    kept = pos < n // 5 + 1
+    found = np.empty(int(kept.sum()), POSTING)
+    for name, values in (("code", code), ("pos", pos), ("n", n), ("bits", bits), ("key", np.array(keys, np.int64)[row])):
+        found[name] = values[kept]
+    return found
+
+
+def blocks(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """shard, data: blocks of the postings of all distinct lines; a negative shard holds words of too many postings."""
+    spark = docs.sparkSession
+    ranks = np.empty(BUCKETS, np.uint32)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint32)
+    shards = max(LEAST_SHARDS, -(-int(counts.sum()) // (7 * SHARD_POSTINGS)))
+    frequent = int(np.count_nonzero(counts <= MOST_POSTINGS)) << (CODE_BITS - BUCKET_BITS)  # codes from here on
+    sent = spark.sparkContext.broadcast(ranks)  # BUCKETS numbers
+
+    def flush(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(found)
+        mixed = (rows["code"] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        shard = (mixed % np.uint64(shards)).astype(np.int64)
+        wide = rows["code"] >= np.uint64(frequent)
+        shard[wide] = -1 - (rows["key"][wide] % shards)
+        order = np.lexsort((rows["code"], shard))
+        rows, shard = rows[order], shard[order]
+        cuts = np.flatnonzero(np.diff(shard)) + 1
+        for part in np.array_split(np.arange(len(cuts) + 1), max(1, len(rows) >> 18)):
+            pieces = [(int(shard[lo]), packed(rows[lo:hi])) for lo, hi in ((([0, *cuts][k]), ([*cuts, len(rows)][k])) for k in part)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pieces], pa.int64()), pa.array([x for _, x in pieces], pa.binary())], ["shard", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        lines, keys, size, found, n_found = [], [], 0, [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                body = text.as_py()
+                for line in body.split(b"\n") if body is not None else ():
+                    key = xxhash.xxh3_128_intdigest(line)
+                    if key in seen:
+                        continue
+                    if len(seen) >= KEPT_LINES:
+                        seen.clear()
+                    seen.add(key)
+                    lines.append(line)
+                    keys.append(_signed(key >> 64))
+                    size += len(line)
+                    if size >= PIECE_BYTES or len(lines) >= PIECE_LINES:
+                        found.append(prefixes(lines, keys, sent.value))
+                        n_found += len(found[-1])
+                        lines, keys, size = [], [], 0
+                        if n_found > KEPT_POSTINGS:
+                            yield from flush(found)
+                            found, n_found = [], 0
+        if lines:
+            found.append(prefixes(lines, keys, sent.value))
+        if found:
+            yield from flush(found)
+
+    return map_batches(docs.select(F.col("text").cast("binary").alias("text")), run, "shard long, data binary")
+
+
+def _pairs(rows: np.ndarray, most: int) -> np.ndarray:
+    """Candidates (a, b), keys of two lines, among postings sorted by code and n, ``most`` of a code at most."""
+    n, pos, bits, code = rows["n"].astype(np.int64), rows["pos"].astype(np.int64), rows["bits"], rows["code"]
+    found, first = [np.zeros((0, 2), np.int64)], np.arange(len(rows))
+    for step in range(1, most):
+        first = first[first + step < len(rows)]
+        second = first + step
+        first = first[(code[first] == code[second]) & (n[second] * 4 <= n[first] * 5)]
+        if not len(first):
+            break
+        second = first + step
+        total = n[first] + n[second]
+        need = -(-total * 4 // 9)
+        good = (np.minimum(n[first] - pos[first], n[second] - pos[second]) >= need) & (pos[first] * 9 <= n[first]) & (total - np.bitwise_count(bits[first] ^ bits[second]) >= 2 * need)
+        equal = (n[first] == n[second]) & (np.minimum(n[first] - pos[first], n[second] - pos[second]) >= need) & (pos[second] * 9 <= n[second]) & (total - np.bitwise_count(bits[first] ^ bits[second]) >= 2 * need)
+        good |= equal
+        found.append(np.stack([rows["key"][first[good]], rows["key"][second[good]]], axis=1))
+    pairs = np.sort(np.concatenate(found), axis=1)
+    return np.unique(pairs, axis=0)
+
+
+MATCHED = "word long, a long, b long, n int, bits long, pos int"
+
+
+def match(table: pa.Table, most: int) -> pa.Table:
+    """Candidate pairs of a shard (a, b), and the postings (word, a, n, bits, pos) of words that more than ``most`` lines have."""
+    rows = np.concatenate([unpacked(x.as_py()) for x in table.column("data")])
+    if table.column("shard")[0].as_py() < 0:
+        pairs, hot = np.zeros((0, 2), np.int64), rows
+    else:
+        rows = rows[np.lexsort((rows["key"], rows["n"], rows["code"]))]
+        again = (rows["code"][1:] == rows["code"][:-1]) & (rows["key"][1:] == rows["key"][:-1])
+        rows = rows[np.concatenate([[True], ~again])]
+        starts = np.flatnonzero(np.concatenate([[True], rows["code"][1:] != rows["code"][:-1]]))
+        sizes = np.diff(np.append(starts, len(rows)))
+        size = np.repeat(sizes, sizes)
+        pairs, hot = _pairs(rows[(size > 1) & (size <= most)], most), rows[size > most]
+    none = lambda k, t: pa.nulls(k, t)
+    long = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
+    cold = pa.table({"word": none(len(pairs), pa.int64()), "a": long(pairs[:, 0]), "b": long(pairs[:, 1]), "n": none(len(pairs), pa.int32()), "bits": none(len(pairs), pa.int64()), "pos": none(len(pairs), pa.int32())})
+    apart = pa.table({"word": long(hot["code"]), "a": long(hot["key"]), "b": none(len(hot), pa.int64()), "n": pa.array(hot["n"].astype(np.int32)), "bits": long(hot["bits"]), "pos": pa.array(hot["pos"].astype(np.int32))})
+    return pa.concat_tables([cold, apart])
 
 
 def _similar_enough(a, b) -> Column:
@@ -105,50 +309,71 @@ def _joined(probe: DataFrame, index: DataFrame, more) -> DataFrame:
     return probe.alias("a").join(index.alias("b"), (a("word") == b("word")) & more(a, b) & _similar_enough(a, b)).select(*_pair(a, b)).distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs of a similarity of 0.8 or more, by the words of the two lines."""
-    pairs = cut(pairs)
-    places = pairs.select(F.explode(F.array(F.struct(F.col("later_doc").alias("doc"), F.col("later_line").alias("line")), F.struct(F.col("early_doc").alias("doc"), F.col("early_line").alias("line")))).alias("p")).select("p.doc", "p.line").distinct()
-    places = cut(places)
-    few = places.count() <= BROADCAST_PLACES
-    texts = classes.select("doc", "line", "body")
-    texts = texts.join(F.broadcast(places) if few else places, ["doc", "line"], "left_semi")
-    late = texts.select(F.col("doc").alias("later_doc"), F.col("line").alias("later_line"), words_of(F.col("body")).alias("later_words"))
-    early = texts.select(F.col("doc").alias("early_doc"), F.col("line").alias("early_line"), words_of(F.col("body")).alias("early_words"))
+def bodies_of(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """doc, line, body at the given places (doc, line)."""
+    wanted = cut(places.groupBy("doc").agg(F.collect_set("line").alias("wanted")))  # of one document each
+    few = wanted.count() <= BROADCAST_DOCS
+    texts = docs.filter("text IS NOT NULL").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
+    joined = texts.join(F.broadcast(wanted) if few else wanted, "doc").select("doc", "wanted", F.split("text", "\n").alias("all"))
+    each = joined.select("doc", F.explode(F.filter("wanted", lambda n: n < F.size("all"))).alias("line"), "all")
+    return each.groupBy("doc", "line").agg(F.min(F.get("all", F.col("line"))).alias("body"))
+
+
+def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The pairs of a similarity of 0.8 or more, by the words of the two lines; texts travel, not their words."""
+    late = bodies.select(F.col("doc").alias("later_doc"), F.col("line").alias("later_line"), F.col("body").alias("later_body"))
+    early = bodies.select(F.col("doc").alias("early_doc"), F.col("line").alias("early_line"), F.col("body").alias("early_body"))
     both = pairs.join(late, ["later_doc", "later_line"]).join(early, ["early_doc", "early_line"])
-    shared = F.size(F.array_intersect("later_words", "early_words"))
-    return both.filter(shared * 5 >= (F.size("later_words") + F.size("early_words") - shared) * 4).select(*PAIR)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [similar(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5))]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept, pa.bool_())) for c in batch.columns[:4]], list(PAIR))
+
+    return map_batches(both.select(*PAIR, F.col("later_body").cast("binary"), F.col("early_body").cast("binary")), run, "later_doc long, later_line int, early_doc long, early_line int")
+
+
+def similar(a: bytes, b: bytes) -> bool:
+    """Whether two lines' sets of words have a Jaccard similarity of 0.8 or more."""
+    x, y = set(a.split()), set(b.split())
+    shared = len(x & y)
+    return shared * 5 >= (len(x) + len(y) - shared) * 4
 
 
-def removed_classes(classes: DataFrame, ranks: list[int]) -> DataFrame:
+def removed_classes(docs: DataFrame, counts: np.ndarray, classes: DataFrame) -> DataFrame:
     """doc, line: the places of the distinct lines that an earlier line removes."""
-    postings = postings_of(classes, ranks)
-    same_word = W.partitionBy("word")
-    counted = postings.withColumn("n_word", F.count(F.lit(1)).over(same_word))
-    cold = counted.filter((F.col("n_word") > 1) & (F.col("n_word") <= HOT))
-    shorter = lambda a, b: (b("n") <= a("n")) & (b("pos") * 9 <= b("n") + 0 * a("n")) & ((a("doc") != b("doc")) | (a("line") != b("line")))
-    found = verified(_joined(cold, postings, shorter), classes)
+    ship_package(docs.sparkSession)
+    most = HOT
+    matched = staged(blocks(docs, counts).groupBy("shard").applyInArrow(lambda table: match(table, most), MATCHED))
+    at = lambda key: classes.select(F.col("k1").alias(key), F.col("doc").alias(f"{key}_doc"), F.col("line").alias(f"{key}_line"))
+    cold = matched.filter("b IS NOT NULL").select("a", "b").distinct().join(at("a"), "a").join(at("b"), "b")
+    side = lambda key: (lambda c: F.col(f"{key}_{c}"))
+    cold = staged(cold.select(*_pair(side("a"), side("b"))).distinct())
+    hot = staged(matched.filter("b IS NULL").dropDuplicates(["word", "a"]).join(at("a"), "a").select("word", F.col("a_doc").alias("doc"), F.col("a_line").alias("line"), "n", "bits", "pos"))
+    places = cold.select(F.explode(F.array(F.struct(F.col("later_doc").alias("doc"), F.col("later_line").alias("line")), F.struct(F.col("early_doc").alias("doc"), F.col("early_line").alias("line")))).alias("p")).select("p.doc", "p.line")
+    bodies = staged(bodies_of(docs, places.unionByName(hot.select("doc", "line")).distinct()))
+    gone = verified(cold, bodies).select(F.col("later_doc").alias("doc"), F.col("later_line").alias("line"))
     # the words of many lines: the earliest lines first
-    hot = cut(counted.filter(F.col("n_word") > HOT).drop("n_word"))
     if not hot.isEmpty():
         first = hot.groupBy("word", F.pmod(F.xxhash64("doc", "line"), F.lit(HEADS)).alias("nth")).agg(F.min(F.struct("doc", "line", "n", "bits", "pos")).alias("h"))
         heads = cut(first.select("word", "h.*"))
         earlier = lambda a, b: F.struct(b("doc"), b("line")) < F.struct(a("doc"), a("line"))
-        by_heads = cut(verified(_joined(hot, heads, earlier), classes).select("later_doc", "later_line").distinct())
-        left = hot.join(by_heads, (hot["doc"] == by_heads["later_doc"]) & (hot["line"] == by_heads["later_line"]), "left_anti")
-        found = found.unionByName(verified(_joined(left, hot, earlier), classes)).select("later_doc", "later_line").unionByName(by_heads)
-    return found.select(F.col("later_doc").alias("doc"), F.col("later_line").alias("line")).distinct()
+        by_heads = verified(_joined(hot, heads, earlier), bodies).select(F.col("later_doc").alias("doc"), F.col("later_line").alias("line"))
+        gone = cut(gone.unionByName(by_heads).distinct())
+        left = hot.join(gone.select(F.col("doc").alias("gone_doc"), F.col("line").alias("gone_line")), (F.col("doc") == F.col("gone_doc")) & (F.col("line") == F.col("gone_line")), "left_anti")
+        found = verified(_joined(left, hot, earlier), bodies).select(F.col("later_doc").alias("doc"), F.col("later_line").alias("line"))
+        gone = gone.unionByName(found)
+    return gone.distinct()
 
 
 def marked_lines(docs: DataFrame) -> DataFrame:
     """doc, line, gone for every line of every document."""
-    ranks = rarity_ranks(docs)
-    classes = staged(classes_of(docs))
-    gone = cut(removed_classes(classes, ranks)).withColumn("class_gone", F.lit(True))
-    known = classes.select("k1", "k2", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"))
-    settled = known.join(gone, (known["first_doc"] == gone["doc"]) & (known["first_line"] == gone["line"]), "left").select("k1", "k2", "first_doc", "first_line", "class_gone")
-    each = lines_of(docs).select("doc", "line", F.xxhash64("body").alias("k1"), F.xxhash64(F.lit("second half"), "body").alias("k2"))
-    found = each.join(settled, ["k1", "k2"], "left")
+    surveyed = staged(survey(docs))
+    lines = lines_of(surveyed)
+    classes = staged(classes_of(lines))
+    gone = cut(removed_classes(docs, bucket_counts(surveyed), classes)).withColumn("class_gone", F.lit(True))
+    settled = classes.join(gone, ["doc", "line"], "left").select("k1", "k2", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "class_gone")
+    found = lines.join(settled, ["k1", "k2"], "left")
     copy = F.struct("first_doc", "first_line") < F.struct("doc", "line")
     return found.select("doc", "line", F.coalesce(F.col("first_doc").isNotNull() & (copy | F.col("class_gone")), F.lit(False)).alias("gone"))
 
