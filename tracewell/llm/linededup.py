@@ -198,6 +198,8 @@ def blocks(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
     def flush(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows = np.concatenate(found)
+        if not len(rows):
+            return
         mixed = (rows["code"] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
         shard = (mixed % np.uint64(shards)).astype(np.int64)
         wide = rows["code"] >= np.uint64(frequent)
