@@ -45,6 +45,9 @@ SHARD_POSTINGS, LEAST_SHARDS, PIECE_BYTES, PIECE_LINES = 100_000, 64, 1 << 20, 1
 #: Documents whose number is checked before they are broadcast to fetch their lines; more are joined by a shuffle.
 BROADCAST_DOCS = 1 << 16
 NO_ID = -(1 << 63)
+#: 64-bit words of the bitmap by which pairs of lines are sifted before their texts are fetched.
+SIGNATURE = 8
+_SIGNS = [f"s{k}" for k in range(SIGNATURE)]
 #: What a worker keeps at most: hashes of lines that it has indexed, postings not yet sent.
 KEPT_LINES, KEPT_POSTINGS = 1 << 17, 1 << 18
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -312,27 +315,47 @@ def _joined(probe: DataFrame, index: DataFrame, more) -> DataFrame:
 
 
 def bodies_of(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """doc, line, body at the given places (doc, line)."""
+    """doc, line, body, n (words) and a bitmap of the words at the given places (doc, line)."""
     wanted = cut(places.groupBy("doc").agg(F.collect_set("line").alias("wanted")))  # of one document each
     few = wanted.count() <= BROADCAST_DOCS
     texts = docs.filter("text IS NOT NULL").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
     joined = texts.join(F.broadcast(wanted) if few else wanted, "doc").select("doc", "wanted", F.split("text", "\n").alias("all"))
     each = joined.select("doc", F.explode(F.filter("wanted", lambda n: n < F.size("all"))).alias("line"), "all")
-    return each.groupBy("doc", "line").agg(F.min(F.get("all", F.col("line"))).alias("body"))
+    found = each.groupBy("doc", "line").agg(F.min(F.get("all", F.col("line"))).alias("body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, marks = [], np.zeros((batch.num_rows, 64 * SIGNATURE), bool)
+            for k, body in enumerate(batch.column(2)):
+                words = set(body.as_py().split())
+                sizes.append(len(words))
+                marks[k, [xxhash.xxh3_64_intdigest(w) % (64 * SIGNATURE) for w in words]] = True
+            longs = np.packbits(marks, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(longs[:, k])) for k in range(SIGNATURE))], ["doc", "line", "body", "n", *_SIGNS])
+
+    return map_batches(found.select("doc", "line", F.col("body").cast("binary").alias("body")), run, "doc long, line int, body binary, n int, " + ", ".join(f"{c} long" for c in _SIGNS))
 
 
 def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The pairs of a similarity of 0.8 or more, by the words of the two lines; texts travel, not their words."""
-    late = bodies.select(F.col("doc").alias("later_doc"), F.col("line").alias("later_line"), F.col("body").alias("later_body"))
-    early = bodies.select(F.col("doc").alias("early_doc"), F.col("line").alias("early_line"), F.col("body").alias("early_body"))
-    both = pairs.join(late, ["later_doc", "later_line"]).join(early, ["early_doc", "early_line"])
+    """The pairs of a similarity of 0.8 or more, by the words of the two lines.
+
+    Wide bitmaps of the lines' words go first, so that few pairs meet their texts: sets that differ in
+    d bits share at most half of their sizes' sum less d.
+    """
+    place = lambda side: [F.col("doc").alias(f"{side}_doc"), F.col("line").alias(f"{side}_line")]
+    of = lambda side, columns: bodies.select(*place(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
+    signed = pairs.join(of("later", ["n", *_SIGNS]), ["later_doc", "later_line"]).join(of("early", ["n", *_SIGNS]), ["early_doc", "early_line"])
+    differ = sum((F.bit_count(F.col(f"later_{c}").bitwiseXOR(F.col(f"early_{c}"))) for c in _SIGNS), F.lit(0))
+    total = F.col("later_n") + F.col("early_n")
+    close = signed.filter(total - differ >= 2 * F.ceil(total * 4 / 9)).select(*PAIR)
+    both = close.join(of("later", ["body"]), ["later_doc", "later_line"]).join(of("early", ["body"]), ["early_doc", "early_line"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [similar(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5))]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept, pa.bool_())) for c in batch.columns[:4]], list(PAIR))
 
-    return map_batches(both.select(*PAIR, F.col("later_body").cast("binary"), F.col("early_body").cast("binary")), run, "later_doc long, later_line int, early_doc long, early_line int")
+    return map_batches(both.select(*PAIR, "later_body", "early_body"), run, "later_doc long, later_line int, early_doc long, early_line int")
 
 
 def similar(a: bytes, b: bytes) -> bool:
