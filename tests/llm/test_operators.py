@@ -159,6 +159,26 @@ def test_pii_finds_base_and_adds_secrets(spark):
         assert found[n].spans == "" and found[n].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+@pytest.mark.parametrize("found", ["jane.doe [at] example [dot] com", "jane(AT)example(DOT)com"])
+def test_loose_addresses_without_digits_are_candidates(found):
+    rows = pii.candidates(f"write to {found} now")[1]
+    assert [(r[0], f"write to {found} now"[r[1] : r[2]]) for r in rows] == [("email", f"write to {found}"[9:])]
+
+
+@pytest.mark.parametrize("name", ["password", "passwd", "pwd", "secret", "token"])
+def test_secrets_without_digits_are_candidates_in_any_case(name):
+    for said in (name, name.upper(), name.title()):
+        text = f"set {said}=hunterhunter now"
+        assert [(r[0], text[r[1] : r[2]]) for r in pii.candidates(text)[1]] == [("secret", "hunterhunter")]
+
+
+def test_texts_past_the_gate_have_no_form():
+    texts = ["", "plain words", "password: hunter", "a.b.c at d dot e", "+ - / _ ]) {at}", "DE GB secret token pwd"]
+    forms = [*pii.BASE.values(), *pii.LOOSE.values()]
+    assert not any(pii.SIGN.search(t) or f.search(t) for t in texts for f in forms)
+    assert all(pii.SIGN.search(t) for t in ("a@b.co", "1.2.3.4", "x (at) y (dot) z", "x [AT] y [DOT] z", "\u017fecret=abcdef"))
+
+
 # URLs
 
 
