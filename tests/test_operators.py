@@ -208,3 +208,16 @@ def test_commits_and_last_touch(spark, tmp_path):
     assert readers.commits(spark, str(tmp_path / "r"), head).count() == 0 and readers.commits(spark, str(tmp_path / "r"), "0" * 40).count() == 3
     touched = etl.last_touch(found.select(F.col("repo_path").alias("repo"), "commit_hash", F.col("parent_hashes").alias("parents"), F.col("authored_at").alias("committed_at"), F.col("files_changed").alias("files")))
     assert {r.path: r.commit_hash for r in touched.collect()}["a.py"] == head
+
+
+def test_thread_measurement_covers_the_vocabulary_sample(spark):
+    from tracewell.queries import QUERIES, provenance
+
+    sf = "/root/testdata/sf0.001"
+    terms = {r.term: r.df for r in provenance.sampled_terms(spark, sf).collect()}
+    assert len(terms) == provenance.SAMPLE_TERMS and all(n >= 2 and len(t) >= 4 and t.isascii() and t.isalpha() for t, n in terms.items())
+    assert terms == {r.term: r.df for r in QUERIES["stratified_terms"](spark, sf).collect()}
+    assert QUERIES["thread_report_sampled"](spark, sf).first().n_terms == len(terms)
+    tiers = QUERIES["idf_tiers_sampled"](spark, sf).orderBy("tier").collect()
+    assert [t.n for t in tiers] == [67, 67, 66] and (tiers[0].min_df, tiers[2].max_df) == (min(terms.values()), max(terms.values()))
+    assert {r.term for r in QUERIES["resolve_author_feeders_sampled"](spark, sf).select("term").distinct().collect()} == set(terms)
