@@ -111,6 +111,15 @@ def test_budgets_fill_siblings_before_ancestors():
     assert sum(mixing.budgets({("a", "x"): 7, ("a", "y"): 5, ("b", "z"): 3}, recipe).values()) == 15
 
 
+def test_unlisted_children_have_their_share_of_tokens():
+    have = {(d, lang, d): 250 for d in ("web", "books", "code") for lang in ("en", "de", "fr", "es")} | {("web", "unknown", "web"): 500, ("unknown", "en", "blog"): 500}
+    found = mixing.budgets(have, mixing.PRODUCTION)
+    assert sum(found.values()) == sum(have.values()) == 4000 and found["unknown", "en", "blog"] == 500
+    web = {lang: n for (d, lang, _), n in found.items() if d == "web"}
+    assert abs(sum(web.values()) - 3500 * 0.55) <= 1 and abs(web["unknown"] - sum(web.values()) / 3) <= 1
+    assert mixing.shares({("a",): 1, ("b",): 3, ("c",): 1}, {("a",): 0.6}) == {("a",): 0.6, ("b",): pytest.approx(0.3), ("c",): pytest.approx(0.1)}
+
+
 def test_mixing_matches_brute_force(spark):
     rng = random.Random(3)
     rows = [(n, " ".join("w" for _ in range(rng.randrange(0, 30))), rng.choice(["en", "de", "fr", None]), f"src{rng.randrange(20)}") for n in range(600)]

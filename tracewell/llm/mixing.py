@@ -4,7 +4,9 @@ Budgets. The total is dealt out from the root: children share their parent's bud
 child takes no more than its subtree can give (its tokens times MAX_EPOCHS), and what it leaves goes
 to its siblings by weight. A subtree as a whole passes a shortage on only when all its children are
 exhausted, so shortages are made up among siblings before ancestors. Children without a weight share
-what the weights leave (1 less their sum, if that is positive) in proportion to their tokens.
+what the weights leave (1 less their sum) in proportion to their tokens. Where the weights leave
+nothing, as PRODUCTION's do, such children have their share of all the children's tokens, and the
+weighted ones share the rest by weight: no language or source is left out for being unlisted.
 
 Selection. Epoch e orders a leaf's documents by a hash of (seed, e, doc_id). A budget of q whole
 passes and a rest takes every document q times and, in epoch q, the shortest prefix that holds the
@@ -57,7 +59,10 @@ def shares(children: dict[tuple[str, ...], int], weights: dict[tuple[str, ...],
     """The weight of each child; children: their tokens by path."""
     given = {c: max(0.0, weights[c]) for c in children if c in weights}
     rest = {c: n for c, n in children.items() if c not in given}
-    left, tokens = max(0.0, 1 - sum(given.values())) if given else 1.0, sum(rest.values())
+    left, tokens = 1 - sum(given.values()), sum(rest.values())
+    if left < 1e-9 and tokens:
+        left = tokens / sum(children.values())
+        given = {c: w * (1 - left) / sum(given.values()) for c, w in given.items()}
     return given | {c: left * n / tokens if tokens else 0.0 for c, n in rest.items()}
 
 
