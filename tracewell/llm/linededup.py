@@ -9,7 +9,13 @@ order of rarity: a word's hash falls into one of BUCKETS buckets, the buckets ar
 they count over the whole corpus, and the rank replaces the bucket in the hash. A line of n words is
 indexed by the first n // 5 + 1 of its words (as the longer one of a pair; n // 9 + 1 as the shorter),
 and a pair that shares such a word is a candidate if the lengths, the words that remain after it, and
-the lines' 64-bit word bitmaps allow a similarity of 0.8. Candidates are verified on their words.
+64-bit bitmaps of the lines' RAREST first words allow a similarity of 0.8. Candidates are verified on
+their words.
+
+The bitmaps' bound: let x and y be the sizes, s the words that must be shared, p and q the words in the
+two bitmaps (RAREST or the whole line). Shared words have one order in both lines, so those in one of
+the two heads but not in the other are all in the same one, and the heads differ in at most
+max(2 (x - s) + q - p, 2 (y - s) + p - q) words, the bitmaps in no more bits.
 
 Words are read and numbered by Arrow functions over whole texts (in expressions they cost ten times as
 much; the README has the figures), and postings travel as blocks. A shard's words have MOST_POSTINGS
@@ -40,6 +46,8 @@ from .common import cut, map_batches, staged
 BUCKET_BITS, CODE_BITS = 21, 52
 BUCKETS, CHUNKS = 1 << BUCKET_BITS, 64
 HOT, HEADS, MOST_POSTINGS = 256, 3, 1 << 17
+#: A line's rarest words that its bitmap has; more would fill its 64 bits.
+RAREST = 32
 #: Postings that a shard is meant to hold, the least number of shards, bytes and lines that are numbered at once.
 SHARD_POSTINGS, LEAST_SHARDS, PIECE_BYTES, PIECE_LINES = 100_000, 64, 1 << 20, 1 << (64 - CODE_BITS)
 #: Documents whose number is checked before they are broadcast to fetch their lines; more are joined by a shuffle.
@@ -182,7 +190,8 @@ def prefixes(lines: list[bytes], keys: list[int], ranks: np.ndarray) -> np.ndarr
     starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(row)))
     n, pos = np.repeat(sizes, sizes), np.arange(len(row)) - np.repeat(starts, sizes)
-    bits = np.repeat(np.bitwise_or.reduceat(np.uint64(1) << (code & np.uint64(63)), starts), sizes) if len(starts) else code
+    marks = np.where(pos < RAREST, np.uint64(1) << (code & np.uint64(63)), np.uint64(0))
+    bits = np.repeat(np.bitwise_or.reduceat(marks, starts), sizes) if len(starts) else code
     kept = pos < n // 5 + 1
     found = np.empty(int(kept.sum()), POSTING)
     for name, values in (("code", code), ("pos", pos), ("n", n), ("bits", bits), ("key", np.array(keys, np.int64)[row])):
@@ -256,11 +265,12 @@ def _pairs(rows: np.ndarray, most: int) -> np.ndarray:
         if not len(first):
             break
         second = first + step
-        total = n[first] + n[second]
-        need = -(-total * 4 // 9)
-        good = (np.minimum(n[first] - pos[first], n[second] - pos[second]) >= need) & (pos[first] * 9 <= n[first]) & (total - np.bitwise_count(bits[first] ^ bits[second]) >= 2 * need)
-        equal = (n[first] == n[second]) & (np.minimum(n[first] - pos[first], n[second] - pos[second]) >= need) & (pos[second] * 9 <= n[second]) & (total - np.bitwise_count(bits[first] ^ bits[second]) >= 2 * need)
-        good |= equal
+        x, y = n[first], n[second]
+        need = -(-(x + y) * 4 // 9)
+        p, q = np.minimum(x, RAREST), np.minimum(y, RAREST)
+        most_bits = np.maximum(2 * (x - need) + q - p, 2 * (y - need) + p - q)
+        can = (np.minimum(x - pos[first], y - pos[second]) >= need) & (np.bitwise_count(bits[first] ^ bits[second]) <= most_bits)
+        good = can & ((pos[first] * 9 <= x) | ((x == y) & (pos[second] * 9 <= y)))
         found.append(np.stack([rows["key"][first[good]], rows["key"][second[good]]], axis=1))
     pairs = np.sort(np.concatenate(found), axis=1)
     return np.unique(pairs, axis=0)
@@ -295,7 +305,8 @@ def _similar_enough(a, b) -> Column:
     need = F.ceil(total * 4 / 9)
     lengths = (a("n") * 5 >= b("n") * 4) & (b("n") * 5 >= a("n") * 4)
     after = F.least(a("n") - a("pos"), b("n") - b("pos")) >= need
-    bitmap = total - F.bit_count(a("bits").bitwiseXOR(b("bits"))) >= 2 * need
+    p, q = F.least(a("n"), F.lit(RAREST)), F.least(b("n"), F.lit(RAREST))
+    bitmap = F.bit_count(a("bits").bitwiseXOR(b("bits"))) <= F.greatest(2 * (a("n") - need) + q - p, 2 * (b("n") - need) + p - q)
     return lengths & after & bitmap
 
 
