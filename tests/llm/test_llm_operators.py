@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter
@@ -18,7 +19,7 @@ from tracewell.llm.common import one_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators use themselves.
-CLASHES = ("fingerprint", "fp", "shard", "slot", "range", "hash", "score", "path", "epoch", "rank", "cut", "body", "spans", "found", "quality", "__passes_", "component_id", "n_class")
+CLASHES = ("fingerprint", "fp", "shard", "slot", "range", "hash", "score", "path", "epoch", "rank", "cut", "body", "spans", "found", "quality", "__passes_", "component_id", "n_class", "__passes", "__cut", "__path", "__epoch", "__hit_id", "__hit_hash", "__id", "__gone", "__head_id", "__head_hash", "__slot_part", "odd `name`.x")
 
 
 def documents(spark, rows):
@@ -36,7 +37,7 @@ def odd_documents(spark):
     frame = documents(spark, rows)
     for c in CLASHES:
         frame = frame.withColumn(c, F.lit("taken"))
-    return frame
+    return frame.withColumn("mapped", F.create_map(F.lit("k"), F.lit(1)))
 
 
 def empty(spark):
@@ -92,7 +93,14 @@ def test_stages_keep_all_columns(spark, stage):
         assert {1, 2}.isdisjoint(r.doc_id for r in rows) and len(rows) == 11
     if stage == "keep_first":
         ids = [r.doc_id for r in rows]
-        assert 1 in ids and 2 not in ids and ids.count(7) == 1 and ids.count(None) == 2
+        assert 1 in ids and 2 not in ids and ids.count(7) == 1 and ids.count(None) == 1  # the null text of a null id is a copy of document 3
+
+
+def test_first_of_a_component_by_id_and_text(spark):
+    a, b = (" ".join(f"{c}{n}" for n in range(60)) for c in "ab")
+    rows = [(1, a, "en", "s"), (1, b, "en", "s"), (None, a, None, None), (2, b, "en", "s"), (2, b, "de", "t"), (None, "x y z", None, None), (None, "x y z", None, None)]
+    kept = simhash.keep_first(documents(spark, rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, a), (1, b), (None, "x y z")])
 
 
 def test_working_names_avoid_columns():
@@ -188,6 +196,42 @@ def test_texts_past_the_gate_have_no_form():
     assert all(pii.SIGN.search(t) for t in ("a@b.co", "1.2.3.4", "x (at) y (dot) z", "x [AT] y [DOT] z", "\u017fecret=abcdef"))
 
 
+def test_base_matches_are_those_of_the_plain_forms():
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "1", "23", ".", "@", "_", "-", " ", "+", "%", "a@b.c", "1.2.3.4"]) for _ in range(rng.randrange(0, 24)))
+        for kind, form in pii.BASE.items():
+            assert list(pii.base_matches(kind, text)) == [m.span() for m in form.finditer(text)], (kind, text)
+
+
+@pytest.mark.parametrize("text", ["7" * 1_000_000, "a" * 1_000_000, "a@" * 300_000, "1." * 300_000, "a.b [" * 100_000, "4111 1111 1111 1111, " * 20_000], ids=["digits", "letters", "ats", "dots", "brackets", "cards"])
+def test_long_runs_are_searched_in_linear_time(text):
+    began = time.time()
+    pii.candidates(text)
+    assert time.time() - began < 15
+
+
+def test_taken_intervals():
+    rng = random.Random(3)
+    for _ in range(300):
+        spans = [(a, a + rng.randrange(1, 6)) for a in (rng.randrange(30) for _ in range(rng.randrange(6)))]
+        taken = pii.Taken(spans)
+        for a in range(36):
+            for b in range(a + 1, 37):
+                assert taken.touches(a, b) == any(x < b and a < y for x, y in spans)
+
+
+def test_added_spans_of_the_table_are_what_it_plants(spark):
+    """The small table plants tokens of 40 hex digits: nearly all get a span, and nearly all added spans hold one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = pii.find(docs).join(docs.select("doc_id", "text"), "doc_id").collect()
+    said = {(r.doc_id, *map(int, s.split(":")[1:])) for r in rows for s in r.spans.split(",") if s.split(":")[0] not in (*pii.BASE, "")}
+    planted = {(r.doc_id, *m.span(1)) for r in rows for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text or "")}
+    assert len(planted) >= 10 and len(planted & said) / len(planted) >= 0.9 and len(planted & said) / len(said) >= 0.8
+    clean = [r for r in rows if not re.search(r"[0-9@=]", r.text or "")]
+    assert len(clean) > 500 and all(r.spans == "" for r in clean)
+
+
 # URLs
 
 
@@ -248,7 +292,7 @@ def test_shards_match_a_plain_descent(spark):
         return draw("shard", tree.leaves[draw("rack", tree.racks[draw("region", tree.regions)])])
 
     for n in range(400):
-        assert found[n].shard == place(n, sharding.tree_for(24)) and found[n].grown_shard == place(n, sharding.tree_for(25))
+        assert found[n].shard == place(n, sharding.tree_for(24)) and found[n].grown_shard == place(n, sharding.grown(sharding.tree_for(24)))
         assert found[n].grown_shard in (found[n].shard, 24)
         assert found[n].size == len(rows[n][1]) + 8 and found[n].text_crc32 == zlib.crc32(rows[n][1].encode())
     for shard in range(24):
@@ -256,6 +300,12 @@ def test_shards_match_a_plain_descent(spark):
         assert slots == list(range(len(slots)))
 
 
+@pytest.mark.parametrize("n", [1, 5, 10, 20, 25])
+def test_one_shard_more_takes_rows_only_into_itself(spark, n):
+    rows = sharding.shard_documents(documents(spark, [(k, "x", None, None) for k in range(600)]), shards=n).collect()
+    assert all(r.grown_shard in (r.shard, n) for r in rows) and any(r.grown_shard == n for r in rows) and max(r.shard for r in rows) < n
+
+
 def test_weights_confine_movement(spark):
     docs = spark.range(3000).withColumnRenamed("id", "doc_id")
     place = lambda w, to: sharding.with_shard(docs, F.col("doc_id"), sharding.tree_for(24, w), to)
@@ -312,13 +362,21 @@ def test_language_filters():
     for lang, parts in kinds.items():
         assert filters.predict(make(parts))[0] == lang
     mask = filters.languages_of(langid.grams(langid.codes_of("keitung"), 3)[0])
-    assert all(int(m) >> 1 & 1 for m in mask[1:-1])
+    assert all(int(m) >> 1 & 1 for m in mask[1:-1, 0])
     assert filters.predict("12 34 !") == ("und", 0.0) and filters.predict(None) == ("und", 0.0) and filters.predict("") == ("und", 0.0)
     assert langid.fit([]).predict("abc") == ("und", 0.0)
     long = make(kinds["bb"]) * 4000
     assert len(long) > langid.PIECE and filters.predict(long)[0] == "bb"
 
 
+def test_more_languages_than_a_word_has_bits():
+    rng = random.Random(2)
+    letters = [chr(0x4E00 + n) for n in range(20 * 70)]
+    make = lambda n: " ".join("".join(rng.choice(letters[20 * n : 20 * n + 20]) for _ in range(5)) for _ in range(60))
+    filters = langid.fit([(make(n), f"l{n:02}") for n in range(70) for _ in range(3)])
+    assert len(filters.languages) == 70 and all(filters.predict(make(n))[0] == f"l{n:02}" for n in range(70))
+
+
 def test_language_accuracy_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..workers import ship_package
 
@@ -19,11 +20,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that setting is missing."""
+    """The folder of spark.checkpoint.dir; a temporary one where that setting is missing in local mode, an error on a cluster."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if given is None:
         given = sc.getCheckpointDir()
+    if given is None and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if given is None:
         given = "file://" + tempfile.mkdtemp(prefix="shared-")
     if sc.getCheckpointDir() is None:
@@ -55,7 +58,7 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)
 

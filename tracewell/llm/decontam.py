@@ -6,8 +6,10 @@ frequencies over all segments order each searched phrase's terms from the rarest
 the rarest term's positions, adjusted by its offset in the phrase, are intersected with the next
 term's adjusted list, and so on. Nothing but a phrase's own words is compared, so matches are exact.
 
-The searched items go to every segment in blocks of BLOCK_BYTES of text at most; the index stores
-the terms that some item uses (all_terms stores every term).
+The searched items go to every segment in blocks of BLOCK_BYTES of text at most. For items of one
+block the index stores the terms that they use; for more, or where ``build_index`` is called without
+items, it stores every term, is built once, and answers any later ``search`` for phrases or proximity.
+Terms are known by 62 bits of XXH64; matches are exact as far as those differ between words.
 
 Edge cases: a null text has no words; an item without words matches nothing; one with fewer words
 than a window is one window; an item without an id hits words but isn't listed; ids that repeat among
@@ -26,12 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, staged
+from .common import map_batches, one_of, staged
 
 WINDOW = 10
 #: Words of a segment, free positions between two documents, candidates that are held at once.
 SEGMENT_WORDS, GAP, CANDIDATES = 1 << 20, 16, 1 << 21
-BLOCK_BYTES = 32 << 20
+#: Text of the items that are searched at once; a phrase takes WINDOW numbers of 8 bytes in memory, so a block some 16 times its text.
+BLOCK_BYTES = 8 << 20
 
 #: Bytes of words: digits, letters (lower-cased) and all of UTF-8 beyond ASCII; the others part words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -93,29 +96,40 @@ def _segment(ids: list, hashes: list, starts: list, lengths: list, streams: list
 
 
 class Phrases:
-    """Phrases of at most ``width`` terms, their terms' order from the rarest on, and the items that have them."""
+    """Phrases of at most ``width`` terms as arrays: their terms' order from the rarest on, and the items that have them.
+
+    ``terms`` has a row for each distinct phrase (-1 beyond its length); the owners of row n are
+    ``owner[first[n] : first[n + 1]]``, numbers of ``items``.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes]], width: int) -> None:
-        found: dict[tuple[int, ...], set[int]] = {}
+        rows, owners = [np.zeros((0, width), np.int64)], [np.zeros(0, np.int64)]
         self.items = [item for item, _ in items]
         for n, (_, text) in enumerate(items):
-            terms = [term_id(w) for w in words(text)]
-            for at in range(max(1, len(terms) - width + 1) if terms else 0):
-                found.setdefault(tuple(terms[at : at + width]), set()).add(n)
-        self.length = np.array([len(p) for p in found], np.int64)
-        self.terms = np.full((len(found), width), -1, np.int64)
-        for n, p in enumerate(found):
-            self.terms[n, : len(p)] = p
-        self.owners = [sorted(x) for x in found.values()]
-        self.order = np.tile(np.arange(width), (len(found), 1))
+            terms = np.array([term_id(w) for w in words(text)], np.int64)
+            if len(terms):
+                padded = np.concatenate([terms, np.full(max(0, width - len(terms)), -1, np.int64)])
+                rows.append(np.lib.stride_tricks.sliding_window_view(padded, width))
+                owners.append(np.full(len(rows[-1]), n, np.int64))
+        self.terms, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        both = np.unique(np.stack([which.reshape(-1), np.concatenate(owners)], axis=1), axis=0)
+        self.owner, self.first = both[:, 1], np.searchsorted(both[:, 0], np.arange(len(self.terms) + 1))
+        self.length = (self.terms >= 0).sum(axis=1)
+        self.order = np.tile(np.arange(width), (len(self.terms), 1))
 
     def rarest_first(self, frequency: dict[int, int]) -> Phrases:
         """Orders each phrase's offsets by its terms' frequency in the index; phrases with a term that it lacks go."""
-        seen = np.array([[frequency.get(int(t), 0) if t >= 0 else np.iinfo(np.int64).max for t in p] for p in self.terms], np.int64).reshape(self.terms.shape)
+        known = np.array(sorted(frequency), np.int64)
+        counts = np.array([frequency[int(t)] for t in known], np.int64)
+        at = np.minimum(np.searchsorted(known, self.terms), max(len(known) - 1, 0))
+        seen = np.where(known[at] == self.terms, counts[at], 0) if len(known) else np.zeros(self.terms.shape, np.int64)
+        seen[self.terms < 0] = np.iinfo(np.int64).max
         self.order = np.argsort(seen, axis=1, kind="stable")
-        keep = (seen > 0).all(axis=1) if len(seen) else np.zeros(0, bool)
+        keep = (seen > 0).all(axis=1)
+        sizes = np.diff(self.first)
+        self.owner = self.owner[np.repeat(keep, sizes)]
+        self.first = np.concatenate([[0], np.cumsum(sizes[keep])])
         self.terms, self.order, self.length = self.terms[keep], self.order[keep], self.length[keep]
-        self.owners = [o for o, k in zip(self.owners, keep) if k]
         return self
 
 
@@ -192,7 +206,7 @@ def search(index: DataFrame, items: list[tuple[str | None, bytes]], width: int =
     spark = index.sparkSession
     phrases = Phrases(items, width)
     phrases.rarest_first(frequencies(index, {int(t) for t in np.unique(phrases.terms)}))
-    sent = spark.sparkContext.broadcast(phrases)  # of BLOCK_BYTES of text at most
+    sent = spark.sparkContext.broadcast(phrases)  # WINDOW numbers for each word of a block
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +225,7 @@ def search(index: DataFrame, items: list[tuple[str | None, bytes]], width: int =
                         spans[d].append({"start": a, "end": b})
                 owners: list[set] = [set() for _ in lengths]
                 for d, p in set(zip(doc.tolist(), row.tolist())):
-                    owners[d].update(sent.value.items[i] for i in sent.value.owners[p])
+                    owners[d].update(sent.value.items[i] for i in sent.value.owner[sent.value.first[p] : sent.value.first[p + 1]].tolist())
                 ids = get("doc_ids")
                 yield pa.RecordBatch.from_arrays(
                     [pa.repeat(pa.scalar(batch.column("segment")[n].as_py()), len(ids)), pa.array(range(len(ids)), pa.int32()), ids, get("text_hashes"), pa.array(lengths, pa.int64()),
@@ -228,12 +242,11 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
     texts = items.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = math.ceil(total / BLOCK_BYTES) or 1
-    found = None
+    found, every = None, staged(build_index(docs)) if blocks > 1 else None
     for block in range(blocks):  # usually one
         some = texts if blocks == 1 else texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         taken = [(r.item_id, bytes(r.text)) for r in some.collect()]
-        index = staged(build_index(docs, [text for _, text in taken]))
-        hits = search(index, taken, width)
+        hits = search(staged(build_index(docs, [text for _, text in taken])) if every is None else every, taken, width)
         found = hits if found is None else found.unionByName(hits)
     if blocks == 1:
         n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -262,6 +275,7 @@ def proximity(docs: DataFrame, items: DataFrame, width: int, slack: int) -> Data
 
 def without_contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """docs, all columns, without the rows that hold a window of an item."""
-    hit = contamination(docs, items, width).filter("contaminated").select(F.col("doc_id").alias("__hit_id"), F.col("text_hash").alias("__hit_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("__hit_id")) & (F.xxhash64(docs["text"]) == F.col("__hit_hash"))
+    key, text_hash = one_of("__hit_id", docs.columns), one_of("__hit_hash", docs.columns)
+    hit = contamination(docs, items, width).filter("contaminated").select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash)).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"]) == F.col(text_hash))
     return docs.join(hit, same, "left_anti")

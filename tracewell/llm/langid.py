@@ -6,12 +6,12 @@ n-grams, N times a language's false-positive rate (its share of set bits to the
 expected without any, so (hits - N rate) / (1 - rate) is its corrected count. The largest decides; the
 score is its share of all languages' corrected counts.
 
-Bounds: learned from about TRAIN_DOCS documents of at most TRAIN_CHARS characters for each language,
-in the order of a hash, and at most LANGUAGES languages (the most frequent). An n-gram belongs to a
+Bounds: learned from about TRAIN_DOCS documents for each language, drawn by a hash, and the first
+TRAIN_CHARS characters of each; a position has a 64-bit word for every 64 languages. An n-gram belongs to a
 language if it makes up LEAST_SHARE of its n-grams and at least LEAST_RATIO of the share that it has
 where it is most frequent.
 
-Edge cases: null and letterless texts are "und" with score 0; so is all if nothing was learned; ties
+Edge cases: null and letterless texts are "und" with score 0; so is all if no language was learned; ties
 go to the first language by name; repeated rows get equal results; an empty table gives an empty
 result; other columns are ignored. Whole texts count, long ones in pieces.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, map_batches, texts
 
-TRAIN_DOCS, TRAIN_CHARS, LANGUAGES = 500, 20_000, 64
+TRAIN_DOCS, TRAIN_CHARS = 500, 20_000
 GRAMS, HASHES, SLOTS = (3, 4), 3, 1 << 20
 LEAST_SHARE, LEAST_RATIO = 2e-5, 0.2
 PIECE, SEED = 1 << 19, 11
@@ -74,8 +74,8 @@ class Filters:
     rates: np.ndarray
 
     def languages_of(self, value: np.ndarray) -> np.ndarray:
-        """The bit mask of the languages that each n-gram is in."""
-        mask = self.slots[_slots(value, 0)]
+        """The bit masks of the languages that each n-gram is in, a column for every 64 languages."""
+        mask = self.slots[_slots(value, 0)].copy()
         for k in range(1, HASHES):
             mask &= self.slots[_slots(value, k)]
         return mask
@@ -91,7 +91,7 @@ class Filters:
                 value, _ = grams(codes, n)
                 mask = self.languages_of(value)
                 total += len(value)
-                hits += [np.count_nonzero(mask & np.uint64(1 << k)) for k in range(len(self.languages))]
+                hits += [np.count_nonzero(mask[:, k >> 6] & np.uint64(1 << (k & 63))) for k in range(len(self.languages))]
         if not letters:
             return "und", 0.0
         fair = np.maximum((hits - total * self.rates) / (1 - self.rates), 0)
@@ -112,25 +112,25 @@ def fit(examples: list[tuple[str, str]]) -> Filters:
     for found, share in shares:
         at = np.searchsorted(every, found)
         most[at] = np.maximum(most[at], share)
-    slots, rates = np.zeros(SLOTS, np.uint64), np.zeros(len(languages))
+    slots, rates = np.zeros((SLOTS, -(-len(languages) // 64)), np.uint64), np.zeros(len(languages))
     for k, (found, share) in enumerate(shares):
         own = found[(share >= LEAST_SHARE) & (share >= LEAST_RATIO * most[np.searchsorted(every, found)])]
         for j in range(HASHES):
-            slots[_slots(own, j)] |= np.uint64(1 << k)
-        rates[k] = np.count_nonzero(slots & np.uint64(1 << k)) ** HASHES / SLOTS**HASHES
+            slots[_slots(own, j), k >> 6] |= np.uint64(1 << (k & 63))
+        rates[k] = np.count_nonzero(slots[:, k >> 6] & np.uint64(1 << (k & 63))) ** HASHES / SLOTS**HASHES
     return Filters(languages, slots, np.minimum(rates, 0.999))
 
 
 def train(docs: DataFrame) -> Filters:
-    known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id") & (F.length("text") <= TRAIN_CHARS))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
+    counts = known.groupBy("lang").count().orderBy("lang").collect()  # a row for each language
     if not counts:
-        return Filters([], np.zeros(SLOTS, np.uint64), np.zeros(0))
+        return Filters([], np.zeros((SLOTS, 0), np.uint64), np.zeros(0))
     drawn = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     part = F.lit(0.0)
     for lang, n in counts:
         part = F.when(F.col("lang") == lang, min(1.0, TRAIN_DOCS / n)).otherwise(part)
-    sample = known.filter(drawn < part).select("lang", "text").orderBy("lang", "text").limit(2 * TRAIN_DOCS * len(counts))
+    sample = known.filter(drawn < part).select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text")).orderBy("lang", "text").limit(2 * TRAIN_DOCS * len(counts))
     return fit([(r.text, r.lang) for r in sample.toLocalIterator()])
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import ship_package
-from .common import cut, map_batches, staged
+from .common import cut, map_batches, one_of, staged
 
 BUCKET_BITS, CODE_BITS = 21, 52
 BUCKETS, CHUNKS = 1 << BUCKET_BITS, 64
@@ -426,7 +426,8 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs, all columns, with the removed lines taken out of the texts."""
-    report = dedup_report(docs).select(F.col("doc_id").alias("__id"), F.split(F.nullif("removed", F.lit("")), ",").cast("array<int>").alias("__gone"))
-    joined = docs.join(report, docs["doc_id"].eqNullSafe(F.col("__id")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda _, n: ~F.coalesce(F.array_contains("__gone", n), F.lit(False)))
-    return joined.select(*(F.when(F.col("text").isNotNull(), F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    key, gone = one_of("__id", docs.columns), one_of("__gone", docs.columns)
+    report = dedup_report(docs).select(F.col("doc_id").alias(key), F.split(F.nullif("removed", F.lit("")), ",").cast("array<int>").alias(gone))
+    joined = docs.join(report, docs["doc_id"].eqNullSafe(F.col(key)), "left")
+    kept = F.filter(F.split("text", "\n"), lambda _, n: ~F.coalesce(F.array_contains(gone, n), F.lit(False)))
+    return joined.withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(kept, "\n"))).drop(key, gone)

@@ -167,8 +167,8 @@ def plan(docs: DataFrame, recipe: Recipe = PRODUCTION) -> DataFrame:
 def select(docs: DataFrame, recipe: Recipe = PRODUCTION) -> DataFrame:
     """docs, all columns, a row for each time that a document is taken."""
     cuts = leaf_cuts(_slim(docs, recipe), recipe)
-    path, epoch = one_of("__path", docs.columns), one_of("__epoch", docs.columns)
-    cuts = cuts.select(F.col("path").alias(path), F.col("passes").alias("__passes"), F.col("cut").alias("__cut"))
+    path, epoch, passes, upto = (one_of(c, docs.columns) for c in ("__path", "__epoch", "__passes", "__cut"))
+    cuts = cuts.select(F.col("path").alias(path), F.col("passes").alias(passes), F.col("cut").alias(upto))
     placed = docs.withColumn(path, _path(recipe)).join(F.broadcast(cuts), path)
-    taken = _epochs(F.col("__passes"), F.col("__cut"), _rank(recipe.seed, F.col("__passes")))
-    return placed.withColumn(epoch, F.explode(taken)).select(*docs.columns)
+    taken = _epochs(F.col(passes), F.col(upto), _rank(recipe.seed, F.col(passes)))
+    return placed.withColumn(epoch, F.explode(taken)).drop(path, passes, upto, epoch)

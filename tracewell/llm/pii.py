@@ -6,7 +6,8 @@ Four labelers vote yes, no or nothing on every candidate: the strictness of its
 a gazetteer of known parts, the words before it, and its characters. Expectation-maximisation on the
 counts of all vote patterns of the whole corpus (at most a few hundred) estimates each labeler's
 reliability for a kind, and each pattern's probability. A logistic span classifier is trained on those
-probabilities, over a sample of TRAIN_SPANS candidates in the order of a hash; candidates beside the
+probabilities, over a sample of TRAIN_SPANS distinct candidates in the order of a hash, each weighed by
+the logarithm of how often it occurs; candidates beside the
 base spans are added where it gives a half or more, if they don't overlap a base span.
 
 Edge cases: a null text counts as empty; without candidates nothing is trained; repeated rows get
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +35,7 @@ TRAIN_SPANS, EM_ROUNDS, STEPS, RATE, SEED = 20_000, 50, 400, 0.5, 5
 KINDS = ("email", "ip", "card", "phone", "secret", "identity")
 BEFORE = 40
 
-#: Fixed forms of the base kinds.
+#: Fixed forms of the base kinds; ``base_matches`` finds the first two in linear time.
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
@@ -41,7 +43,7 @@ BASE = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]+(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]+)+"),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]+(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]+)+"),
     "phone": re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     "secret": re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{16,}|(?i:(?<=password=)|(?<=passwd=)|(?<=pwd=)|(?<=secret=)|(?<=token=))[^\s\"']{6,}"),
     "identity": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -62,6 +64,38 @@ CUES = {
 OTHER_CUES = ("version", "release", "chapter", "section", "isbn", "page", "figure", "commit", "sha")
 
 
+#: Characters before an address's "@", what follows it, and an address of four numbers from a run's first digit on.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+FOUR_NUMBERS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+
+
+def base_matches(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    """The leftmost non-overlapping matches of a base form, in linear time.
+
+    The plain forms of addresses start anew at every character of a long run. A match of four numbers
+    starts at a run's first digit or nowhere in that run; one of an e-mail address holds one "@" and
+    starts as far to the left of it as its characters, or the match before, allow.
+    """
+    if kind == "ip":
+        for m in FOUR_NUMBERS.finditer(text):
+            yield m.start(), m.end()
+    elif kind == "email":
+        free, at = 0, text.find("@")
+        while at >= 0:
+            before = text[free:at]
+            start = free + len(before.rstrip(LOCAL))
+            found = DOMAIN.match(text, at + 1) if start < at else None
+            free = at + 1
+            if found:
+                yield start, found.end()
+                free = found.end()
+            at = text.find("@", free)
+    else:
+        for m in BASE[kind].finditer(text):
+            yield m.start(), m.end()
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for n, c in enumerate(reversed(digits)):
@@ -83,13 +117,31 @@ def valid(kind: str, found: str) -> bool:
 def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """The base spans, and the matches that fail their check."""
     good, failed = [], []
-    for kind, form in BASE.items():
+    for kind in BASE:
         if {"email": "@", "ip": ".", "phone": "+"}.get(kind, "") in text:
-            for m in form.finditer(text):
-                (good if valid(kind, m.group()) else failed).append((kind, m.start(), m.end()))
+            for start, end in base_matches(kind, text):
+                (good if valid(kind, text[start:end]) else failed).append((kind, start, end))
     return good, failed
 
 
+class Taken:
+    """Which characters spans have taken, as disjoint intervals in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, start: int, end: int) -> bool:
+        n = bisect_left(self.starts, end)
+        return n > 0 and self.ends[n - 1] > start
+
+
 def ordered(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2])))
 
@@ -120,10 +172,10 @@ def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
         return [], []
     good, failed = base_spans(text)
     rows = [(*s, *examine(text, *s, 1), True) for s in good] + [(*s, *examine(text, *s, 0), False) for s in failed if s[0] != "card" or sum("0" <= c <= "9" for c in text[s[1] : s[2]]) >= 9]
-    taken = [(a, b) for _, a, b in good]
+    taken = Taken([(a, b) for _, a, b in good])
     for kind, form in LOOSE.items():
         for m in form.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
+            if not taken.touches(m.start(), m.end()):
                 rows.append((kind, m.start(), m.end(), *examine(text, kind, m.start(), m.end(), -1), False))
     return good, rows
 
@@ -193,16 +245,19 @@ def estimate(patterns: dict[tuple[str, tuple[int, ...]], int]) -> tuple[dict[str
 
 
 def fit(scanned: DataFrame) -> SpanModel:
-    each = scanned.select(F.explode("found").alias("c"), F.monotonically_increasing_id().alias("n"))
+    each = scanned.select(F.explode("found").alias("c"))
     counted = each.groupBy("c.kind", "c.votes").count().collect()  # a few hundred patterns at most
     reliability, posterior = estimate({(r["kind"], tuple(r["votes"])): r["count"] for r in counted})
-    order = F.xxhash64(F.lit(SEED), "c.kind", "c.start", "c.end", "c.features")
-    sample = each.select("c.kind", "c.votes", "c.features", order.alias("order")).orderBy("order", "kind", "features").limit(TRAIN_SPANS).collect()
+    distinct = each.groupBy("c.kind", "c.votes", "c.features").agg(F.count(F.lit(1)).alias("n"))
+    order = F.xxhash64(F.lit(SEED), "kind", "votes", "features")
+    sample = distinct.select("*", order.alias("order")).orderBy("order", "kind", "features").limit(TRAIN_SPANS).collect()
     x = np.array([r["features"] for r in sample], np.float64).reshape(len(sample), N_FEATURES)
     y = np.array([posterior[r["kind"], tuple(r["votes"])] for r in sample])
+    weigh = np.log1p([r["n"] for r in sample])  # a span copied a thousand times counts ten times
+    weigh /= max(weigh.sum(), 1e-9)
     w = np.zeros(N_FEATURES)
     for _ in range(STEPS if len(sample) else 0):
-        w -= RATE * (x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -60, 60))) - y) / len(y) + 1e-5 * w)
+        w -= RATE * (x.T @ (weigh * (1 / (1 + np.exp(-np.clip(x @ w, -60, 60))) - y)) + 1e-5 * w)
     return SpanModel(reliability, posterior, w)
 
 
@@ -216,12 +271,13 @@ def find(docs: DataFrame) -> DataFrame:
             said, added = [], []
             for found in texts(batch.column(6)):
                 spans = [(c["kind"], c["start"], c["end"]) for c in found if c["base"]]
-                taken, base = list(spans), len(spans)
+                taken, free, chosen = Taken([(a, b) for _, a, b in spans]), 0, []
                 for c in sorted((c for c in found if not c["base"]), key=lambda c: (c["start"], KINDS.index(c["kind"]))):
-                    if c["votes"][0] != 0 and sent.value.accepts(c["features"]) and not any(a < c["end"] and c["start"] < b for _, a, b in taken):
-                        taken.append((c["kind"], c["start"], c["end"]))
-                said.append(ordered(taken))
-                added.append(len(taken) - base)
+                    if c["votes"][0] != 0 and sent.value.accepts(c["features"]) and c["start"] >= free and not taken.touches(c["start"], c["end"]):
+                        chosen.append((c["kind"], c["start"], c["end"]))
+                        free = c["end"]
+                said.append(ordered(spans + chosen))
+                added.append(len(chosen))
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(said, pa.string()), pa.array(added, pa.int64())], [*batch.schema.names[:6], "spans", "n_added"])
 
     kind = scanned.schema["doc_id"].dataType.simpleString()

@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import held_out, map_batches, one_of, texts
 
@@ -171,12 +172,12 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """docs' columns and ``score``, the calibrated probability of label 1."""
-    return _scored(docs, model, [c for c in docs.columns], one_of("score", docs.columns))
+    return _scored(docs, model, one_of("score", docs.columns))
 
 
-def _scored(docs: DataFrame, model: QualityModel, columns: list[str], name: str) -> DataFrame:
+def _scored(docs: DataFrame, model: QualityModel, name: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # VOCABULARY vectors
-    at = columns.index("text")
+    at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
@@ -187,19 +188,19 @@ def _scored(docs: DataFrame, model: QualityModel, columns: list[str], name: str)
                 if len(cache) > 1 << 19:
                     cache.clear()
             scores = sent.value.scores(features) if features else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*columns, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return map_batches(docs.select(*columns), run, f"{fields}, `{name}` double")
+    plain = docs.toDF(*(f"c{n}" for n in range(len(docs.columns))))  # names may hold what a reference can't
+    return map_batches(plain, run, StructType([*plain.schema.fields, StructField("score", DoubleType())])).toDF(*docs.columns, name)
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
-    rated = _scored(docs.select("doc_id", "text"), train(docs, labels), ["doc_id", "text"], "score")
+    rated = _scored(docs.select("doc_id", "text"), train(docs, labels), "score")
     return rated.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs, all columns, without the documents whose score is under a half."""
     name = one_of("score", docs.columns)
-    return _scored(docs, train(docs, labels), docs.columns, name).filter(F.col(name) >= 0.5).drop(name)
+    return _scored(docs, train(docs, labels), name).filter(F.col(name) >= 0.5).drop(name)

@@ -5,9 +5,8 @@ a hash of the row's key and the child; the largest draw wins. A child's draw dep
 the key, the child and the child's own weight, so a change of weights moves rows only into or out of
 the subtrees whose weights change.
 
-``tree_for(n)`` fills regions of ``racks * shards`` leaves one after another. Shard n of a tree that
-was full before opens a region of its own, so that growing from 24 to 25 shards takes rows into the
-new shard only.
+``tree_for(n)`` fills regions of ``racks * shards`` leaves one after another. ``grown`` gives one shard
+more a region of its own, whatever n is, so that growing takes rows into the new shard only.
 
 Edge cases: a null key is a key of its own; a null text has no bytes (size 8, CRC of the empty text);
 equal rows get different slots of one shard; an empty table gives an empty result; columns beside the
@@ -22,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import one_of
+
 SHARDS, SEED = 24, 20240501
 RACKS_PER_REGION, SHARDS_PER_RACK = 2, 4
 ROW_OVERHEAD = 8
@@ -47,6 +48,13 @@ def tree_for(n: int, weights: dict[int, float] | None = None) -> Tree:
     return Tree(tuple((i, total(r)) for i, r in enumerate(by_region)), tuple(by_region), tuple(racks))
 
 
+def grown(tree: Tree, weight: float = 1.0) -> Tree:
+    """The tree with one shard more, in a region and a rack of its own: rows move into the new shard only."""
+    shard = sum(len(kids) for kids in tree.leaves)
+    region, rack = (len(tree.regions), weight), (len(tree.leaves), weight)
+    return Tree((*tree.regions, region), (*tree.racks, (rack,)), (*tree.leaves, ((shard, weight),)))
+
+
 def _literal(levels: tuple[tuple[tuple[int, float], ...], ...]) -> Column:
     node = lambda c: F.struct(F.lit(c[0]).cast("int").alias("id"), F.lit(c[1]).alias("w"))
     return F.array(*(F.array(*(node(c) for c in kids)) for kids in levels))
@@ -65,7 +73,7 @@ def _descend(key: Column, level: str, kids: Column, seed: int) -> Column:
 def with_shard(df: DataFrame, key: Column, tree: Tree, to: str, seed: int = SEED) -> DataFrame:
     """df with the shard of each row's key in column ``to``."""
     at = lambda levels, i: F.element_at(_literal(levels), i + 1)
-    region, rack = f"__{to}_region", f"__{to}_rack"
+    region, rack = one_of(f"__{to}_region", df.columns), one_of(f"__{to}_rack", df.columns)
     text = F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit(""))
     df = df.withColumn(region, _descend(text, "region", at((tree.regions,), F.lit(0)), seed))
     df = df.withColumn(rack, _descend(text, "rack", at(tree.racks, F.col(region)), seed))
@@ -78,7 +86,7 @@ def with_slots(df: DataFrame, shard: str, spread: Column, order: list[Column], t
     A shard's rows are dealt into SLOT_PARTS parts by ``spread``; each part is numbered by itself
     after the rows of the parts before it, whose counts are the only thing that is gathered.
     """
-    part, before = "__slot_part", "__slot_before"
+    part, before = one_of("__slot_part", df.columns), one_of("__slot_before", df.columns)
     df = df.withColumn(part, F.pmod(F.xxhash64(spread), F.lit(SLOT_PARTS)).cast("int"))
     counts = df.groupBy(shard, part).agg(F.count(F.lit(1)).alias("n"))
     ahead = W.partitionBy(shard).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
@@ -92,8 +100,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, gro
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(body) + ROW_OVERHEAD).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
     rows = with_shard(rows, F.col("doc_id"), tree_for(shards), "shard", seed)
-    grown = with_shard(rows, F.col("doc_id"), tree_for(shards + 1), "grown_shard", seed) if grow else rows.withColumn("grown_shard", F.lit(None).cast("int"))
-    placed = with_slots(grown, "shard", F.col("doc_id"), [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    wider = with_shard(rows, F.col("doc_id"), grown(tree_for(shards)), "grown_shard", seed) if grow else rows.withColumn("grown_shard", F.lit(None).cast("int"))
+    placed = with_slots(wider, "shard", F.col("doc_id"), [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 

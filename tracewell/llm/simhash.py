@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, ship_package, staged
+from .common import cut, map_batches, one_of, ship_package, staged
 from .components import components
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -71,15 +71,15 @@ def _majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp: a row for every row of docs, the fingerprint as a signed long."""
+    """doc_id, text_hash, fp: a row for every row of docs, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(x.as_py() or b"", words) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.fromiter((fingerprint(x.as_py() or b"", words) for x in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", F.col("text").cast("binary").alias("text")), run, f"doc_id {kind}, fp long")
+    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")), run, f"doc_id {kind}, text_hash long, fp long")
 
 
 def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -174,30 +174,34 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return grouped.groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long")
 
 
+def _members(prints: DataFrame, radius: int) -> DataFrame:
+    """fp, component_id (the smallest doc_id), n_component, head (the first row by id, then text hash) for every fingerprint of prints."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), first.alias("head"), F.count(F.lit(1)).alias("n"))
+    roots = components(links(distinct.select("fp"), radius))
+    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "head", "n", F.coalesce("root", "fp").alias("root"))
+    totals = cut(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.min("head").alias("head"), F.sum("n").alias("n_component")))  # so that a large component's side of the join can be split
+    return cut(placed.select("fp", "root").join(totals, "root").select("fp", "component_id", "head", "n_component"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach), n_component (rows)."""
     prints = staged(fingerprints(docs, words))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    roots = components(links(distinct.select("fp"), radius))
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    totals = cut(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_component")))  # so that a large component's side of the join can be split
-    members = cut(placed.select("fp", "root").join(totals, "root").select("fp", "component_id", "n_component"))
-    joined = prints.join(members, "fp")
+    joined = prints.join(_members(prints, radius), "fp")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_component")
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The document with the smallest doc_id of each component, all columns; rows without an id stay as they are.
+    """One document of each component, all columns: the smallest doc_id's, where ids repeat the smallest text hash's.
 
-    Of repeated rows of one id the smallest text stays.
+    A row without an id stays only where all of its component lack one; of rows with equal ids and texts
+    one stays, whichever their other columns are. Different texts of one id are judged apart.
     """
-    known = docs.filter(F.col("doc_id").isNotNull())
-    found = near_duplicates(known, words, radius)
-    heads = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__times"))
-    repeated = not heads.filter("__times > 1").isEmpty()
-    kept = known.join(heads.select("doc_id"), "doc_id", "left_semi")
-    if repeated:
-        rest = [c for c in docs.columns if c != "doc_id"]
-        first = ["text", *(c for c in rest if c != "text")]
-        kept = kept.groupBy("doc_id").agg(F.min(F.struct(*first)).alias("__row")).select(*(F.col("__row")[c].alias(c) if c != "doc_id" else F.col(c) for c in docs.columns))
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    members = _members(staged(fingerprints(docs, words)), radius)
+    key, text_hash = one_of("__head_id", docs.columns), one_of("__head_hash", docs.columns)
+    heads = cut(members.select(F.col("head.doc_id").alias(key), F.col("head.text_hash").alias(text_hash)).distinct())
+    same = docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"]) == F.col(text_hash))
+    kept = docs.join(heads, same, "left_semi")
+    if kept.count() == heads.count():
+        return kept
+    return kept.withColumn(text_hash, F.xxhash64("text")).dropDuplicates(["doc_id", text_hash]).drop(text_hash)
