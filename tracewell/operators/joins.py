@@ -8,19 +8,34 @@ from pyspark.sql import functions as F
 
 from ..functions.text import path_prefixes, under
 
+#: Ranges of time into which an as-of join cuts each key.
+PARTS = 64
+
 
 def capturing(edits: DataFrame, commits: DataFrame, keys: list[str]) -> DataFrame:
     """edits with commit_id and committed_at of the oldest commit of the same keys at or after edited_at; nulls for none.
 
     A forward as-of join without a range join: edits and commits are merged in one ordered pass of each
-    key, where the next commit is the first that follows. One shuffle of both on the keys.
+    key, newest first, which carries along the commit seen last. One shuffle of both on the keys and on
+    PARTS ranges of time; a range passes on no more than its first commit to the ranges before it, so a
+    key with most of the rows is many tasks' work.
     """
     none = lambda kind: F.lit(None).cast(kind)
     commit = commits.select(*keys, F.col("committed_at").alias("__at"), F.struct("committed_at", "commit_id").alias("__commit"), *(none(edits.schema[c].dataType).alias(c) for c in edits.columns if c not in keys), F.lit(1).alias("__kind"))
     edit = edits.select(*keys, F.col("edited_at").alias("__at"), none(commit.schema["__commit"].dataType).alias("__commit"), *(c for c in edits.columns if c not in keys), F.lit(0).alias("__kind"))
-    following = W.partitionBy(*keys).orderBy("__at", "__kind", "__commit").rowsBetween(0, W.unboundedFollowing)
-    merged = edit.unionByName(commit).withColumn("__next", F.first("__commit", ignorenulls=True).over(following))
-    return merged.filter("__kind = 0").select(*edits.columns, F.col("__next.commit_id").alias("commit_id"), F.col("__next.committed_at").alias("committed_at"))
+    span = commits.agg(F.min("committed_at").alias("low"), F.max("committed_at").alias("high")).first()
+    low, width = span["low"] or 0, max(1, ((span["high"] or 0) - (span["low"] or 0)) // PARTS + 1)
+    part = F.greatest(F.lit(0), F.least(F.lit(PARTS), F.floor((F.col("__at") - low) / width))).cast("int")
+    merged = edit.unionByName(commit).withColumn("__part", part)
+    firsts = commit.withColumn("__part", part).groupBy(*keys, "__part").agg(F.min("__commit").alias("__first"))
+    later = W.partitionBy(*keys).orderBy(F.desc("__part"))  # PARTS + 1 rows of a key
+    ahead = firsts.select(*keys, F.col("__part").alias("__from"), "__first", F.coalesce(F.lead("__part").over(later), F.lit(-1)).alias("__to"))
+    before = F.when(F.col("__from") > 0, F.sequence(F.col("__from") - 1, F.greatest("__to", F.lit(0)), F.lit(-1)))
+    ahead = ahead.select(*keys, "__first", F.explode(before).alias("__part"))
+    newest = W.partitionBy(*keys, "__part").orderBy(F.desc("__at"), F.desc("__kind"), F.desc("__commit")).rowsBetween(W.unboundedPreceding, 0)
+    inside = merged.withColumn("__next", F.last("__commit", ignorenulls=True).over(newest)).filter("__kind = 0")
+    found = inside.join(ahead, [*keys, "__part"], "left").withColumn("__next", F.coalesce("__next", "__first"))
+    return found.select(*edits.columns, F.col("__next.commit_id").alias("commit_id"), F.col("__next.committed_at").alias("committed_at"))
 
 
 def owner(paths: DataFrame, roots: DataFrame, path: str = "path", root: str = "root") -> DataFrame:

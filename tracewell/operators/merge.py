@@ -71,10 +71,51 @@ def prune(stored: DataFrame, tracked: DataFrame, repo: str, nested: list[str], p
     return stored.join(known, path, "left").filter(~inside | F.col("__tracked").isNotNull()).drop("__tracked")
 
 
-def delete_with_children(document: Column, parents: DataFrame, children: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Parents without those of the condition, and children (document_id) without theirs."""
+def upsert_indexed(old: DataFrame, new: DataFrame, keys: list[str], index: DataFrame, corpus: str, body: Column, ref: str) -> tuple[DataFrame, DataFrame]:
+    """(the upserted table, the text index with a row for each of its new rows in place of the old ones); index: source_table, ref, body."""
+    fresh = new.select(F.lit(corpus).alias("source_table"), F.col(ref).alias("ref"), body.alias("body"))
+    gone = old.join(new.select(*keys), keys, "left_semi").select(F.lit(corpus).alias("source_table"), F.col(ref).alias("ref")).unionByName(fresh.select("source_table", "ref")).distinct()
+    return upsert(old, new, keys), index.join(gone, ["source_table", "ref"], "left_anti").unionByName(fresh)
+
+
+def patched(stored: DataFrame, live: DataFrame, path: str = "path") -> DataFrame:
+    """stored (path, content_hash, mtime, last_commit_id, ...) with live's mtime and commit where the content is the same; other rows stay."""
+    now = live.select(path, F.col("content_hash").alias("__h"), F.col("mtime").alias("__m"), F.col("last_commit_id").alias("__c"))
+    same = F.coalesce(F.col("content_hash") == F.col("__h"), F.lit(False))
+    fix = {"mtime": F.when(same, F.col("__m")).otherwise(F.col("mtime")), "last_commit_id": F.when(same, F.coalesce("__c", "last_commit_id")).otherwise(F.col("last_commit_id"))}
+    return stored.join(now, path, "left").select(*(fix[c].alias(c) if c in fix else F.col(c) for c in stored.columns))
+
+
+def rebuilt(old: DataFrame, batches: list[DataFrame], key: str = "session_id") -> DataFrame:
+    """old with the sessions of one pass rebuilt: their old rows go once, however many of the pass's batches have them."""
+    kept, found = old, None
+    for batch in batches:
+        kept = kept.join(batch.select(key).distinct(), key, "left_anti")
+        found = batch.select(*old.columns) if found is None else found.unionByName(batch.select(*old.columns))
+    return kept if found is None else kept.unionByName(found)
+
+
+def backfilled_repos(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """chunks (document_id, path, repo_path) whose missing repo_path is what their document's path has before their own.
+
+    Only where the document's path ends in a slash and the chunk's path; others stay unknown. One join in
+    place of a correlated subquery and its existence test.
+    """
+    ends = F.col("__doc").endswith(F.concat(F.lit("/"), F.col("path")))
+    before = F.expr("substring(__doc, 1, length(__doc) - length(path) - 1)")
+    rows = chunks.join(documents.select(F.col("id").alias("document_id"), F.col("path").alias("__doc")), "document_id", "left")
+    return rows.select(*(F.coalesce("repo_path", F.when(ends, before)).alias(c) if c == "repo_path" else F.col(c) for c in chunks.columns))
+
+
+def delete_with_children(document: Column, parents: DataFrame, children: dict[str, DataFrame], index: DataFrame | None = None) -> tuple[DataFrame, dict[str, DataFrame], DataFrame | None]:
+    """Parents without those of the condition, children (document_id, id) without theirs, and the text index (source_table, ref) without theirs."""
     dead = parents.filter(document).select(F.col("id").alias("document_id"))
-    return parents.filter(~document), {n: c.join(dead, "document_id", "left_anti") for n, c in children.items()}
+    left = {n: c.join(dead, "document_id", "left_anti") for n, c in children.items()}
+    if index is not None:
+        for name, rows in children.items():
+            swept = rows.join(dead, "document_id", "left_semi").select(F.lit(name).alias("source_table"), F.col("id").alias("ref"))
+            index = index.join(swept, ["source_table", "ref"], "left_anti")
+    return parents.filter(F.coalesce(~document, F.lit(True))), left, index
 
 
 def backfill_report(existing: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFrame]:

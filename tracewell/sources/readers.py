@@ -5,13 +5,18 @@ from __future__ import annotations
 import os
 import subprocess
 import tomllib
+from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import Path
+from typing import TextIO
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import split_message
 from ..operators.etl import TRANSCRIPT
+from ..workers import ship_package
 
 COMMIT_CAP, SCAN_DEPTH = 50_000, 3
 SKIPPED_DIRS = (".git", "node_modules", "target", "dist", "build", "venv", ".venv")
@@ -46,8 +51,12 @@ def discover_repos(workspace: str, depth: int = SCAN_DEPTH, nested: bool = False
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The schema's columns, file, line and corrupt for every line; a line that isn't JSON is kept as corrupt."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    """The schema's columns, file, line (from 0) and corrupt for every line; a line that isn't JSON is kept as corrupt.
+
+    A file is read whole, so that its lines are numbered the same in every run; one file is one session's.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows = whole.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line", "value")).withColumn("line", F.col("line").cast("long"))
     parsed = rows.filter(F.trim("value") != "").withColumn("r", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     return parsed.select("file", "line", "r.*").withColumn("corrupt", F.col("_corrupt").isNotNull()).drop("_corrupt")
 
@@ -91,18 +100,64 @@ def tree(spark: SparkSession, path: str) -> DataFrame:
 
 
 def commits(spark: SparkSession, repo: str, since: str | None = None, cap: int = COMMIT_CAP) -> DataFrame:
-    """A repository's commits from HEAD, newest first; after ``since`` if that is still an ancestor, all of them otherwise."""
-    git = lambda *a: subprocess.run(["git", "-C", repo, *a], capture_output=True, text=True, errors="replace", check=False)
-    known = since and git("merge-base", "--is-ancestor", since, "HEAD").returncode == 0
-    form = "%x1e%H%x1f%P%x1f%ae%x1f%an%x1f%at%x1f%ct%x1f%B%x1f"
-    said = git("log", f"--max-count={cap}", "--date-order", "-m", "--first-parent", "--name-only", f"--format={form}", *([f"{since}..HEAD"] if known else ["HEAD"])).stdout
-    rows = []
-    for record in said.split("\x1e")[1:]:
-        digest, parents, email, name, authored, committed, message, files = record.split("\x1f")
-        rows.append((repo, digest, parents.split(), email, name, int(authored), int(committed), message, [f for f in files.split("\n") if f]))
-    frame = spark.createDataFrame(rows, "repo_path string, commit_hash string, parent_hashes array<string>, author_email string, author_name string, authored_at long, committed_at long, message string, files_changed array<string>")
+    """A repository's commits, all that HEAD descends from, newest first; after ``since`` if that is still an ancestor, all of them otherwise.
+
+    Changed files are those against the first parent. ``position`` counts from HEAD in topological order;
+    ``shallow`` says that the repository's history was cut off when it was fetched, ``capped`` that more
+    than ``cap`` commits were there. A task reads the log itself, so the repository must be on a path
+    that executors see; the log goes through no driver.
+    """
+    known = since is not None and _git(repo, "merge-base", "--is-ancestor", since, "HEAD").returncode == 0
+    reach = [f"{since}..HEAD"] if known else ["HEAD"]
+    shallow = _git(repo, "rev-parse", "--is-shallow-repository").stdout.strip() == "true"
+    capped = int(_git(repo, "rev-list", "--count", *reach).stdout.strip() or 0) > cap
+    ship_package(spark)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in batch["repo_path"]:
+                yield from _log_pages(at, reach, cap)
+
+    frame = spark.createDataFrame([(repo,)], "repo_path string").mapInPandas(read, COMMIT)
     summary, body = split_message(F.col("message"))
-    return frame.select("*", summary.alias("message_summary"), body.alias("message_body")).drop("message")
+    return frame.select("*", summary.alias("message_summary"), body.alias("message_body"), F.lit(shallow).alias("shallow"), F.lit(capped).alias("capped")).drop("message")
+
+
+COMMIT = "repo_path string, position long, commit_hash string, parent_hashes array<string>, author_email string, author_name string, authored_at long, committed_at long, message string, files_changed array<string>"
+
+
+def _git(repo: str, *words: str) -> subprocess.CompletedProcess:
+    return subprocess.run(["git", "-C", repo, *words], capture_output=True, text=True, errors="replace", check=False)
+
+
+def _log_pages(repo: str, reach: list[str], cap: int, page: int = 2000) -> Iterator[pd.DataFrame]:
+    """The log, ``page`` commits at a time, read as it is written."""
+    form = "%x1e%H%x1f%P%x1f%ae%x1f%an%x1f%at%x1f%ct%x1f%B%x1f"
+    words = ["git", "-C", repo, "log", f"--max-count={cap}", "--topo-order", "--root", "--diff-merges=first-parent", "--name-only", f"--format={form}", *reach]
+    rows: list[tuple] = []
+    position = 0
+    with subprocess.Popen(words, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, errors="replace", encoding="utf-8") as run:
+        for record in _records(run.stdout):
+            digest, parents, email, name, authored, committed, message, files = record.split("\x1f")
+            rows.append((repo, position, digest, parents.split(), email, name, int(authored), int(committed), message, [f for f in files.split("\n") if f]))
+            position += 1
+            if len(rows) == page:
+                yield pd.DataFrame(rows, columns=COMMIT_COLUMNS)
+                rows = []
+    if rows:
+        yield pd.DataFrame(rows, columns=COMMIT_COLUMNS)
+
+
+COMMIT_COLUMNS = [field.split()[0] for field in COMMIT.split(", ")]
+
+
+def _records(stream: TextIO) -> Iterator[str]:
+    rest = ""
+    while piece := stream.read(1 << 16):
+        *whole, rest = (rest + piece).split("\x1e")
+        yield from (r for r in whole if r)
+    if rest:
+        yield rest
 
 
 def toml_rows(path: str, table: str) -> list[tuple[str, dict]]:
@@ -119,3 +174,41 @@ def domain_labels(spark: SparkSession, path: str) -> DataFrame:
     rows = [(e, name) for name, v in toml_rows(path, "domains") for e in v.get("entries", [])]
     rows += [(e, None) for _, v in toml_rows(path, "domains") for e in v.get("withdrawn", [])]
     return spark.createDataFrame(rows, "entry string, owner string")
+
+
+@dataclass(frozen=True)
+class Calibration:
+    """version, dollars a token, and a row (tool, p50, p95) for each tool of the model."""
+
+    version: str
+    rate: float
+    tools: DataFrame
+    missing: tuple[str, ...]
+
+
+def calibration(spark: SparkSession, path: str, known: tuple[str, ...] = ()) -> Calibration | None:
+    """A calibration model's TOML file; None where there is none, an error where it can't be parsed.
+
+    ``missing`` lists the known tools that it lacks; they count as nothing saved.
+    """
+    try:
+        text = Path(path).read_text()
+    except OSError:
+        return None
+    data = tomllib.loads(text)
+    tools = [(name, int(v.get("p50", 0)), int(v.get("p95", 0))) for name, v in sorted(data.get("tools", {}).items())]
+    model = data.get("model", {})
+    return Calibration(str(model.get("version", "")), float(model.get("dollars_per_token", 0.0)), spark.createDataFrame(tools, "tool string, p50 long, p95 long"), tuple(t for t in known if t not in data.get("tools", {})))
+
+
+def live_files(folder: str, most_depth: int = 6, skipped: tuple[str, ...] = SKIPPED_DIRS) -> list[str]:
+    """Folders below a workspace, by their path from it, none of the skipped ones or those with a leading dot."""
+    found: list[str] = []
+    for at, names, _ in os.walk(folder):
+        names[:] = sorted(n for n in names if n not in skipped and not n.startswith("."))
+        rel = Path(at).relative_to(folder)
+        if rel.parts:
+            found.append(rel.as_posix())
+        if len(rel.parts) >= most_depth:
+            names[:] = []
+    return found
