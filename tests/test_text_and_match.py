@@ -78,7 +78,8 @@ def test_precedence():
 QUERIES = ["alpha", "alpha beta", "alpha OR beta", '"alpha beta"', "alph*", "gamma NOT alpha", "NEAR(alpha beta, 2)", "NEAR(alpha beta gamma)", "^alpha", "alpha alpha", "(alpha OR beta) AND gamma", '"beta gam" *', "café", 'alpha "--"', "delta + alpha"]
 
 
-def test_matches_and_ranks_agree_with_an_independent_index(spark):
+@pytest.mark.parametrize("stored", [False, True])
+def test_matches_and_ranks_agree_with_an_independent_index(spark, tmp_path, stored):
     rng = random.Random(9)
     vocabulary = ["alpha", "beta", "gamma", "delta", "alphabet", "Café", "naïve", "x1"]
     bodies = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 25))) for _ in range(120)]
@@ -86,6 +87,7 @@ def test_matches_and_ranks_agree_with_an_independent_index(spark):
     plain.execute("CREATE VIRTUAL TABLE t USING fts5(body)")
     plain.executemany("INSERT INTO t(rowid, body) VALUES (?, ?)", enumerate(bodies))
     index = S.index_of({"t": spark.createDataFrame(list(enumerate(bodies)), "ref long, body string")}).cache()
+    index = S.StoredIndex.write(index, str(tmp_path / "index")) if stored else index
     for text in QUERIES:
         expected = {r: s for r, s in plain.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ?", (text,))}
         found = {r.ref: r.rank for r in S.ranked(index, M.parse(text)).collect()}
@@ -94,6 +96,21 @@ def test_matches_and_ranks_agree_with_an_independent_index(spark):
             assert rank == pytest.approx(expected[ref], abs=1e-9), text
 
 
+def test_stored_index_reads_its_words_only(spark, tmp_path):
+    frame = S.index_of({"a": spark.createDataFrame([(1, "one two one"), (2, "onset")], "ref long, body string"), "b": spark.createDataFrame([(1, "two"), (3, None)], "ref long, body string")})
+    index = S.StoredIndex.write(frame, str(tmp_path / "i"))
+    again = S.StoredIndex(spark, str(tmp_path / "i"))
+    assert (again.n, again.avgdl) == (4, 1.25)
+    plan = again.rows_of([("one", False)])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan or "part" in plan.split("PartitionFilters:")[1][:60]
+    assert "EqualTo(term,one)" in plan
+    assert [(r.source_table, r.ref, r.body) for r in S.top(again, "on*").collect()] == [(r.source_table, r.ref, r.body) for r in S.top(frame, "on*").collect()]
+    assert {(r.term, r.df, r.cf) for r in S.vocabulary(index).collect()} == {(r.term, r.df, r.cf) for r in S.vocabulary(frame).collect()}
+    key = lambda rows: sorted((r.source_table, r.term, r.ref, r.tf, tuple(r.positions)) for r in rows.collect())
+    assert key(S.postings(index)) == key(S.postings(frame))
+    assert S.top(index, "two", keep=F.col("source_table") == "b").first().body == "two"
+
+
 def test_empty_index_and_broadening(spark):
     index = S.index_of({"t": spark.createDataFrame([(1, "one two"), (2, "one"), (3, None)], "ref long, body string")})
     assert [r.ref for r in S.top(index, "one three").collect()] and S.count_with_fallback(index, "one three").query_broadened

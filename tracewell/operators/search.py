@@ -1,21 +1,25 @@
 """Ranked full-text search over one index of several corpora.
 
-The index is a frame of documents (source_table, ref, body, tokens, dl). A MATCH tree becomes column
-expressions over a document's tokens, so that a query is one scan without a shuffle: an aggregate of
-global statistics (rows, tokens, and how many rows have each phrase), then a top-k. Bodies are only
-shown for the rows that were ranked highest. ``postings`` and ``vocabulary`` are the materialised
-forms, partitioned by corpus, for vocabulary work and for indexes that outlive a session.
+``StoredIndex`` is the index as tables: postings (source_table, ref, dl, term, positions), partitioned by a
+hash of a term's first characters and ordered by term within a file, documents with their bodies, and
+the statistics of the whole. A query reads the postings of its own words only, evaluates its MATCH tree
+on their positions, ranks, and fetches bodies for the rows of the page.
+
+A frame of documents (source_table, ref, body, tokens, dl), as ``index_of`` makes it, can be searched as
+well, for small corpora and for one query: the same expressions run over each row's tokens, in one scan
+for the statistics and one for the ranking.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,39 +48,70 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
 
 
-def postings(index: DataFrame) -> DataFrame:
+def postings(index: Index) -> DataFrame:
     """source_table, term, ref, tf, positions."""
+    if isinstance(index, StoredIndex):
+        return index.postings.select("source_table", "term", "ref", F.size("positions").cast("long").alias("tf"), "positions")
     each = index.select("source_table", "ref", F.posexplode("tokens").alias("pos", "term"))
     return each.groupBy("source_table", "term", "ref").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def vocabulary(index: DataFrame) -> DataFrame:
+def vocabulary(index: Index) -> DataFrame:
     """term, df (rows that have it), cf (times it occurs): a row's tokens are counted before they are shuffled."""
+    if isinstance(index, StoredIndex):
+        return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("positions").cast("long")).alias("cf"))
     each = index.select(F.explode("tokens").alias("term"), F.struct("source_table", "ref").alias("row"))
     return each.groupBy("row", "term").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
 
 
-def _positions(word: str, prefix: bool) -> Column:
-    hit = (lambda t: t.startswith(word)) if prefix else (lambda t: t == word)
-    return F.filter(F.transform("tokens", lambda t, n: F.when(hit(t), n)), lambda n: n.isNotNull())
+class _Tokens:
+    """Where words are in a row's tokens."""
 
+    def positions(self, word: str, prefix: bool) -> Column:
+        hit = (lambda t: t.startswith(word)) if prefix else (lambda t: t == word)
+        return F.filter(F.transform("tokens", lambda t, n: F.when(hit(t), n)), lambda n: n.isNotNull())
 
-def phrase_starts(phrase: M.Phrase) -> Column:
-    """The positions in ``tokens`` at which a phrase begins."""
-    words = [(w, phrase.prefix and k == len(phrase.words) - 1) for k, w in enumerate(phrase.words)]
-    starts = _positions(*words[0])
+    def at(self, place: Column, word: str, prefix: bool) -> Column:
+        found = F.get("tokens", place)
+        return F.coalesce(found.startswith(word) if prefix else found == word, F.lit(False))
+
+
+class _Columns:
+    """Where words are, from one column of positions for each."""
+
+    def __init__(self, words: list[tuple[str, bool]]) -> None:
+        self.names = {w: f"__p{k}" for k, w in enumerate(words)}
+
+    def positions(self, word: str, prefix: bool) -> Column:
+        return F.col(self.names[word, prefix])
+
+    def at(self, place: Column, word: str, prefix: bool) -> Column:
+        return F.array_contains(self.positions(word, prefix), place)
+
+
+TOKENS = _Tokens()
+View = _Tokens | _Columns
+
+
+def _words(phrase: M.Phrase) -> list[tuple[str, bool]]:
+    return [(w, phrase.prefix and k == len(phrase.words) - 1) for k, w in enumerate(phrase.words)]
+
+
+def phrase_starts(phrase: M.Phrase, view: View = TOKENS) -> Column:
+    """The positions at which a phrase begins."""
+    words = _words(phrase)
+    starts = view.positions(*words[0])
     if len(words) > 1:
-        at = lambda n, k, w, prefix: F.coalesce(F.get("tokens", n + k).startswith(w) if prefix else F.get("tokens", n + k) == w, F.lit(False))
-        starts = F.filter(starts, lambda n: reduce(lambda a, b: a & b, (at(n, k, w, p) for k, (w, p) in enumerate(words) if k)))
+        starts = F.filter(starts, lambda n: reduce(lambda a, b: a & b, (view.at(n + k, *w) for k, w in enumerate(words) if k)))
     return F.filter(starts, lambda n: n == 0) if phrase.first else starts
 
 
-def near_starts(near: M.Near) -> list[Column]:
+def near_starts(near: M.Near, view: View = TOKENS) -> list[Column]:
     """For each of the group's phrases, the positions that take part in a stretch that holds them all.
 
     A stretch begins at some phrase and reaches as far as the distance beyond that phrase's end.
     """
-    found = [(len(p.words), phrase_starts(p)) for p in near.phrases if p.words]
+    found = [(len(p.words), phrase_starts(p, view)) for p in near.phrases if p.words]
     begins = []
     for n, starts in found:
         whole = lambda p: reduce(lambda a, b: a & b, (F.exists(s, lambda q: (q >= p) & (q - p - n <= near.distance)) for _, s in found))  # noqa: B023, E731
@@ -85,29 +120,92 @@ def near_starts(near: M.Near) -> list[Column]:
     return [F.filter(s, lambda q: F.exists(stretches, lambda w: (q >= w["low"]) & (q <= w["high"]))) for _, s in found]
 
 
-def frequencies(tree: M.Node) -> list[Column]:
+def frequencies(tree: M.Node, view: View = TOKENS) -> list[Column]:
     """How often each of the tree's scored phrases counts in a row; in a NEAR group, where it is near the others."""
     if isinstance(tree, M.Phrase):
-        return [F.size(phrase_starts(tree))] if tree.words else []
+        return [F.size(phrase_starts(tree, view))] if tree.words else []
     if isinstance(tree, M.Near):
-        return [F.size(s) for s in near_starts(tree)]
+        return [F.size(s) for s in near_starts(tree, view)]
     if isinstance(tree, M.Not):
-        return frequencies(tree.kept)
-    return [f for part in tree.parts for f in frequencies(part)]
+        return frequencies(tree.kept, view)
+    return [f for part in tree.parts for f in frequencies(part, view)]
 
 
-def matches(tree: M.Node) -> Column:
-    """Whether a document's tokens satisfy the tree."""
+def matches(tree: M.Node, view: View = TOKENS) -> Column:
+    """Whether a row satisfies the tree."""
     if isinstance(tree, M.Phrase):
-        return F.size(phrase_starts(tree)) > 0 if tree.words else F.lit(False)
+        return F.size(phrase_starts(tree, view)) > 0 if tree.words else F.lit(False)
     if isinstance(tree, M.Near):
-        return F.size(near_starts(tree)[0]) > 0
+        return F.size(near_starts(tree, view)[0]) > 0
     if isinstance(tree, M.Not):
-        return matches(tree.kept) & ~matches(tree.dropped)
+        return matches(tree.kept, view) & ~matches(tree.dropped, view)
     if isinstance(tree, M.Or):
-        return reduce(lambda a, b: a | b, map(matches, tree.parts))
+        return reduce(lambda a, b: a | b, (matches(p, view) for p in tree.parts))
     parts = [p for p in tree.parts if not (isinstance(p, M.Phrase) and not p.words)]
-    return reduce(lambda a, b: a & b, map(matches, parts)) if parts else F.lit(False)
+    return reduce(lambda a, b: a & b, (matches(p, view) for p in parts)) if parts else F.lit(False)
+
+
+def words_of(*trees: M.Node) -> list[tuple[str, bool]]:
+    """The distinct words of the trees, those that must not match included; True for prefixes."""
+    found: dict[tuple[str, bool], None] = {}
+    todo = list(trees)
+    while todo:
+        node = todo.pop(0)
+        if isinstance(node, M.Phrase):
+            found |= dict.fromkeys(_words(node))
+        else:
+            todo += [node.kept, node.dropped] if isinstance(node, M.Not) else node.phrases if isinstance(node, M.Near) else node.parts
+    return list(found)
+
+
+#: Partitions of stored postings, the characters of a term that decide its partition, and files of a partition at most.
+TERM_PARTS, TERM_HEAD, FILES = 64, 2, 8
+
+
+class StoredIndex:
+    """An index in a folder that outlives the session; see the module's text."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+        self.postings = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
+        self.documents = spark.read.schema(DOCUMENTS).parquet(f"{path}/documents")
+        said = spark.read.schema("n long, avgdl double").parquet(f"{path}/statistics").first()
+        self.n, self.avgdl = said["n"], said["avgdl"] or 1.0
+
+    @classmethod
+    def write(cls, index: DataFrame, path: str) -> StoredIndex:
+        """Writes an index of documents. One shuffle of its postings, by the term's partition and a part of its documents."""
+        each = index.select("source_table", "ref", "dl", F.posexplode("tokens").alias("pos", "term"))
+        rows = each.groupBy("source_table", "ref", "dl", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions")).withColumn("part", _term_part(F.col("term")))
+        dealt = rows.repartition("part", F.pmod(F.xxhash64("source_table", "ref"), F.lit(FILES))).sortWithinPartitions("part", "term")
+        dealt.write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+        index.select("source_table", "ref", "body", "dl").write.mode("overwrite").partitionBy("source_table").parquet(f"{path}/documents")
+        index.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/statistics")
+        return cls(index.sparkSession, path)
+
+    def rows_of(self, words: list[tuple[str, bool]]) -> DataFrame:
+        """source_table, ref, dl and a column of positions for each word, for the documents that have any of them."""
+        asked = F.lit(False)
+        for word, prefix in words:
+            asked = asked | (F.col("term").startswith(word) if prefix else F.col("term") == word)
+        found = self.postings.filter(asked)
+        if all(not prefix or len(word) >= TERM_HEAD for word, prefix in words):
+            found = found.filter(F.col("part").isin(sorted({zlib.crc32(w[:TERM_HEAD].encode()) % TERM_PARTS for w, _ in words})))
+        own = lambda word, prefix: F.when(F.col("term").startswith(word) if prefix else F.col("term") == word, F.col("positions"))
+        return found.groupBy("source_table", "ref", "dl").agg(*(F.sort_array(F.flatten(F.collect_list(own(*w)))).alias(name) for w, name in _Columns(words).names.items()))
+
+    def with_bodies(self, rows: DataFrame) -> DataFrame:
+        """rows (a page of results) with their bodies: only the files of their corpora are read, once."""
+        return self.documents.select("source_table", "ref", "body").join(F.broadcast(rows), ["source_table", "ref"]).select(*rows.columns, "body")
+
+
+POSTINGS = "source_table string, ref long, dl long, term string, positions array<int>, part int"
+DOCUMENTS = "ref long, body string, dl long, source_table string"
+Index = DataFrame | StoredIndex
+
+
+def _term_part(term: Column) -> Column:
+    return (F.crc32(F.substring(term, 1, TERM_HEAD).cast("binary")) % TERM_PARTS).cast("int")
 
 
 @dataclass(frozen=True)
@@ -120,30 +218,38 @@ class Stats:
     matched: tuple[int, ...]
 
 
-def statistics(index: DataFrame, phrases: list[M.Phrase], trees: tuple[M.Node, ...] = (), keep: Column | None = None) -> Stats:
-    """One pass over the index; ``keep`` only restricts which rows count as matches."""
-    within = F.lit(True) if keep is None else keep
-    asked = [F.count_if(F.size(phrase_starts(p)) > 0).alias(f"n{k}") for k, p in enumerate(phrases)] + [F.count_if(matches(t) & within).alias(f"m{k}") for k, t in enumerate(trees)]
-    said = index.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *asked).first()
-    return Stats(said["n"], said["avgdl"] or 1.0, tuple(said[f"n{k}"] for k in range(len(phrases))), tuple(said[f"m{k}"] for k in range(len(trees))))
+def statistics(index: Index, phrases: list[M.Phrase], trees: tuple[M.Node, ...] = (), keep: Column | None = None) -> Stats:
+    """One pass over the index, or over the words' postings; ``keep`` only restricts which rows count as matches."""
+    within, view, rows = F.lit(True) if keep is None else keep, TOKENS, index
+    if isinstance(index, StoredIndex):
+        words = words_of(*phrases, *trees)
+        if not words:
+            return Stats(index.n, index.avgdl, (0,) * len(phrases), (0,) * len(trees))
+        view, rows = _Columns(words), index.rows_of(words)
+    asked = [F.count_if(F.size(phrase_starts(p, view)) > 0).alias(f"n{k}") for k, p in enumerate(phrases)] + [F.count_if(matches(t, view) & within).alias(f"m{k}") for k, t in enumerate(trees)]
+    said = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *asked).first()
+    n, avgdl = (index.n, index.avgdl) if isinstance(index, StoredIndex) else (said["n"], said["avgdl"] or 1.0)
+    return Stats(n, avgdl, tuple(said[f"n{k}"] for k in range(len(phrases))), tuple(said[f"m{k}"] for k in range(len(trees))))
 
 
-def ranked(index: DataFrame, tree: M.Node, keep: Column | None = None, stats: Stats | None = None) -> DataFrame:
-    """The matching rows of the index with their BM25 ``rank`` (the lower, the better).
+def ranked(index: Index, tree: M.Node, keep: Column | None = None, stats: Stats | None = None) -> DataFrame:
+    """source_table, ref, dl and the BM25 ``rank`` (the lower, the better) of the matching rows; with body and tokens where the index is a frame.
 
     Rows, mean length and phrase frequencies are those of the whole index; ``keep`` only decides which
     matching rows are returned.
     """
     phrases = M.phrases_of(tree)
     stats = stats or statistics(index, phrases)
-    found = index.filter(matches(tree) if keep is None else matches(tree) & keep)
-    counted = found.withColumns({f"__f{k}": f for k, f in enumerate(frequencies(tree))})
+    stored, words = isinstance(index, StoredIndex), words_of(tree)
+    view, rows = (_Columns(words), index.rows_of(words) if words else index.rows_of([("", False)])) if stored else (TOKENS, index)
+    found = rows.filter(matches(tree, view) if keep is None else matches(tree, view) & keep)
+    counted = found.withColumns({f"__f{k}": f for k, f in enumerate(frequencies(tree, view))})
     rank = F.lit(0.0)
     for k, n in enumerate(stats.with_phrase):
         idf = math.log((stats.n - n + 0.5) / (n + 0.5)) if stats.n else 0.0
         f, dl = F.col(f"__f{k}").cast("double"), F.col("dl") / stats.avgdl
         rank = rank - F.lit(idf if idf > 0 else IDF_FLOOR) * f * (K1 + 1) / (f + K1 * (1 - B + B * dl))
-    return counted.withColumn("rank", rank).select("source_table", "ref", "body", "tokens", "dl", "rank")
+    return counted.withColumn("rank", rank).select("source_table", "ref", *(() if stored else ("body", "tokens")), "dl", "rank")
 
 
 @dataclass(frozen=True)
@@ -154,7 +260,7 @@ class Counted:
     stats: Stats
 
 
-def count_with_fallback(index: DataFrame, raw: str, keep: Column | None = None) -> Counted:
+def count_with_fallback(index: Index, raw: str, keep: Column | None = None) -> Counted:
     """Matches of all words, or of any where none has all; both are counted in one pass, with the statistics of either."""
     plain = M.sanitize(raw)
     wide = M.broadened(raw, plain)
@@ -165,14 +271,20 @@ def count_with_fallback(index: DataFrame, raw: str, keep: Column | None = None)
     return Counted(plain, stats.matched[0], False, stats)
 
 
-def top(index: DataFrame, raw: str, limit: int | None = None, broaden: bool = True, keep: Column | None = None) -> DataFrame:
+def best(index: Index, rows: DataFrame, limit: int, bodies: bool = True) -> DataFrame:
+    """The first of ranked rows, with their bodies if asked for."""
+    page = rows.orderBy("rank", "source_table", "ref").limit(limit)
+    return index.with_bodies(page).orderBy("rank", "source_table", "ref") if bodies and isinstance(index, StoredIndex) else page
+
+
+def top(index: Index, raw: str, limit: int | None = None, broaden: bool = True, keep: Column | None = None, bodies: bool = True) -> DataFrame:
     """The best rows for a query, by rank and key; a query of several words falls back to any of them."""
     if broaden:
         counted = count_with_fallback(index, raw, keep)
         rows = ranked(index, M.parse(counted.match), keep, counted.stats)
     else:
         rows = ranked(index, M.parse(M.sanitize(raw)), keep)
-    return rows.orderBy("rank", "source_table", "ref").limit(clamp_limit(limit))
+    return best(index, rows, clamp_limit(limit), bodies)
 
 
 def rank_span(rows: DataFrame) -> DataFrame:
@@ -186,26 +298,28 @@ def also_matched(rows: DataFrame, limit: int) -> DataFrame:
     return below.groupBy("path").agg(F.min_by("match_line", "pos").alias("match_line"), F.count(F.lit(1)).alias("matches"), F.min("pos").alias("first_pos"))
 
 
-def neighbourhood(index: DataFrame, raw: str) -> DataFrame:
+def neighbourhood(index: Index, raw: str) -> DataFrame:
     """term, score: words that the best rows for any of the query's words share and the index as a whole doesn't.
 
     Nothing unless more rows have any word than have what the query asks for.
     """
     wide = M.broadened(raw, M.sanitize(raw))
-    empty = index.sparkSession.createDataFrame([], "term string, score double")
+    spark = index.spark if isinstance(index, StoredIndex) else index.sparkSession
+    empty = spark.createDataFrame([], "term string, score double")
     if wide is None:
         return empty
     tree = M.parse(wide)
     stats = statistics(index, M.phrases_of(tree), (M.parse(M.sanitize(raw)), tree))
     if stats.matched[1] <= stats.matched[0]:
         return empty
-    best = ranked(index, tree, stats=stats).orderBy("rank", "source_table", "ref").limit(NEIGHBOUR_DOCS).select("source_table", "ref", F.array_distinct(terms(F.col("body"))).alias("own"))
-    local = best.withColumn("n_docs", F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))).select("n_docs", F.explode("own").alias("term"))  # NEIGHBOUR_DOCS rows
+    read = best(index, ranked(index, tree, stats=stats), NEIGHBOUR_DOCS).select("source_table", "ref", F.array_distinct(terms(F.col("body"))).alias("own"))
+    local = read.withColumn("n_docs", F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))).select("n_docs", F.explode("own").alias("term"))  # NEIGHBOUR_DOCS rows
     local = local.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("n_docs").alias("n_docs"))
     asked = [t for w in raw.split() for t in M.tokenize(w)]
     local = local.filter((F.col("n") >= 2) & (F.col("n") <= F.ceil(F.col("n_docs") * NEIGHBOUR_SHARE)) & is_candidate(F.col("term")) & ~F.col("term").isin(asked))
     local = F.broadcast(local)  # words of NEIGHBOUR_DOCS documents, in half of them at least two
-    own = index.select(F.explode(F.array_distinct("tokens")).alias("term")).join(local, "term", "left_semi")
+    every = index.postings.select("term") if isinstance(index, StoredIndex) else index.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    own = every.join(local, "term", "left_semi")
     rows = own.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(local, "term", "right")
     score = F.col("n") * F.greatest(F.lit(0.0), F.log(F.lit(float(stats.n)) / F.coalesce("df", F.lit(1))))
     return rows.select("term", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "term").limit(NEIGHBOUR_TERMS)

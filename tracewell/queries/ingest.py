@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import etl, merge, relocate
 from ..workers import ship_package
-from .registry import query, table
+from .registry import query, removed, scratch, table
 
 
 @query(
@@ -165,11 +165,8 @@ def stream_dedupe_counts(spark, sf_dir):
     """The events as a file stream, merged by user and type: each key once, in whatever batches and order they come."""
     from ..streaming.ingest import Table, start_merge
 
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given is None and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    given = given or "file://" + tempfile.mkdtemp(prefix="stream-")
-    at = f"{given}/stream-{uuid.uuid4().hex}"
+    at = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    atexit.register(removed, spark, at)
     rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
     source = rows.schema
     rows.repartitionByRange(3, "event_id").write.parquet(f"{at}/in")

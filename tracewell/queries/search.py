@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from ..operators import etl
 from ..operators import search as S
 from ..plans import match as M
 from ..workers import ship_package
-from .registry import query, table
+from .registry import query, removed, scratch, table
 
 #: SQL of the index's tokens and statistics.
 TOKENS_OF = "regexp_extract_all(translate(lower(coalesce({0}, '')), '" + FOLD_FROM + "', '" + FOLD_TO + "'), '[\\p{{L}}\\p{{N}}]+')"
@@ -41,23 +43,27 @@ def ranking_sql(index: str, phrases: list[str], condition: str, tail: str, colum
 TOP10 = "ORDER BY ranked.rank, source_table, ref LIMIT 10"
 
 
-#: Indexes of this session by name and folder: tokenised once, on first use, and kept for the queries that follow.
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+#: Folders of the indexes that this session has written, by name and input folder.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
-def _kept(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
+def _stored(spark: SparkSession, name: str, sf_dir: str, build) -> S.StoredIndex:
+    """The index, from the shared folder; written there the first time that the session asks for it, and removed when the session's process ends."""
     key = (spark.sparkContext.applicationId, name, sf_dir)
-    if key not in _KEPT:
-        _KEPT[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
-    return _KEPT[key]
+    if key not in _WRITTEN:
+        at = f"{scratch(spark)}/index-{uuid.uuid4().hex}"
+        S.StoredIndex.write(build(), at)
+        atexit.register(removed, spark, at)
+        _WRITTEN[key] = at
+    return S.StoredIndex(spark, _WRITTEN[key])
 
 
-def documents_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kept(spark, "documents", sf_dir, lambda: _documents(spark, sf_dir))
+def documents_index(spark: SparkSession, sf_dir: str) -> S.StoredIndex:
+    return _stored(spark, "documents", sf_dir, lambda: _documents(spark, sf_dir))
 
 
-def unified_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kept(spark, "unified", sf_dir, lambda: _unified(spark, sf_dir))
+def unified_index(spark: SparkSession, sf_dir: str) -> S.StoredIndex:
+    return _stored(spark, "unified", sf_dir, lambda: _unified(spark, sf_dir))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,17 +86,18 @@ def _shown(rows: DataFrame) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf_dir: str, raw: str) -> DataFrame:
-    return _shown(S.ranked(documents_index(spark, sf_dir), M.parse(raw)).orderBy("rank", "source_table", "ref").limit(10))
+    index = documents_index(spark, sf_dir)
+    return _shown(S.best(index, S.ranked(index, M.parse(raw)), 10, bodies=False))
 
 
 @query(ranking_sql(DOCS, ["t[i] = 'license'", "t[i] = 'version'"], "f0 > 0 AND f1 > 0", TOP10))
 def find_doc_and_topk(spark, sf_dir):
-    return _shown(S.top(documents_index(spark, sf_dir), "license version"))
+    return _shown(S.top(documents_index(spark, sf_dir), "license version", bodies=False))
 
 
 @query(ranking_sql(DOCS, ["t[i] = 'stupid'", "t[i] = 'nosuchterm'"], "f0 > 0 OR f1 > 0", TOP10))
 def find_doc_or_broadened(spark, sf_dir):
-    return _shown(S.top(documents_index(spark, sf_dir), "stupid nosuchterm"))
+    return _shown(S.top(documents_index(spark, sf_dir), "stupid nosuchterm", bodies=False))
 
 
 @query(ranking_sql(DOCS, ["t[i] = 'apache' AND t[i + 1] = 'license'"], "f0 > 0", TOP10))
@@ -138,14 +145,14 @@ def find_doc_repeated_term(spark, sf_dir):
 
 @query(ranking_sql(UNIFIED, ["t[i] = 'example'"], "f0 > 0", "ORDER BY ranked.rank, source_table, ref LIMIT 50", "source_table, ref, round(rank, 6) AS rank"))
 def unified_index_search(spark, sf_dir):
-    rows = S.top(unified_index(spark, sf_dir), "example", 50)
+    rows = S.top(unified_index(spark, sf_dir), "example", 50, bodies=False)
     return rows.select("source_table", "ref", F.round("rank", 6).alias("rank"))
 
 
 @query(ranking_sql(UNIFIED, ["t[i] = 'com'"], "f0 > 0 AND source_table = 'documents'", TOP10))
 def corpus_scoped_search(spark, sf_dir):
     """The scope decides what is shown; the statistics stay those of the whole index."""
-    return _shown(S.top(unified_index(spark, sf_dir), "com", keep=F.col("source_table") == "documents"))
+    return _shown(S.top(unified_index(spark, sf_dir), "com", keep=F.col("source_table") == "documents", bodies=False))
 
 
 @query(
@@ -213,7 +220,7 @@ def neighbourhood_terms(spark, sf_dir):
 
 @query("WITH r AS (" + ranking_sql(DOCS, ["t[i] = 'license'", "t[i] = 'version'"], "f0 > 0 AND f1 > 0", TOP10, "rank") + ") SELECT round(min(rank), 6) AS top_rank, round(max(rank) - min(rank), 6) AS rank_spread FROM r")
 def rank_span(spark, sf_dir):
-    span = S.rank_span(S.top(documents_index(spark, sf_dir), "license version"))
+    span = S.rank_span(S.top(documents_index(spark, sf_dir), "license version", bodies=False))
     return span.select(F.round("top_rank", 6).alias("top_rank"), F.round("rank_spread", 6).alias("rank_spread"))
 
 
