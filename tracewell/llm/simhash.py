@@ -197,11 +197,11 @@ def keep_first(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Dat
     A row without an id stays only where all of its component lack one; of rows with equal ids and texts
     one stays, whichever their other columns are. Different texts of one id are judged apart.
     """
-    members = _members(staged(fingerprints(docs, words)), radius)
+    prints = staged(fingerprints(docs, words))
     key, text_hash = one_of("__head_id", docs.columns), one_of("__head_hash", docs.columns)
-    heads = cut(members.select(F.col("head.doc_id").alias(key), F.col("head.text_hash").alias(text_hash)).distinct())
-    same = docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"]) == F.col(text_hash))
-    kept = docs.join(heads, same, "left_semi")
-    if kept.count() == heads.count():
+    heads = cut(_members(prints, radius).select(F.col("head.doc_id").alias(key), F.col("head.text_hash").alias(text_hash)).distinct())
+    kept = docs.join(heads, docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"]) == F.col(text_hash)), "left_semi")
+    rows = prints.join(heads, prints["doc_id"].eqNullSafe(F.col(key)) & (prints["text_hash"] == F.col(text_hash)), "left_semi").count()  # as kept has, without its texts
+    if rows == heads.count():
         return kept
     return kept.withColumn(text_hash, F.xxhash64("text")).dropDuplicates(["doc_id", text_hash]).drop(text_hash)
