@@ -1,6 +1,7 @@
 """Extractors, joins, merges, analytics, provenance, relocation: literal tables with known results."""
 
 import json
+import random
 import subprocess
 
 import pytest
@@ -155,6 +156,18 @@ def test_measurements(spark):
     assert [r.term for r in A.stride_sample(words, 10).orderBy("term").collect()] == [f"t{n:03}" for n in range(0, 100, 10)] and A.stride_sample(words, 1000).count() == 100
 
 
+@pytest.mark.parametrize("n, most", [(0, 5), (1, 1), (7, 7), (500, 13), (500, 200), (997, 200), (997, 996)])
+def test_stride_sample_of_many_equal_frequencies_matches_brute_force(spark, n, most):
+    rng = random.Random(n + most)
+    letters = lambda: "".join(rng.choice("abé\U0001f600z") for _ in range(rng.randint(1, 8)))
+    words = sorted({letters() for _ in range(3 * n)}, key=lambda w: rng.random())[:n]
+    df = {w: 2 if rng.random() < 0.7 else rng.randint(3, 6) for w in words}
+    order = sorted(words, key=lambda w: (-df[w], w.encode()))
+    kept = order if len(order) <= most else [order[i * len(order) // most] for i in range(most)]
+    found = A.stride_sample(spark.createDataFrame(list(df.items()), "term string, df long"), most).collect()
+    assert sorted((r.term, r.df) for r in found) == sorted((w, df[w]) for w in kept)
+
+
 def test_resolver(spark):
     rows = [("t", "code", "c2", 50, 1.0, "a"), ("t", "code", "c1", 20, 2.0, "b"), ("t", "code", "c1", 20, 0.5, "b"), ("t", "design", "d", 10, 0.0, "x"), ("t", "memory", "m", 90, 0.0, "y"), ("t", "config", "k", 5, 0.0, "z"), ("u", "design", "d", 10, 0.0, "x")]
     found = provenance.resolve(spark.createDataFrame(rows, "term string, layer string, commit_hash string, authored_at long, rank double, file_path string"))

@@ -10,6 +10,8 @@ from ..functions.numbers import count_bucket, delta_shape
 from ..functions.text import parent_dir
 
 DAYS = (1, 7, 30)
+#: First letters by which terms of equal df are counted apart.
+START = 3
 
 
 def ledger_windows(events: DataFrame, at: str, tool: str, sums: dict[str, Column], now: int, days: tuple[int, ...] = DAYS) -> DataFrame:
@@ -131,17 +133,26 @@ def language_strata(terms: DataFrame) -> DataFrame:
 def stride_sample(vocabulary: DataFrame, most: int) -> DataFrame:
     """term, df of ``most`` terms evenly spread over the order of falling df; all where there are fewer.
 
-    Ranks come from counts of each df, so the vocabulary isn't sorted as a whole: only terms of equal df
-    are numbered among themselves.
+    Ranks come from counts of each df and of its terms' first letters, so the vocabulary isn't sorted as a
+    whole and the many terms of a low df aren't numbered in one task: only the terms that share a df and
+    first letters with a wanted rank are numbered, among themselves.
     """
-    n = vocabulary.count()
-    sizes = vocabulary.groupBy("df").agg(F.count(F.lit(1)).alias("c"))
-    before = sizes.select("df", F.coalesce(F.sum("c").over(W.orderBy(F.desc("df")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # distinct frequencies
-    ranked = vocabulary.withColumn("__k", F.row_number().over(W.partitionBy("df").orderBy("term")) - 1).join(before, "df").withColumn("rank", F.col("__k") + F.col("__before"))
+    words = vocabulary.select("term", "df")
+    n = words.count()
     if n <= most:
-        return ranked.select("term", "df")
-    slot = F.ceil(F.col("rank") * most / n).cast("long")
-    return ranked.filter((slot < most) & (F.floor(slot * n / most) == F.col("rank"))).select("term", "df")
+        return words
+    words = words.withColumn("start", F.substring("term", 1, START))
+    sizes = words.groupBy("df", "start").agg(F.count(F.lit(1)).alias("c"))
+    so_far = lambda over: F.coalesce(F.sum("c").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    above = sizes.groupBy("df").agg(F.sum("c").alias("c")).select("df", so_far(W.orderBy(F.desc("df"))).alias("above"))  # distinct frequencies
+    ranges = sizes.withColumn("first", so_far(W.partitionBy("df").orderBy("start"))).join(above, "df").withColumn("first", F.col("first") + F.col("above"))
+    slot = lambda rank: F.ceil(rank * most / n).cast("long")  # the first one at or after a rank
+    wanted = lambda rank: F.floor(slot(rank) * n / most)
+    first, rank = F.col("first"), F.col("rank")
+    holding = ranges.filter((slot(first) < most) & (wanted(first) < first + F.col("c"))).select("df", "start", "first")
+    near = words.join(F.broadcast(holding), ["df", "start"])  # a range holds one wanted rank at least, so there are ``most`` ranges at most
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("df", "start").orderBy("term")) - 1 + first)
+    return ranked.filter((slot(rank) < most) & (wanted(rank) == rank)).select("term", "df")
 
 
 def scrubbed(calls: DataFrame, tools: tuple[str, ...], outcomes: tuple[str, ...], now: int, days: int) -> DataFrame:
