@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_digest, langid, linededup, mixing, pii, quality, sharding, simhash, url_filter
+from . import decontam, exact_digest, fim, langid, linededup, mixing, pii, quality, sharding, simhash, url_filter
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,7 +53,11 @@ def op10_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_digest.compare(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hierarchical_mix, op2_weak_pii, op3_url_filter, op4_hash_tree_shards, op5_prefix_line_join, op6_bitmask_langid, op7_positional_index, op8_random_indexing_quality, op9_vantage_simhash, op10_exact_digest)}
+def op11_relational_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hierarchical_mix, op2_weak_pii, op3_url_filter, op4_hash_tree_shards, op5_prefix_line_join, op6_bitmask_langid, op7_positional_index, op8_random_indexing_quality, op9_vantage_simhash, op10_exact_digest, op11_relational_fim)}
 
 #: Words and windows by regular expression and a join of window texts.
 OP7_SQL = r"""
@@ -106,4 +110,24 @@ SELECT d.doc_id, CAST(count(m.line) AS BIGINT) AS n_lines, CAST(count(*) FILTER
 FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op5_prefix_line_join": OP5_SQL, "op7_positional_index": OP7_SQL}
+#: Lines by regular expression, cut by sums of their lengths.
+OP11_SQL = r"""
+WITH units AS (
+    SELECT doc_id, coalesce(text, '') AS text, list_transform(regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+'), lambda u: length(u)) AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM documents
+), drawn AS (
+    SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+    FROM units
+), cuts AS (
+    SELECT doc_id, text, n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+           CAST(coalesce(list_sum(u[1 : least(h1 % (n + 1), h2 % (n + 1))]), 0) AS BIGINT) AS a, CAST(coalesce(list_sum(u[1 : greatest(h1 % (n + 1), h2 % (n + 1))]), 0) AS BIGINT) AS b
+    FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || substr(text, 1, a) || '<S>' || substr(text, b + 1) || '<M>' || substr(text, a + 1, b - a)
+              ELSE '<S>' || substr(text, b + 1) || '<P>' || substr(text, 1, a) || '<M>' || substr(text, a + 1, b - a) END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cuts
+"""
+
+ORACLES: dict[str, str] = {"op5_prefix_line_join": OP5_SQL, "op7_positional_index": OP7_SQL, "op11_relational_fim": OP11_SQL}
