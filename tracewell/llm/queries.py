@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, exact_digest, fim, langid, linededup, mixing, pii, quality, sharding, simhash, url_filter
+from . import decontam, exact_digest, fim, hardneg, langid, linededup, mixing, pii, quality, sharding, simhash, url_filter
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +58,12 @@ def op11_relational_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hierarchical_mix, op2_weak_pii, op3_url_filter, op4_hash_tree_shards, op5_prefix_line_join, op6_bitmask_langid, op7_positional_index, op8_random_indexing_quality, op9_vantage_simhash, op10_exact_digest, op11_relational_fim)}
+def op13_voronoi_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(read_table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hierarchical_mix, op2_weak_pii, op3_url_filter, op4_hash_tree_shards, op5_prefix_line_join, op6_bitmask_langid, op7_positional_index, op8_random_indexing_quality, op9_vantage_simhash, op10_exact_digest, op11_relational_fim, op13_voronoi_negatives)}
 
 #: Words and windows by regular expression and a join of window texts.
 OP7_SQL = r"""
@@ -130,4 +136,19 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 FROM cuts
 """
 
-ORACLES: dict[str, str] = {"op5_prefix_line_join": OP5_SQL, "op7_positional_index": OP7_SQL, "op11_relational_fim": OP11_SQL}
+#: Every anchor against every vector, in whole numbers.
+OP13_SQL = r"""
+WITH vectors AS (
+    SELECT CAST(vec_id AS BIGINT) AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), anchors AS (SELECT DISTINCT id, label, v FROM vectors WHERE id % 50 = 0),
+pairs AS (
+    SELECT a.id AS a, a.label = b.label AS same, b.id AS b, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS s FROM anchors a JOIN vectors b ON a.id <> b.id OR a.label <> b.label
+), positives AS (SELECT a, b, s FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS INTEGER) AS rank, n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM positives p JOIN pairs n ON n.a = p.a AND NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) <= 3
+"""
+
+ORACLES: dict[str, str] = {"op5_prefix_line_join": OP5_SQL, "op7_positional_index": OP7_SQL, "op11_relational_fim": OP11_SQL, "op13_voronoi_negatives": OP13_SQL}
