@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_digest, fim, hardneg, langid, linededup, mixing, pii, quality, sharding, simhash, url_filter
+from . import decontam, exact_digest, fim, hardneg, langid, linededup, mixing, pii, quality, sharding, simhash, toxicity, url_filter
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,12 +58,16 @@ def op11_relational_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.report(read_table(spark, sf_dir, "documents"))
 
 
+def op12_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op13_voronoi_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hardneg.mine(read_table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hierarchical_mix, op2_weak_pii, op3_url_filter, op4_hash_tree_shards, op5_prefix_line_join, op6_bitmask_langid, op7_positional_index, op8_random_indexing_quality, op9_vantage_simhash, op10_exact_digest, op11_relational_fim, op13_voronoi_negatives)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hierarchical_mix, op2_weak_pii, op3_url_filter, op4_hash_tree_shards, op5_prefix_line_join, op6_bitmask_langid, op7_positional_index, op8_random_indexing_quality, op9_vantage_simhash, op10_exact_digest, op11_relational_fim, op12_string_kernel_toxicity, op13_voronoi_negatives)}
 
 #: Words and windows by regular expression and a join of window texts.
 OP7_SQL = r"""
