@@ -1,12 +1,14 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
-Random indexing: each term of the vocabulary has a sparse ternary index vector drawn from its hash,
-and a term's word vector is the sum of its neighbours' index vectors. The vocabulary is the frequent
-tokens of the training texts and a class for each other token's shape (letters, case, digits, marks,
-length), so that unseen words have vectors too. A document is its tokens' mean vector, their standard
-deviation, and how it repeats itself: the share of tokens that equal the token before them, of the
-most frequent token, and of distinct ones. A network of one hidden layer,
-in numpy, is trained on that; its logit is divided by a temperature fitted on texts that it hasn't seen.
+Random indexing: each token has a sparse ternary index vector drawn from its hash, and a term's word
+vector is the sum of its neighbours' index vectors. The vocabulary is the frequent tokens of the
+training texts and a class for each other token's shape (letters, case, digits, marks, length), so that
+unseen words have word vectors too. A document is pooled from vectors alone: the mean and the standard
+deviation of its tokens' word vectors, the variance of their own index vectors, and the mean of its
+bigrams' vectors, each the product of two neighbours' index vectors (binding). In the last two a text that
+turns on few words, or says one again and again, differs from prose whatever its words are. A network
+of one hidden layer, in numpy, is trained on that; its logit is divided by a temperature fitted on texts
+that it hasn't seen.
 
 Bounds: trained on TRAIN_DOCS labelled documents of at most TRAIN_CHARS characters, taken in the
 order of a hash of their id; every whole text is scored.
@@ -23,7 +25,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ from .common import held_out, map_batches, one_of, texts
 TRAIN_DOCS, TRAIN_CHARS = 3000, 50_000
 VOCABULARY, LEAST_COUNT = 4096, 5
 DIM, NONZERO, NEAR = 64, 6, 2
+#: Tokens that a process keeps, and tokens pooled at once.
+MOST_TOKENS, PIECE = 1 << 17, 1 << 16
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 60, 64, 3e-3, 1e-4, 7
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -48,11 +51,40 @@ def shape(token: str) -> str:
     return f"\0{kind}{min(len(token), 12) // 3}"
 
 
-def index_vector(term: str) -> np.ndarray:
-    rng = np.random.default_rng(xxhash.xxh64_intdigest(term.encode("utf-8", "replace"), SEED))
-    vector = np.zeros(DIM, np.float32)
-    vector[rng.choice(DIM, NONZERO, replace=False)] = rng.choice([-1.0, 1.0], NONZERO)
-    return vector
+def index_vectors(tokens: list[str]) -> np.ndarray:
+    """A ternary vector for each token: NONZERO places and signs from the bits of its hash; a place drawn twice adds up or cancels."""
+    digest = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "replace"), SEED) for t in tokens], np.uint64)
+    out = np.zeros((len(tokens), DIM), np.float32)
+    for k in range(NONZERO):
+        place = (digest >> np.uint64(6 * k)) & np.uint64(DIM - 1)
+        sign = (digest >> np.uint64(6 * NONZERO + k)) & np.uint64(1)
+        out[np.arange(len(tokens)), place.astype(np.int64)] += np.where(sign, 1, -1)
+    return out
+
+
+class Lexicon:
+    """What a process has looked up: a number for each token, its term and its index vector; begun anew beyond MOST_TOKENS."""
+
+    def __init__(self, terms: dict[str, int]) -> None:
+        self.terms = terms
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.term, self.index = np.zeros(1 << 12, np.int32), np.zeros((1 << 12, DIM), np.float32)
+
+    def ids(self, tokens: list[str]) -> np.ndarray:
+        if len(self.numbers) > MOST_TOKENS:
+            self.clear()
+        new = list(dict.fromkeys(t for t in tokens if t not in self.numbers))
+        if new:
+            first, end = len(self.numbers), len(self.numbers) + len(new)
+            while end > len(self.term):
+                self.term, self.index = np.concatenate([self.term, np.zeros_like(self.term)]), np.concatenate([self.index, np.zeros_like(self.index)])
+            self.numbers.update(zip(new, range(first, end)))
+            self.term[first:end] = [self.terms[t] if t in self.terms else self.terms.get(shape(t), 0) for t in new]
+            self.index[first:end] = index_vectors(new)
+        return np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens))
 
 
 @dataclass
@@ -65,26 +97,26 @@ class QualityModel:
     temperature: float
     constant: float | None = None
 
-    def features(self, text: str | None, cache: dict[str, int]) -> np.ndarray:
-        """The pooled vector of a text; cache keeps looked-up tokens' numbers and is bounded by the caller."""
-        tokens, found = TOKEN.findall(text or ""), []
+    def features(self, text: str | None, known: Lexicon) -> np.ndarray:
+        """The pooled vector of a text."""
+        tokens = TOKEN.findall(text or "")
         if not tokens:
-            return np.zeros(2 * DIM + 3, np.float32)
-        for t in tokens:
-            n = cache.get(t)
-            if n is None:
-                n = self.terms.get(t)
-                n = cache[t] = self.terms.get(shape(t), 0) if n is None else n
-            found.append(n)
-        ids = np.array(found, np.int64)
-        own = Counter(tokens)
-        repeats = [sum(map(eq, tokens, tokens[1:])) / len(tokens), max(own.values()) / len(tokens), len(own) / len(tokens)]
-        counts = np.bincount(ids, minlength=len(self.vectors))
+            return np.zeros(4 * DIM, np.float32)
+        ids = known.ids(tokens)
+        counts = np.bincount(known.term[ids], minlength=len(self.vectors))
         used = np.flatnonzero(counts)
         share = (counts[used] / len(ids)).astype(np.float32)
         mean = share @ self.vectors[used]
         spread = np.sqrt(np.maximum(share @ self.vectors[used] ** 2 - mean**2, 0))
-        return np.concatenate([mean, spread, repeats]).astype(np.float32)
+        total, squares, bound = np.zeros((3, DIM))
+        for at in range(0, len(ids), PIECE):
+            own = known.index[ids[at : at + PIECE + 1]]  # a piece's last bigram ends in the next one
+            here, ones = own[:PIECE], np.ones(len(own), np.float32)  # products with ones are the fastest sums
+            total += ones[: len(here)] @ here
+            squares += ones[: len(here)] @ (here * here)
+            bound += ones[1:] @ (own[1:] * own[:-1])
+        n = len(ids)
+        return np.concatenate([mean, spread, squares / n - (total / n) ** 2, bound / n]).astype(np.float32)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
@@ -104,7 +136,7 @@ def _word_vectors(corpus: list[str]) -> tuple[dict[str, int], np.ndarray]:
     kept = sorted((t for t, n in counts.items() if n >= LEAST_COUNT), key=lambda t: (-counts[t], t))[:VOCABULARY]
     names = sorted({shape(t) for t in counts})
     terms = {t: n for n, t in enumerate(["\0", *names, *kept])}
-    index = np.stack([index_vector(t) for t in terms])
+    index = index_vectors(list(terms))
     vectors = np.zeros_like(index)
     for text in corpus:
         ids = np.array([terms[t] if t in terms else terms[shape(t)] for t in TOKEN.findall(text)], np.int64)
@@ -151,8 +183,8 @@ def fit(examples: list[tuple[str, int]]) -> QualityModel:
     aside = np.arange(len(y)) % 5 == 4
     terms, vectors = _word_vectors([t for (t, _), a in zip(examples, aside) if not a])
     model = QualityModel(terms, vectors.astype(np.float32), none, none, (), 1.0)
-    cache: dict[str, int] = {}
-    x = np.stack([model.features(t, cache) for t, _ in examples])
+    known = Lexicon(terms)
+    x = np.stack([model.features(t, known) for t, _ in examples])
     model.mean, model.scale = x[~aside].mean(0), x[~aside].std(0) + 1e-3
     model.layers = _network(((x - model.mean) / model.scale)[~aside], y[~aside])
     if aside.any():
@@ -180,13 +212,9 @@ def _scored(docs: DataFrame, model: QualityModel, name: str) -> DataFrame:
     at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
+        known = Lexicon(sent.value.terms)
         for batch in batches:
-            features = []
-            for text in texts(batch.column(at)):
-                features.append(sent.value.features(text, cache) if sent.value.constant is None else None)
-                if len(cache) > 1 << 19:
-                    cache.clear()
+            features = [sent.value.features(text, known) if sent.value.constant is None else None for text in texts(batch.column(at))]
             scores = sent.value.scores(features) if features else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
