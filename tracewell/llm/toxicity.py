@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, map_batches, texts
 
-TRAIN_DOCS, TRAIN_CHARS, SEED = 4000, 50_000, 11
+TRAIN_DOCS, TRAIN_CHARS, SEED = 3000, 50_000, 11
 SENTENCE = re.compile(r"[.!?\n]+")
 #: Alphabet: 26 letters, one code for all others, and a unit's border on either side; the kernel's decay and longest stretch.
 OTHER, BORDER, LETTERS = 26, 27, 28
@@ -206,10 +206,12 @@ class ToxicityModel:
         return best, shown
 
     def unit_margins(self, strings: list[str]) -> np.ndarray:
-        own = sorted(set(strings))
-        of, codes, weights = embedded(own)
-        found = np.bincount(of, self.weights[codes] * weights, len(own)) + self.bias
-        return found[np.searchsorted(np.array(own, object), np.array(strings, object))] if own else found
+        own = {u: k for k, u in enumerate(dict.fromkeys(strings))}
+        found, names = [np.zeros(0)], list(own)
+        for at in range(0, len(names), 2048):
+            of, codes, weights = embedded(names[at : at + 2048])
+            found.append(np.bincount(of, self.weights[codes] * weights, len(names[at : at + 2048])) + self.bias)
+        return np.concatenate(found)[[own[u] for u in strings]] if strings else found[0]
 
     def scores(self, margins: np.ndarray) -> np.ndarray:
         if self.constant is not None:
