@@ -2,7 +2,9 @@
 
 import random
 import sqlite3
+import unicodedata
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,7 +77,7 @@ def test_precedence():
     assert M.parse("a + b") == M.Phrase(("a", "b")) and M.parse("^a") == M.Phrase(("a",), False, True)
 
 
-QUERIES = ["alpha", "alpha beta", "alpha OR beta", '"alpha beta"', "alph*", "gamma NOT alpha", "NEAR(alpha beta, 2)", "NEAR(alpha beta gamma)", "^alpha", "alpha alpha", "(alpha OR beta) AND gamma", '"beta gam" *', "café", 'alpha "--"', "delta + alpha"]
+QUERIES = ["alpha", "alpha beta", "alpha OR beta", '"alpha beta"', "alph*", "gamma NOT alpha", "NEAR(alpha beta, 2)", "NEAR(alpha beta gamma)", "^alpha", "alpha alpha", "(alpha OR beta) AND gamma", "(alpha AND x1) OR gamma", "alpha OR beta OR x1", "x1 OR x1", "(alpha NOT beta) OR delta", "NEAR(alpha x1, 1) OR beta", '"beta gam" *', "café", 'alpha "--"', "delta + alpha"]
 
 
 @pytest.mark.parametrize("stored", [False, True])
@@ -101,9 +103,10 @@ def test_stored_index_reads_its_words_only(spark, tmp_path):
     index = S.StoredIndex.write(frame, str(tmp_path / "i"))
     again = S.StoredIndex(spark, str(tmp_path / "i"))
     assert (again.n, again.avgdl) == (4, 1.25)
-    plan = again.rows_of([("one", False)])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(part" in plan or "part" in plan.split("PartitionFilters:")[1][:60]
+    plan = again.postings_of([("one", False)])._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,one)" in plan
+    counted = S.rows_of(again, [("one", False)], S.view_of([M.parse("one")]))._jdf.queryExecution().executedPlan().toString()
+    assert "positions" not in counted.split("ReadSchema")[1]
     assert [(r.source_table, r.ref, r.body) for r in S.top(again, "on*").collect()] == [(r.source_table, r.ref, r.body) for r in S.top(frame, "on*").collect()]
     assert {(r.term, r.df, r.cf) for r in S.vocabulary(index).collect()} == {(r.term, r.df, r.cf) for r in S.vocabulary(frame).collect()}
     key = lambda rows: sorted((r.source_table, r.term, r.ref, r.tf, tuple(r.positions)) for r in rows.collect())
@@ -111,6 +114,89 @@ def test_stored_index_reads_its_words_only(spark, tmp_path):
     assert S.top(index, "two", keep=F.col("source_table") == "b").first().body == "two"
 
 
+def documents_of(spark, rows):
+    return S.index_of({"t": spark.createDataFrame(rows, "ref long, body string")})
+
+
+def same_ranks(found, expected, text):
+    key = lambda index: sorted((r.source_table, r.ref, round(r.rank, 9)) for r in S.ranked(index, M.parse(text)).collect())
+    assert key(found) == key(expected), text
+
+
+def test_changes_equal_a_fresh_index(spark, tmp_path):
+    """Upserts, replacements and deletes reach the stored index; ranks, counts, vocabulary and bodies equal those of an index written anew."""
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "alphabet", "x1"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(0, 20)))
+    live = {n: text() for n in range(60)}
+    index = S.StoredIndex.write(documents_of(spark, list(live.items())), str(tmp_path / "i"))
+    for step in range(5):
+        changed = {rng.randrange(80): text() for _ in range(8)}
+        live |= changed
+        index = index.upsert(documents_of(spark, list(changed.items())))
+        gone = rng.sample(sorted(live), 3)
+        live = {k: v for k, v in live.items() if k not in gone}
+        index = index.delete(spark.createDataFrame([("t", k) for k in [*gone, 999]], "source_table string, ref long"))
+    fresh = documents_of(spark, list(live.items()))
+    assert len(index.segments) < 4  # small ones were merged
+    assert (index.n, round(index.avgdl, 9)) == (len(live), round(sum(len(t.split()) for t in live.values()) / len(live), 9))
+    for query in ("alpha", "alpha OR beta", '"alpha beta"', "gamma NOT x1", "alph*"):
+        same_ranks(index, fresh, query)
+    assert {(r.term, r.df, r.cf) for r in S.vocabulary(index).collect()} == {(r.term, r.df, r.cf) for r in S.vocabulary(fresh).collect()}
+    assert {r.ref: r.body for r in S.top(index, "alpha", 50).collect()} == {r.ref: r.body for r in S.top(fresh, "alpha", 50).collect()}
+    again = S.StoredIndex(spark, str(tmp_path / "i"))
+    assert (again.gen, again.n) == (index.gen, index.n)
+
+
+def test_a_change_that_never_ends_is_not_seen(spark, tmp_path, monkeypatch):
+    index = S.StoredIndex.write(documents_of(spark, [(1, "alpha"), (2, "beta")]), str(tmp_path / "i"))
+
+    def lost(*_):
+        raise RuntimeError("the driver is lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(S.StoredIndex, "_manifest", staticmethod(lost))
+        with pytest.raises(RuntimeError):
+            index.delete(spark.createDataFrame([("t", 1)], "source_table string, ref long"))
+    again = S.StoredIndex(spark, str(tmp_path / "i"))
+    assert [r.ref for r in S.ranked(again, M.parse("alpha")).collect()] == [1] and again.n == 2
+    assert S.ranked(again.delete(spark.createDataFrame([("t", 2)], "source_table string, ref long")), M.parse("alpha OR beta")).count() == 1
+
+
+def test_best_rows_leave_tiers_unread(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(n, " ".join(["alpha"] * rng.randrange(1, 9) + ["beta"] * rng.choice([0, 0, 1, 5]) + ["pad"] * rng.randrange(0, 60))) for n in range(2000)]
+    frame = documents_of(spark, [*rows, *((n, "other words " * 5) for n in range(2000, 4500))]).cache()
+    index = S.StoredIndex.write(frame, str(tmp_path / "i"))
+    for words, k in ((["alpha"], 10), (["alpha", "beta"], 10), (["beta", "alpha", "beta"], 3), (["alpha"], 5000), (["nothing", "beta"], 5)):
+        tree = M.parse(" OR ".join(words))
+        expected = S.ranked(frame, tree).orderBy("rank", "source_table", "ref").limit(k).collect()
+        found = index.best_words(words, k).collect()
+        assert [(r.ref, round(r.rank, 9)) for r in found] == [(r.ref, round(r.rank, 9)) for r in expected], words
+    plan = index.read_plan(["alpha"], ["alpha"], 10)
+    assert plan.read["alpha"] < plan.every["alpha"] and len(plan.read["alpha"]) * 2 <= len(plan.every["alpha"])
+    read = index._postings(index.segments, [("alpha", False)], plan.needed)
+    assert 10 <= read.count() < 1000 and "(tier," in read._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
+
+
+def test_files_and_parts_that_are_read(spark, tmp_path, monkeypatch):
+    from tracewell.operators import textindex
+
+    monkeypatch.setattr(textindex, "TASK_POSTINGS", 8)
+    monkeypatch.setattr(textindex, "FILE_DOCUMENTS", 10)
+    words = [f"{c}{n}" for c in "abcdefgh" for n in range(10)]
+    index = S.StoredIndex.write(documents_of(spark, [(n, " ".join(words[n % 80 : n % 80 + 3])) for n in range(100)]), str(tmp_path / "i"))
+    segment = index.segments[0]
+    every = index.files_of(segment, None)
+    assert len(every) > 4 and len(index.files_of(segment, [("c5", False)])) <= 2 and len(index.files_of(segment, [("h", True)])) < len(every) and index.files_of(segment, [("zzz", False)]) == []
+    assert {r.term for r in index.words_like([("b", True)]).collect()} == {f"b{n}" for n in range(10)}
+    assert "StringStartsWith(term,b)" in index.words_like([("b", True)])._jdf.queryExecution().executedPlan().toString()
+    found = index.with_bodies(S.page(index, M.parse("c5"), 2, bodies=False))
+    assert [r.body.split()[0][0] for r in found.collect()] == ["c", "c"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert segment.parts == 10 and "PartitionFilters: [part" in plan.replace("isnotnull(part#", "part").replace("[isnotnull", "[part") and "In(h" in plan or "EqualTo(h" in plan
+
+
 def test_empty_index_and_broadening(spark):
     index = S.index_of({"t": spark.createDataFrame([(1, "one two"), (2, "one"), (3, None)], "ref long, body string")})
     assert [r.ref for r in S.top(index, "one three").collect()] and S.count_with_fallback(index, "one three").query_broadened
@@ -122,16 +208,50 @@ def test_empty_index_and_broadening(spark):
     assert span.top_rank is None and span.rank_spread is None
 
 
-def test_snippets():
-    words = [f"w{n}" for n in range(300)]
-    text = " ".join(words)
-    shown = S.snippet(text, [M.Phrase(("w150",))])
-    assert shown.startswith("…w119 ") and shown.endswith("w182…") and len(shown.split()) == 64
-    assert S.snippet("short text", [M.Phrase(("short",))]) == "short text"
-    both = S.snippet(text, [M.Phrase(("w50",)), M.Phrase(("w200",)), M.Phrase(("w210",))])
-    assert "w200" in both and "w210" in both and "w50 " not in both
-    sentence = " ".join([*words[:140], words[140] + ".", *words[141:]])
-    assert S.snippet(sentence, [M.Phrase(("w150",))]).startswith("…w141 ")
+def test_snippets_equal_those_of_an_independent_index(spark):
+    rng = random.Random(7)
+    vocabulary, bodies = ["alpha", "beta", "gamma", "delta", "aa", "Café", "x1", "Łódź", "e\u0301t"], []
+    for _ in range(1000):
+        words = [rng.choice(vocabulary if rng.random() < 0.3 else ["zz", "yy", f"w{rng.randrange(50)}"]) for _ in range(rng.choice([1, 5, 40, 64, 65, 66, 100, 200, 400]))]
+        bodies.append("".join(w + rng.choice([" ", " ", " ", ". ", ": ", ".", "\n", "  ", ", ", " .\n"]) for w in words))
+    plain = sqlite3.connect(":memory:")
+    plain.execute("CREATE VIRTUAL TABLE t USING fts5(body)")
+    plain.executemany("INSERT INTO t(rowid, body) VALUES (?, ?)", enumerate(bodies))
+    checked = 0
+    for query in ("aa", "alpha beta", "alpha OR beta OR aa", '"alpha beta" OR gamma', "alph*", "NEAR(alpha beta, 3)", "(alpha AND x1) OR gamma", "gamma NOT x1", "alpha alpha", "cafe OR w1 OR lodz OR łodz", "^alpha OR delta", "NEAR(alpha beta gamma, 5) OR et"):
+        tree = M.parse(query)
+        for ref, shown in plain.execute("SELECT rowid, snippet(t, 0, '', '', '…', 64) FROM t WHERE t MATCH ?", (query,)):
+            assert S.snippet(bodies[ref], tree) == shown, (query, ref)
+            checked += 1
+    assert checked > 3000
+    rows = spark.createDataFrame([(1, "one\ntwo three"), (2, None)], "ref long, body string")
+    found = S.with_snippet(rows, M.parse("three"), "shown", "at").orderBy("ref").collect()
+    assert [(r.shown, r["at"]) for r in found] == [("one\ntwo three", 0), (None, None)]
+
+
+def test_words_equal_those_of_an_independent_index(spark):
+    """Latin, Greek, Cyrillic, Armenian, Hebrew, Devanagari, Hangul, letter-like signs, two planes, private characters and combining marks."""
+    rng = random.Random(5)
+    blocks = ((0x20, 0x250), (0x370, 0x400), (0x400, 0x528), (0x531, 0x557), (0x5D0, 0x5EB), (0x904, 0x940), (0x1E00, 0x2000), (0x2100, 0x2180), (0xAC00, 0xAC80), (0xE000, 0xE010), (0xFF21, 0xFF5A), (0x10400, 0x10450))
+    pool = [chr(c) for low, high in blocks for c in range(low, high) if unicodedata.category(chr(c)) != "Cn" and c != 0x37F]
+    marks = [chr(c) for c in [*T.DROPPED_MARKS, 0x305, 0x30D, 0x340]]
+    char = lambda: rng.choice(pool) if rng.random() < 0.6 else rng.choice("abc ABC -_.") if rng.random() < 0.7 else rng.choice(marks)
+    texts = ["Škoda Łódź őr ŵ", "co\u0301dex", *("".join(char() for _ in range(rng.randrange(0, 30))) for _ in range(5000))]
+    plain = sqlite3.connect(":memory:")
+    plain.execute("CREATE VIRTUAL TABLE t USING fts5(body)")
+    plain.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, 'instance')")
+    plain.executemany("INSERT INTO t(rowid, body) VALUES (?, ?)", enumerate(texts))
+    expected = [[] for _ in texts]
+    for term, ref in plain.execute("SELECT term, doc FROM v ORDER BY doc, offset"):
+        expected[ref].append(term)
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, t string").select("n", T.tokens(F.col("t")).alias("t")).orderBy("n").collect()
+    assert [r.t for r in rows] == expected == [list(M.tokenize(t)) for t in texts]
+    from tracewell.queries.search import TOKENS_OF
+
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE d (n BIGINT, t VARCHAR)")
+        con.executemany("INSERT INTO d VALUES (?, ?)", [(n, t) for n, t in enumerate(texts[:500])])
+        assert [r[0] for r in con.execute(f"SELECT {TOKENS_OF.format('t')} FROM d ORDER BY n").fetchall()] == expected[:500]
 
 
 def test_below_window_pointers(spark):

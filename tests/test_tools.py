@@ -11,19 +11,28 @@ from tracewell.operators import etl, health, hooks, joins, search, tools, worksp
 from tracewell.sources import readers, sinks
 
 
-@pytest.mark.parametrize(("command", "tokens"), [
-    ('grep -n "two words" f.rs', ["grep", "-n", "two words", "f.rs"]), ("a 2>&1 | b", ["a", "2>&1", "|", "b"]), ("a&&b||c;d", ["a", "&&", "b", "||", "c", ";", "d"]), ("grep 'a;b' f", ["grep", "a;b", "f"]), ("", []), ("x 'open", ["x", "open"]),
-])
-def test_shell_tokens(command, tokens):
-    assert hooks.tokenize(command) == tokens
-
-
-@pytest.mark.parametrize(("command", "expected"), [
-    ("grep -rn needle src/", ("needle", ["src"])), ("cd x && rg -t py needle a b/", ("needle", ["a", "b"])), ("cargo test | grep x", (None, [])), ("sudo /usr/bin/grep -e pat f", ("pat", ["f"])),
-    ("grep -rne pat .", ("pat", [])), ("grep -epat d", ("pat", ["d"])), ("grep --regexp=p d", ("p", ["d"])), ("grep -f list d", (None, [])), ("grep foo -f list", ("foo", [])), ("grep -e", (None, [])), ("ls -l", (None, [])), ("grep -A 3 p f", ("p", ["f"])), ("grep", (None, [])),
-])
-def test_searches_of_commands(command, expected):
-    assert hooks.search_of(command) == expected
+TOKENS = {
+    'grep -n "two words" f.rs': ["grep", "-n", "two words", "f.rs"], "a 2>&1 | b": ["a", "2>&1", "|", "b"], "a&&b||c;d": ["a", "&&", "b", "||", "c", ";", "d"], "grep 'a;b' f": ["grep", "a;b", "f"], "": [], "x 'open": ["x", "open"],
+    "a;;b & c''": ["a", ";;", "b", "&", "c"], "x\n\"y\nz\"w '' \"\"": ["x", "y\nzw"],
+}
+
+
+def test_shell_tokens(spark):
+    found = spark.createDataFrame([(c,) for c in TOKENS], "c string").select("c", hooks.tokenize(F.col("c")).alias("t")).collect()
+    assert {r.c: r.t for r in found} == TOKENS
+
+
+SEARCHES = {
+    "grep -rn needle src/": ("needle", ["src"]), "cd x && rg -t py needle a b/": ("needle", ["a", "b"]), "cargo test | grep x": (None, []), "sudo /usr/bin/grep -e pat f": ("pat", ["f"]),
+    "grep -rne pat .": ("pat", []), "grep -epat d": ("pat", ["d"]), "grep --regexp=p d": ("p", ["d"]), "grep -f list d": (None, []), "grep foo -f list": ("foo", []), "grep -e": (None, []), "ls -l": (None, []), "grep -A 3 p f": ("p", ["f"]), "grep": (None, []),
+    "grep a b | rg c d; rg x": ("a", ["b"]), "ls; ack -e one -e two d1 d2/ && rg q": ("one", ["d1", "d2"]), "grep --file=x p d": (None, []), "grep p d --regexp": ("p", []), "rg -- p": ("p", []), "grep 'p q' \"d e/\"": ("p q", ["d e"]), "": (None, []), "ag -m": (None, []),
+}
+
+
+def test_searches_of_commands(spark):
+    rows = spark.createDataFrame([*((c,) for c in SEARCHES), (None,)], "c string").select("c", hooks.search_of(F.col("c")).alias("s"))
+    assert {r.c: (r.s.pattern, r.s.paths) for r in rows.collect()} == {**SEARCHES, None: (None, [])}
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
 def test_scope_goes_before_the_limit(spark):

@@ -10,94 +10,65 @@ from ..functions.text import is_indexable, parent_dir
 from .analytics import order_statistics
 
 MOST_HITS, TOP_FOLDERS, FIRST_LINES = 25, 5, 6
-#: Programs that search, their flags that take a value beside those that carry the pattern, and outcomes that delivered.
+#: Programs that search, their flags that take a value beside those that carry the pattern, and outcomes that delivered.
 SEARCH_TOOLS = ("grep", "rg", "ripgrep", "ack", "ag")
 VALUED_FLAGS = ("-f", "-m", "-A", "-B", "-C", "-t", "-g", "--include", "--exclude", "--exclude-dir", "--max-count", "--type")
 DELIVERED = ("served", "schema_served")
 SEPARATORS = (";", "&&", "||")
 
+#: A command's parts: separators and pipes; or a word, of plain characters (one "&" among them) and quoted stretches, of which the last may lack its end.
+PARTS = r"""&&|\|\||;;|;|\||(?:[^\s"';|&]|&(?!&)|"[^"]*(?:"|\z)|'[^']*(?:'|\z))+"""
+QUOTED = r"""(?s)"([^"]*)(?:"|\z)|'([^']*)(?:'|\z)"""
 
-def tokenize(command: str) -> list[str]:
-    """A command's words and separators; quotes keep their text together, and one "&" alone separates nothing."""
-    found: list[str] = []
-    word, quote, at = "", "", 0
-
-    def close() -> None:
-        nonlocal word
-        if word:
-            found.append(word)
-        word = ""
-
-    while at < len(command):
-        c, pair = command[at], command[at : at + 2]
-        at += 1
-        if quote:
-            quote, word = ("", word) if c == quote else (quote, word + c)
-        elif c in "\"'":
-            quote = c
-        elif c.isspace():
-            close()
-        elif pair in ("&&", "||", ";;"):
-            close()
-            found.append(pair)
-            at += 1
-        elif c in ";|":
-            close()
-            found.append(c)
-        else:
-            word += c
-    close()
-    return found
-
-
-def _searches(command: str) -> list[str] | None:
-    """The arguments of the first statement whose leading program searches; what a pipe feeds doesn't count."""
-    statement: list[str] = []
-    for token in [*tokenize(command), ";"]:
-        if token not in SEPARATORS:
-            statement.append(token)
-            continue
-        head = statement[: statement.index("|")] if "|" in statement else statement
-        head = head[1:] if head[:1] == ["sudo"] else head
-        if head and head[0].rstrip("/").rsplit("/", 1)[-1] in SEARCH_TOOLS:
-            return head[1:]
-        statement = []
-    return None
-
-
-def _given(args: list[str], at: int) -> tuple[str | None, int] | None:
-    """(pattern, arguments used) where a flag carries the pattern; no pattern where it can't be known; None for other arguments."""
-    a, following = args[at], args[at + 1] if at + 1 < len(args) else None
-    if a in ("-f", "--file") or a.startswith("--file="):
-        return None, 1
-    if a.startswith("--regexp="):
-        return a.removeprefix("--regexp="), 1
-    short = a.startswith("-") and not a.startswith("--")
-    if a in ("-e", "--regexp") or (short and len(a) > 2 and a.endswith("e") and not a.startswith("-e")):
-        return following, 2
-    return (a[2:], 1) if short and a.startswith("-e") else None
-
-
-def search_of(command: str) -> tuple[str | None, list[str]]:
-    """The pattern that a command searches for, and the paths that it is restricted to; nothing for other commands."""
-    args = _searches(command)
-    pattern, paths, at = None, [], 0
-    while args is not None and at < len(args):
-        given = _given(args, at)
-        if given:
-            if given[0] is None:
-                return pattern, []
-            pattern, at = pattern if pattern is not None else given[0], at + given[1]
-        elif args[at] in VALUED_FLAGS:
-            at += 2
-        else:
-            if not args[at].startswith("-"):
-                if pattern is None:
-                    pattern = args[at]
-                elif args[at] != ".":
-                    paths.append(args[at].rstrip("/"))
-            at += 1
-    return pattern, paths
+#: How an argument is read, by its form; the first form that fits decides. Forms with a group hold the pattern in it.
+FORMS = (
+    ("hidden", r"\A(?:-f|--file|--file=.*)\z"), ("inline", r"\A--regexp=(.*)\z"), ("next", r"\A(?:-e|--regexp|-(?!e|-).+e)\z"), ("inline", r"\A-e(.+)\z"),
+    ("skips", r"\A(?:" + "|".join(VALUED_FLAGS) + r")\z"), ("flag", r"\A-"), ("word", r""),
+)
+
+
+def tokenize(command: Column) -> Column:
+    """A command's words and separators, quotes taken off and their text kept together."""
+    return F.filter(F.transform(F.regexp_extract_all(command, F.lit(PARTS), F.lit(0)), lambda t: F.regexp_replace(t, QUOTED, "$1$2")), lambda t: t != "")
+
+
+def arguments(command: Column) -> Column:
+    """The arguments of the first statement whose leading program searches, up to a pipe; null for other commands."""
+    marked = F.array_join(F.transform(tokenize(command), lambda t: F.when(t.isin(*SEPARATORS), "\u0002").otherwise(t)), "\u0001")
+    words = lambda statement: F.filter(F.split(statement, "\u0001"), lambda t: t != "")
+    before_pipe = lambda w: F.when(F.array_contains(w, "|"), F.slice(w, F.lit(1), F.array_position(w, "|").cast("int") - 1)).otherwise(w)
+    without_sudo = lambda w: F.when(F.get(w, F.lit(0)) == "sudo", F.slice(w, F.lit(2), F.size(w))).otherwise(w)
+    heads = F.transform(F.split(marked, "\u0002"), lambda s: without_sudo(before_pipe(words(s))))
+    searches = lambda w: F.coalesce(F.regexp_extract(F.get(w, F.lit(0)), r"([^/]*)/*\z", 1).isin(*SEARCH_TOOLS), F.lit(False))
+    found = F.get(F.filter(heads, searches), F.lit(0))
+    return F.slice(found, F.lit(2), F.size(found))
+
+
+def _kind(argument: Column) -> Column:
+    kind = F.lit(None).cast("string")
+    for name, form in reversed(FORMS):
+        kind = F.when(argument.rlike(f"(?s){form}"), name).otherwise(kind)
+    return kind
+
+
+def search_of(command: Column) -> Column:
+    """(pattern, paths): what a command searches for and the paths that it is restricted to; null and none for other commands.
+
+    Arguments are read from the left: one may say that the next one is the pattern or doesn't count. A
+    pattern that a file holds, or that is missing, can't be known; then nothing after it is read and no path is named.
+    """
+    state = F.struct(F.lit(None).cast("string").alias("pattern"), F.array().cast("array<string>").alias("paths"), F.lit("any").alias("expects"))
+
+    def read(s: Column, argument: Column) -> Column:
+        kind = F.when(s["expects"] == "any", _kind(argument)).otherwise(s["expects"])
+        inline = F.regexp_replace(argument, r"\A(?:--regexp=|-e)", "")
+        names_path = (kind == "word") & s["pattern"].isNotNull() & (argument != ".")
+        given = F.when(kind == "inline", inline).when((kind == "word") | (kind == "pattern"), argument)
+        expects = F.when(kind.isin("hidden", "over"), "over").when(kind == "next", "pattern").when(kind == "skips", "ignored").otherwise("any")
+        return F.struct(F.coalesce(s["pattern"], given).alias("pattern"), F.when(names_path, F.concat(s["paths"], F.array(F.rtrim(argument, F.lit("/"))))).otherwise(s["paths"]).alias("paths"), expects.alias("expects"))
+
+    known = lambda s: F.struct(s["pattern"].alias("pattern"), F.when(s["expects"].isin("over", "pattern"), F.array().cast("array<string>")).otherwise(s["paths"]).alias("paths"))
+    return F.aggregate(F.coalesce(arguments(command), F.array().cast("array<string>")), state, read, known)
 
 
 def in_scope(path: Column, scope: list[str]) -> Column:

@@ -1,9 +1,9 @@
 """Ranked full-text search over one index of several corpora.
 
-``StoredIndex`` is the index as tables: postings (source_table, ref, dl, term, positions), partitioned by a
-hash of a term's first characters and ordered by term within a file, documents with their bodies, and
-the statistics of the whole. A query reads the postings of its own words only, evaluates its MATCH tree
-on their positions, ranks, and fetches bodies for the rows of the page.
+``StoredIndex`` (see ``textindex``) is the index as tables. A query reads the postings of its own words only,
+evaluates its MATCH tree on them, ranks, and fetches bodies for the rows of the page. Positions are
+read for phrases, NEAR and ^ only; for other trees a word's frequency will do. A page for any of some words,
+ranked, comes from the highest tiers of their postings.
 
 A frame of documents (source_table, ref, body, tokens, dl), as ``index_of`` makes it, can be searched as
 well, for small corpora and for one query: the same expressions run over each row's tokens, in one scan
@@ -13,20 +13,21 @@ for the statistics and one for the ranking.
 from __future__ import annotations
 
 import math
-import zlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import is_candidate, terms, tokens
 from ..plans import match as M
+from .textindex import B, IDF_FLOOR, K1, StoredIndex
 
-K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 MOST, DEFAULT, SCAN = 50, 10, 40
 NEIGHBOUR_DOCS, NEIGHBOUR_TERMS, NEIGHBOUR_SHARE = 24, 8, 0.6
 
@@ -51,7 +52,7 @@ def spread(rows: DataFrame) -> DataFrame:
 def postings(index: Index) -> DataFrame:
     """source_table, term, ref, tf, positions."""
     if isinstance(index, StoredIndex):
-        return index.postings.select("source_table", "term", "ref", F.size("positions").cast("long").alias("tf"), "positions")
+        return index.postings.select("source_table", "term", "ref", "tf", "positions")
     each = index.select("source_table", "ref", F.posexplode("tokens").alias("pos", "term"))
     return each.groupBy("source_table", "term", "ref").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
@@ -59,7 +60,7 @@ def postings(index: Index) -> DataFrame:
 def vocabulary(index: Index) -> DataFrame:
     """term, df (rows that have it), cf (times it occurs): a row's tokens are counted before they are shuffled."""
     if isinstance(index, StoredIndex):
-        return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("positions").cast("long")).alias("cf"))
+        return index.words_like(None)
     each = index.select(F.explode("tokens").alias("term"), F.struct("source_table", "ref").alias("row"))
     return each.groupBy("row", "term").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
 
@@ -89,8 +90,20 @@ class _Columns:
         return F.array_contains(self.positions(word, prefix), place)
 
 
+class _Counts(_Columns):
+    """How often words occur, from one column for each."""
+
+    def count(self, phrase: M.Phrase) -> Column:
+        return F.col(self.names[_words(phrase)[0]])
+
+
 TOKENS = _Tokens()
-View = _Tokens | _Columns
+View = _Tokens | _Columns | _Counts
+
+
+def count(phrase: M.Phrase, view: View) -> Column:
+    """How often a phrase occurs in a row."""
+    return view.count(phrase) if isinstance(view, _Counts) else F.size(phrase_starts(phrase, view))
 
 
 def _words(phrase: M.Phrase) -> list[tuple[str, bool]]:
@@ -123,18 +136,20 @@ def near_starts(near: M.Near, view: View = TOKENS) -> list[Column]:
 def frequencies(tree: M.Node, view: View = TOKENS) -> list[Column]:
     """How often each of the tree's scored phrases counts in a row; in a NEAR group, where it is near the others."""
     if isinstance(tree, M.Phrase):
-        return [F.size(phrase_starts(tree, view))] if tree.words else []
+        return [count(tree, view)] if tree.words else []
     if isinstance(tree, M.Near):
         return [F.size(s) for s in near_starts(tree, view)]
     if isinstance(tree, M.Not):
         return frequencies(tree.kept, view)
-    return [f for part in tree.parts for f in frequencies(part, view)]
+    # of alternatives, those that a row doesn't satisfy add nothing, whatever words of theirs it has
+    open_ = isinstance(tree, M.Or)
+    return [F.when(matches(part, view), f).otherwise(0) if open_ and not isinstance(part, M.Phrase) else f for part in tree.parts for f in frequencies(part, view)]
 
 
 def matches(tree: M.Node, view: View = TOKENS) -> Column:
     """Whether a row satisfies the tree."""
     if isinstance(tree, M.Phrase):
-        return F.size(phrase_starts(tree, view)) > 0 if tree.words else F.lit(False)
+        return count(tree, view) > 0 if tree.words else F.lit(False)
     if isinstance(tree, M.Near):
         return F.size(near_starts(tree, view)[0]) > 0
     if isinstance(tree, M.Not):
@@ -158,54 +173,32 @@ def words_of(*trees: M.Node) -> list[tuple[str, bool]]:
     return list(found)
 
 
-#: Partitions of stored postings, the characters of a term that decide its partition, and files of a partition at most.
-TERM_PARTS, TERM_HEAD, FILES = 64, 2, 8
-
-
-class StoredIndex:
-    """An index in a folder that outlives the session; see the module's text."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-        self.postings = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
-        self.documents = spark.read.schema(DOCUMENTS).parquet(f"{path}/documents")
-        said = spark.read.schema("n long, avgdl double").parquet(f"{path}/statistics").first()
-        self.n, self.avgdl = said["n"], said["avgdl"] or 1.0
-
-    @classmethod
-    def write(cls, index: DataFrame, path: str) -> StoredIndex:
-        """Writes an index of documents. One shuffle of its postings, by the term's partition and a part of its documents."""
-        each = index.select("source_table", "ref", "dl", F.posexplode("tokens").alias("pos", "term"))
-        rows = each.groupBy("source_table", "ref", "dl", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions")).withColumn("part", _term_part(F.col("term")))
-        dealt = rows.repartition("part", F.pmod(F.xxhash64("source_table", "ref"), F.lit(FILES))).sortWithinPartitions("part", "term")
-        dealt.write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-        index.select("source_table", "ref", "body", "dl").write.mode("overwrite").partitionBy("source_table").parquet(f"{path}/documents")
-        index.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/statistics")
-        return cls(index.sparkSession, path)
-
-    def rows_of(self, words: list[tuple[str, bool]]) -> DataFrame:
-        """source_table, ref, dl and a column of positions for each word, for the documents that have any of them."""
-        asked = F.lit(False)
-        for word, prefix in words:
-            asked = asked | (F.col("term").startswith(word) if prefix else F.col("term") == word)
-        found = self.postings.filter(asked)
-        if all(not prefix or len(word) >= TERM_HEAD for word, prefix in words):
-            found = found.filter(F.col("part").isin(sorted({zlib.crc32(w[:TERM_HEAD].encode()) % TERM_PARTS for w, _ in words})))
-        own = lambda word, prefix: F.when(F.col("term").startswith(word) if prefix else F.col("term") == word, F.col("positions"))
-        return found.groupBy("source_table", "ref", "dl").agg(*(F.sort_array(F.flatten(F.collect_list(own(*w)))).alias(name) for w, name in _Columns(words).names.items()))
-
-    def with_bodies(self, rows: DataFrame) -> DataFrame:
-        """rows (a page of results) with their bodies: only the files of their corpora are read, once."""
-        return self.documents.select("source_table", "ref", "body").join(F.broadcast(rows), ["source_table", "ref"]).select(*rows.columns, "body")
-
-
-POSTINGS = "source_table string, ref long, dl long, term string, positions array<int>, part int"
-DOCUMENTS = "ref long, body string, dl long, source_table string"
 Index = DataFrame | StoredIndex
 
 
-def _term_part(term: Column) -> Column:
-    return (F.crc32(F.substring(term, 1, TERM_HEAD).cast("binary")) % TERM_PARTS).cast("int")
+def rows_of(index: StoredIndex, words: list[tuple[str, bool]], view: View) -> DataFrame:
+    """source_table, ref, dl and what the view needs of each word, for the documents that have any of them."""
+    found = index.postings_of(words)
+    own = lambda word, prefix, column: F.when(F.col("term").startswith(word) if prefix else F.col("term") == word, F.col(column))
+    if isinstance(view, _Counts):
+        columns = [F.coalesce(F.sum(own(*w, "tf")), F.lit(0)).alias(name) for w, name in view.names.items()]
+    else:
+        columns = [F.sort_array(F.flatten(F.collect_list(own(*w, "positions")))).alias(name) for w, name in view.names.items()]
+    return found.groupBy("source_table", "ref", "dl").agg(*columns)
+
+
+def view_of(trees: list[M.Node]) -> View:
+    """Frequencies for trees of single words, positions for others."""
+    words, todo, plain = words_of(*trees), list(trees), True
+    while todo:
+        node = todo.pop()
+        if isinstance(node, M.Phrase):
+            plain &= len(node.words) <= 1 and not node.first
+        elif isinstance(node, M.Near):
+            plain = False
+        else:
+            todo += [node.kept, node.dropped] if isinstance(node, M.Not) else node.parts
+    return _Counts(words) if plain else _Columns(words)
 
 
 @dataclass(frozen=True)
@@ -225,8 +218,14 @@ def statistics(index: Index, phrases: list[M.Phrase], trees: tuple[M.Node, ...]
         words = words_of(*phrases, *trees)
         if not words:
             return Stats(index.n, index.avgdl, (0,) * len(phrases), (0,) * len(trees))
-        view, rows = _Columns(words), index.rows_of(words)
-    asked = [F.count_if(F.size(phrase_starts(p, view)) > 0).alias(f"n{k}") for k, p in enumerate(phrases)] + [F.count_if(matches(t, view) & within).alias(f"m{k}") for k, t in enumerate(trees)]
+        single = [p.words[0] for p in phrases if len(p.words) == 1 and not p.prefix and not p.first]
+        if len(single) == len(phrases) and not any(isinstance(t, M.Not | M.Near | M.And) for t in trees) and (not trees or (keep is None and len(phrases) == 1)):
+            df = {r["term"]: r["df"] for r in index.words_like([(w, False) for w in single]).collect()}  # a row for each word
+            seen = tuple(df.get(w, 0) for w in single)
+            return Stats(index.n, index.avgdl, seen, seen * len(trees))
+        view = view_of([*phrases, *trees])
+        rows = rows_of(index, words, view)
+    asked = [F.count_if(count(p, view) > 0).alias(f"n{k}") for k, p in enumerate(phrases)] + [F.count_if(matches(t, view) & within).alias(f"m{k}") for k, t in enumerate(trees)]
     said = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *asked).first()
     n, avgdl = (index.n, index.avgdl) if isinstance(index, StoredIndex) else (said["n"], said["avgdl"] or 1.0)
     return Stats(n, avgdl, tuple(said[f"n{k}"] for k in range(len(phrases))), tuple(said[f"m{k}"] for k in range(len(trees))))
@@ -241,7 +240,10 @@ def ranked(index: Index, tree: M.Node, keep: Column | None = None, stats: Stats
     phrases = M.phrases_of(tree)
     stats = stats or statistics(index, phrases)
     stored, words = isinstance(index, StoredIndex), words_of(tree)
-    view, rows = (_Columns(words), index.rows_of(words) if words else index.rows_of([("", False)])) if stored else (TOKENS, index)
+    view, rows = TOKENS, index
+    if stored:
+        view = view_of([tree])
+        rows = rows_of(index, words or [("", False)], view)
     found = rows.filter(matches(tree, view) if keep is None else matches(tree, view) & keep)
     counted = found.withColumns({f"__f{k}": f for k, f in enumerate(frequencies(tree, view))})
     rank = F.lit(0.0)
@@ -279,12 +281,17 @@ def best(index: Index, rows: DataFrame, limit: int, bodies: bool = True) -> Data
 
 def top(index: Index, raw: str, limit: int | None = None, broaden: bool = True, keep: Column | None = None, bodies: bool = True) -> DataFrame:
     """The best rows for a query, by rank and key; a query of several words falls back to any of them."""
-    if broaden:
-        counted = count_with_fallback(index, raw, keep)
-        rows = ranked(index, M.parse(counted.match), keep, counted.stats)
-    else:
-        rows = ranked(index, M.parse(M.sanitize(raw)), keep)
-    return best(index, rows, clamp_limit(limit), bodies)
+    counted = count_with_fallback(index, raw, keep) if broaden else None
+    tree = M.parse(counted.match if counted else M.sanitize(raw))
+    return page(index, tree, clamp_limit(limit), keep, counted.stats if counted else None, bodies)
+
+
+def page(index: Index, tree: M.Node, limit: int, keep: Column | None = None, stats: Stats | None = None, bodies: bool = True) -> DataFrame:
+    """The best rows for a tree; where it asks for any of some words, a stored index reads their highest tiers."""
+    parts = [tree] if isinstance(tree, M.Phrase) else tree.parts if isinstance(tree, M.Or) else []
+    if isinstance(index, StoredIndex) and keep is None and parts and all(isinstance(p, M.Phrase) and len(p.words) == 1 and not p.prefix and not p.first for p in parts):
+        return best(index, index.best_words([p.words[0] for p in parts], limit), limit, bodies)
+    return best(index, ranked(index, tree, keep, stats), limit, bodies)
 
 
 def rank_span(rows: DataFrame) -> DataFrame:
@@ -312,15 +319,17 @@ def neighbourhood(index: Index, raw: str) -> DataFrame:
     stats = statistics(index, M.phrases_of(tree), (M.parse(M.sanitize(raw)), tree))
     if stats.matched[1] <= stats.matched[0]:
         return empty
-    read = best(index, ranked(index, tree, stats=stats), NEIGHBOUR_DOCS).select("source_table", "ref", F.array_distinct(terms(F.col("body"))).alias("own"))
+    read = page(index, tree, NEIGHBOUR_DOCS, stats=stats).select("source_table", "ref", F.array_distinct(terms(F.col("body"))).alias("own"))
     local = read.withColumn("n_docs", F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))).select("n_docs", F.explode("own").alias("term"))  # NEIGHBOUR_DOCS rows
     local = local.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("n_docs").alias("n_docs"))
     asked = [t for w in raw.split() for t in M.tokenize(w)]
     local = local.filter((F.col("n") >= 2) & (F.col("n") <= F.ceil(F.col("n_docs") * NEIGHBOUR_SHARE)) & is_candidate(F.col("term")) & ~F.col("term").isin(asked))
     local = F.broadcast(local)  # words of NEIGHBOUR_DOCS documents, in half of them at least two
-    every = index.postings.select("term") if isinstance(index, StoredIndex) else index.select(F.explode(F.array_distinct("tokens")).alias("term"))
-    own = every.join(local, "term", "left_semi")
-    rows = own.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(local, "term", "right")
+    if isinstance(index, StoredIndex):
+        known = index.words_like(None).join(local.select("term"), "term", "left_semi").select("term", "df")  # of the dictionary
+    else:
+        known = index.select(F.explode(F.array_distinct("tokens")).alias("term")).join(local, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rows = known.join(local, "term", "right")
     score = F.col("n") * F.greatest(F.lit(0.0), F.log(F.lit(float(stats.n)) / F.coalesce("df", F.lit(1))))
     return rows.select("term", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "term").limit(NEIGHBOUR_TERMS)
 
@@ -331,46 +340,99 @@ def within_budget(rows: DataFrame, length: str, order: list[str], budget: int, t
     return rows.withColumn(to, F.coalesce(spent, F.lit(0)) < budget)
 
 
-#: Snippets: tokens shown, and what ends a sentence.
+#: Snippets: tokens shown, and what a further phrase, a repetition, the first sentence and another sentence's start are worth.
 SNIPPET_TOKENS = 64
+NEW_PHRASE, REPEATED, FIRST_SENTENCE, SENTENCE = 1000, 1, 120, 100
 
 
-def snippet(text: str, phrases: list[M.Phrase], size: int = SNIPPET_TOKENS) -> str:
-    """The stretch of at most ``size`` tokens that shows most of the phrases, begun at a sentence where one is near."""
-    import re
-
-    spans = [(m.start(), m.end(), M.tokenize(m.group())) for m in re.finditer(r"[^\W_]+", text)]
-    words = [t[0] if t else "" for _, _, t in spans]
-    if len(words) <= size:
-        return text
-    hits = []
-    for k, p in enumerate(phrases):
-        for at in range(len(words) - len(p.words) + 1):
-            if all(words[at + j].startswith(w) if p.prefix and j == len(p.words) - 1 else words[at + j] == w for j, w in enumerate(p.words)):
-                hits.append((at, k, len(p.words)))
-    if not hits:
-        hits = [(0, 0, 1)]
-    starts = [0] + [n for n in range(1, len(words)) if re.search(r"[.:]", text[spans[n - 1][1] : spans[n][0]])]
-    best = (-1, 0)
-    for at, _, span in sorted(hits):
-        sentence = max((s for s in starts if s < at and at - s < size), default=None)
-        inside = [(a, k, n) for a, k, n in hits if a >= at and a + n <= at + size]
-        last = max(a + n for a, k, n in inside) if inside else at + span
-        begin = sentence if sentence is not None and last - sentence <= size else max(0, min(at - (size - (last - at)) // 2, len(words) - size))
-        seen = {k for a, k, n in hits if begin <= a and a + n <= begin + size}
-        if len(seen) > best[0]:
-            best = (len(seen), begin)
-    begin, end = best[1], min(len(words), best[1] + size)
-    return ("…" if begin else "") + text[spans[begin][0] if begin else 0 : spans[end - 1][1] if end < len(words) else len(text)] + ("…" if end < len(words) else "")
-
-
-def with_snippet(rows: DataFrame, tree: M.Node, to: str = "snippet") -> DataFrame:
-    """Adds the snippet of ``body``; for the few rows of a result."""
-    phrases = M.phrases_of(tree)
+def occurrences(tree: M.Node, words: list[str]) -> list[tuple[int, int, int]] | None:
+    """(position, the phrase's number, its words), in order, of the phrases by which a row satisfies the tree; None where it doesn't."""
+    numbers = {id(p): k for k, p in enumerate(M.phrases_of(tree))}
+
+    def phrase(p: M.Phrase) -> list[int]:
+        size = len(p.words)
+        fits = lambda at: all(words[at + k].startswith(w) if p.prefix and k == size - 1 else words[at + k] == w for k, w in enumerate(p.words))
+        return [at for at in range(1 if p.first and words else max(0, len(words) - size + 1)) if at + size <= len(words) and fits(at)]
 
-    @F.pandas_udf("string")
-    def show(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def found(node: M.Node) -> list[tuple[int, int, int]] | None:
+        if isinstance(node, M.Phrase):
+            return [(at, numbers[id(node)], len(node.words)) for at in phrase(node)] or None if node.words else None
+        if isinstance(node, M.Not):
+            return None if found(node.dropped) is not None else found(node.kept)
+        if isinstance(node, M.Near):
+            each = [(p, phrase(p)) for p in node.phrases if p.words]
+            reach = [(at, at + len(p.words) + node.distance) for p, starts in each for at in starts]
+            whole = [(low, high) for low, high in reach if all(any(low <= q <= high for q in starts) for _, starts in each)]
+            kept = [(q, numbers[id(p)], len(p.words)) for p, starts in each for q in starts if any(low <= q <= high for low, high in whole)]
+            return kept or None
+        parts = [found(part) for part in node.parts if not (isinstance(node, M.And) and isinstance(part, M.Phrase) and not part.words)]
+        if not parts or (isinstance(node, M.And) and None in parts):
+            return None
+        return [x for part in parts if part is not None for x in part] or None
+
+    hits = found(tree)
+    return None if hits is None else sorted(hits)
+
+
+class _Sliding:
+    """The phrases inside a window of tokens whose begin only moves on."""
+
+    def __init__(self, hits: list[tuple[int, int, int]], size: int) -> None:
+        self.hits, self.size, self.low, self.high, self.counts = hits, size, 0, 0, Counter[int]()
+
+    def move(self, begin: int) -> tuple[int, int, int]:
+        """The score of the window from a token on, and where its first phrase begins and its last one ends."""
+        while self.high < len(self.hits) and self.hits[self.high][0] < begin + self.size:
+            self.counts[self.hits[self.high][1]] += 1
+            self.high += 1
+        while self.low < self.high and self.hits[self.low][0] < begin:
+            self.counts[self.hits[self.low][1]] -= 1
+            self.low += 1
+        distinct = sum(n > 0 for n in self.counts.values())
+        if self.low == self.high:
+            return 0, begin, begin
+        last = self.hits[self.high - 1]
+        return distinct * NEW_PHRASE + (self.high - self.low - distinct) * REPEATED, self.hits[self.low][0], last[0] + last[2]
+
+
+def snippet_span(text: str, tree: M.Node, size: int = SNIPPET_TOKENS) -> tuple[int, int]:
+    """Where the stretch of ``size`` tokens begins and ends that shows the most distinct phrases, then the most of them.
+
+    Windows begin at a phrase, and are then moved so that its phrases are in the middle; or at the
+    sentence that holds a phrase, which is worth more. The first of equal ones wins. One pass over the phrases.
+    """
+    spans = M.spans(text)
+    hits, n = occurrences(tree, [w for _, _, w in spans]) or [], len(spans)
+    sentences = [0, *(k for k in range(1, n) if re.search(r"[.:][ \t\n\r]+\Z", text[spans[k - 1][1] : spans[k][0]]))]
+    by_phrase, by_sentence, at = _Sliding(hits, size), _Sliding(hits, size), 0
+    best, begin = 0, 0
+    for place, _, _ in hits:
+        score, first, last = by_phrase.move(place)
+        if score > best:
+            middle = first - int((size - (last - first)) / 2)
+            best, begin = score, max(0, min(middle, n - size))
+        while at + 1 < len(sentences) and sentences[at + 1] <= place:
+            at += 1
+        if n > size and sentences[at] < place:
+            score = by_sentence.move(sentences[at])[0] + (FIRST_SENTENCE if sentences[at] == 0 else SENTENCE)
+            if score > best:
+                best, begin = score, sentences[at]
+    return spans[begin][0] if begin else 0, spans[begin + size - 1][1] if begin + size < n else len(text)
+
+
+def snippet(text: str, tree: M.Node, size: int = SNIPPET_TOKENS) -> str:
+    low, high = snippet_span(text, tree, size)
+    return ("…" if low else "") + text[low:high] + ("…" if high < len(text) else "")
+
+
+def with_snippet(rows: DataFrame, tree: M.Node, to: str = "snippet", line: str | None = None) -> DataFrame:
+    """Adds the snippet of ``body``, and the number of the line (from 0) in which it begins; for the few rows of a result."""
+
+    @F.pandas_udf("snippet string, line long")
+    def show(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for bodies in batches:
-            yield bodies.map(lambda b: None if b is None else snippet(b, phrases))
+            shown = [(None, None) if b is None else (snippet(b, tree), b.count("\n", 0, snippet_span(b, tree)[0])) for b in bodies]
+            yield pd.DataFrame(shown, columns=["snippet", "line"])
 
-    return rows.withColumn(to, show("body"))
+    found = rows.withColumn("__shown", show("body")).withColumn(to, F.col("__shown.snippet"))
+    return (found.withColumn(line, F.col("__shown.line")) if line else found).drop("__shown")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import FOLD_FROM, FOLD_TO, expand_identifiers, line_of, tokens
+from ..functions.text import FOLD_FROM, FOLD_TO, WORD, expand_identifiers, line_of, tokens
 from ..operators import etl
 from ..operators import search as S
 from ..plans import match as M
@@ -17,7 +17,7 @@ from ..workers import ship_package
 from .registry import query, removed, scratch, table
 
 #: SQL of the index's tokens and statistics.
-TOKENS_OF = "regexp_extract_all(translate(lower(coalesce({0}, '')), '" + FOLD_FROM + "', '" + FOLD_TO + "'), '[\\p{{L}}\\p{{N}}]+')"
+TOKENS_OF = "regexp_extract_all(translate(coalesce({0}, ''), '" + FOLD_FROM + "', '" + FOLD_TO + "'), '" + WORD.replace("{", "{{").replace("}", "}}") + "')"
 DOCS = f"idx AS (SELECT 'documents' AS source_table, doc_id AS ref, text AS body, {TOKENS_OF.format('text')} AS t FROM documents)"
 UNIFIED = (
     "idx AS ("
@@ -43,13 +43,20 @@ def ranking_sql(index: str, phrases: list[str], condition: str, tail: str, colum
 TOP10 = "ORDER BY ranked.rank, source_table, ref LIMIT 10"
 
 
-#: Folders of the indexes that this session has written, by name and input folder.
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+#: Folders of the indexes that this session has written, by name and the state of the input files.
+_WRITTEN: dict[tuple[str, ...], str] = {}
 
 
-def _stored(spark: SparkSession, name: str, sf_dir: str, build) -> S.StoredIndex:
-    """The index, from the shared folder; written there the first time that the session asks for it, and removed when the session's process ends."""
-    key = (spark.sparkContext.applicationId, name, sf_dir)
+def _state(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of a table's files: what a written index is only good for."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return ";".join(sorted(f"{f.getPath().toString()}:{f.getLen()}:{f.getModificationTime()}" for f in files.listStatus(where)))
+
+
+def stored(spark: SparkSession, name: str, sf_dir: str, tables: tuple[str, ...], build) -> S.StoredIndex:
+    """The index, from the shared folder; written there the first time that the session asks for it on these files, and removed when the session's process ends."""
+    key = (spark.sparkContext.applicationId, name, *(_state(spark, f"{sf_dir}/{t}.parquet") for t in tables))
     if key not in _WRITTEN:
         at = f"{scratch(spark)}/index-{uuid.uuid4().hex}"
         S.StoredIndex.write(build(), at)
@@ -59,11 +66,11 @@ def _stored(spark: SparkSession, name: str, sf_dir: str, build) -> S.StoredIndex
 
 
 def documents_index(spark: SparkSession, sf_dir: str) -> S.StoredIndex:
-    return _stored(spark, "documents", sf_dir, lambda: _documents(spark, sf_dir))
+    return stored(spark, "documents", sf_dir, ("documents",), lambda: _documents(spark, sf_dir))
 
 
 def unified_index(spark: SparkSession, sf_dir: str) -> S.StoredIndex:
-    return _stored(spark, "unified", sf_dir, lambda: _unified(spark, sf_dir))
+    return stored(spark, "unified", sf_dir, ("documents", "conversations", "pages", "benchmark"), lambda: _unified(spark, sf_dir))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +94,7 @@ def _shown(rows: DataFrame) -> DataFrame:
 
 def _found(spark: SparkSession, sf_dir: str, raw: str) -> DataFrame:
     index = documents_index(spark, sf_dir)
-    return _shown(S.best(index, S.ranked(index, M.parse(raw)), 10, bodies=False))
+    return _shown(S.page(index, M.parse(raw), 10, bodies=False))
 
 
 @query(ranking_sql(DOCS, ["t[i] = 'license'", "t[i] = 'version'"], "f0 > 0 AND f1 > 0", TOP10))
@@ -273,13 +280,60 @@ def budgeted_bodies(spark, sf_dir):
     return S.within_budget(rows, "shown_chars", ["rank", "ref"], 16000).select("ref", "shown_chars", "shown")
 
 
-@query()
+#: Snippets of single words: each word found and each sentence that holds one begins a window of 64 words; the best, the first of equal ones, is shown.
+SNIPPETS = r"""r AS (RANKED), p AS (
+    SELECT ref, t, len(t) AS n, regexp_extract_all(body, '[\p{L}\p{N}]+') AS w, regexp_split_to_array(body, '[\p{L}\p{N}]+') AS g FROM r
+), i AS (
+    SELECT *, list_filter(range(0, n), lambda k: list_contains(WORDS, t[k + 1])) AS hits, list_filter(range(0, n), lambda k: k = 0 OR regexp_matches(g[k + 1], '[.:][ \t\n\r]+$')) AS sentences FROM p
+), each AS (SELECT *, unnest(hits) AS o FROM i),
+windows AS (
+    SELECT *, o AS low, 0 AS kind, 0 AS bonus FROM each
+    UNION ALL SELECT * FROM (SELECT *, list_max(list_filter(sentences, lambda f: f <= o)) AS low, 1 AS kind, CASE WHEN list_max(list_filter(sentences, lambda f: f <= o)) = 0 THEN 120 ELSE 100 END AS bonus FROM each WHERE n > 64) WHERE low < o
+), held AS (SELECT *, list_filter(hits, lambda k: k >= low AND k < low + 64) AS inside FROM windows),
+scored AS (
+    SELECT *, bonus + 999 * len(list_distinct(list_transform(inside, lambda k: t[k + 1]))) + len(inside) AS score,
+           CASE WHEN kind = 1 THEN low ELSE greatest(0, least(inside[1] - CAST(trunc((64 - (inside[-1] + 1 - inside[1])) / 2.0) AS BIGINT), n - 64)) END AS begin
+    FROM held
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY ref ORDER BY score DESC, o, kind) = 1)
+SELECT ref, CASE WHEN begin > 0 THEN '…' ELSE '' END
+    || array_to_string(list_transform(range(begin, least(begin + 64, n)), lambda k: CASE WHEN k = begin AND begin > 0 THEN '' ELSE g[k + 1] END || w[k + 1]), '')
+    || CASE WHEN begin + 64 >= n THEN g[n + 1] ELSE '…' END AS snippet
+FROM best"""
+
+
+@query("WITH " + SNIPPETS.replace("WORDS", "['license', 'version']").replace("RANKED", ranking_sql(DOCS, ["t[i] = 'license'", "t[i] = 'version'"], "f0 > 0 AND f1 > 0", TOP10, "ref, body, t").replace("SELECT source_table, ref, body, len(t) AS dl", "SELECT source_table, ref, body, t, len(t) AS dl").replace("SELECT source_table, ref, body, dl, 0", "SELECT source_table, ref, body, t, dl, 0")))
 def snippet_topk(spark, sf_dir):
     ship_package(spark)
     rows = S.top(documents_index(spark, sf_dir), "license version")
     return S.with_snippet(rows, M.parse("license version")).select("ref", "snippet")
 
 
+#: Documents after a change: every fifth text in place of the next one's, every seventh document gone, and new ones.
+CHANGED = (
+    "changed AS (SELECT doc_id, text FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 UNION ALL SELECT doc_id, 'license ' || coalesce(text, '') FROM documents WHERE doc_id % 5 = 0 AND doc_id % 7 <> 0"
+    f" UNION ALL SELECT doc_id + 1000000000, 'version ' || coalesce(lang, '') || ' license' FROM documents WHERE doc_id % 11 = 0), idx AS (SELECT 'documents' AS source_table, doc_id AS ref, text AS body, {TOKENS_OF.format('text')} AS t FROM changed)"
+)
+
+
+def changed_index(spark: SparkSession, sf_dir: str) -> S.StoredIndex:
+    """The documents' index, written, then changed by upserts and a delete; not kept for other queries."""
+    docs = table(spark, sf_dir, "documents")
+    at = f"{scratch(spark)}/index-{uuid.uuid4().hex}"
+    atexit.register(removed, spark, at)
+    written = S.StoredIndex.write(_documents(spark, sf_dir), at)
+    frame = lambda rows, ref, body: S.index_of({"documents": rows.select(ref.alias("ref"), body.alias("body"))})
+    replaced = frame(docs.filter("doc_id % 5 = 0"), F.col("doc_id"), F.concat(F.lit("license "), F.coalesce("text", F.lit(""))))
+    added = frame(docs.filter("doc_id % 11 = 0"), F.col("doc_id") + 1_000_000_000, F.concat(F.lit("version "), F.coalesce("lang", F.lit("")), F.lit(" license")))
+    gone = docs.filter("doc_id % 7 = 0").select(F.lit("documents").alias("source_table"), F.col("doc_id").alias("ref"))
+    return written.upsert(replaced).upsert(added).delete(gone)
+
+
+@query(ranking_sql(CHANGED, ["t[i] = 'license'", "t[i] = 'version'"], "f0 > 0 AND f1 > 0", "", "ref, dl, round(rank, 6) AS rank"))
+def changed_index_search(spark, sf_dir):
+    rows = S.ranked(changed_index(spark, sf_dir), M.parse("license version"))
+    return rows.select("ref", "dl", F.round("rank", 6).alias("rank"))
+
+
 @query(f"WITH {DOCS} SELECT ref, CAST(len(t) AS BIGINT) AS dl, md5(array_to_string(t, ' ')) AS digest FROM idx")
 def tokenized_documents(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), tokens(F.col("text")).alias("t"))

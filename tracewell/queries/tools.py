@@ -141,8 +141,25 @@ def _hits(spark, sf_dir):
 
 @query(f"WITH {_HITS}, l AS (SELECT *, list_filter(string_split(body, chr(10)), lambda x: contains(lower(x), 'license'))[1] AS line FROM hits WHERE {_SCOPED}) SELECT path, md5(line) AS line, rank FROM l WHERE line IS NOT NULL ORDER BY rank, path, ref LIMIT 25")
 def scoped_hook_hits(spark, sf_dir):
-    pattern, scope = hooks.search_of("cd x && grep -rne License src1/ ./x/en | head")
-    return hooks.hits_in_scope(_hits(spark, sf_dir), pattern, scope).select("path", F.md5("line").alias("line"), "rank")
+    found = spark.range(1).select(hooks.search_of(F.lit("cd x && grep -rne License src1/ ./x/en | head")).alias("s")).select("s.*").first()
+    return hooks.hits_in_scope(_hits(spark, sf_dir), found.pattern, found.paths).select("path", F.md5("line").alias("line"), "rank")
+
+
+#: Commands made of a row's columns, and what each of them searches for.
+_COMMANDS = (
+    ("'cd ' || source || ' && grep -rne \"' || coalesce(lang, 'x') || ' y\" ./' || source || '/ .'", "coalesce(lang, 'x') || ' y'", "'./' || source"),
+    ("'rg -t py --regexp=' || source || ' a' || doc_id || '; ls'", "source", "'a' || doc_id"),
+    ("'ls ' || source || ' | grep ' || source", "NULL", "''"),
+    ("'sudo /usr/bin/ag -A 3 ' || source || ' b/ c' || doc_id || ' | head'", "source", "'b,c' || doc_id"),
+    ("'ack ' || source || ' d -f list'", "source", "''"),
+)
+_CASE = lambda k: "CASE " + " ".join(f"WHEN doc_id % 5 = {n} THEN {c[k]}" for n, c in enumerate(_COMMANDS)) + " END"
+
+
+@query(f"SELECT doc_id, {_CASE(1)} AS pattern, {_CASE(2)} AS paths FROM documents")
+def searches_of_commands(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_CASE(0)).alias("command"))
+    return rows.select("doc_id", hooks.search_of(F.col("command")).alias("s")).select("doc_id", "s.pattern", F.array_join("s.paths", ",").alias("paths"))
 
 
 _PLACED = f"{_HITS}, placed AS (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, ref AS pos FROM hits), top AS (SELECT folder, count(*) AS n_hits FROM placed GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)"
