@@ -1,12 +1,13 @@
 """Sharding by a hierarchical weighted hash tree: region, rack, shard.
 
-A row descends from the root. At each level every child draws log(u) / weight, where u in (0, 1) is
-a hash of the row's key and the child; the largest draw wins. A child's draw depends on nothing but
-the key, the child and the child's own weight, so a change of weights moves rows only into or out of
-the subtrees whose weights change.
+Every shard draws log(u) / weight for a row's key, where u in (0, 1) is a hash of the key and the shard.
+A rack draws the best of its shards' draws, a region the best of its racks': that is a weighted draw
+too, of the weights' sum. A row descends from the root to the region, the rack and the shard of the
+largest draw. A subtree's draw depends on nothing but the key and the subtree's own weights, so a change
+of weights moves rows only into or out of the shards whose weights change, whatever lies beside them.
 
-``tree_for(n)`` fills regions of ``racks * shards`` leaves one after another. ``grown`` gives one shard
-more a region of its own, whatever n is, so that growing takes rows into the new shard only.
+``tree_for(n)`` fills racks of SHARDS_PER_RACK and regions of RACKS_PER_REGION one after another. One more
+shard, of any n, takes rows only into itself, and the key and n alone decide where a row is.
 
 Edge cases: a null key is a key of its own; a null text has no bytes (size 8, CRC of the empty text);
 equal rows get different slots of one shard; an empty table gives an empty result; columns beside the
@@ -21,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import one_of
-
 SHARDS, SEED = 24, 20240501
 RACKS_PER_REGION, SHARDS_PER_RACK = 2, 4
 ROW_OVERHEAD = 8
 #: Parts of a shard that are numbered on their own; fixed, so a shard's numbering never meets in one task.
 SLOT_PARTS = 512
+#: Copies of a row that are numbered at once.
+COPIES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -48,51 +49,46 @@ def tree_for(n: int, weights: dict[int, float] | None = None) -> Tree:
     return Tree(tuple((i, total(r)) for i, r in enumerate(by_region)), tuple(by_region), tuple(racks))
 
 
-def grown(tree: Tree, weight: float = 1.0) -> Tree:
-    """The tree with one shard more, in a region and a rack of its own: rows move into the new shard only."""
-    shard = sum(len(kids) for kids in tree.leaves)
-    region, rack = (len(tree.regions), weight), (len(tree.leaves), weight)
-    return Tree((*tree.regions, region), (*tree.racks, (rack,)), (*tree.leaves, ((shard, weight),)))
-
-
-def _literal(levels: tuple[tuple[tuple[int, float], ...], ...]) -> Column:
+def _literal(tree: Tree) -> Column:
+    """regions of racks of shards."""
     node = lambda c: F.struct(F.lit(c[0]).cast("int").alias("id"), F.lit(c[1]).alias("w"))
-    return F.array(*(F.array(*(node(c) for c in kids)) for kids in levels))
+    rack = lambda r: F.array(*(node(c) for c in tree.leaves[r]))
+    return F.array(*(F.array(*(rack(r) for r, _ in tree.racks[region])) for region, _ in tree.regions))
 
 
-def _descend(key: Column, level: str, kids: Column, seed: int) -> Column:
-    """The id of the child with the largest weighted draw; a weight of zero or less never wins."""
+def _descend(key: Column, tree: Tree, seed: int) -> Column:
+    """The shard that the largest draws lead to; a weight of zero or less never wins, the smaller number goes first."""
 
     def draw(c: Column) -> Column:
-        u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), c["id"], key), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+        u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), c["id"], key), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
         return F.struct(F.when(c["w"] > 0, F.log(u) / c["w"]).otherwise(F.lit(float("-inf"))).alias("draw"), (-c["id"]).alias("first"))
 
-    return -F.array_max(F.transform(kids, draw))["first"]
+    best = lambda kids, of: F.array_max(F.transform(kids, of))
+    return -best(_literal(tree), lambda region: best(region, lambda rack: best(rack, draw)))["first"]
 
 
 def with_shard(df: DataFrame, key: Column, tree: Tree, to: str, seed: int = SEED) -> DataFrame:
     """df with the shard of each row's key in column ``to``."""
-    at = lambda levels, i: F.element_at(_literal(levels), i + 1)
-    region, rack = one_of(f"__{to}_region", df.columns), one_of(f"__{to}_rack", df.columns)
-    text = F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit(""))
-    df = df.withColumn(region, _descend(text, "region", at((tree.regions,), F.lit(0)), seed))
-    df = df.withColumn(rack, _descend(text, "rack", at(tree.racks, F.col(region)), seed))
-    return df.withColumn(to, _descend(text, "shard", at(tree.leaves, F.col(rack)), seed)).drop(region, rack)
+    return df.withColumn(to, _descend(F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("")), tree, seed))
 
 
-def with_slots(df: DataFrame, shard: str, spread: Column, order: list[Column], to: str = "slot") -> DataFrame:
-    """Gapless numbers from 0 within each shard.
+def with_slots(df: DataFrame, shard: str, key: list[str], to: str = "slot") -> DataFrame:
+    """Gapless numbers from 0 within each shard, in the order of a hash of key and key itself; df: key, shard.
 
-    A shard's rows are dealt into SLOT_PARTS parts by ``spread``; each part is numbered by itself
-    after the rows of the parts before it, whose counts are the only thing that is gathered.
+    Equal rows are counted before they are numbered, so that copies fill no task. A shard's keys are
+    dealt into SLOT_PARTS parts by their hash; each part is numbered by itself after the rows of the
+    parts before it, whose counts are the only thing that is gathered.
     """
-    part, before = one_of("__slot_part", df.columns), one_of("__slot_before", df.columns)
-    df = df.withColumn(part, F.pmod(F.xxhash64(spread), F.lit(SLOT_PARTS)).cast("int"))
-    counts = df.groupBy(shard, part).agg(F.count(F.lit(1)).alias("n"))
-    ahead = W.partitionBy(shard).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(shard, part, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(before))
-    numbered = df.withColumn(to, F.row_number().over(W.partitionBy(shard, part).orderBy(*order)))
-    return numbered.join(offsets, [shard, part]).withColumn(to, F.col(to) + F.col(before) - 1).drop(part, before)
+    rest = [c for c in df.columns if c not in (shard, *key)]
+    rows = df.groupBy(shard, *key, *rest).agg(F.count(F.lit(1)).alias("__n")).withColumn("__part", F.pmod(F.xxhash64(*key), F.lit(SLOT_PARTS)).cast("int"))
+    ahead = W.partitionBy(shard).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.groupBy(shard, "__part").agg(F.sum("__n").alias("__of"))
+    offsets = counts.select(shard, "__part", F.coalesce(F.sum("__of").over(ahead), F.lit(0)).alias("__before"))
+    inside = W.partitionBy(shard, "__part").orderBy(*key).rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.withColumn("__first", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(offsets, [shard, "__part"]).withColumn("__first", F.col("__first") + F.col("__before"))
+    pieces = placed.withColumn("__at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(COPIES).cast("long"))))  # copies are many at most in pieces
+    each = pieces.withColumn("__k", F.explode(F.sequence("__at", F.least(F.col("__at") + COPIES, F.col("__n")) - 1)))
+    return each.withColumn(to, F.col("__first") + F.col("__k")).select(*df.columns, to)
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, grow: bool = True) -> DataFrame:
@@ -100,11 +96,6 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, gro
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(body) + ROW_OVERHEAD).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
     rows = with_shard(rows, F.col("doc_id"), tree_for(shards), "shard", seed)
-    wider = with_shard(rows, F.col("doc_id"), grown(tree_for(shards)), "grown_shard", seed) if grow else rows.withColumn("grown_shard", F.lit(None).cast("int"))
-    placed = with_slots(wider, "shard", F.col("doc_id"), [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    wider = with_shard(rows, F.col("doc_id"), tree_for(shards + 1), "grown_shard", seed) if grow else rows.withColumn("grown_shard", F.lit(None).cast("int"))
+    placed = with_slots(wider, "shard", ["doc_id", "text_crc32", "size"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
-    """All columns of docs as Parquet, a folder shard=N for each shard; a shard may have several files."""
-    with_shard(docs, F.col("doc_id"), tree_for(shards), "shard", seed).write.partitionBy("shard").parquet(path)
