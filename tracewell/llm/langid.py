@@ -6,8 +6,9 @@ n-grams, N times a language's false-positive rate (its share of set bits to the
 expected without any, so (hits - N rate) / (1 - rate) is its corrected count. The largest decides; the
 score is its share of all languages' corrected counts.
 
-Bounds: learned from about TRAIN_DOCS documents for each language, drawn by a hash, and the first
-TRAIN_CHARS characters of each; a position has a 64-bit word for every 64 languages. An n-gram belongs to a
+Bounds: learned from about TRAIN_DOCS distinct texts for each language, drawn by a hash, and the first
+TRAIN_CHARS characters of each; n-grams are counted on the executors, and those that make a language's
+filter, 1 / LEAST_SHARE at most, come to the driver; a position has a 64-bit word for every 64 languages. An n-gram belongs to a
 language if it makes up LEAST_SHARE of its n-grams and at least LEAST_RATIO of the share that it has
 where it is most frequent.
 
@@ -19,6 +20,7 @@ result; other columns are ignored. Whole texts count, long ones in pieces.
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -26,9 +28,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out, map_batches, texts
+from .common import cut, held_out, map_batches, texts
 
 TRAIN_DOCS, TRAIN_CHARS = 500, 20_000
 GRAMS, HASHES, SLOTS = (3, 4), 3, 1 << 20
@@ -99,39 +102,66 @@ class Filters:
         return self.languages[best], float(fair[best] / fair.sum()) if fair.sum() else 0.0
 
 
-def fit(examples: list[tuple[str, str]]) -> Filters:
-    """Filters of (text, language)."""
-    languages = sorted({lang for _, lang in examples})
-    shares = []
-    for lang in languages:
-        values = [grams(codes_of(text), n)[0] for text, own in examples if own == lang for n in GRAMS]
-        found, counts = np.unique(np.concatenate(values), return_counts=True)
-        shares.append((found, counts / max(1, counts.sum())))
-    every = np.unique(np.concatenate([np.zeros(0, np.uint64), *(found for found, _ in shares)]))
-    most = np.zeros(len(every))
-    for found, share in shares:
-        at = np.searchsorted(every, found)
-        most[at] = np.maximum(most[at], share)
+def counts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a text and how often each occurs."""
+    codes = codes_of(text)
+    return np.unique(np.concatenate([grams(codes, n)[0] for n in GRAMS]), return_counts=True)
+
+
+def filters_of(own: dict[str, np.ndarray]) -> Filters:
+    """Filters of each language's n-grams."""
+    languages = sorted(own)
     slots, rates = np.zeros((SLOTS, -(-len(languages) // 64)), np.uint64), np.zeros(len(languages))
-    for k, (found, share) in enumerate(shares):
-        own = found[(share >= LEAST_SHARE) & (share >= LEAST_RATIO * most[np.searchsorted(every, found)])]
+    for k, lang in enumerate(languages):
         for j in range(HASHES):
-            slots[_slots(own, j), k >> 6] |= np.uint64(1 << (k & 63))
+            slots[_slots(own[lang], j), k >> 6] |= np.uint64(1 << (k & 63))
         rates[k] = np.count_nonzero(slots[:, k >> 6] & np.uint64(1 << (k & 63))) ** HASHES / SLOTS**HASHES
     return Filters(languages, slots, np.minimum(rates, 0.999))
 
 
-def train(docs: DataFrame) -> Filters:
+def fit(examples: list[tuple[str, str]]) -> Filters:
+    """Filters of (text, language), by the rule that ``train`` has for tables."""
+    counts: dict[str, Counter[int]] = {}
+    for text, lang in examples:
+        found, n = counts_of(text)
+        counts.setdefault(lang, Counter()).update(dict(zip(found.tolist(), n.tolist())))
+    share = {lang: {g: n / own.total() for g, n in own.items()} for lang, own in counts.items()}
+    most: dict[int, float] = {}
+    for own in share.values():
+        for g, s in own.items():
+            most[g] = max(s, most.get(g, 0.0))
+    return filters_of({lang: np.array(sorted(g for g, s in own.items() if s >= LEAST_SHARE and s >= LEAST_RATIO * most[g]), np.uint64) for lang, own in share.items()})
+
+
+def sample(docs: DataFrame) -> DataFrame:
+    """lang, text: about TRAIN_DOCS distinct texts of each language, drawn by their hashes, twice as many at most."""
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    counts = known.groupBy("lang").count().orderBy("lang").collect()  # a row for each language
-    if not counts:
-        return Filters([], np.zeros((SLOTS, 0), np.uint64), np.zeros(0))
-    drawn = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    part = F.lit(0.0)
-    for lang, n in counts:
-        part = F.when(F.col("lang") == lang, min(1.0, TRAIN_DOCS / n)).otherwise(part)
-    sample = known.filter(drawn < part).select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text")).orderBy("lang", "text").limit(2 * TRAIN_DOCS * len(counts))
-    return fit([(r.text, r.lang) for r in sample.toLocalIterator()])
+    drawn = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "text"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    rows = known.select("lang", drawn.alias("drawn"), F.substring("text", 1, TRAIN_CHARS).alias("text"))
+    n = rows.select("lang", "drawn").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # copies have one draw
+    few = rows.join(F.broadcast(n), "lang").filter(F.col("drawn") < F.least(F.lit(1.0), F.lit(float(TRAIN_DOCS)) / F.col("n"))).dropDuplicates(["lang", "drawn"])  # n: a row for each language
+    return few.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("drawn"))).filter(F.col("nth") <= 2 * TRAIN_DOCS).select("lang", "text")
+
+
+def train(docs: DataFrame) -> Filters:
+    """Counts n-grams on the executors; those that come back are at most 1 / LEAST_SHARE for each language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
+                found, counts = counts_of(text)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
+
+    counted = map_batches(sample(docs).select("lang", "text"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = cut(counted)
+    languages = [r["lang"] for r in docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")).select("lang").distinct().collect()]
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
+    shares = counted.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))  # a row for each language
+    own = shares.withColumn("most", F.max("share").over(W.partitionBy("gram"))).filter((F.col("share") >= LEAST_SHARE) & (F.col("share") >= LEAST_RATIO * F.col("most")))
+    found: dict[str, list[int]] = {lang: [] for lang in languages}
+    for r in own.select("lang", "gram").toLocalIterator():
+        found[r["lang"]].append(r["gram"])
+    return filters_of({lang: np.array(sorted(g), np.int64).view(np.uint64) for lang, g in found.items()})
 
 
 def identify(docs: DataFrame, filters: Filters | None = None) -> DataFrame:
