@@ -195,10 +195,9 @@ class Segment:
 
 def frequencies(index: DataFrame, terms: set[int]) -> dict[int, int]:
     """Occurrences of each of the terms over the whole index."""
-    each = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy("t.terms").agg(F.sum("t.counts").alias("n"))
-    if index.sparkSession is not None and len(terms) < 1 << 16:
-        each = each.filter(F.col("terms").isin(sorted(terms)))
-    return {t: n for t, n in each.toLocalIterator() if t in terms}
+    asked = index.sparkSession.createDataFrame(pa.table({"term": pa.array(sorted(terms), pa.int64())}))
+    each = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
+    return {r["term"]: r["n"] for r in each.join(F.broadcast(asked), "term").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}  # a block's terms
 
 
 def search(index: DataFrame, items: list[tuple[str | None, bytes]], width: int = WINDOW, slack: int = 0) -> DataFrame:
