@@ -1,10 +1,10 @@
 """Document fingerprints: a canonical exact digest, by built-in functions only.
 
 Canonical form: NFKC, full case folding, NFKC again, runs of white space to one space, ends trimmed.
-Fingerprint: two chained XXH64 values of it, 32 hex digits. Texts are grouped by (hash, canonical
-bytes): the aggregation compares the bytes of the texts that fall into one hash bucket, so two texts
-share a class only if they are equal; partial aggregation collapses a hot group before the shuffle.
-Buckets that hold more than one class get a suffix, "-1", "-2", ..., in the order of the text's SHA-256.
+Fingerprint: two chained XXH64 values of it, 32 hex digits, which depend on the text alone. Texts are
+grouped by (hash, canonical bytes): the aggregation compares the bytes of the texts that fall into one
+hash bucket, so two texts share a class only if they are equal, whatever their fingerprints; partial
+aggregation collapses a hot group before the shuffle.
 
 Likeness of two exact digests is 1 if the digests and the canonical bytes are equal, else 0.
 
@@ -46,17 +46,15 @@ def wide_hash(canon: Column) -> Column:
 
 
 def digest_classes(docs: DataFrame) -> DataFrame:
-    """A row for each class of equal canonical texts in a hash bucket of two rows or more: hash, digest, class_doc_id (smallest), n_class.
+    """A row for each class of equal canonical texts in a hash bucket of two rows or more: hash, check, class_doc_id (smallest), n_class, collides.
 
-    ``digest`` is the hash, with a suffix where the bucket holds several different texts; ``check``
-    is the canonical text's SHA-256, by which a document finds its class in such a bucket.
+    Texts are compared byte by byte within a bucket. ``check`` is the canonical text's SHA-256, by
+    which a document finds its class; ``collides`` says that the bucket holds several different texts.
     """
     rows = docs.select("doc_id", canonical(F.col("text")).alias("canon")).select("doc_id", "canon", wide_hash(F.col("canon")).alias("hash"))
     groups = _in_shared_buckets(rows).groupBy("hash", "canon").agg(F.min("doc_id").alias("class_doc_id"), F.count(F.lit(1)).alias("n_class"))
     checked = groups.select("hash", F.sha2("canon", 256).alias("check"), "class_doc_id", "n_class")
-    bucket = W.partitionBy("hash")
-    placed = checked.select("*", F.count(F.lit(1)).over(bucket).alias("n_in_bucket"), F.row_number().over(bucket.orderBy("check")).alias("nth"))
-    return placed.select("hash", "check", "class_doc_id", "n_class", F.when(F.col("n_in_bucket") > 1, F.concat("hash", F.lit("-"), F.col("nth"))).otherwise(F.col("hash")).alias("digest"), (F.col("n_in_bucket") > 1).alias("collides"))
+    return checked.withColumn("collides", F.count(F.lit(1)).over(W.partitionBy("hash")) > 1)
 
 
 def _in_shared_buckets(rows: DataFrame) -> DataFrame:
@@ -71,7 +69,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", wide_hash(F.col("__canon")).alias("hash"), F.sha2("__canon", 256).alias("check"))
     shared = digest_classes(docs).filter("n_class > 1 or collides")
     found = rows.alias("r").join(shared.alias("c"), (F.col("r.hash") == F.col("c.hash")) & (F.col("r.check") == F.col("c.check")), "left")
-    return found.select("r.doc_id", F.coalesce("c.digest", "r.hash").alias("fingerprint"), F.coalesce("c.class_doc_id", "r.doc_id").alias("class_doc_id"), F.coalesce("c.n_class", F.lit(1)).alias("n_class"))
+    return found.select("r.doc_id", F.col("r.hash").alias("fingerprint"), F.coalesce("c.class_doc_id", "r.doc_id").alias("class_doc_id"), F.coalesce("c.n_class", F.lit(1)).alias("n_class"))
 
 
 def range_of(ids: Column, cuts: list[float]) -> Column:
@@ -120,8 +118,8 @@ def compare(docs: DataFrame) -> DataFrame:
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "hash", "check", "edited_hash", same("edited_hash", "edited").alias("near_edited"), same("next_hash", "next_text").alias("near_next"),
     )
-    shared = digest_classes(docs).filter("n_class > 1 or collides").select("hash", "check", "class_doc_id", "n_class", "digest")
+    shared = digest_classes(docs).filter("n_class > 1 or collides").select("hash", "check", "class_doc_id", "n_class")
     return judged.join(shared, ["hash", "check"], "left").select(
-        "doc_id", "n_chars", "edited_sha256", F.coalesce("digest", "hash").alias("fingerprint"), F.col("edited_hash").alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", F.col("hash").alias("fingerprint"), F.col("edited_hash").alias("edited_fingerprint"),
         "near_edited", "near_next", F.coalesce("class_doc_id", "doc_id").alias("class_doc_id"), F.coalesce("n_class", F.lit(1)).alias("n_class"),
     )
