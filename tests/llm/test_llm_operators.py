@@ -278,21 +278,22 @@ def test_url_training_separates_its_table(spark):
 
 
 def _xx(spark, rows):
-    return {tuple(r)[:4]: r.h for r in spark.createDataFrame(rows, "seed int, level string, id int, key string").selectExpr("*", "xxhash64(seed, level, id, key) AS h").collect()}
+    return {tuple(r)[:3]: r.h for r in spark.createDataFrame(rows, "seed int, id int, key string").selectExpr("*", "xxhash64(seed, id, key) AS h").collect()}
 
 
 def test_shards_match_a_plain_descent(spark):
     rows = [(n, f"text {n % 7}", "en", "s") for n in range(400)]
     found = {r.doc_id: r for r in sharding.shard_documents(documents(spark, rows)).collect()}
-    nodes = [("region", 4), ("rack", 7), ("shard", 25)]
-    hashes = _xx(spark, [(sharding.SEED, level, i, f"={n}") for n in range(400) for level, count in nodes for i in range(count)])
+    hashes = _xx(spark, [(sharding.SEED, i, f"={n}") for n in range(400) for i in range(25)])
 
     def place(n, tree):
-        draw = lambda level, kids: max(kids, key=lambda c: (math.log((((hashes[sharding.SEED, level, c[0], f"={n}"] % (1 << 64)) >> 11) + 0.5) / (1 << 53)) / c[1], -c[0]))[0]
-        return draw("shard", tree.leaves[draw("rack", tree.racks[draw("region", tree.regions)])])
+        draw = lambda c: (math.log((((hashes[sharding.SEED, c[0], f"={n}"] % (1 << 64)) >> 11) + 0.5) / (1 << 53)) / c[1], -c[0])
+        rack = lambda r: max(map(draw, tree.leaves[r[0]]))
+        region = max(tree.regions, key=lambda g: max(map(rack, tree.racks[g[0]])))
+        return max(tree.leaves[max(tree.racks[region[0]], key=rack)[0]], key=draw)[0]
 
     for n in range(400):
-        assert found[n].shard == place(n, sharding.tree_for(24)) and found[n].grown_shard == place(n, sharding.grown(sharding.tree_for(24)))
+        assert found[n].shard == place(n, sharding.tree_for(24)) and found[n].grown_shard == place(n, sharding.tree_for(25))
         assert found[n].grown_shard in (found[n].shard, 24)
         assert found[n].size == len(rows[n][1]) + 8 and found[n].text_crc32 == zlib.crc32(rows[n][1].encode())
     for shard in range(24):
@@ -304,13 +305,29 @@ def test_shards_match_a_plain_descent(spark):
 def test_one_shard_more_takes_rows_only_into_itself(spark, n):
     rows = sharding.shard_documents(documents(spark, [(k, "x", None, None) for k in range(600)]), shards=n).collect()
     assert all(r.grown_shard in (r.shard, n) for r in rows) and any(r.grown_shard == n for r in rows) and max(r.shard for r in rows) < n
+    wider = {r.doc_id: r.shard for r in sharding.shard_documents(documents(spark, [(k, "x", None, None) for k in range(600)]), shards=n + 1).collect()}
+    assert wider == {r.doc_id: r.grown_shard for r in rows}
+
+
+def test_slots_of_copies_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 16)
+    rows = [(7, "same", None, None)] * 90 + [(None, None, None, None)] * 50 + [(n, str(n), None, None) for n in range(40)]
+    found = sharding.shard_documents(documents(spark, rows), shards=3).collect()
+    assert Counter((r.doc_id, r.size) for r in found) == Counter((i, 8 + len(t or "")) for i, t, *_ in rows)
+    for shard in range(3):
+        own = [r.slot for r in found if r.shard == shard]
+        assert sorted(own) == list(range(len(own)))
 
 
 def test_weights_confine_movement(spark):
     docs = spark.range(3000).withColumnRenamed("id", "doc_id")
     place = lambda w, to: sharding.with_shard(docs, F.col("doc_id"), sharding.tree_for(24, w), to)
     rows = place(None, "a").join(place({3: 3.0}, "b"), "doc_id").filter("a <> b").collect()
-    assert rows and all(r.b // 8 == 0 for r in rows)
+    assert rows and all(r.b == 3 for r in rows)
+    less = place(None, "a").join(place({3: 0.2, 4: 0.0}, "b"), "doc_id").filter("a <> b").collect()
+    assert less and all(r.a in (3, 4) and r.b != 4 for r in less)
+    share = {s: place(None, "a").filter(F.col("a").between(8 * s, 8 * s + 7)).count() / 3000 for s in range(3)}
+    assert all(0.28 < x < 0.39 for x in share.values())
     heavy = place({3: 3.0}, "b").filter("b = 3").count()
     assert heavy > 2 * place(None, "a").filter("a = 3").count()
 
@@ -351,6 +368,26 @@ def test_lines_match_brute_force(spark, monkeypatch, hot, most):
     assert found == _removed(rows)
 
 
+@pytest.mark.parametrize(("hot", "most"), [(linededup.HOT, linededup.MOST_POSTINGS), (2, linededup.MOST_POSTINGS), (2, 6)])
+def test_lines_of_null_and_repeated_ids_match_brute_force(spark, monkeypatch, hot, most):
+    """Several texts in one place: each line is compared with what it is itself."""
+    monkeypatch.setattr(linededup, "HOT", hot)
+    monkeypatch.setattr(linededup, "MOST_POSTINGS", most)
+    fixed = [(None, "aa bb cc dd ee"), (None, "v w x y z"), (5, "v w x y z q"), (6, "aa bb cc dd ee ff"), (6, "m n o p q\nm n o p q"), (6, "k\nm n o p q r")]
+    rng = random.Random(hot)
+    base = ["a b c d e f", "g h i j k l", "a b c d e g", "h i j k l m n o"]
+    line = lambda: " ".join(w if rng.random() < 0.9 else rng.choice("xyz") for w in rng.choice(base).split())
+    drawn = [(rng.choice([None, 1, 1, 2, 3, 9]), "\n".join(line() for _ in range(rng.randrange(1, 4)))) for _ in range(25)]
+    for rows in (fixed, drawn):
+        lines = [(-(10**9) if i is None else i, n, x) for i, t in rows for n, x in enumerate(t.split("\n"))]
+        close = lambda x, y: 5 * len(_words(x) & _words(y)) >= 4 * len(_words(x) | _words(y))
+        gone = {(i, n, x) for i, n, x in lines if any((j, m) < (i, n) and close(x, y) for j, m, y in lines)}
+        frame = documents(spark, [(i, t, None, None) for i, t in rows])
+        marked = linededup.marked_lines(frame).groupBy("doc", "line").agg(F.count_if("gone").alias("n")).collect()
+        expected = Counter((i, n) for i, n, x in lines if (i, n, x) in gone)
+        assert {(-(10**9) if r.doc == linededup.NO_ID else r.doc, r.line): r.n for r in marked if r.n} == expected
+
+
 # language
 
 
@@ -377,6 +414,16 @@ def test_more_languages_than_a_word_has_bits():
     assert len(filters.languages) == 70 and all(filters.predict(make(n))[0] == f"l{n:02}" for n in range(70))
 
 
+def test_languages_are_learned_from_tables_as_from_texts(spark):
+    """A language of copies of one row is learned; counts on the executors make the same filters."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    copies = spark.range(1000).select(F.lit(1000).cast("long").alias("doc_id"), F.lit("żółć gęślą jaźń wszystkich językach").alias("text"), F.lit("pl").alias("lang"))
+    rows = docs.unionByName(copies)
+    trained, plain = langid.train(rows), langid.fit([(r.text, r.lang) for r in langid.sample(rows).collect()])
+    assert "pl" in trained.languages and trained.predict("wszystkich językach jaźń")[0] == "pl"
+    assert trained.languages == plain.languages and (trained.slots == plain.slots).all() and (trained.rates == plain.rates).all()
+
+
 def test_language_accuracy_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
@@ -539,8 +586,11 @@ def test_colliding_hashes_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(exact_digest, "wide_hash", lambda canon: F.substring(canon, 1, 1))
     rows = [(1, "ab", None, None), (2, "ac", None, None), (3, "AB", None, None), (4, "b", None, None)]
     found = {r.doc_id: r for r in exact_digest.fingerprints(documents(spark, rows)).collect()}
-    assert found[1].fingerprint == found[3].fingerprint != found[2].fingerprint
-    assert (found[3].class_doc_id, found[2].class_doc_id, found[4].fingerprint) == (1, 2, "b")
+    assert found[1].fingerprint == found[3].fingerprint == found[2].fingerprint == "a"  # a fingerprint depends on its text alone
+    assert (found[3].class_doc_id, found[3].n_class, found[2].class_doc_id, found[2].n_class, found[4].fingerprint) == (1, 2, 2, 1, "b")
+    compared = {r.doc_id: r for r in exact_digest.compare(documents(spark, rows)).collect()}
+    assert {i: (r.fingerprint, r.class_doc_id, r.n_class) for i, r in compared.items()} == {i: (r.fingerprint, r.class_doc_id, r.n_class) for i, r in found.items()}
+    assert compared[3].near_next == 0.0 and {r.edited_fingerprint for r in compared.values()} <= {"a", "b"}
 
 
 def test_next_over_many_ranges(spark, monkeypatch):

@@ -26,7 +26,7 @@ removes are joined with all.
 
 Edge cases: a null text has no lines; a line without words stays; documents with one id count as one,
 whose lines share their numbers, and lines in one place don't remove each other; null ids come first
-in the order; an empty table gives an empty result; other columns are ignored; long lines are whole.
+in the order, and the smallest id there is counts as one; an empty table gives an empty result; other columns are ignored; long lines are whole.
 """
 
 from __future__ import annotations
@@ -310,13 +310,20 @@ def _similar_enough(a, b) -> Column:
     return lengths & after & bitmap
 
 
-PAIR = ("later_doc", "later_line", "early_doc", "early_line")
+KEYS = ["k1", "k2"]
+PAIR = ("later_k1", "later_k2", "early_k1", "early_k2")
 
 
 def _pair(a, b) -> list[Column]:
-    first = lambda x: F.struct(x("doc").alias("doc"), x("line").alias("line"))
+    """Two classes in the order of their places."""
+    first = lambda x: F.struct(*(x(c).alias(c) for c in ("doc", "line", *KEYS)))
     late, early = F.greatest(first(a), first(b)), F.least(first(a), first(b))
-    return [late["doc"].alias("later_doc"), late["line"].alias("later_line"), early["doc"].alias("early_doc"), early["line"].alias("early_line")]
+    return [late["k1"].alias("later_k1"), late["k2"].alias("later_k2"), early["k1"].alias("early_k1"), early["k2"].alias("early_k2")]
+
+
+def _apart(a, b) -> Column:
+    """Whether two classes begin in different places; several documents may have one id."""
+    return (a("doc") != b("doc")) | (a("line") != b("line"))
 
 
 def _joined(probe: DataFrame, index: DataFrame, more) -> DataFrame:
@@ -325,26 +332,29 @@ def _joined(probe: DataFrame, index: DataFrame, more) -> DataFrame:
     return probe.alias("a").join(index.alias("b"), (a("word") == b("word")) & more(a, b) & _similar_enough(a, b)).select(*_pair(a, b)).distinct()
 
 
-def bodies_of(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """doc, line, body, n (words) and a bitmap of the words at the given places (doc, line)."""
-    wanted = cut(places.groupBy("doc").agg(F.collect_set("line").alias("wanted")))  # of one document each
-    few = wanted.count() <= BROADCAST_DOCS
+def bodies_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """k1, k2, body, n (words) and a bitmap of the words of the wanted classes (k1, k2, and the place doc, line of an occurrence)."""
+    places = cut(wanted.groupBy("doc").agg(F.collect_set("line").alias("wanted")))  # of one id each
+    few = places.count() <= BROADCAST_DOCS
     texts = docs.filter("text IS NOT NULL").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
-    joined = texts.join(F.broadcast(wanted) if few else wanted, "doc").select("doc", "wanted", F.split("text", "\n").alias("all"))
-    each = joined.select("doc", F.explode(F.filter("wanted", lambda n: n < F.size("all"))).alias("line"), "all")
-    found = each.groupBy("doc", "line").agg(F.min(F.get("all", F.col("line"))).alias("body"))
+    joined = texts.join(F.broadcast(places) if few else places, "doc").select("wanted", F.split("text", "\n").alias("all"))
+    each = joined.select(F.explode(F.filter("wanted", lambda n: n < F.size("all"))).alias("line"), "all").select(F.get("all", F.col("line")).cast("binary").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, marks = [], np.zeros((batch.num_rows, 64 * SIGNATURE), bool)
-            for k, body in enumerate(batch.column(2)):
+            keys, sizes, marks = [], [], np.zeros((batch.num_rows, 64 * SIGNATURE), bool)
+            for k, body in enumerate(batch.column(0)):
                 words = set(body.as_py().split())
                 sizes.append(len(words))
+                keys.append(xxhash.xxh3_128_intdigest(body.as_py()))
                 marks[k, [xxhash.xxh3_64_intdigest(w) % (64 * SIGNATURE) for w in words]] = True
             longs = np.packbits(marks, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(longs[:, k])) for k in range(SIGNATURE))], ["doc", "line", "body", "n", *_SIGNS])
+            halves = [pa.array([_signed(k >> 64) for k in keys], pa.int64()), pa.array([_signed(k & 0xFFFFFFFFFFFFFFFF) for k in keys], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*halves, batch.column(0), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(longs[:, k])) for k in range(SIGNATURE))], [*KEYS, "body", "n", *_SIGNS])
 
-    return map_batches(found.select("doc", "line", F.col("body").cast("binary").alias("body")), run, "doc long, line int, body binary, n int, " + ", ".join(f"{c} long" for c in _SIGNS))
+    found = map_batches(each, run, "k1 long, k2 long, body binary, n int, " + ", ".join(f"{c} long" for c in _SIGNS))
+    # of the texts in one place, which an id that is repeated or null may have several of, only the wanted ones
+    return found.join(wanted.select(*KEYS).distinct(), KEYS, "left_semi").dropDuplicates(KEYS)
 
 
 def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -353,20 +363,20 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     Wide bitmaps of the lines' words go first, so that few pairs meet their texts: sets that differ in
     d bits share at most half of their sizes' sum less d.
     """
-    place = lambda side: [F.col("doc").alias(f"{side}_doc"), F.col("line").alias(f"{side}_line")]
-    of = lambda side, columns: bodies.select(*place(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
-    signed = pairs.join(of("later", ["n", *_SIGNS]), ["later_doc", "later_line"]).join(of("early", ["n", *_SIGNS]), ["early_doc", "early_line"])
+    key = lambda side: [f"{side}_{c}" for c in KEYS]
+    of = lambda side, columns: bodies.select(*(F.col(c).alias(f"{side}_{c}") for c in (*KEYS, *columns)))
+    signed = pairs.join(of("later", ["n", *_SIGNS]), key("later")).join(of("early", ["n", *_SIGNS]), key("early"))
     differ = sum((F.bit_count(F.col(f"later_{c}").bitwiseXOR(F.col(f"early_{c}"))) for c in _SIGNS), F.lit(0))
     total = F.col("later_n") + F.col("early_n")
     close = signed.filter(total - differ >= 2 * F.ceil(total * 4 / 9)).select(*PAIR)
-    both = close.join(of("later", ["body"]), ["later_doc", "later_line"]).join(of("early", ["body"]), ["early_doc", "early_line"])
+    both = close.join(of("later", ["body"]), key("later")).join(of("early", ["body"]), key("early"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [similar(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5))]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept, pa.bool_())) for c in batch.columns[:4]], list(PAIR))
 
-    return map_batches(both.select(*PAIR, "later_body", "early_body"), run, "later_doc long, later_line int, early_doc long, early_line int")
+    return map_batches(both.select(*PAIR, "later_body", "early_body"), run, ", ".join(f"{c} long" for c in PAIR))
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -377,28 +387,30 @@ def similar(a: bytes, b: bytes) -> bool:
 
 
 def removed_classes(docs: DataFrame, counts: np.ndarray, classes: DataFrame) -> DataFrame:
-    """doc, line: the places of the distinct lines that an earlier line removes."""
+    """k1, k2 of the distinct lines that an earlier line removes."""
     ship_package(docs.sparkSession)
     most = HOT
     matched = staged(blocks(docs, counts).groupBy("shard").applyInArrow(lambda table: match(table, most), MATCHED))
-    at = lambda key: classes.select(F.col("k1").alias(key), F.col("doc").alias(f"{key}_doc"), F.col("line").alias(f"{key}_line"))
+    # a posting has the first half of its line's key; two lines that share it both become candidates
+    at = lambda key: classes.select(F.col("k1").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in (*KEYS, "doc", "line")))
     cold = matched.filter("b IS NOT NULL").select("a", "b").distinct().join(at("a"), "a").join(at("b"), "b")
     side = lambda key: (lambda c: F.col(f"{key}_{c}"))
-    cold = staged(cold.select(*_pair(side("a"), side("b"))).distinct())
-    hot = staged(matched.filter("b IS NULL").dropDuplicates(["word", "a"]).join(at("a"), "a").select("word", F.col("a_doc").alias("doc"), F.col("a_line").alias("line"), "n", "bits", "pos"))
-    places = cold.select(F.explode(F.array(F.struct(F.col("later_doc").alias("doc"), F.col("later_line").alias("line")), F.struct(F.col("early_doc").alias("doc"), F.col("early_line").alias("line")))).alias("p")).select("p.doc", "p.line")
-    bodies = staged(bodies_of(docs, places.unionByName(hot.select("doc", "line")).distinct()))
-    gone = verified(cold, bodies).select(F.col("later_doc").alias("doc"), F.col("later_line").alias("line"))
+    cold = staged(cold.filter(_apart(side("a"), side("b"))).select(*_pair(side("a"), side("b"))).distinct())
+    posted = matched.filter("b IS NULL").dropDuplicates(["word", "a"]).join(at("a"), "a")
+    hot = staged(posted.select("word", *(F.col(f"a_{c}").alias(c) for c in (*KEYS, "doc", "line")), "n", "bits", "pos"))
+    asked = cold.select(F.explode(F.array(*(F.struct(*(F.col(f"{x}_{c}").alias(c) for c in KEYS)) for x in ("later", "early")))).alias("k")).select("k.*")
+    wanted = classes.join(asked.unionByName(hot.select(*KEYS)).distinct(), KEYS, "left_semi")
+    bodies = staged(bodies_of(docs, wanted))
+    later = lambda pairs: verified(pairs, bodies).select(F.col("later_k1").alias("k1"), F.col("later_k2").alias("k2"))
+    gone = later(cold)
     # the words of many lines: the earliest lines first
     if not hot.isEmpty():
-        first = hot.groupBy("word", F.pmod(F.xxhash64("doc", "line"), F.lit(HEADS)).alias("nth")).agg(F.min(F.struct("doc", "line", "n", "bits", "pos")).alias("h"))
+        first = hot.groupBy("word", F.pmod(F.xxhash64(*KEYS), F.lit(HEADS)).alias("nth")).agg(F.min(F.struct("doc", "line", *KEYS, "n", "bits", "pos")).alias("h"))
         heads = cut(first.select("word", "h.*"))
         earlier = lambda a, b: F.struct(b("doc"), b("line")) < F.struct(a("doc"), a("line"))
-        by_heads = verified(_joined(hot, heads, earlier), bodies).select(F.col("later_doc").alias("doc"), F.col("later_line").alias("line"))
-        gone = cut(gone.unionByName(by_heads).distinct())
-        left = hot.join(gone.select(F.col("doc").alias("gone_doc"), F.col("line").alias("gone_line")), (F.col("doc") == F.col("gone_doc")) & (F.col("line") == F.col("gone_line")), "left_anti")
-        found = verified(_joined(left, hot, earlier), bodies).select(F.col("later_doc").alias("doc"), F.col("later_line").alias("line"))
-        gone = gone.unionByName(found)
+        gone = cut(gone.unionByName(later(_joined(hot, heads, earlier))).distinct())
+        left = hot.join(gone, KEYS, "left_anti")
+        gone = gone.unionByName(later(_joined(left, hot, earlier)))
     return gone.distinct()
 
 
@@ -408,8 +420,8 @@ def marked_lines(docs: DataFrame) -> DataFrame:
     lines = lines_of(surveyed)
     classes = staged(classes_of(lines))
     gone = cut(removed_classes(docs, bucket_counts(surveyed), classes)).withColumn("class_gone", F.lit(True))
-    settled = classes.join(gone, ["doc", "line"], "left").select("k1", "k2", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "class_gone")
-    found = lines.join(settled, ["k1", "k2"], "left")
+    settled = classes.join(gone, KEYS, "left").select(*KEYS, F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "class_gone")
+    found = lines.join(settled, KEYS, "left")
     copy = F.struct("first_doc", "first_line") < F.struct("doc", "line")
     return found.select("doc", "line", F.coalesce(F.col("first_doc").isNotNull() & (copy | F.col("class_gone")), F.lit(False)).alias("gone"))
 
