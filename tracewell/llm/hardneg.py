@@ -1,8 +1,8 @@
 """Hard-negative mining by a Voronoi-partition kNN join.
 
 Vectors are rounded down to integers of SCALE steps; a score is their inner product. A vector x, none
-longer than M, gets a coordinate sqrt(M² - |x|²) more and an anchor q a zero, so that their distance is
-sqrt(|q|² + M² - 2 q·x): high scores are near neighbours. Pivots are rows; every anchor belongs to its
+longer than M, gets a coordinate sqrt(M² - |x|²) more; an anchor q gets a zero and the length M, which
+changes none of its orders. Their distance is then sqrt(2 M² - 2 q·x): high scores are near neighbours. Pivots are rows; every anchor belongs to its
 nearest one's cell, and a cell's anchors are a group, in blocks of MOST_ANCHORS. What an anchor still
 needs lies in a shell of distances around it, and by the triangle inequality in a shell around its pivot:
 a candidate goes to the groups whose shells hold it, and there it is joined exactly.
@@ -183,10 +183,12 @@ def _anchor_rows(anchors: DataFrame, space: Space, how: Recipe) -> DataFrame:
             ids, labels, v = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), s.dims)
             bands = batch.column(3).to_pylist() if negative else [None] * len(ids)
             ends = np.array([reach(s, own, ids[k], labels[k], bands[k]) for k, own in enumerate(v)])
-            d, norms = s.distances(v, False), (v * v).sum(1)
+            norms = (v * v).sum(1)
+            scale = np.sqrt(s.top / np.where(norms > 0, norms, s.top or 1.0))
+            d = s.distances(v * scale[:, None], False)
             cell = d.argmin(1)
             from_pivot = d[np.arange(len(cell)), cell]
-            far, near = s.away(norms, ends[:, 0]), s.away(norms, ends[:, 1])
+            far, near = (s.away(norms * scale**2, ends[:, k] * scale) for k in (0, 1))
             slack = 1e-6 * (1 + s.top**0.5)  # of the distances' rounding
             shell = (np.maximum(np.maximum(near - from_pivot, from_pivot - far), 0) - slack, from_pivot + far + slack)
             keys = [xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63) for own in v]
@@ -309,11 +311,11 @@ def _joined(asked: DataFrame, served: DataFrame, dims: int, how: Recipe, negativ
             for k in range(at, min(at + 256, len(ids))):
                 own = (other_labels != labels[k]) if negative else (other_labels == labels[k]) & (other != ids[k])
                 if negative:  # what no band holds goes first
-                    own &= (scores[k - at] * 100 <= how.high * bands[k].max()) & (scores[k - at] * 100 >= how.low * bands[k].min())
+                    own &= (scores[k - at] * 100 <= how.high * int(bands[k].max())) & (scores[k - at] * 100 >= how.low * int(bands[k].min()))
                 places = np.flatnonzero(own)
                 mine = scores[k - at][places]
                 key = xxhash.xxh64_intdigest(v[k].tobytes()) - (1 << 63)
-                for p in bands[k] if negative else (None,):
+                for p in bands[k].tolist() if negative else (None,):
                     inside = places if p is None else places[(mine * 100 >= how.low * p) & (mine * 100 <= how.high * p)]
                     best = inside[_best(scores[k - at][inside], how.negatives if negative else how.partners)]
                     found += [(ids[k], labels[k], key, other[x], scores[k - at][x], p) for x in best]

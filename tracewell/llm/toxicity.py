@@ -12,7 +12,8 @@ the inverse root of the landmarks' own kernel matrix, and a linear machine with
 trained on it. A witness is an example of either class, weighing as many documents of that class as have
 it (copies count once); altered witnesses are further toxic examples, other units of clean documents clean
 ones, and those that a machine rates highest join the next round's. A document's score is a logistic
-function of its TOP highest margins, calibrated on other documents and on their worst sentences.
+function of its TOP highest margins. Two machines are trained, one on either half of the documents, and
+calibrated on the other half's documents and their worst sentences; their mean is the model.
 
 The machine is linear in kernels with the landmarks, so its margin is one number for each subsequence:
 scoring is a look-up for every triple of letters within SPAN, in time linear in the text. A unit's norm
@@ -235,9 +236,7 @@ def unit_sets(found: list[str]) -> list[set[str]]:
 
 
 def near_groups(bags: list[set[str]]) -> list[int]:
-    """A group's number for each bag: bags that share many of their rarer units, as copies and near copies do, are one."""
-    seen = Counter(u for b in bags for u in b)
-    rare = [{u for u in b if seen[u] <= max(2, len(bags) // 50)} for b in bags]
+    """A group's number for each bag: bags that share half of their units, as copies and near copies do, are one."""
     roots = list(range(len(bags)))
 
     def root(k: int) -> int:
@@ -247,13 +246,13 @@ def near_groups(bags: list[set[str]]) -> list[int]:
 
     for seed in range(DRAWS):
         alike: dict[str, list[int]] = {}
-        for k, bag in enumerate(rare):
+        for k, bag in enumerate(bags):
             if bag:
                 alike.setdefault(min(bag, key=lambda u: xxhash.xxh64_intdigest(u, seed)), []).append(k)  # noqa: B023
         for group in alike.values():
             for at, k in enumerate(group):
                 for other in group[:at]:
-                    if root(k) != root(other) and len(rare[k] & rare[other]) * 4 >= len(rare[k] | rare[other]):
+                    if root(k) != root(other) and len(bags[k] & bags[other]) * 3 >= len(bags[k]) + len(bags[other]):
                         roots[root(k)] = root(other)
     return [root(k) for k in range(len(bags))]
 
@@ -310,44 +309,58 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, need: np.ndarray) -
     return w[:-1], float(w[-1])
 
 
-def fit(examples: list[tuple[str, int]]) -> ToxicityModel:
-    """A model of (text, 0 or 1); a third of the examples only sets the calibration."""
-    y = np.array([t for _, t in examples], np.int64)
-    share = float(y.mean()) if len(y) else 0.0
-    if len(set(y)) < 2:
-        return ToxicityModel(constant=share)
-    aside = np.arange(len(y)) % 3 == 2
-    bags, known = unit_sets([t for (t, _), a in zip(examples, aside) if not a]), y[~aside]
-    clean, toxic, n0, n1 = supports(bags, known)
-    found = witnesses(clean, toxic, n0, n1)
-    if not found:
-        return ToxicityModel(constant=share)
-    common = sorted((set(clean) | set(toxic)) - set(found), key=lambda u: (-clean.get(u, 0) - toxic.get(u, 0), u))
-    landmarks = _dense(found + common[: LANDMARKS - len(found)])
+def _trained(found: list[str], y: np.ndarray) -> ToxicityModel | None:
+    """A machine of labelled texts, not calibrated; none where no unit tells toxic texts from others."""
+    bags = unit_sets(found)
+    clean, toxic, n0, n1 = supports(bags, y)
+    sure = witnesses(clean, toxic, n0, n1)
+    if not sure:
+        return None
+    common = sorted((set(clean) | set(toxic)) - set(sure), key=lambda u: (-clean.get(u, 0) - toxic.get(u, 0), u))
+    landmarks = _dense(sure + common[: LANDMARKS - len(sure)])
     values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
     kept = values > 1e-4
     root = vectors[:, kept] / np.sqrt(values[kept])  # the landmarks' kernel matrix to the power of -1/2
 
     rng = np.random.default_rng(SEED)
-    near = {v: u for u in found if not clean.get(u) for v in altered(u, rng) if v not in clean and v not in toxic}
-    rest = sorted(set(clean) - set(found))
-    need = np.array([np.log((toxic[u] + 0.5) / n1 * n0 / (clean.get(u, 0) + 0.5)) / 2 for u in found])  # the surer a witness, the wider its margin
-    hard, model = np.arange(len(rest))[:: max(1, len(rest) // 2000)], ToxicityModel()
+    near = {v: u for u in sure if not clean.get(u) for v in altered(u, rng) if v not in clean and v not in toxic}
+    rest = sorted(set(clean) - set(sure))
+    need = np.array([np.log((toxic[u] + 0.5) / n1 * n0 / (clean.get(u, 0) + 0.5)) / 2 for u in sure])  # the surer a witness, the wider its margin
+    wide = np.concatenate([need, NEAR * np.array([need[sure.index(u)] for u in near.values()])])
+    hard, model = np.arange(len(rest))[:: max(1, len(rest) // 2000)], None
     for _ in range(ROUNDS):
-        own = kernels([*found, *near, *(rest[k] for k in hard)], landmarks).astype(np.float64) @ root
-        x = np.vstack([own, own[: len(found)]])  # a witness that clean documents have too is an example of both classes
-        z = np.concatenate([np.ones(len(found) + len(near)), -np.ones(len(hard) + len(found))])
-        weight = [*(toxic[u] for u in found), *(1 for _ in near), *(1 for _ in hard), *(clean.get(u, 0) for u in found)]
-        w, bias = _machine(x, z, COST * np.array(weight, np.float64), np.concatenate([need, NEAR * np.array([need[found.index(u)] for u in near.values()]), np.ones(len(hard) + len(found))]))
+        own = kernels([*sure, *near, *(rest[k] for k in hard)], landmarks).astype(np.float64) @ root
+        x = np.vstack([own, own[: len(sure)]])  # a witness that clean documents have too is an example of both classes
+        z = np.concatenate([np.ones(len(wide)), -np.ones(len(hard) + len(sure))])
+        weight = [*(toxic[u] for u in sure), *(1 for _ in near), *(1 for _ in hard), *(clean.get(u, 0) for u in sure)]
+        w, bias = _machine(x, z, COST * np.array(weight, np.float64), np.concatenate([wide, np.ones(len(hard) + len(sure))]))
         model = ToxicityModel(((root @ w) @ landmarks.astype(np.float64)).astype(np.float32), bias)
         hard = np.union1d(hard, np.argsort(-model.unit_margins(rest), kind="stable")[:1000])
-    texts_of = [t for (t, _), a in zip(examples, aside) if a]
-    margins = np.concatenate([own for piece in pieces(iter(texts_of)) for own in [model.margins(piece)[0]]])
-    worst = np.stack([own[own.sum(1).argmax()] for t in texts_of for own in [model.margins(SENTENCE.split(t))[0]]])  # a text's label is its worst sentence's too
-    model.slopes, model.shift = _calibrated(summary(np.concatenate([margins, worst])), np.concatenate([y[aside], y[aside]]))
     return model
 
 
+def fit(examples: list[tuple[str, int]]) -> ToxicityModel:
+    """A model of (text, 0 or 1): the mean of two machines, one of either half, calibrated on the half that each hasn't seen."""
+    y = np.array([t for _, t in examples], np.int64)
+    share = float(y.mean()) if len(y) else 0.0
+    if len(set(y)) < 2:
+        return ToxicityModel(constant=share)
+    halves = [np.flatnonzero(np.arange(len(y)) % 2 == k) for k in (0, 1)]
+    machines = [_trained([examples[k][0] for k in half], y[half]) for half in halves]
+    margins, seen = [], []
+    for machine, other in zip(machines, reversed(halves)):
+        if machine:
+            unseen = [examples[k][0] for k in other]
+            margins += [machine.margins(piece)[0] for piece in pieces(iter(unseen))]
+            margins.append(np.stack([own[own.sum(1).argmax()] for t in unseen for own in [machine.margins(SENTENCE.split(t))[0]]]))  # a text's label is its worst sentence's too
+            seen += [y[other], y[other]]
+    if not seen:
+        return ToxicityModel(constant=share)
+    found = [m for m in machines if m]
+    slopes, shift = _calibrated(summary(np.concatenate(margins)), np.concatenate(seen))
+    return ToxicityModel(sum(m.weights for m in found) / np.float32(len(found)), sum(m.bias for m in found) / len(found), slopes, shift)
+
+
 def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Slopes, none negative, and shift of a logistic function, of least cross-entropy with a small ridge."""
     used = np.ones(x.shape[1], bool)
