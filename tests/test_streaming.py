@@ -1,5 +1,7 @@
 """File streams: merges that take each key once, late rows, counters."""
 
+import pytest
+
 from tracewell.streaming.ingest import Table, WatcherState, applied, is_live, progress_counts, route, start_merge, stop, windowed
 
 
@@ -77,3 +79,40 @@ def test_stop_waits_for_what_there_is(spark, tmp_path):
     query = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).start()
     query.processAllAvailable()
     assert not stop(query) and not query.isActive
+
+
+def test_a_lost_driver_leaves_the_table(spark, tmp_path, monkeypatch):
+    """Lost before the new base is complete, or before what it stands for is gone: the rows are those before or after the delete."""
+    table = Table(spark, str(tmp_path / "t"), ["k"])
+    frame = lambda rows: spark.createDataFrame(rows, "k long, v string")
+    keys = lambda: sorted(r.k for r in Table(spark, table.path, ["k"]).read().collect())
+    for n in range(3):
+        table.add(n, frame([(2 * n, "a"), (2 * n + 1, "b")]), ["v"])
+
+    def lost(*_):
+        raise RuntimeError("the driver is lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(Table, "_write", lost)
+        with pytest.raises(RuntimeError):
+            table.delete(frame([(1, "")]))
+    assert keys() == [0, 1, 2, 3, 4, 5]
+    class Kept:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return lost if name == "delete" else getattr(self.fs, name)
+
+    with monkeypatch.context() as m:
+        m.setattr(table, "fs", Kept(table.fs))
+        with pytest.raises(RuntimeError):
+            table.delete(frame([(1, "")]))
+    assert keys() == [0, 2, 3, 4, 5]
+    table.delete(frame([(4, "")]))
+    table.add(1, frame([(1, "again")]), ["v"])  # a version that the base stands for
+    assert keys() == [0, 2, 3, 5]
+    table.add(3, frame([(1, "new"), (0, "old")]), ["v"])
+    table.compact(1)
+    table.delete(frame([(k, "") for k in range(9)]))
+    assert keys() == [] if Table(spark, table.path, ["k"]).read() is not None else True

@@ -211,8 +211,8 @@ class Stats:
     matched: tuple[int, ...]
 
 
-def statistics(index: Index, phrases: list[M.Phrase], trees: tuple[M.Node, ...] = (), keep: Column | None = None) -> Stats:
-    """One pass over the index, or over the words' postings; ``keep`` only restricts which rows count as matches."""
+def statistics(index: Index, phrases: list[M.Phrase], trees: tuple[M.Node, ...] = (), keep: Column | None = None, scope: DataFrame | None = None) -> Stats:
+    """One pass over the index, or over the words' postings; ``keep``, which may name columns of ``scope`` (ref, ...), only restricts which rows count as matches."""
     within, view, rows = F.lit(True) if keep is None else keep, TOKENS, index
     if isinstance(index, StoredIndex):
         words = words_of(*phrases, *trees)
@@ -225,13 +225,14 @@ def statistics(index: Index, phrases: list[M.Phrase], trees: tuple[M.Node, ...]
             return Stats(index.n, index.avgdl, seen, seen * len(trees))
         view = view_of([*phrases, *trees])
         rows = rows_of(index, words, view)
+    rows = rows if scope is None else rows.join(scope, "ref", "left")
     asked = [F.count_if(count(p, view) > 0).alias(f"n{k}") for k, p in enumerate(phrases)] + [F.count_if(matches(t, view) & within).alias(f"m{k}") for k, t in enumerate(trees)]
     said = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *asked).first()
     n, avgdl = (index.n, index.avgdl) if isinstance(index, StoredIndex) else (said["n"], said["avgdl"] or 1.0)
     return Stats(n, avgdl, tuple(said[f"n{k}"] for k in range(len(phrases))), tuple(said[f"m{k}"] for k in range(len(trees))))
 
 
-def ranked(index: Index, tree: M.Node, keep: Column | None = None, stats: Stats | None = None) -> DataFrame:
+def ranked(index: Index, tree: M.Node, keep: Column | None = None, stats: Stats | None = None, scope: DataFrame | None = None) -> DataFrame:
     """source_table, ref, dl and the BM25 ``rank`` (the lower, the better) of the matching rows; with body and tokens where the index is a frame.
 
     Rows, mean length and phrase frequencies are those of the whole index; ``keep`` only decides which
@@ -244,6 +245,7 @@ def ranked(index: Index, tree: M.Node, keep: Column | None = None, stats: Stats
     if stored:
         view = view_of([tree])
         rows = rows_of(index, words or [("", False)], view)
+    rows = rows if scope is None else rows.join(scope, "ref", "left")
     found = rows.filter(matches(tree, view) if keep is None else matches(tree, view) & keep)
     counted = found.withColumns({f"__f{k}": f for k, f in enumerate(frequencies(tree, view))})
     rank = F.lit(0.0)
@@ -262,12 +264,12 @@ class Counted:
     stats: Stats
 
 
-def count_with_fallback(index: Index, raw: str, keep: Column | None = None) -> Counted:
+def count_with_fallback(index: Index, raw: str, keep: Column | None = None, scope: DataFrame | None = None) -> Counted:
     """Matches of all words, or of any where none has all; both are counted in one pass, with the statistics of either."""
     plain = M.sanitize(raw)
     wide = M.broadened(raw, plain)
     trees = [M.parse(plain), *([M.parse(wide)] if wide else [])]
-    stats = statistics(index, M.phrases_of(trees[0]), tuple(trees), keep)  # the wide tree has the same phrases
+    stats = statistics(index, M.phrases_of(trees[0]), tuple(trees), keep, scope)  # the wide tree has the same phrases
     if wide and stats.matched[0] == 0 and stats.matched[1] > 0:
         return Counted(wide, stats.matched[1], True, stats)
     return Counted(plain, stats.matched[0], False, stats)
@@ -305,7 +307,7 @@ def also_matched(rows: DataFrame, limit: int) -> DataFrame:
     return below.groupBy("path").agg(F.min_by("match_line", "pos").alias("match_line"), F.count(F.lit(1)).alias("matches"), F.min("pos").alias("first_pos"))
 
 
-def neighbourhood(index: Index, raw: str) -> DataFrame:
+def neighbourhood(index: Index, raw: str, keep: Column | None = None) -> DataFrame:
     """term, score: words that the best rows for any of the query's words share and the index as a whole doesn't.
 
     Nothing unless more rows have any word than have what the query asks for.
@@ -316,10 +318,10 @@ def neighbourhood(index: Index, raw: str) -> DataFrame:
     if wide is None:
         return empty
     tree = M.parse(wide)
-    stats = statistics(index, M.phrases_of(tree), (M.parse(M.sanitize(raw)), tree))
+    stats = statistics(index, M.phrases_of(tree), (M.parse(M.sanitize(raw)), tree), keep)
     if stats.matched[1] <= stats.matched[0]:
         return empty
-    read = page(index, tree, NEIGHBOUR_DOCS, stats=stats).select("source_table", "ref", F.array_distinct(terms(F.col("body"))).alias("own"))
+    read = page(index, tree, NEIGHBOUR_DOCS, keep, stats).select("source_table", "ref", F.array_distinct(terms(F.col("body"))).alias("own"))
     local = read.withColumn("n_docs", F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))).select("n_docs", F.explode("own").alias("term"))  # NEIGHBOUR_DOCS rows
     local = local.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("n_docs").alias("n_docs"))
     asked = [t for w in raw.split() for t in M.tokenize(w)]
@@ -431,7 +433,7 @@ def with_snippet(rows: DataFrame, tree: M.Node, to: str = "snippet", line: str |
     @F.pandas_udf("snippet string, line long")
     def show(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for bodies in batches:
-            shown = [(None, None) if b is None else (snippet(b, tree), b.count("\n", 0, snippet_span(b, tree)[0])) for b in bodies]
+            shown = [(None, None) if b is None else (snippet(b, tree), b.count("\n", 0, b.find(b[slice(*snippet_span(b, tree))]))) for b in bodies]
             yield pd.DataFrame(shown, columns=["snippet", "line"])
 
     found = rows.withColumn("__shown", show("body")).withColumn(to, F.col("__shown.snippet"))

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_like
+from ..functions.text import contains_like, summarize
 from ..plans import match as M
+from ..workers import ship_package
 from . import search as S
 from .joins import since
 
@@ -24,12 +25,13 @@ DOC_BODY, DOC_BUDGET, CODE_BODY, CODE_BUDGET = 1200, 16_000, 2000, 20_000
 
 @dataclass(frozen=True)
 class Envelope:
-    """results: the shown rows; also_matched: files that only rows below the limit have; the rest in one row of ``summary``."""
+    """results: the shown rows; also_matched: files that only rows below the limit have; neighbourhood: words that the best rows share; the rest in one row of ``summary``."""
 
     tool: str
     results: DataFrame
     summary: DataFrame
     also_matched: DataFrame | None = None
+    neighbourhood: DataFrame | None = None
 
 
 def words_of(raw: str) -> str:
@@ -43,15 +45,15 @@ def within(corpus: str, repo: str | None = None) -> Column:
     return keep if repo is None else keep & contains_like(F.col("repo_path"), repo)
 
 
-def _found(index: DataFrame, raw: str, keep: Column, order: list[Column], rows: DataFrame, how: str, most: int) -> tuple[S.Counted, DataFrame]:
+def _found(index: S.Index, raw: str, keep: Column, order: list[Column], rows: DataFrame, how: str, most: int, scope: DataFrame | None = None) -> tuple[S.Counted, DataFrame]:
     """What was counted, and the best rows with their own columns and ``pos`` (from 1)."""
-    counted = S.count_with_fallback(index, raw, keep)
-    ranked = S.ranked(index, M.parse(counted.match), keep, counted.stats).select("source_table", "ref", "rank")
+    counted = S.count_with_fallback(index, raw, keep, scope)
+    ranked = S.ranked(index, M.parse(counted.match), keep, counted.stats, scope).select("source_table", "ref", "rank")
     joined = ranked.join(rows, "ref", how).orderBy(*order).limit(most)
     return counted, joined.withColumn("pos", F.row_number().over(W.orderBy(*order)))  # of ``most`` rows
 
 
-def _summary(index: DataFrame, corpus: str, tool: str, counted: S.Counted, shown: DataFrame, chars: Column, clock: tuple[DataFrame, str] | None) -> DataFrame:
+def _summary(index: S.Index, corpus: str, tool: str, counted: S.Counted, shown: DataFrame, chars: Column, clock: tuple[DataFrame, str] | None) -> DataFrame:
     """tool, total_matched, returned, query_broadened, returned_full_tokens, top_rank, rank_spread, corpus_empty, corpus_indexed_through.
 
     The last two are looked up where nothing was found, and null otherwise.
@@ -59,23 +61,23 @@ def _summary(index: DataFrame, corpus: str, tool: str, counted: S.Counted, shown
     said = shown.agg(F.count(F.lit(1)).alias("returned"), F.floor(F.coalesce(F.sum(chars), F.lit(0)) / 4).alias("returned_full_tokens"), F.min("rank").alias("top_rank"), (F.max("rank") - F.min("rank")).alias("rank_spread"))
     empty, through = F.lit(None).cast("boolean"), F.lit(None).cast("long")
     if counted.total == 0:
-        probe = (clock[0].agg(F.count(F.lit(1)).alias("n"), F.max(clock[1]).cast("long").alias("at")) if clock else index.filter(F.col("source_table") == corpus).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("long").alias("at"))).first()
+        probe = (clock[0].agg(F.count(F.lit(1)).alias("n"), F.max(clock[1]).cast("long").alias("at")) if clock else (index.documents if isinstance(index, S.StoredIndex) else index).filter(F.col("source_table") == corpus).limit(1).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("long").alias("at"))).first()
         empty, through = F.lit(probe["n"] == 0), F.lit(probe["at"]).cast("long")
     return said.select(F.lit(tool).alias("tool"), F.lit(counted.total).cast("long").alias("total_matched"), "returned", F.lit(counted.query_broadened).alias("query_broadened"), "returned_full_tokens", "top_rank", "rank_spread", empty.alias("corpus_empty"), through.alias("corpus_indexed_through"))
 
 
-def find_session(index: DataFrame, edges: DataFrame, commits: DataFrame, raw: str, limit: int | None = None) -> Envelope:
+def find_session(index: S.Index, edges: DataFrame, commits: DataFrame, raw: str, limit: int | None = None) -> Envelope:
     """Edits by rank, then the newest; edges: ref, edited_at, rationale, commit_id, ...; commits: commit_id, commit_hash, message_summary."""
     rows = edges.join(commits, "commit_id", "left")
     counted, best = _found(index, words_of(raw), within("session_edges"), [F.col("rank"), F.desc("edited_at"), F.col("ref")], rows, "inner", S.clamp_limit(limit))
     return Envelope("find_session", best, _summary(index, "session_edges", "find_session", counted, best, F.length("rationale"), (edges, "edited_at")))
 
 
-def find_commit(index: DataFrame, commits: DataFrame, repos: DataFrame, raw: str, limit: int | None = None, repo: str | None = None) -> Envelope:
+def find_commit(index: S.Index, commits: DataFrame, repos: DataFrame, raw: str, limit: int | None = None, repo: str | None = None) -> Envelope:
     """Commits by rank, then the newest, then by hash, and whether their repository is shallow; repos: repo_path, is_shallow."""
     rows = with_shallow(commits, repos)
-    scoped = index if repo is None else index.join(commits.select("ref", "repo_path"), "ref", "left")
-    counted, best = _found(scoped, words_of(raw), within("commit_entries", repo), [F.col("rank"), F.desc("authored_at"), F.col("commit_hash")], rows, "inner", S.clamp_limit(limit))
+    scope = None if repo is None else commits.select("ref", "repo_path")
+    counted, best = _found(index, words_of(raw), within("commit_entries", repo), [F.col("rank"), F.desc("authored_at"), F.col("commit_hash")], rows, "inner", S.clamp_limit(limit), scope)
     return Envelope("find_commit", best, _summary(index, "commit_entries", "find_commit", counted, best, F.length("message_summary") + F.coalesce(F.length("message_body"), F.lit(0)), (commits, "authored_at")))
 
 
@@ -85,36 +87,43 @@ def with_shallow(commits: DataFrame, repos: DataFrame) -> DataFrame:
     return commits.join(F.broadcast(known), "repo_path", "left").withColumn("shallow", F.coalesce("__shallow", F.lit(False))).drop("__shallow")  # a row for each repository
 
 
-def find_memory(index: DataFrame, notes: DataFrame, documents: DataFrame, raw: str, limit: int | None = None) -> Envelope:
+def find_memory(index: S.Index, notes: DataFrame, documents: DataFrame, raw: str, limit: int | None = None) -> Envelope:
     """Notes by rank, then name, with their file's path; notes: ref, document_id, name, ...; documents: document_id, path."""
     rows = notes.join(documents.select("document_id", "path"), "document_id")
     counted, best = _found(index, words_of(raw), within("memory_entries"), [F.col("rank"), F.col("name"), F.col("ref")], rows, "inner", S.clamp_limit(limit))
     return Envelope("find_memory", best, _summary(index, "memory_entries", "find_memory", counted, best, F.length("body"), None))
 
 
-def _pages(index: DataFrame, corpus: str, tool: str, rows: DataFrame, raw: str, limit: int | None, repo: str | None, body: int, budget: int) -> Envelope:
-    """SCAN rows by rank, path and first line; as many as asked for are shown, their bodies cut and left out once the budget is spent."""
+def _pages(index: S.Index, corpus: str, tool: str, rows: DataFrame, raw: str, limit: int | None, repo: str | None, body: int, budget: int) -> Envelope:
+    """SCAN rows by rank, path and first line; as many as asked for are shown, by the stretch of their body that the match is in.
+
+    A stretch is cut to ``body`` characters; once the budget is spent, further rows have an excerpt of
+    SUMMARY characters instead. match_line is the line in which the stretch begins.
+    """
+    ship_package(rows.sparkSession)
     most = S.clamp_limit(limit)
-    scoped = index if repo is None else index.join(rows.select("ref", "repo_path"), "ref", "left")
-    counted, best = _found(scoped, words_of(raw), within(corpus, repo), [F.col("rank"), F.col("path"), F.col("line_start"), F.col("ref")], rows, "inner", max(most, S.SCAN))
-    cut = best.withColumn("shown_chars", F.least(F.length("body"), F.lit(body)).cast("long"))
+    scope = None if repo is None else rows.select("ref", "repo_path")
+    counted, best = _found(index, words_of(raw), within(corpus, repo), [F.col("rank"), F.col("path"), F.col("line_start"), F.col("ref")], rows, "inner", max(most, S.SCAN), scope)
+    seen = S.with_snippet(best, M.parse(counted.match), "snippet", "__line").withColumn("match_line", F.col("line_start") + F.col("__line"))
+    cut = seen.withColumn("full_chars", F.length("body")).withColumn("__cut", summarize(F.col("snippet"), body)).withColumn("shown_chars", F.length("__cut").cast("long"))
     budgeted = S.within_budget(cut.filter(F.col("pos") <= most), "shown_chars", ["pos"], budget, "shown")
-    page = budgeted.withColumn("body_truncated", F.col("shown") & (F.length("body") > body)).withColumn("full_chars", F.length("body")).withColumn("body", F.when(F.col("shown"), F.substring("body", 1, body)))
-    also = S.also_matched(best.select("path", F.col("line_start").alias("match_line"), "pos"), most)
-    return Envelope(tool, page, _summary(index, corpus, tool, counted, page, F.col("full_chars"), None), also)
+    page = budgeted.withColumn("body", F.when(F.col("shown"), F.col("__cut")).otherwise("")).withColumn("body_excerpt", F.when(F.col("shown"), "").otherwise(summarize(F.col("snippet"), SUMMARY)))
+    page = page.withColumn("body_truncated", F.length("body") < F.col("full_chars")).drop("__cut", "__line", "snippet")
+    also = S.also_matched(seen.select("path", "match_line", "pos"), most)
+    return Envelope(tool, page, _summary(index, corpus, tool, counted, page, F.col("full_chars"), None), also, S.neighbourhood(index, words_of(raw), within(corpus)))
 
 
-def find_design_doc(index: DataFrame, sections: DataFrame, raw: str, limit: int | None = None) -> Envelope:
+def find_design_doc(index: S.Index, sections: DataFrame, raw: str, limit: int | None = None) -> Envelope:
     """sections: ref, path, heading_path, line_start, line_end, body."""
     return _pages(index, "design_doc_sections", "find_design_doc", sections, raw, limit, None, DOC_BODY, DOC_BUDGET)
 
 
-def find_code(index: DataFrame, chunks: DataFrame, raw: str, limit: int | None = None, repo: str | None = None) -> Envelope:
+def find_code(index: S.Index, chunks: DataFrame, raw: str, limit: int | None = None, repo: str | None = None) -> Envelope:
     """chunks: ref, path, line_start, line_end, body, repo_path."""
     return _pages(index, "source_chunks", "find_code", chunks, raw, limit, repo, CODE_BODY, CODE_BUDGET)
 
 
-def recent_commits(commits: DataFrame, repos: DataFrame, now: int, days: int | None = None, limit: int | None = None, repo: str | None = None, index: DataFrame | None = None, filter_: str | None = None) -> DataFrame:
+def recent_commits(commits: DataFrame, repos: DataFrame, now: int, days: int | None = None, limit: int | None = None, repo: str | None = None, index: S.Index | None = None, filter_: str | None = None) -> DataFrame:
     """Commits of the last days, newest first, then by hash; with a filter, its matches, by rank between the two; never broadened."""
     rows = since(with_shallow(commits, repos), "authored_at", now, DAYS if days is None else days)
     rows = rows if repo is None else rows.filter(contains_like(F.col("repo_path"), repo))
@@ -124,7 +133,7 @@ def recent_commits(commits: DataFrame, repos: DataFrame, now: int, days: int | N
     return rows.join(ranked, "ref").orderBy(F.desc("authored_at"), "rank", "commit_hash").limit(S.clamp_limit(limit))
 
 
-def recent_sessions(edges: DataFrame, commits: DataFrame, now: int, days: int | None = None, limit: int | None = None, index: DataFrame | None = None, filter_: str | None = None) -> DataFrame:
+def recent_sessions(edges: DataFrame, commits: DataFrame, now: int, days: int | None = None, limit: int | None = None, index: S.Index | None = None, filter_: str | None = None) -> DataFrame:
     """The newest edit of each session of the last days (the best match, where there is a filter), newest session first."""
     rows = since(edges, "edited_at", now, DAYS if days is None else days)
     if index is not None and (filter_ or "").strip():

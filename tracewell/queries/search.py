@@ -22,7 +22,7 @@ DOCS = f"idx AS (SELECT 'documents' AS source_table, doc_id AS ref, text AS body
 UNIFIED = (
     "idx AS ("
     f"SELECT 'documents' AS source_table, doc_id AS ref, text AS body, {TOKENS_OF.format('text')} AS t FROM documents"
-    f" UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text, {TOKENS_OF.format('text')} FROM conversations"
+    f" UNION ALL SELECT 'conversations', conv_id * 1048576 + turn, text, {TOKENS_OF.format('text')} FROM conversations"
     f" UNION ALL SELECT 'pages', page_id, url, {TOKENS_OF.format('url')} FROM pages"
     f" UNION ALL SELECT 'benchmark', item_id, text, {TOKENS_OF.format('text')} FROM benchmark)"
 )
@@ -81,7 +81,7 @@ def _unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.index_of(
         {
             "documents": table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), F.col("text").alias("body")),
-            "conversations": table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ref"), F.col("text").alias("body")),
+            "conversations": table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1048576 + F.col("turn")).alias("ref"), F.col("text").alias("body")),
             "pages": table(spark, sf_dir, "pages").select(F.col("page_id").alias("ref"), F.col("url").alias("body")),
             "benchmark": table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref"), F.col("text").alias("body")),
         }
@@ -236,7 +236,7 @@ CHUNKS = """chunks AS (
     SELECT doc_id, source, k * 5 + 1 AS line_start, least(k * 5 + 5, n) AS line_end, array_to_string(l[k * 5 + 1 : k * 5 + 5], chr(10)) AS chunk
     FROM (SELECT doc_id, source, l, len(l) AS n, unnest(range(0, CAST(ceil(len(l) / 5.0) AS BIGINT))) AS k FROM (
         SELECT doc_id, source, CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\\n$', ''), chr(10)) END AS l FROM documents WHERE text IS NOT NULL)))"""
-CHUNK_INDEX = CHUNKS + f", idx AS (SELECT 'chunks' AS source_table, doc_id * 1000 + line_start AS ref, chunk AS body, {TOKENS_OF.format('chunk')} AS t FROM chunks WHERE regexp_matches(chunk, '\\S'))"
+CHUNK_INDEX = CHUNKS + f", idx AS (SELECT 'chunks' AS source_table, doc_id * 1048576 + line_start AS ref, chunk AS body, {TOKENS_OF.format('chunk')} AS t FROM chunks WHERE regexp_matches(chunk, '\\S'))"
 
 
 def chunk_frame(spark: SparkSession, sf_dir: str, size: int = 5) -> DataFrame:
@@ -244,26 +244,26 @@ def chunk_frame(spark: SparkSession, sf_dir: str, size: int = 5) -> DataFrame:
 
 
 def _chunk_hits(spark: SparkSession, sf_dir: str, raw: str) -> DataFrame:
-    rows = chunk_frame(spark, sf_dir).select((F.col("doc_id") * 1000 + F.col("line_start")).alias("ref"), F.col("chunk").alias("body"))
+    rows = chunk_frame(spark, sf_dir).select((F.col("doc_id") * 1048576 + F.col("line_start")).alias("ref"), F.col("chunk").alias("body"))
     best = S.ranked(S.index_of({"chunks": rows}), M.parse(raw)).orderBy("rank", "ref").limit(S.SCAN)
     return best.withColumn("pos", F.row_number().over(W.orderBy("rank", "ref")))  # SCAN rows
 
 
 @query(
-    f"WITH ranked40 AS ({ranking_sql(CHUNK_INDEX, ["t[i] = 'license'"], 'f0 > 0', 'ORDER BY ranked.rank, ref LIMIT 40', 'ref, rank')}), p AS (SELECT ref // 1000 AS path, ref % 1000 AS match_line, row_number() OVER (ORDER BY rank, ref) AS pos FROM ranked40)"
+    f"WITH ranked40 AS ({ranking_sql(CHUNK_INDEX, ["t[i] = 'license'"], 'f0 > 0', 'ORDER BY ranked.rank, ref LIMIT 40', 'ref, rank')}), p AS (SELECT ref // 1048576 AS path, ref % 1048576 AS match_line, row_number() OVER (ORDER BY rank, ref) AS pos FROM ranked40)"
     " SELECT path, arg_min(match_line, pos) AS match_line, count(*) AS matches, min(pos) AS first_pos FROM p WHERE pos > 10 AND path NOT IN (SELECT path FROM p WHERE pos <= 10) GROUP BY path"
 )
 def also_matched_tail(spark, sf_dir):
-    hits = _chunk_hits(spark, sf_dir, "license").select(F.floor(F.col("ref") / 1000).alias("path"), (F.col("ref") % 1000).alias("match_line"), F.col("pos").cast("long").alias("pos"))
+    hits = _chunk_hits(spark, sf_dir, "license").select(F.floor(F.col("ref") / 1048576).alias("path"), (F.col("ref") % 1048576).alias("match_line"), F.col("pos").cast("long").alias("pos"))
     return S.also_matched(hits, 10)
 
 
 @query(
     f"WITH r AS ({ranking_sql(CHUNK_INDEX, ["t[i] = 'license'"], 'f0 > 0', 'ORDER BY ranked.rank, ref LIMIT 40', 'ref, body, rank')})"
-    " SELECT ref, ref % 1000 + CASE WHEN instr(body, 'License') > 0 THEN length(body[1 : instr(body, 'License') - 1]) - length(replace(body[1 : instr(body, 'License') - 1], chr(10), '')) ELSE 0 END AS match_line FROM r"
+    " SELECT ref, ref % 1048576 + CASE WHEN instr(body, 'License') > 0 THEN length(body[1 : instr(body, 'License') - 1]) - length(replace(body[1 : instr(body, 'License') - 1], chr(10), '')) ELSE 0 END AS match_line FROM r"
 )
 def match_line(spark, sf_dir):
-    return _chunk_hits(spark, sf_dir, "license").select("ref", line_of(F.col("body"), F.lit("License"), F.col("ref") % 1000).alias("match_line"))
+    return _chunk_hits(spark, sf_dir, "license").select("ref", line_of(F.col("body"), F.lit("License"), F.col("ref") % 1048576).alias("match_line"))
 
 
 @query(f"WITH {CHUNKS} SELECT doc_id, CAST(line_start AS BIGINT) AS line_start, CAST(line_end AS BIGINT) AS line_end, md5(chunk) AS digest FROM chunks WHERE regexp_matches(chunk, '\\S')".replace("* 5 +", "* 50 +").replace("+ 5]", "+ 50]").replace("+ 5,", "+ 50,").replace("/ 5.0", "/ 50.0").replace("k * 50 + 5 ", "k * 50 + 50 "))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -13,16 +14,16 @@ from ..streaming import ingest
 from .analytics import EV, events
 from .joins import NOW_SQL, now_of
 from .registry import query, table
-from .search import CHUNKS, TOKENS_OF, chunk_frame, ranking_sql
+from .search import CHUNKS, SNIPPETS, TOKENS_OF, chunk_frame, ranking_sql, stored
 
 # Documents stand for commits, conversations for edits of sessions, benchmark items for notes.
 _COMMITS = "commits AS (SELECT doc_id AS ref, doc_id AS commit_id, md5(CAST(doc_id AS VARCHAR)) AS commit_hash, source AS repo_path, (doc_id % 997) * 7200 AS authored_at, lang AS message_summary, text AS message_body FROM documents)"
 _REPOS = "repos AS (SELECT DISTINCT source AS repo_path, length(source) = 5 AS is_shallow FROM documents WHERE source <> 'src3')"
-_EDGES = "edges AS (SELECT conv_id * 1000 + turn AS ref, conv_id AS session_id, conv_id % 400 * 3600 + turn AS edited_at, text AS rationale, conv_id * 7 + turn AS commit_id FROM conversations)"
+_EDGES = "edges AS (SELECT conv_id * 1048576 + turn AS ref, conv_id AS session_id, conv_id % 400 * 3600 + turn AS edited_at, text AS rationale, conv_id * 7 + turn AS commit_id FROM conversations)"
 _NOTES = "notes AS (SELECT item_id AS ref, item_id % 5 AS document_id, 'note ' || (item_id % 9) AS name, text AS body FROM benchmark), files AS (SELECT DISTINCT item_id % 5 AS document_id, '/n/' || (item_id % 5) || '.md' AS path FROM benchmark)"
 _INDEX = (
     f"idx AS (SELECT 'commit_entries' AS source_table, doc_id AS ref, text AS body, {TOKENS_OF.format('text')} AS t FROM documents"
-    f" UNION ALL SELECT 'session_edges', conv_id * 1000 + turn, text, {TOKENS_OF.format('text')} FROM conversations"
+    f" UNION ALL SELECT 'session_edges', conv_id * 1048576 + turn, text, {TOKENS_OF.format('text')} FROM conversations"
     f" UNION ALL SELECT 'memory_entries', item_id, text, {TOKENS_OF.format('text')} FROM benchmark)"
 )
 
@@ -44,7 +45,7 @@ def _repos(spark, sf_dir):
 
 def _edges(spark, sf_dir):
     at = F.col("conv_id") % 400 * 3600 + F.col("turn")
-    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ref"), F.col("conv_id").alias("session_id"), at.alias("edited_at"), F.col("text").alias("rationale"), (F.col("conv_id") * 7 + F.col("turn")).alias("commit_id"))
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1048576 + F.col("turn")).alias("ref"), F.col("conv_id").alias("session_id"), at.alias("edited_at"), F.col("text").alias("rationale"), (F.col("conv_id") * 7 + F.col("turn")).alias("commit_id"))
 
 
 def _notes(spark, sf_dir):
@@ -55,7 +56,7 @@ def _notes(spark, sf_dir):
 
 def _index(spark, sf_dir):
     read = lambda name, ref, body: table(spark, sf_dir, name).select(ref.alias("ref"), F.col(body).alias("body"))
-    return search.index_of({"commit_entries": read("documents", F.col("doc_id"), "text"), "session_edges": read("conversations", F.col("conv_id") * 1000 + F.col("turn"), "text"), "memory_entries": read("benchmark", F.col("item_id"), "text")})
+    return stored(spark, "tools", sf_dir, ("documents", "conversations", "benchmark"), lambda: search.index_of({"commit_entries": read("documents", F.col("doc_id"), "text"), "session_edges": read("conversations", F.col("conv_id") * 1048576 + F.col("turn"), "text"), "memory_entries": read("benchmark", F.col("item_id"), "text")}))
 
 
 _TWO = "f0 > 0 AND f1 > 0 AND source_table = '{}'"
@@ -99,19 +100,46 @@ def find_memory(spark, sf_dir):
     return tools.find_memory(_index(spark, sf_dir), notes, files, "the").results.select("name", "path", F.round("rank", 6).alias("rank"))
 
 
-_CHUNK_INDEX = CHUNKS + f", idx AS (SELECT 'source_chunks' AS source_table, doc_id * 1000 + line_start AS ref, chunk AS body, {TOKENS_OF.format('chunk')} AS t FROM chunks WHERE regexp_matches(chunk, '\\S'))"
+_CHUNK_INDEX = CHUNKS + f", idx AS (SELECT 'source_chunks' AS source_table, doc_id * 1048576 + line_start AS ref, chunk AS body, {TOKENS_OF.format('chunk')} AS t FROM chunks WHERE regexp_matches(chunk, '\\S'))"
 
 
-@query(
-    f"WITH best AS ({ranking_sql(_CHUNK_INDEX, ["t[i] = 'license'"], 'f0 > 0', "ORDER BY ranked.rank, CAST(ref // 1000 AS VARCHAR), ref % 1000, ref LIMIT 40", 'ref, rank, body')}),"
-    " p AS (SELECT *, row_number() OVER (ORDER BY rank, CAST(ref // 1000 AS VARCHAR), ref % 1000, ref) AS pos, least(length(body), 2000) AS shown_chars FROM best),"
-    " b AS (SELECT *, coalesce(sum(shown_chars) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 20000 AS shown FROM p WHERE pos <= 12)"
-    " SELECT ref, CAST(pos AS INT) AS pos, CAST(shown_chars AS BIGINT) AS shown_chars, shown, shown AND length(body) > 2000 AS body_truncated, CASE WHEN shown THEN md5(body[1:2000]) END AS digest FROM b"
-)
+def _page_sql(index: str, words: list[str], condition: str, path: str, most: int, body: int, budget: int) -> str:
+    """SQL of a page of stretches: the best 40 rows with their snippets, the first of them shown within a budget."""
+    ranked = ranking_sql(index, [f"t[i] = '{w}'" for w in words], condition, f"ORDER BY ranked.rank, {path}, ref % 1048576, ref LIMIT 40", "ref, body, t, rank").replace("SELECT source_table, ref, body, len(t) AS dl", "SELECT source_table, ref, body, t, len(t) AS dl").replace("SELECT source_table, ref, body, dl, 0", "SELECT source_table, ref, body, t, dl, 0")
+    plain = SNIPPETS.replace("WORDS", str(words)).replace("RANKED", ranked)
+    return (
+        f"WITH {plain.rpartition('SELECT ref,')[0]}, shown_of AS (SELECT ref,{plain.rpartition('SELECT ref,')[2]}),"
+        f" placed AS (SELECT r.ref, r.rank, body, snippet, row_number() OVER (ORDER BY r.rank, {path.replace('ref', 'r.ref')}, r.ref % 1048576, r.ref) AS pos FROM r JOIN shown_of USING (ref)),"
+        f" budgeted AS (SELECT *, coalesce(sum(length(snippet)) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {budget} AS shown FROM placed WHERE pos <= {most} AND length(snippet) <= {body}),"
+        " cut AS (SELECT *, replace(snippet, '…', '') AS plain FROM budgeted)"
+        " SELECT ref, CAST(pos AS INT) AS pos, CAST(length(snippet) AS BIGINT) AS shown_chars, shown, (CASE WHEN shown THEN length(snippet) ELSE 0 END) < length(body) AS body_truncated, md5(CASE WHEN shown THEN snippet ELSE '' END) AS digest,"
+        " FIRST + length(body[1 : instr(body, plain) - 1]) - length(replace(body[1 : instr(body, plain) - 1], chr(10), '')) AS match_line FROM cut"
+    )
+
+
+def _shown_page(found) -> DataFrame:
+    return found.results.select("ref", "pos", "shown_chars", "shown", "body_truncated", F.md5(F.col("body").cast("binary")).alias("digest"), F.col("match_line").cast("long").alias("match_line"))
+
+
+@query(_page_sql(_CHUNK_INDEX, ["license"], "f0 > 0", "CAST(ref // 1048576 AS VARCHAR)", 12, 2000, 20000).replace("FIRST", "ref % 1048576"))
 def find_code_page(spark, sf_dir):
-    chunks = chunk_frame(spark, sf_dir).select((F.col("doc_id") * 1000 + F.col("line_start")).alias("ref"), F.col("doc_id").cast("string").alias("path"), (F.col("line_start") % 1000).alias("line_start"), "line_end", F.col("chunk").alias("body"), F.col("source").alias("repo_path"))
-    found = tools.find_code(search.index_of({"source_chunks": chunks.select("ref", "body")}), chunks, "license", 12)
-    return found.results.select("ref", "pos", "shown_chars", "shown", "body_truncated", F.md5(F.col("body").cast("binary")).alias("digest"))
+    chunks = chunk_frame(spark, sf_dir).select((F.col("doc_id") * 1048576 + F.col("line_start")).alias("ref"), F.col("doc_id").cast("string").alias("path"), "line_start", "line_end", F.col("chunk").alias("body"), F.col("source").alias("repo_path"))
+    index = stored(spark, "chunks", sf_dir, ("documents",), lambda: search.index_of({"source_chunks": chunks.select("ref", "body")}))
+    return _shown_page(tools.find_code(index, chunks, "license", 12))
+
+
+_SECTIONS = f"idx AS (SELECT 'design_doc_sections' AS source_table, doc_id AS ref, text AS body, {TOKENS_OF.format('text')} AS t FROM documents)"
+
+
+def _design_doc(spark, sf_dir, words):
+    sections = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), F.lit("notes").alias("path"), F.col("lang").alias("heading_path"), F.lit(1).cast("long").alias("line_start"), F.lit(9).cast("long").alias("line_end"), F.col("text").alias("body"))
+    index = stored(spark, "sections", sf_dir, ("documents",), lambda: search.index_of({"design_doc_sections": sections.select("ref", "body")}))
+    return tools.find_design_doc(index, sections, words, 35)
+
+
+@query(_page_sql(_SECTIONS, ["license", "version"], "f0 > 0 AND f1 > 0", "CAST(1 AS INTEGER)", 35, 1200, 16000).replace("FIRST", "1").replace("ref % 1048576, ", "").replace("r.ref % 1048576, ", "").replace("r.r.ref", "r.ref"))
+def find_design_doc_page(spark, sf_dir):
+    return _shown_page(_design_doc(spark, sf_dir, "license version"))
 
 
 @query(f"WITH {_COMMITS}, {_REPOS} SELECT commit_hash, coalesce(is_shallow, false) AS shallow, authored_at FROM commits LEFT JOIN repos USING (repo_path) WHERE authored_at >= 7000000 - 30 * 86400 ORDER BY authored_at DESC, commit_hash LIMIT 50")

@@ -20,7 +20,8 @@ class Table:
     A version is a folder v<n>, partitioned by a hash of the key into PARTS parts; ``versions`` lists what is
     complete through Spark's file system, so a lost driver resumes from it. New keys are only compared with
     the parts that they fall into. Each COMPACT_EVERY versions are written as one, so that reading stays
-    cheap; a folder base<n> stands for all versions up to n.
+    cheap; a folder base<n>-<m> stands for all versions up to n, and for those of smaller n or m. It's complete
+    before what it stands for goes, so that a driver may be lost at any time.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str]) -> None:
@@ -35,15 +36,24 @@ class Table:
         numbers = [(p, p.getName().removeprefix(kind)) for p in found if p.getName().startswith(kind)]
         return sorted(int(n) for p, n in numbers if n.isdigit() and self.fs.exists(self.fs_path(p, "_SUCCESS")))
 
+    def _base(self) -> tuple[int, int]:
+        """The numbers (n, m) of the base that counts; (-1, 0) for none."""
+        found = [p.getName().removeprefix("base").split("-") for p in self._listed("base") if self.fs.exists(self.fs_path(p, "_SUCCESS"))]
+        return max(((int(n), int(m)) for n, m in found), default=(-1, 0))
+
+    def _listed(self, kind: str) -> list:
+        if not self.fs.exists(self.fs_path(self.path)):
+            return []
+        return [s.getPath() for s in self.fs.listStatus(self.fs_path(self.path)) if s.getPath().getName().startswith(kind)]
+
     def versions(self) -> list[int]:
         """Numbers of the versions that are complete, those that a base stands for as the base's."""
-        bases = self._complete("base")
-        return sorted({*bases, *self._complete("v")})
+        base = self._base()[0]
+        return sorted({*([base] if base >= 0 else []), *(n for n in self._complete("v") if n > base)})
 
     def _folders(self) -> list[str]:
-        bases = self._complete("base")
-        last = bases[-1] if bases else -1
-        every = [*([f"{self.path}/base{last}"] if bases else []), *(f"{self.path}/v{n}" for n in self._complete("v") if n > last)]
+        n, m = self._base()
+        every = [*([f"{self.path}/base{n}-{m}"] if n >= 0 else []), *(f"{self.path}/v{k}" for k in self._complete("v") if k > n)]
         return [f for f in every if any(s.getPath().getName().startswith("part=") for s in self.fs.listStatus(self.fs_path(f)))]  # others are empty
 
     def read(self, parts: list[int] | None = None) -> DataFrame | None:
@@ -61,8 +71,7 @@ class Table:
 
     def add(self, version: int, rows: DataFrame, order: list[str]) -> None:
         """Writes those of the rows whose key the table lacks, the first of each by the order, as a version."""
-        bases = self._complete("base")
-        if version in self._complete("v") or (bases and version <= bases[-1]):
+        if version in self._complete("v") or version <= self._base()[0]:
             return
         first = insert_or_ignore(rows.limit(0), rows, self.keys, order)
         if self._folders():
@@ -77,22 +86,20 @@ class Table:
         folders = self._folders()
         if len(folders) < (COMPACT_EVERY if every is None else every):
             return
-        last = max(self.versions())
-        self._write(self.read(), f"{self.path}/base{last}")
-        for folder in folders:
-            if not folder.endswith(f"/base{last}"):
-                self.fs.delete(self.fs_path(folder), True)
+        self._rebase(self.read())
+
+    def _rebase(self, rows: DataFrame) -> None:
+        """Writes rows as the base of all versions so far, then takes away what it stands for."""
+        (n, m), last = self._base(), max(self.versions(), default=0)
+        new = f"{self.path}/base{last}-{m + 1 if n == last else 0}"
+        self._write(rows, new)
+        for old in [p for p in self._listed("base") if not str(p.toString()).endswith(new.rpartition("/")[2])] + [self.fs_path(f"{self.path}/v{k}") for k in self._complete("v") if k <= last]:
+            self.fs.delete(old, True)
 
     def delete(self, keys: DataFrame) -> None:
         """Takes rows by key out of the table; what remains becomes its base."""
-        folders, number = self._folders(), max(self.versions(), default=-1)
-        if folders:
-            self._write(self.read().join(keys.select(*self.keys).distinct(), self.keys, "left_anti"), f"{self.path}/rest")
-            for folder in folders:
-                self.fs.delete(self.fs_path(folder), True)
-            for n in self._complete("v"):
-                self.fs.delete(self.fs_path(f"{self.path}/v{n}"), True)
-            self.fs.rename(self.fs_path(f"{self.path}/rest"), self.fs_path(f"{self.path}/base{number}"))
+        if self._folders():
+            self._rebase(self.read().join(keys.select(*self.keys).distinct(), self.keys, "left_anti"))
 
 
 def start_merge(stream: DataFrame, table: Table, order: list[str], checkpoint: str, trigger: dict) -> StreamingQuery:
