@@ -210,10 +210,14 @@ class StoredIndex:
 
     def files_of(self, segment: Segment, words: list[tuple[str, bool]] | None) -> list[str]:
         """The files of a segment that may hold the words (True for prefixes), by its fences."""
-        fences, wanted = self.spark.read.schema(FENCES).parquet(f"{self.path}/segments/{segment.name}/fences"), F.lit(words is None)
-        for word, prefix in words or ():
-            wanted = wanted | ((F.col("high") >= word) & (F.col("low").startswith(word) | (F.col("low") <= word) if prefix else F.col("low") <= word))
-        return sorted(r["file"] for r in fences.filter(wanted).collect())
+        fences, asked = self.spark.read.schema(FENCES).parquet(f"{self.path}/segments/{segment.name}/fences"), sorted(words or ())
+        if words is None:
+            return sorted(r["file"] for r in fences.select("file").collect())
+        # one word or many: the files between the first and the last, then those that any word falls into
+        low, high = asked[0][0], max(w + "\U0010ffff" * p for w, p in asked)
+        near = fences.filter((F.col("high") >= low) & (F.col("low") <= high)).collect()
+        holds = lambda r, w, p: r["high"] >= w and (r["low"] <= w or (p and r["low"].startswith(w)))
+        return sorted(r["file"] for r in near if any(holds(r, w, p) for w, p in asked))
 
     def _postings(self, segments: list[Segment], words: list[tuple[str, bool]] | None, tiers: Column | None = None) -> DataFrame:
         each = []
@@ -222,7 +226,7 @@ class StoredIndex:
             if files:
                 rows = self.spark.read.schema(POSTINGS).parquet(*files)
                 if words is not None:
-                    rows = rows.filter(reduce(lambda a, b: a | b, (F.col("term").startswith(w) if p else F.col("term") == w for w, p in words), F.lit(False)))
+                    rows = rows.filter(_any_of(words))
                 each.append((s, rows if tiers is None else rows.filter(tiers)))
         return self._alive(each, POSTINGS)
 
@@ -246,7 +250,7 @@ class StoredIndex:
         for s in self.segments:
             rows = self.spark.read.schema(DICTIONARY).parquet(f"{self.path}/segments/{s.name}/dictionary")
             if words is not None:
-                rows = rows.filter(reduce(lambda a, b: a | b, (F.col("term").startswith(w) if p else F.col("term") == w for w, p in words), F.lit(False)))
+                rows = rows.filter(_any_of(words))
             parts.append(rows.withColumn("gen", F.lit(s.gen)))
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], DICTIONARY + ", gen long")
 
@@ -328,6 +332,12 @@ class StoredIndex:
         return ReadPlan(df, threshold, _tiers(needed), _tiers(rest), rest_bound, needed, every)
 
 
+def _any_of(words: list[tuple[str, bool]]) -> Column:
+    exact = [w for w, prefix in words if not prefix]
+    known = F.col("term") == exact[0] if len(exact) == 1 else F.col("term").isin(exact)
+    return reduce(lambda a, b: a | b, ([known] if exact else []) + [F.col("term").startswith(w) for w, prefix in words if prefix], F.lit(False))
+
+
 def _tiers(of: dict[str, set[int]]) -> Column:
     return reduce(lambda a, b: a | b, ((F.col("term") == w) & F.col("tier").isin(sorted(tiers)) for w, tiers in of.items() if tiers), F.lit(False))
 

@@ -210,6 +210,35 @@ def symbol_vs_plain_df(spark, sf_dir):
     return plain.join(wide, "term", "full").select("term", zero("plain_df"), zero("expanded_df"))
 
 
+#: Words and, beside those of several parts, their parts: cut at camel humps, after acronyms, and between letters and digits.
+_PARTS = r"""string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, '(\p{Ll})(\p{Lu})', '\1' || chr(1) || '\2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1' || chr(1) || '\2', 'g'), '(\p{L})([0-9])', '\1' || chr(1) || '\2', 'g'), '([0-9])(\p{L})', '\1' || chr(1) || '\2', 'g'), chr(1))"""
+_SPLIT = r"array_to_string(flatten(list_transform(regexp_extract_all(coalesce(body, ''), '[\p{L}\p{N}]+'), lambda w: list_concat([lower(w)], list_filter(list_transform(PARTS, lambda p: lower(p)), lambda p: p <> '' AND p <> lower(w))))), ' ')"
+_SHADOW = "shadow AS (SELECT ref, " + TOKENS_OF.format("BODY").replace("BODY", _SPLIT.replace("PARTS", _PARTS)) + " AS t FROM idx)"
+
+
+@query(
+    f"WITH {DOCS}, {_SHADOW}, words AS (SELECT term, count(DISTINCT ref) AS df FROM (SELECT ref, unnest(t) AS term FROM idx) GROUP BY term HAVING count(DISTINCT ref) >= 2 AND length(term) >= 3),"
+    " ranks AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS k, count(*) OVER () AS n FROM words),"
+    " sample AS (SELECT term FROM ranks WHERE n <= 2000 OR k IN (SELECT CAST(floor(i * (SELECT max(n) FROM ranks) / 2000) AS BIGINT) FROM range(0, 2000) AS g(i))),"
+    " code AS (SELECT doc_id AS ref, (doc_id % 997) * 7200 + doc_id AS seen FROM documents WHERE doc_id % 3 = 0),"
+    " a AS (SELECT term, min(seen) AS seen FROM (SELECT ref, unnest(t) AS term FROM idx) JOIN code USING (ref) GROUP BY term), b AS (SELECT term, min(seen) AS seen FROM (SELECT ref, unnest(t) AS term FROM shadow) JOIN code USING (ref) GROUP BY term),"
+    " both_of AS (SELECT term, a.seen AS a, b.seen AS b FROM sample LEFT JOIN a USING (term) LEFT JOIN b USING (term)), shifts AS (SELECT list_sort(list(a - b)) AS s FROM both_of WHERE b < a)"
+    " SELECT count(*) AS n_terms, count(a) AS authors_plain, count(b) AS authors_shadow, count(*) FILTER (WHERE b < a) AS moved_earlier, count(*) FILTER (WHERE a IS NULL AND b IS NOT NULL) AS gained, (SELECT s[len(s) // 2 + 1] FROM shifts) AS shift_p50 FROM both_of"
+)
+def tokenizer_comparison(spark, sf_dir):
+    """Both tokenizers' postings of every document side by side; one measurement of the same sample of words."""
+    from ..operators.analytics import stride_sample
+    from ..operators.provenance import compare_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    plain = documents_index(spark, sf_dir)
+    shadow = stored(spark, "shadow", sf_dir, ("documents",), lambda: S.index_of({"documents": docs.select(F.col("doc_id").alias("ref"), expand_identifiers(F.col("text")).alias("body"))}))
+    words = S.vocabulary(plain).select("term", "df").filter((F.col("df") >= 2) & (F.length("term") >= 3))
+    at = (F.col("doc_id") % 997) * 7200 + F.col("doc_id")
+    code = docs.filter("doc_id % 3 = 0").select(F.lit("documents").alias("source_table"), F.col("doc_id").alias("ref"), at.alias("authored_at"))
+    return compare_tokenizers(plain, shadow, stride_sample(words, 2000), code)
+
+
 _BEST = ranking_sql(DOCS, ["t[i] = 'license'", "t[i] = 'stupid'"], "f0 > 0 OR f1 > 0", "ORDER BY ranked.rank, source_table, ref LIMIT 24", "source_table, ref, body")
 
 
