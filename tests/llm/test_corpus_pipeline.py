@@ -37,4 +37,4 @@ def test_stages_and_run(spark):
 
 def test_registered():
     names = list(__spark_entry__.queries())
-    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
