@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import analytics as A
-from tracewell.operators import etl, joins, merge, provenance, relocate
+from tracewell.operators import etl, joins, merge, provenance, relocate, scan
 from tracewell.sources import readers
 
 
@@ -234,3 +234,23 @@ def test_thread_measurement_covers_the_vocabulary_sample(spark):
     tiers = QUERIES["idf_tiers_sampled"](spark, sf).orderBy("tier").collect()
     assert [t.n for t in tiers] == [67, 67, 66] and (tiers[0].min_df, tiers[2].max_df) == (min(terms.values()), max(terms.values()))
     assert {r.term for r in QUERIES["resolve_author_feeders_sampled"](spark, sf).select("term").distinct().collect()} == set(terms)
+
+
+@pytest.mark.parametrize(("own", "ranges"), [(True, 7), (False, 7), (True, 256), (False, 1)])
+def test_carried_state_equals_a_plain_window(spark, own, ranges):
+    """A key of all rows, null keys and values, places that are missing; the hot key's rows are in many tasks."""
+    rng = random.Random(ranges)
+    order = rng.sample(range(-(10**6), 10**6), 900)
+    rows = [(n, rng.choice(["hot", "hot", "hot", "b", None]), k, rng.choice([None, None, f"v{n}"])) for n, k in enumerate(order)]
+    frame = spark.createDataFrame(rows, "n long, k string, at long, v string")
+    found = scan.carried(frame, ["k"], "at", F.col("v"), "last", own, ranges)
+    seen, expected = {}, {}
+    for n, k, at, v in sorted(rows, key=lambda r: r[2]):
+        before = seen.get(k)
+        seen[k] = v if v is not None else before
+        expected[n] = seen[k] if own else before
+    assert {r.n: r["last"] for r in found.collect()} == expected
+    if ranges == 7:
+        cut = frame.filter("k = 'hot'").select(scan.range_of(frame, "at", ranges).alias("r")).groupBy("r").count().collect()
+        assert len(cut) == 7 and max(r["count"] for r in cut) < 200
+    assert scan.carried(frame.limit(0), ["k"], "at", F.col("v"), "last").collect() == []

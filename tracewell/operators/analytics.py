@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import count_bucket, delta_shape
 from ..functions.text import parent_dir
+from .scan import carried
 
 DAYS = (1, 7, 30)
 #: First letters by which terms of equal df are counted apart.
@@ -54,12 +55,14 @@ def latest(rows: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
 
 
 def run_deltas(rows: DataFrame) -> DataFrame:
-    """op_name, started_at, duration_ms, prior_ms, delta_ms, delta_percent against the successful run before; rows: id, op_name, started_at, duration_ms, error."""
-    order = W.partitionBy("op_name").orderBy("id").rowsBetween(W.unboundedPreceding, -1)
-    prior = F.last(F.when(F.col("error").isNull(), F.col("duration_ms")), ignorenulls=True).over(order)
+    """id, op_name, started_at, duration_ms, prior_ms, delta_ms, delta_percent against the successful run before; rows: id, op_name, started_at, duration_ms, error.
+
+    There are few operations, each with all of history: their runs are scanned in ranges.
+    """
+    prior = carried(rows, ["op_name"], "id", F.when(F.col("error").isNull(), F.col("duration_ms")), "prior_ms", own=False)
     delta = F.col("duration_ms") - F.col("prior_ms")
     percent = F.when(F.col("prior_ms") == 0, F.lit(0.0)).otherwise(delta * 100.0 / F.col("prior_ms"))
-    return rows.withColumn("prior_ms", prior).select("op_name", "started_at", "duration_ms", "prior_ms", delta.alias("delta_ms"), percent.alias("delta_percent"))
+    return prior.select("id", "op_name", "started_at", "duration_ms", "prior_ms", delta.alias("delta_ms"), percent.alias("delta_percent"))
 
 
 def adoption(activity: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def find_commit(index: S.Index, commits: DataFrame, repos: DataFrame, raw: str,
 def with_shallow(commits: DataFrame, repos: DataFrame) -> DataFrame:
     """commits with ``shallow``: whether their repository is known to be; unknown repositories aren't."""
     known = repos.select("repo_path", F.col("is_shallow").cast("boolean").alias("__shallow"))
-    return commits.join(F.broadcast(known), "repo_path", "left").withColumn("shallow", F.coalesce("__shallow", F.lit(False))).drop("__shallow")  # a row for each repository
+    return commits.join(known, "repo_path", "left").withColumn("shallow", F.coalesce("__shallow", F.lit(False))).drop("__shallow")
 
 
 def find_memory(index: S.Index, notes: DataFrame, documents: DataFrame, raw: str, limit: int | None = None) -> Envelope:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -47,11 +46,8 @@ def upper_median(spark, sf_dir):
     " SELECT id, duration_ms, prior_ms, duration_ms - prior_ms AS delta_ms, round(CASE WHEN prior_ms = 0 THEN 0 ELSE (duration_ms - prior_ms) * 100.0 / prior_ms END, 6) AS delta_percent FROM p"
 )
 def run_over_run_delta(spark, sf_dir):
-    rows = _ops(spark, sf_dir)
-    order = W.partitionBy("op_name").orderBy("id").rowsBetween(W.unboundedPreceding, -1)
-    prior = rows.withColumn("prior_ms", F.last(F.when(F.col("error").isNull(), F.col("duration_ms")), ignorenulls=True).over(order))
-    delta = F.col("duration_ms") - F.col("prior_ms")
-    return prior.select("id", "duration_ms", "prior_ms", delta.alias("delta_ms"), F.round(F.when(F.col("prior_ms") == 0, 0.0).otherwise(delta * 100.0 / F.col("prior_ms")), 6).alias("delta_percent"))
+    rows = A.run_deltas(_ops(spark, sf_dir))
+    return rows.select("id", "duration_ms", "prior_ms", "delta_ms", F.round("delta_percent", 6).alias("delta_percent"))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import etl
 from ..operators import joins as J
+from ..operators.scan import carried
 from .registry import query, table
 
 #: The tables' own clock: the last event's second.
@@ -43,11 +44,8 @@ def session_counts(spark, sf_dir):
     "SELECT conv_id, turn, md5(last_value(CASE WHEN role = 'assistant' AND trim(text) <> '' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS rationale FROM conversations"
 )
 def carry_forward_rationale(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
     said = F.when((F.col("role") == "assistant") & (F.trim("text") != ""), F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.last(said, ignorenulls=True).over(w)).alias("rationale"))
+    return carried(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", said, "said").select("conv_id", "turn", F.md5("said").alias("rationale"))
 
 
 @query(
