@@ -30,6 +30,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
+
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 TIERS, FANOUT = 16, 4
 #: Postings and documents of a file, and rows of postings that a task writes at least; bytes of a row group.
@@ -93,28 +95,32 @@ class StoredIndex:
 
     @classmethod
     def write(cls, index: DataFrame, path: str) -> StoredIndex:
-        """Writes an index of documents (source_table, ref, body, tokens, dl), whose keys are distinct."""
+        """Writes an index of documents (source_table, ref, body, tokens of the body, dl), whose keys are distinct."""
         cls._segment(index.sparkSession, path, "first", 1, index).write.mode("append").parquet(f"{path}/manifest")
         return cls(index.sparkSession, path)
 
     @classmethod
     def _segment(cls, spark: SparkSession, path: str, name: str, gen: int, index: DataFrame) -> DataFrame:
-        """Writes a segment of new documents; its manifest, as that of an index that has no other."""
-        staged = f"{path}/staged-{name}"
-        index.select(*KEYS, "body", "dl", "tokens").write.parquet(staged)  # texts are tokenized once
-        rows = spark.read.parquet(staged)
+        """Writes a segment of new documents; its manifest, as that of an index that has no other. Postings are made of the documents as they were written."""
+        parts = cls._write_documents(spark, path, name, index.count(), index.select(*KEYS, "dl", "body"))
+        rows = spark.read.schema(DOCUMENTS).parquet(f"{path}/segments/{name}/documents").drop("part", "h")
         said = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
-        segment = cls._files(spark, path, Segment(name, gen, said["n"], said["tokens"], 0), rows.select(*KEYS, "dl", "body"), postings_of(rows))
-        remove(spark, staged)
+        segment = Segment(name, gen, said["n"], said["tokens"], parts)
+        cls._write_postings(spark, path, segment, postings_of(rows.withColumn("tokens", tokens(F.col("body")))))
         return cls._manifest(spark, gen, [segment], {}, segment.n, segment.tokens)
 
     @staticmethod
-    def _files(spark: SparkSession, path: str, segment: Segment, documents: DataFrame, postings: DataFrame) -> Segment:
-        at, cores = f"{path}/segments/{segment.name}", spark.sparkContext.defaultParallelism
-        parts = max(1, -(-segment.n // FILE_DOCUMENTS), min(cores, segment.n >> 10))
-        h = F.xxhash64(*KEYS)
+    def _write_documents(spark: SparkSession, path: str, name: str, n: int, documents: DataFrame) -> int:
+        """Writes documents, n or so, by the hash of their keys; the number of parts."""
+        parts, h = max(1, -(-n // FILE_DOCUMENTS), min(spark.sparkContext.defaultParallelism, n >> 10)), F.xxhash64(*KEYS)
         keyed = documents.select(h.alias("h"), *KEYS, "dl", "body", F.pmod(h, F.lit(parts)).cast("int").alias("part"))
-        keyed.repartition(parts, "part").sortWithinPartitions("part", "h").write.option("parquet.block.size", ROW_GROUP).partitionBy("part").parquet(f"{at}/documents")
+        keyed.repartition(parts, "part").sortWithinPartitions("part", "h").write.option("parquet.block.size", ROW_GROUP).partitionBy("part").parquet(f"{path}/segments/{name}/documents")
+        return parts
+
+    @staticmethod
+    def _write_postings(spark: SparkSession, path: str, segment: Segment, postings: DataFrame) -> None:
+        """Writes postings, and the dictionary and fences that follow from them."""
+        at, cores = f"{path}/segments/{segment.name}", spark.sparkContext.defaultParallelism
         share = weight(F.col("tf"), F.col("dl"), segment.avgdl)
         tier = F.least(F.floor(share * TIERS), F.lit(TIERS - 1)).cast("int")
         files = max(1, -(-segment.tokens // FILE_POSTINGS), min(cores, segment.tokens // TASK_POSTINGS))
@@ -123,11 +129,9 @@ class StoredIndex:
         dealt.write.option("parquet.block.size", ROW_GROUP).parquet(f"{at}/postings")
         written = spark.read.schema(POSTINGS).parquet(f"{at}/postings")
         words = written.groupBy("term", "tier").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max(share).alias("peak"))
-        terms = max(1, files // 8)
-        words.repartitionByRange(terms, "term").sortWithinPartitions("term", F.desc("tier")).write.option("parquet.block.size", ROW_GROUP).parquet(f"{at}/dictionary")
+        words.repartitionByRange(max(1, files // 8), "term").sortWithinPartitions("term", F.desc("tier")).write.option("parquet.block.size", ROW_GROUP).parquet(f"{at}/dictionary")
         fences = written.groupBy(F.input_file_name().alias("file")).agg(F.min("term").alias("low"), F.max("term").alias("high"))
         fences.coalesce(1).write.parquet(f"{at}/fences")  # a row for each file
-        return Segment(segment.name, segment.gen, segment.n, segment.tokens, parts)
 
     @staticmethod
     def _manifest(spark: SparkSession, gen: int, segments: list[Segment], tombstones: dict[str, int], n: int, tokens: int) -> DataFrame:
@@ -168,8 +172,9 @@ class StoredIndex:
         gen = self.gen + 1
         documents, postings = self._documents(old), self._postings(old, None)
         said = documents.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
-        segment = Segment(f"s{gen}-{uuid.uuid4().hex[:8]}", gen, said["n"], said["tokens"], 0)
-        new = self._files(self.spark, self.path, segment, documents, postings)
+        name = f"s{gen}-{uuid.uuid4().hex[:8]}"
+        new = Segment(name, gen, said["n"], said["tokens"], self._write_documents(self.spark, self.path, name, said["n"], documents))
+        self._write_postings(self.spark, self.path, new, postings)
         self._manifest(self.spark, gen, [*(s for s in self.segments if s not in old), new], self.tombstones, self.n, self.tokens).write.mode("append").parquet(f"{self.path}/manifest")
         return StoredIndex(self.spark, self.path).merged()
 
@@ -354,7 +359,3 @@ class ReadPlan:
     read: dict[str, set[int]]
     every: dict[str, set[int]]
 
-
-def remove(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
