@@ -258,3 +258,34 @@ def test_below_window_pointers(spark):
     rows = [("a", 5, 1), ("b", 7, 2), ("c", 9, 3), ("a", 1, 4), ("c", 2, 5), ("d", 3, 6)]
     found = S.also_matched(spark.createDataFrame(rows, "path string, match_line long, pos long"), 2).orderBy("first_pos").collect()
     assert [(r.path, r.match_line, r.matches) for r in found] == [("c", 9, 2), ("d", 3, 1)]
+
+
+def test_words_of_large_texts_are_the_query_words():
+    texts = ["", "Order-Contract: Target_Cost (WBS) 24kV", "naıve Straße É ét ́ x́", "日本 \U0001d400b  ①", "a" * 50 + "̈"]
+    assert [M.words_in(t.encode()) for t in texts] == [list(M.tokenize(t)) for t in texts]
+    assert M.words_in(None) == [] and M.words_in(b"a\xffb") == ["a", "b"]
+
+
+def test_writing_moves_postings_once_in_bounded_files(spark, tmp_path, monkeypatch):
+    from tracewell.operators import textindex
+
+    monkeypatch.setattr(textindex, "FILE_POSTINGS", 400)
+    monkeypatch.setattr(textindex, "FILE_BYTES", 4000)
+    seen = []
+    dealt = textindex.postings_of
+    monkeypatch.setattr(textindex, "postings_of", lambda rows: seen.append(dealt(rows)) or seen[-1])
+    live = {n: " ".join(f"w{(n * k) % 97}" for k in range(40)) + " every" for n in range(100)}
+    index = S.StoredIndex.write(documents_of(spark, list(live.items())), str(tmp_path / "i"))
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()  # grouped where documents are read
+    assert index.segments[0].parts >= 3 and len(index.files_of(index.segments[0], None)) >= 8
+    assert S.vocabulary(index).count() == len({w for t in live.values() for w in t.split()})
+    counted = {r["term"]: (r["df"], r["cf"]) for r in S.vocabulary(index).collect()}
+    assert counted == {r["term"]: (r["df"], r["cf"]) for r in S.vocabulary(documents_of(spark, list(live.items()))).collect()}
+    assert counted["every"] == (100, 100)
+
+
+def test_vocabulary_moves_counts_alone(spark):
+    plan = S.vocabulary(documents_of(spark, [(1, "a b a"), (2, "b"), (3, None)])).orderBy("term")
+    assert [tuple(r) for r in plan.collect()] == [("a", 1, 2), ("b", 2, 2)]
+    text = S.vocabulary(documents_of(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "ref" not in text.split("Exchange hashpartitioning")[1].split("MapInArrow")[0]
