@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import subprocess
 
 import pytest
@@ -254,3 +255,32 @@ def test_carried_state_equals_a_plain_window(spark, own, ranges):
         cut = frame.filter("k = 'hot'").select(scan.range_of(frame, "at", ranges).alias("r")).groupBy("r").count().collect()
         assert len(cut) == 7 and max(r["count"] for r in cut) < 200
     assert scan.carried(frame.limit(0), ["k"], "at", F.col("v"), "last").collect() == []
+
+
+def test_last_touch_is_dealt_by_the_size_of_its_table(spark, monkeypatch):
+    from tracewell.queries import joins as queries
+
+    commits = spark.createDataFrame([("r", "c1", ["p"], 10, ["a"]), ("r", "c1", ["p"], 10, ["b"]), ("r", "c2", ["p"], 20, ["a"]), ("r", "c3", ["p", "q"], 30, ["a", "b"])], "repo string, commit_hash string, parents array<string>, committed_at long, files array<string>")
+    assert sorted(tuple(r) for r in etl.last_touch(commits, 3).collect()) == [("r", "a", "c2", 20), ("r", "b", "c1", 10)]
+    monkeypatch.setattr(queries, "ROWS_OF_TASK", 100)
+    plan = queries.last_touch_provenance(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    parts = {int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", plan)}
+    assert len(parts) == 1 and parts.pop() >= 50  # 6,000 rows or so: each task joins and sorts as many, whatever the table's size
+
+
+def test_sections_leave_a_task_in_pieces(spark, monkeypatch):
+    import pandas as pd
+
+    from tracewell.workers import ship_package
+
+    ship_package(spark)
+    monkeypatch.setattr(etl, "PIECE_CHARS", 64)
+    made = []
+    udf = F.pandas_udf
+    monkeypatch.setattr(etl.F, "pandas_udf", lambda kind: lambda f: made.append(f) or udf(kind)(f))
+    texts = [f"# h{n}\nbody {n}\n## s\nmore" if n % 7 else None for n in range(40)]
+    rows = etl.sections(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))
+    pieces = list(made[0](iter([pd.Series(texts), pd.Series([], dtype=object), pd.Series(["# x"])])))
+    assert len(pieces) > 10 and sum(map(len, pieces)) == 41  # sections of a few texts at a time
+    assert [s["heading_path"] for s in pieces[0].iloc[1]] == ["h1", "h1/s"]
+    assert rows.count() == 2 * sum(t is not None for t in texts)

@@ -181,12 +181,14 @@ def source_files(rows: DataFrame) -> DataFrame:
     return rows.filter(text & ~owned_by_other_corpus(F.col("path")))
 
 
-def last_touch(commits: DataFrame) -> DataFrame:
+def last_touch(commits: DataFrame, parts: int | None = None) -> DataFrame:
     """repo, path, commit_hash, committed_at of the newest commit, merges aside, that changed each file; commits: repo, commit_hash, parents, committed_at, files.
 
-    With a column ``position`` (0 at HEAD, in topological order) that decides, so that skewed clocks
+    A commit's files may be dealt over several rows. ``parts``: into how many parts files are dealt, for inputs of a
+    known size; each is sorted in one task. With a column ``position`` (0 at HEAD, in topological order) that decides, so that skewed clocks
     don't; without it the time does, then the hash.
     """
     order = F.struct((-F.col("position")).alias("position"), "commit_hash", "committed_at") if "position" in commits.columns else F.struct("committed_at", "commit_hash")
     each = commits.filter(F.size("parents") <= 1).select("repo", F.explode("files").alias("path"), order.alias("c"))
+    each = each if parts is None else each.repartition(parts, "repo", "path")
     return each.groupBy("repo", "path").agg(F.max("c").alias("c")).select("repo", "path", "c.commit_hash", "c.committed_at")

@@ -10,6 +10,8 @@ from ..operators import joins as J
 from ..operators.scan import carried
 from .registry import query, table
 
+#: Rows of a table that one task joins or sorts, where the table's size sets the number of parts.
+ROWS_OF_TASK = 1 << 19
 #: The tables' own clock: the last event's second.
 NOW_SQL = "(SELECT CAST(floor(epoch(max(ts))) AS BIGINT) FROM events)"
 
@@ -123,10 +125,11 @@ def domain_visible(spark, sf_dir):
 @query("SELECT l_partkey AS part, max({'d': CAST(epoch(o_orderdate) AS BIGINT), 'k': o_orderkey}).k AS order_key, CAST(epoch(max(o_orderdate)) AS BIGINT) AS committed_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 def last_touch_provenance(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.unix_timestamp("o_orderdate").alias("committed_at"))
-    each = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").cast("string").alias("part")).distinct().join(orders, "l_orderkey")
-    commits = each.groupBy("l_orderkey", "committed_at").agg(F.collect_list("part").alias("files"))
-    commits = commits.select(F.lit("repo").alias("repo"), F.col("l_orderkey").alias("commit_hash"), F.array(F.lit("parent")).alias("parents"), "committed_at", "files")
-    return etl.last_touch(commits).select(F.col("path").cast("long").alias("part"), F.col("commit_hash").alias("order_key"), "committed_at")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").cast("string").alias("part"))
+    parts = max(spark.sparkContext.defaultParallelism, -(-lines.count() // ROWS_OF_TASK))  # the files' own counts
+    each = lines.repartition(parts, "l_orderkey").join(orders.repartition(parts, "l_orderkey"), "l_orderkey")
+    commits = each.select(F.lit("repo").alias("repo"), F.col("l_orderkey").alias("commit_hash"), F.array(F.lit("parent")).alias("parents"), "committed_at", F.array("part").alias("files"))
+    return etl.last_touch(commits, parts).select(F.col("path").cast("long").alias("part"), F.col("commit_hash").alias("order_key"), "committed_at")
 
 
 @query(
