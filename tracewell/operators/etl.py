@@ -47,6 +47,8 @@ def sections_of(text: str | None) -> list[tuple[str, int, int, str]]:
     return found
 
 
+#: Characters of text whose sections a task holds at once; one text has at most six times its own.
+PIECE_CHARS = 1 << 20
 SECTION = "array<struct<heading_path:string,line_start:long,line_end:long,body:string>>"
 
 
@@ -57,7 +59,12 @@ def sections(df: DataFrame, text: str = "text") -> DataFrame:
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         names = ("heading_path", "line_start", "line_end", "body")
         for texts in batches:
-            yield texts.map(lambda t: [dict(zip(names, s)) for s in sections_of(t)])
+            begin, size = 0, 0
+            for k, text in enumerate(texts, 1):
+                size += len(text or "")
+                if size >= PIECE_CHARS or k == len(texts):
+                    yield texts.iloc[begin:k].map(lambda t: [dict(zip(names, s)) for s in sections_of(t)])
+                    begin, size = k, 0
 
     return df.withColumn("__s", F.explode(cut(text))).select(*df.columns, "__s.*")
 
