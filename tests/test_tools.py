@@ -195,3 +195,25 @@ def test_empty_queries_are_errors_and_empty_results_are_explained(spark):
     said = found.summary.first()
     assert found.results.count() == 0 and (said.total_matched, said.returned, said.corpus_empty) == (0, 0, False)
     assert tools.find_memory(search.index_of({"other": notes.select("ref", "body")}), notes, files, "absent").summary.first().corpus_empty
+
+
+def test_a_page_is_taken_from_keys_before_texts_are_read(spark):
+    commits = spark.createDataFrame([(n, f"h{n:03}", "big" if n % 2 else "small", 100 + n // 2, "said", f"word text {n}") for n in range(60)] + [(7, "h900", "big", 90, "said", "word text 7")], "ref long, commit_hash string, repo_path string, authored_at long, message_summary string, message_body string")
+    repos = spark.createDataFrame([("big", 1)], "repo_path string, is_shallow int")
+    index = search.index_of({"commit_entries": commits.filter("commit_hash <> 'h900'").select("ref", F.col("message_body").alias("body"))})
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold") if spark.conf.get(k, None) is not None}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = tools.find_commit(index, commits, repos, "word", 5).results
+        recent = tools.recent_commits(commits, repos, 130, 1, 4, index=index, filter_="word")
+        for rows in (found, recent):
+            joined = [x for x in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "[ref#" in x]
+            assert joined and all("BroadcastHashJoin" in x for x in joined)  # no text moves to meet its rank
+        assert [(r["commit_hash"], r["shallow"], r["pos"]) for r in found.orderBy("pos").collect()] == [("h058", False, 1), ("h059", True, 2), ("h056", False, 3), ("h057", True, 4), ("h054", False, 5)]
+        assert [(r["commit_hash"], r["shallow"]) for r in recent.collect()] == [("h058", False), ("h059", True), ("h056", False), ("h057", True)]
+        assert tools.recent_commits(commits, repos, 130, 1, 3).select("commit_hash").collect() == [("h058",), ("h059",), ("h056",)]
+        assert {r["commit_hash"] for r in tools.find_commit(index, commits.filter("ref = 7"), repos, "word").results.collect()} == {"h007", "h900"}
+    finally:
+        for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.set(k, kept[k]) if k in kept else spark.conf.unset(k)
