@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -388,6 +389,72 @@ def test_lines_of_null_and_repeated_ids_match_brute_force(spark, monkeypatch, ho
         assert {(-(10**9) if r.doc == linededup.NO_ID else r.doc, r.line): r.n for r in marked if r.n} == expected
 
 
+def _matched(lines, frequent=1 << linededup.CODE_BITS, rarest=()):
+    ranks = np.arange(linededup.BUCKETS, dtype=np.uint32)
+    for word in rarest:
+        ranks[int(linededup.word_hashes(word.encode())[0][0]) >> (64 - linededup.BUCKET_BITS)] = 0
+    keys = [linededup._signed(xxhash.xxh3_128_intdigest(x.encode()) >> 64) for x in lines]
+    found = linededup.prefixes([x.encode() for x in lines], keys, ranks, frequent)
+    found = found[np.argsort(found["code"], kind="stable")]
+    table = linededup.match(pa.table({"shard": [0], "data": [linededup.packed(found)]}), linededup.HOT, linededup.MOST_POSTINGS)
+    pairs = {tuple(sorted((keys.index(r["a"]), keys.index(r["b"])))) for r in table.to_pylist() if r["b"] is not None}
+    return pairs, sum(r["b"] is None for r in table.to_pylist()), found
+
+
+def _unlike(rng, n, size, shared=()):
+    return [" ".join([*shared, *(f"w{rng.randrange(10**9)}" for _ in range(size - len(shared)))]) for _ in range(n)]
+
+
+def test_long_lines_that_share_a_few_words_are_no_candidates():
+    lines = _unlike(random.Random(1), 60, 200, [f"common{k}" for k in range(40)])
+    near = lines[0].rsplit(" ", 15)[0] + " other"
+    pairs, hot, _ = _matched([*lines, near])
+    assert pairs == {(0, 60)} and not hot
+
+
+def test_words_of_many_lines_are_compared_in_their_shard_and_groups_of_copies_go_apart():
+    """A word that 600 unlike lines share gives no rows of its own; 200 near copies give a row for each word, no square of pairs."""
+    rng = random.Random(2)
+    pairs, hot, found = _matched(_unlike(rng, 600, 9, ["the", "of"]), rarest=["the", "of"])
+    assert max(Counter(found["code"].tolist()).values()) == 600 and len(pairs) < 10 and not hot
+    text = _unlike(rng, 1, 30)[0]
+    pairs, hot, _ = _matched([f"{text} x{k}" for k in range(200)])
+    assert 0 < hot <= 200 * 7 and len(pairs) <= linededup.HOT * 200
+
+
+@pytest.mark.parametrize("share", [0, 0.3, 0.9])
+def test_frequent_words_meet_by_pairs_and_lose_no_link(share):
+    rng = random.Random(7)
+    frequent = int((1 << linededup.CODE_BITS) * share)
+    words = [f"w{k}" for k in range(60)]
+    lines = sorted({" ".join(rng.sample(words, rng.randrange(1, 25))) for _ in range(150)})
+    for x in list(lines):
+        own = x.split()
+        own[rng.randrange(len(own))] = rng.choice(words)
+        lines.append(" ".join(rng.sample(own, len(own))) + rng.choice(["", " extra"]))
+    lines = sorted(set(lines))
+    similar = {(i, j) for j in range(len(lines)) for i in range(j) if linededup.similar(lines[i].encode(), lines[j].encode())}
+    pairs, hot, _ = _matched(lines, frequent)
+    assert len(similar) > 50 and not hot and similar <= pairs
+
+
+def test_texts_of_candidates_are_read_in_place(spark):
+    """Every wanted line comes, from its place, and the table of documents isn't shuffled for it."""
+    docs = documents(spark, [(i, f"one {i}\n\ntwo {i} é" if i % 5 else None, None, None) for i in range(300)])
+    wanted = linededup.classes_of(linededup.lines_of(linededup.survey(docs))).filter("doc % 3 = 0 AND line = 2")
+    found = linededup.bodies_of(docs, wanted)
+    assert "Exchange" not in found._jdf.queryExecution().toString()
+    expected = {f"two {i} é" for i in range(300) if i % 5 and i % 3 == 0}
+    bodies = {bytes(r.body).decode() for r in found.collect()}
+    assert expected <= bodies and len(bodies) < len(expected) + 30
+
+
+def test_session_keeps_its_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    linededup.marked_lines(documents(spark, [(1, "a b", None, None)])).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 # language
 
 

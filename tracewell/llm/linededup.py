@@ -15,14 +15,21 @@ their words.
 The bitmaps' bound: let x and y be the sizes, s the words that must be shared, p and q the words in the
 two bitmaps (RAREST or the whole line). Shared words have one order in both lines, so those in one of
 the two heads but not in the other are all in the same one, and the heads differ in at most
-max(2 (x - s) + q - p, 2 (y - s) + p - q) words, the bitmaps in no more bits.
+max(2 (x - s) + q - p, 2 (y - s) + p - q) words, the bitmaps in no more bits. Lines of more than WIDE_FROM
+words have a bitmap of all their words besides, in which each word flips a bit: a word of both lines flips
+it twice, so that no more bits differ than words do, x + y - 2 s.
 
 Words are read and numbered by Arrow functions over whole texts (in expressions they cost ten times as
-much; the README has the figures), and postings travel as blocks. A shard's words have MOST_POSTINGS
-postings each at most: words that the corpus has more often go past the shards as rows. Words that more
-than HOT lines have in their prefixes are treated apart, as joins of rows: those lines are first
-compared with the three earliest lines that have the word, and only those that no such comparison
-removes are joined with all.
+much; the README has the figures), and postings travel as blocks. A word that the corpus has more than
+MOST_POSTINGS times is indexed by pairs: two lines that share it as their first shared word share a second
+one as well, at most one place beyond the prefix, and the pair of both is what they meet under. (Lines of
+one word have no second; they only resemble lines of one word.) So a key's lines stay few while the corpus
+grows. Keys of more than MOST_POSTINGS lines or of more than HOT candidates for each line, as groups of
+near copies give, are treated apart, as joins of rows: those lines are first compared with the three
+earliest lines that have the key, and only those that no such comparison removes are joined with all.
+
+Texts stay where they are but for those of candidates: a bitmap of their first places is broadcast, and
+the documents are read once more for the lines that it names.
 
 Edge cases: a null text has no lines; a line without words stays; documents with one id count as one,
 whose lines share their numbers, and lines in one place don't remove each other; null ids come first
@@ -32,12 +39,13 @@ in the order, and the smallest id there is counts as one; an empty table gives a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workers import ship_package
@@ -45,23 +53,25 @@ from .common import cut, map_batches, one_of, staged
 
 BUCKET_BITS, CODE_BITS = 21, 52
 BUCKETS, CHUNKS = 1 << BUCKET_BITS, 64
-HOT, HEADS, MOST_POSTINGS = 256, 3, 1 << 17
+HOT, HEADS, MOST_POSTINGS = 32, 3, 1 << 12
 #: A line's rarest words that its bitmap has; more would fill its 64 bits.
 RAREST = 32
+#: Lines of more words have a bitmap of WIDE 64-bit words besides.
+WIDE_FROM, WIDE = 80, 2
+_WIDE = [f"w{k}" for k in range(WIDE)]
 #: Postings that a shard is meant to hold, the least number of shards, bytes and lines that are numbered at once.
-SHARD_POSTINGS, LEAST_SHARDS, PIECE_BYTES, PIECE_LINES = 100_000, 64, 1 << 20, 1 << (64 - CODE_BITS)
-#: Documents whose number is checked before they are broadcast to fetch their lines; more are joined by a shuffle.
-BROADCAST_DOCS = 1 << 16
+SHARD_POSTINGS, LEAST_SHARDS, PIECE_BYTES, PIECE_LINES = 100_000, 64, 1 << 19, 1 << (64 - CODE_BITS)
+#: Documents that a task hands to Python at once.
+BATCH_DOCS = 512
+#: Bits of the bitmap of places for each line that is fetched, the most it has in all, and those of a part of it.
+PLACE_BITS, MOST_BITS, PART_BITS = 16, 28, 22
 NO_ID = -(1 << 63)
-#: 64-bit words of the bitmap by which pairs of lines are sifted before their texts are fetched.
-SIGNATURE = 8
-_SIGNS = [f"s{k}" for k in range(SIGNATURE)]
 #: What a worker keeps at most: hashes of lines that it has indexed, postings not yet sent.
 KEPT_LINES, KEPT_POSTINGS = 1 << 17, 1 << 18
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SPACES = np.isin(np.arange(256), list(b" \t\n\r\v\f"))
 
-POSTING = np.dtype([("code", "<u8"), ("key", "<i8"), ("bits", "<u8"), ("n", "<u4"), ("pos", "<u4")])
+POSTING = np.dtype([("code", "<u8"), ("key", "<i8"), ("bits", "<u8"), ("n", "<u4"), ("pos", "<u4"), *((c, "<u8") for c in _WIDE)])
 
 
 def packed(rows: np.ndarray) -> bytes:
@@ -99,6 +109,13 @@ class _Powers:
         return cls.up, cls.down
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Well-mixed 64 bits of each number."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of a text, and the number of its line: a polynomial in a word's bytes, from running sums."""
     codes = np.frombuffer(data, np.uint8)
@@ -108,9 +125,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    return h, np.searchsorted(np.flatnonzero(codes == 10), starts)
+    return mixed(h), np.searchsorted(np.flatnonzero(codes == 10), starts)
 
 
 def survey(docs: DataFrame) -> DataFrame:
@@ -179,8 +194,8 @@ def classes_of(lines: DataFrame) -> DataFrame:
     return firsts.select("k1", "k2", "at.doc", "at.line")
 
 
-def prefixes(lines: list[bytes], keys: list[int], ranks: np.ndarray) -> np.ndarray:
-    """The postings of PIECE_LINES lines at most."""
+def prefixes(lines: list[bytes], keys: list[int], ranks: np.ndarray, frequent: int) -> np.ndarray:
+    """The postings of PIECE_LINES lines at most; words with codes from ``frequent`` on go by pairs."""
     h, row = word_hashes(b"\n".join(lines))
     low = np.uint64((1 << (CODE_BITS - BUCKET_BITS)) - 1)
     code = ranks[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(CODE_BITS - BUCKET_BITS) | (h & low)
@@ -191,16 +206,36 @@ def prefixes(lines: list[bytes], keys: list[int], ranks: np.ndarray) -> np.ndarr
     sizes = np.diff(np.append(starts, len(row)))
     n, pos = np.repeat(sizes, sizes), np.arange(len(row)) - np.repeat(starts, sizes)
     marks = np.where(pos < RAREST, np.uint64(1) << (code & np.uint64(63)), np.uint64(0))
-    bits = np.repeat(np.bitwise_or.reduceat(marks, starts), sizes) if len(starts) else code
-    kept = pos < n // 5 + 1
-    found = np.empty(int(kept.sum()), POSTING)
-    for name, values in (("code", code), ("pos", pos), ("n", n), ("bits", bits), ("key", np.array(keys, np.int64)[row])):
-        found[name] = values[kept]
+    bits = np.bitwise_or.reduceat(marks, starts) if len(starts) else marks
+    wide = np.zeros((WIDE, len(starts)), np.uint64)
+    many = sizes > WIDE_FROM
+    if many.any():
+        own = code[n > WIDE_FROM] >> np.uint64(6)
+        begins, bit = np.cumsum(sizes[many]) - sizes[many], own % np.uint64(64 * WIDE)
+        for k in range(WIDE):
+            flips = np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
+            wide[k, many] = np.bitwise_xor.reduceat(flips, begins)
+    own = np.repeat(np.arange(len(starts)), sizes)
+    kept = np.flatnonzero(pos < n // 5 + 1)
+    paired = (code[kept] >= np.uint64(frequent)) & (n[kept] > 1)
+    first = kept[paired]
+    # the words after a frequent one, up to one place beyond the prefix
+    after = np.minimum(n[first] // 5 + 1, n[first] - 1) - pos[first]
+    at = np.repeat(first, after)
+    second = at + 1 + np.arange(len(at)) - np.repeat(np.cumsum(after) - after, after)
+    of_pair = mixed(mixed(code[at]) + code[second]) | np.uint64(1 << 63)
+    at, word = np.concatenate([kept[~paired], at]), np.concatenate([code[kept[~paired]], of_pair])
+    found = np.empty(len(at), POSTING)
+    line = own[at]
+    for name, values in (("code", word), ("pos", pos[at]), ("n", n[at]), ("bits", bits[line] if len(at) else word), ("key", np.array(keys, np.int64)[row[at]])):
+        found[name] = values
+    for k, name in enumerate(_WIDE):
+        found[name] = wide[k, line]
     return found
 
 
 def blocks(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """shard, data: blocks of the postings of all distinct lines; a negative shard holds words of too many postings."""
+    """shard, data: blocks of the postings of all distinct lines."""
     spark = docs.sparkSession
     ranks = np.empty(BUCKETS, np.uint32)
     ranks[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint32)
@@ -212,10 +247,7 @@ def blocks(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         rows = np.concatenate(found)
         if not len(rows):
             return
-        mixed = (rows["code"] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-        shard = (mixed % np.uint64(shards)).astype(np.int64)
-        wide = rows["code"] >= np.uint64(frequent)
-        shard[wide] = -1 - (rows["key"][wide] % shards)
+        shard = (((rows["code"] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
         order = np.lexsort((rows["code"], shard))
         rows, shard = rows[order], shard[order]
         cuts = np.flatnonzero(np.diff(shard)) + 1
@@ -240,62 +272,75 @@ def blocks(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     keys.append(_signed(key >> 64))
                     size += len(line)
                     if size >= PIECE_BYTES or len(lines) >= PIECE_LINES:
-                        found.append(prefixes(lines, keys, sent.value))
+                        found.append(prefixes(lines, keys, sent.value, frequent))
                         n_found += len(found[-1])
                         lines, keys, size = [], [], 0
                         if n_found > KEPT_POSTINGS:
                             yield from flush(found)
                             found, n_found = [], 0
         if lines:
-            found.append(prefixes(lines, keys, sent.value))
+            found.append(prefixes(lines, keys, sent.value, frequent))
         if found:
             yield from flush(found)
 
     return map_batches(docs.select(F.col("text").cast("binary").alias("text")), run, "shard long, data binary")
 
 
-def _pairs(rows: np.ndarray, most: int) -> np.ndarray:
-    """Candidates (a, b), keys of two lines, among postings sorted by code and n, ``most`` of a code at most."""
-    n, pos, bits, code = rows["n"].astype(np.int64), rows["pos"].astype(np.int64), rows["bits"], rows["code"]
-    found, first = [np.zeros((0, 2), np.int64)], np.arange(len(rows))
-    for step in range(1, most):
-        first = first[first + step < len(rows)]
+def _pairs(rows: np.ndarray, group: np.ndarray, sizes: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates (a, b), keys of two lines, among postings sorted by code and n; and which groups (of one code, of the
+    given sizes) have more than ``hot`` of them for each line, whose candidates are left out."""
+    n, pos, bits, key = rows["n"].astype(np.int64), rows["pos"].astype(np.int64), rows["bits"], rows["key"]
+    heads, long = np.minimum(n, RAREST), n > WIDE_FROM
+    found, of, first = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], np.arange(len(rows))
+    counts, dense, step = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool), 0
+    while True:
+        step += 1
+        first = first[: np.searchsorted(first, len(rows) - step)]
         second = first + step
-        first = first[(code[first] == code[second]) & (n[second] * 4 <= n[first] * 5)]
+        first = first[(group[first] == group[second]) & (n[second] * 4 <= n[first] * 5) & ~dense[group[first]]]
         if not len(first):
             break
         second = first + step
         x, y = n[first], n[second]
         need = -(-(x + y) * 4 // 9)
-        p, q = np.minimum(x, RAREST), np.minimum(y, RAREST)
-        most_bits = np.maximum(2 * (x - need) + q - p, 2 * (y - need) + p - q)
-        can = (np.minimum(x - pos[first], y - pos[second]) >= need) & (np.bitwise_count(bits[first] ^ bits[second]) <= most_bits)
-        good = can & ((pos[first] * 9 <= x) | ((x == y) & (pos[second] * 9 <= y)))
-        found.append(np.stack([rows["key"][first[good]], rows["key"][second[good]]], axis=1))
-    pairs = np.sort(np.concatenate(found), axis=1)
-    return np.unique(pairs, axis=0)
+        can = (np.minimum(x - pos[first], y - pos[second]) >= need) & ((pos[first] * 9 <= x) | ((x == y) & (pos[second] * 9 <= y)))
+        a, b, need = first[can], second[can], need[can]
+        x, y, p, q = n[a], n[b], heads[a], heads[b]
+        good = np.bitwise_count(bits[a] ^ bits[b]) <= np.maximum(2 * (x - need) + q - p, 2 * (y - need) + p - q)
+        a, b, most = a[good], b[good], (x + y - 2 * need)[good]
+        differ = sum(np.bitwise_count(rows[c][a] ^ rows[c][b]).astype(np.int64) for c in _WIDE)
+        good = (differ <= most) | ~(long[a] & long[b])
+        a, b = a[good], b[good]
+        if len(a):
+            found.append(np.stack([key[a], key[b]], axis=1))
+            of.append(group[a])
+            counts += np.bincount(group[a], minlength=len(sizes))
+            dense = counts > hot * sizes
+    pairs = np.concatenate(found)[~dense[np.concatenate(of)]]
+    return np.unique(np.sort(pairs, axis=1), axis=0), dense
 
 
 MATCHED = "word long, a long, b long, n int, bits long, pos int"
 
 
-def match(table: pa.Table, most: int) -> pa.Table:
-    """Candidate pairs of a shard (a, b), and the postings (word, a, n, bits, pos) of words that more than ``most`` lines have."""
+def match(table: pa.Table, hot: int, most: int) -> pa.Table:
+    """Candidate pairs of a shard (a, b), and the postings (word, a, n, bits, pos) of keys that more than ``most`` lines or ``hot`` candidates for each have."""
     rows = np.concatenate([unpacked(x.as_py()) for x in table.column("data")])
-    if table.column("shard")[0].as_py() < 0:
-        pairs, hot = np.zeros((0, 2), np.int64), rows
-    else:
-        rows = rows[np.lexsort((rows["key"], rows["n"], rows["code"]))]
-        again = (rows["code"][1:] == rows["code"][:-1]) & (rows["key"][1:] == rows["key"][:-1])
-        rows = rows[np.concatenate([[True], ~again])]
-        starts = np.flatnonzero(np.concatenate([[True], rows["code"][1:] != rows["code"][:-1]]))
-        sizes = np.diff(np.append(starts, len(rows)))
-        size = np.repeat(sizes, sizes)
-        pairs, hot = _pairs(rows[(size > 1) & (size <= most)], most), rows[size > most]
+    rows = rows[np.lexsort((rows["key"], rows["n"], rows["code"]))]
+    again = (rows["code"][1:] == rows["code"][:-1]) & (rows["key"][1:] == rows["key"][:-1])
+    rows = rows[np.concatenate([[True], ~again])]
+    starts = np.flatnonzero(np.concatenate([[True], rows["code"][1:] != rows["code"][:-1]]))
+    sizes = np.diff(np.append(starts, len(rows)))
+    compared = (sizes > 1) & (sizes <= most)
+    each = np.repeat(compared, sizes)
+    pairs, dense = _pairs(rows[each], np.repeat(np.arange(int(compared.sum())), sizes[compared]), sizes[compared], hot)
+    apart = sizes > most
+    apart[np.flatnonzero(compared)[dense]] = True
+    left = rows[np.repeat(apart, sizes)]
     none = lambda k, t: pa.nulls(k, t)
     long = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
     cold = pa.table({"word": none(len(pairs), pa.int64()), "a": long(pairs[:, 0]), "b": long(pairs[:, 1]), "n": none(len(pairs), pa.int32()), "bits": none(len(pairs), pa.int64()), "pos": none(len(pairs), pa.int32())})
-    apart = pa.table({"word": long(hot["code"]), "a": long(hot["key"]), "b": none(len(hot), pa.int64()), "n": pa.array(hot["n"].astype(np.int32)), "bits": long(hot["bits"]), "pos": pa.array(hot["pos"].astype(np.int32))})
+    apart = pa.table({"word": long(left["code"]), "a": long(left["key"]), "b": none(len(left), pa.int64()), "n": pa.array(left["n"].astype(np.int32)), "bits": long(left["bits"]), "pos": pa.array(left["pos"].astype(np.int32))})
     return pa.concat_tables([cold, apart])
 
 
@@ -332,44 +377,66 @@ def _joined(probe: DataFrame, index: DataFrame, more) -> DataFrame:
     return probe.alias("a").join(index.alias("b"), (a("word") == b("word")) & more(a, b) & _similar_enough(a, b)).select(*_pair(a, b)).distinct()
 
 
+def _bits(doc: np.ndarray, line: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a place in a bitmap of 2**size."""
+    h = mixed(mixed(doc.astype(np.int64).view(np.uint64)) + line.astype(np.uint64))
+    return (h >> np.uint64(64 - size)).astype(np.int64), (h & np.uint64((1 << size) - 1)).astype(np.int64)
+
+
+def places_of(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of the places (doc, line) of lines, of MOST_BITS at most: its parts are made by tasks."""
+    size = min(MOST_BITS, max(PART_BITS, (PLACE_BITS * wanted.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_bits(batch.column(0).to_numpy(), batch.column(1).to_numpy(), size))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> PART_BITS).astype(np.int32)), pa.array((at & ((1 << PART_BITS) - 1)).astype(np.int32))], ["part", "at"])
+
+    def made(table: pa.Table) -> pa.Table:
+        marks = np.zeros(1 << PART_BITS, bool)
+        marks[table.column("at").to_numpy()] = True
+        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(marks).tobytes()], pa.binary())})
+
+    at = map_batches(wanted.select("doc", F.col("line").cast("int").alias("line")), run, "part int, at int")
+    bitmap = np.zeros((1 << size) >> 3, np.uint8)
+    for part in at.groupBy("part").applyInArrow(made, "part int, bits binary").collect():  # 2**size bits
+        bitmap[part["part"] << (PART_BITS - 3) :][: 1 << (PART_BITS - 3)] = np.frombuffer(part["bits"], np.uint8)
+    return bitmap
+
+
 def bodies_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """k1, k2, body, n (words) and a bitmap of the words of the wanted classes (k1, k2, and the place doc, line of an occurrence)."""
-    places = cut(wanted.groupBy("doc").agg(F.collect_set("line").alias("wanted")))  # of one id each
-    few = places.count() <= BROADCAST_DOCS
-    texts = docs.filter("text IS NOT NULL").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
-    joined = texts.join(F.broadcast(places) if few else places, "doc").select("wanted", F.split("text", "\n").alias("all"))
-    each = joined.select(F.explode(F.filter("wanted", lambda n: n < F.size("all"))).alias("line"), "all").select(F.get("all", F.col("line")).cast("binary").alias("body"))
+    """k1, k2, body of the wanted classes (k1, k2, and the place doc, line of an occurrence), and of a few others whose places the bitmap can't tell from theirs."""
+    bitmap = places_of(wanted)
+    size = len(bitmap).bit_length() + 2
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = lambda at: (sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
         for batch in batches:
-            keys, sizes, marks = [], [], np.zeros((batch.num_rows, 64 * SIGNATURE), bool)
-            for k, body in enumerate(batch.column(0)):
-                words = set(body.as_py().split())
-                sizes.append(len(words))
-                keys.append(xxhash.xxh3_128_intdigest(body.as_py()))
-                marks[k, [xxhash.xxh3_64_intdigest(w) % (64 * SIGNATURE) for w in words]] = True
-            longs = np.packbits(marks, axis=1).view(np.int64)
+            column = batch.column(1)
+            counts = np.array([0 if body is None else body.count(b"\n") + 1 for body in (x.as_py() for x in column)], np.int64)
+            row = np.repeat(np.arange(len(counts)), counts)
+            line = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            one, two = _bits(batch.column(0).to_numpy()[row], line, size)
+            hits = np.flatnonzero(marked(one) & marked(two))
+            bodies, last, lines = [], -1, []
+            for r, at in zip(row[hits].tolist(), line[hits].tolist()):
+                if r != last:
+                    last, lines = r, column[r].as_py().split(b"\n")
+                bodies.append(lines[at])
+            keys = [xxhash.xxh3_128_intdigest(body) for body in bodies]
             halves = [pa.array([_signed(k >> 64) for k in keys], pa.int64()), pa.array([_signed(k & 0xFFFFFFFFFFFFFFFF) for k in keys], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*halves, batch.column(0), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(longs[:, k])) for k in range(SIGNATURE))], [*KEYS, "body", "n", *_SIGNS])
+            yield pa.RecordBatch.from_arrays([*halves, pa.array(bodies, pa.binary())], [*KEYS, "body"])
 
-    found = map_batches(each, run, "k1 long, k2 long, body binary, n int, " + ", ".join(f"{c} long" for c in _SIGNS))
-    # of the texts in one place, which an id that is repeated or null may have several of, only the wanted ones
-    return found.join(wanted.select(*KEYS).distinct(), KEYS, "left_semi").dropDuplicates(KEYS)
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.col("text").cast("binary").alias("text"))
+    return map_batches(texts, run, "k1 long, k2 long, body binary")
 
 
 def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The pairs of a similarity of 0.8 or more, by the words of the two lines.
-
-    Wide bitmaps of the lines' words go first, so that few pairs meet their texts: sets that differ in
-    d bits share at most half of their sizes' sum less d.
-    """
+    """The pairs of a similarity of 0.8 or more, by the words of the two lines."""
     key = lambda side: [f"{side}_{c}" for c in KEYS]
-    of = lambda side, columns: bodies.select(*(F.col(c).alias(f"{side}_{c}") for c in (*KEYS, *columns)))
-    signed = pairs.join(of("later", ["n", *_SIGNS]), key("later")).join(of("early", ["n", *_SIGNS]), key("early"))
-    differ = sum((F.bit_count(F.col(f"later_{c}").bitwiseXOR(F.col(f"early_{c}"))) for c in _SIGNS), F.lit(0))
-    total = F.col("later_n") + F.col("early_n")
-    close = signed.filter(total - differ >= 2 * F.ceil(total * 4 / 9)).select(*PAIR)
-    both = close.join(of("later", ["body"]), key("later")).join(of("early", ["body"]), key("early"))
+    of = lambda side: bodies.select(*(F.col(c).alias(f"{side}_{c}") for c in (*KEYS, "body")))
+    both = pairs.join(of("later"), key("later")).join(of("early"), key("early"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -389,17 +456,18 @@ def similar(a: bytes, b: bytes) -> bool:
 def removed_classes(docs: DataFrame, counts: np.ndarray, classes: DataFrame) -> DataFrame:
     """k1, k2 of the distinct lines that an earlier line removes."""
     ship_package(docs.sparkSession)
-    most = HOT
-    matched = staged(blocks(docs, counts).groupBy("shard").applyInArrow(lambda table: match(table, most), MATCHED))
+    hot_from, most = HOT, MOST_POSTINGS
+    matched = staged(blocks(docs, counts).groupBy("shard").applyInArrow(lambda table: match(table, hot_from, most), MATCHED))
+    pairs = staged(matched.filter("b IS NOT NULL").select("a", "b").distinct())
+    posted = matched.filter("b IS NULL").dropDuplicates(["word", "a"])
     # a posting has the first half of its line's key; two lines that share it both become candidates
-    at = lambda key: classes.select(F.col("k1").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in (*KEYS, "doc", "line")))
-    cold = matched.filter("b IS NOT NULL").select("a", "b").distinct().join(at("a"), "a").join(at("b"), "b")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("k1")).unionByName(posted.select(F.col("a").alias("k1"))).distinct()
+    wanted = staged(classes.join(asked, "k1", "left_semi"))
+    at = lambda key: wanted.select(F.col("k1").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in (*KEYS, "doc", "line")))
+    cold = pairs.join(at("a"), "a").join(at("b"), "b")
     side = lambda key: (lambda c: F.col(f"{key}_{c}"))
-    cold = staged(cold.filter(_apart(side("a"), side("b"))).select(*_pair(side("a"), side("b"))).distinct())
-    posted = matched.filter("b IS NULL").dropDuplicates(["word", "a"]).join(at("a"), "a")
-    hot = staged(posted.select("word", *(F.col(f"a_{c}").alias(c) for c in (*KEYS, "doc", "line")), "n", "bits", "pos"))
-    asked = cold.select(F.explode(F.array(*(F.struct(*(F.col(f"{x}_{c}").alias(c) for c in KEYS)) for x in ("later", "early")))).alias("k")).select("k.*")
-    wanted = classes.join(asked.unionByName(hot.select(*KEYS)).distinct(), KEYS, "left_semi")
+    cold = cold.filter(_apart(side("a"), side("b"))).select(*_pair(side("a"), side("b")))
+    hot = staged(posted.join(at("a"), "a").select("word", *(F.col(f"a_{c}").alias(c) for c in (*KEYS, "doc", "line")), "n", "bits", "pos"))
     bodies = staged(bodies_of(docs, wanted))
     later = lambda pairs: verified(pairs, bodies).select(F.col("later_k1").alias("k1"), F.col("later_k2").alias("k2"))
     gone = later(cold)
@@ -414,12 +482,25 @@ def removed_classes(docs: DataFrame, counts: np.ndarray, classes: DataFrame) ->
     return gone.distinct()
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_DOCS rows: a batch of whole texts is held twice by the JVM, outside its heap, and twice by Python."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, str(BATCH_DOCS))
+    try:
+        yield
+    finally:
+        spark.conf.set(rows, before)
+
+
 def marked_lines(docs: DataFrame) -> DataFrame:
     """doc, line, gone for every line of every document."""
-    surveyed = staged(survey(docs))
-    lines = lines_of(surveyed)
-    classes = staged(classes_of(lines))
-    gone = cut(removed_classes(docs, bucket_counts(surveyed), classes)).withColumn("class_gone", F.lit(True))
+    with small_batches(docs.sparkSession):
+        surveyed = staged(survey(docs))
+        lines = lines_of(surveyed)
+        classes = staged(classes_of(lines))
+        gone = cut(removed_classes(docs, bucket_counts(surveyed), classes)).withColumn("class_gone", F.lit(True))
     settled = classes.join(gone, KEYS, "left").select(*KEYS, F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "class_gone")
     found = lines.join(settled, KEYS, "left")
     copy = F.struct("first_doc", "first_line") < F.struct("doc", "line")
