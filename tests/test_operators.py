@@ -237,6 +237,29 @@ def test_thread_measurement_covers_the_vocabulary_sample(spark):
     assert {r.term for r in QUERIES["resolve_author_feeders_sampled"](spark, sf).select("term").distinct().collect()} == set(terms)
 
 
+def test_neighbourhood_of_texts_needs_no_index(spark, tmp_path, monkeypatch):
+    """The words are those that a stored index gives; the query writes none, and an index that is there is used."""
+    from tracewell.operators import search as S
+    from tracewell.queries import QUERIES
+    from tracewell.queries import search as queries
+
+    rng = random.Random(3)
+    words = [f"word{k}" for k in range(30)]
+    texts = [" ".join(rng.choice([*words, "License", "stupid", "licensed"]) for _ in range(rng.randrange(0, 14))) for _ in range(120)]
+    index = S.index_of({"documents": spark.createDataFrame([(n, None if n % 17 == 0 else t) for n, t in enumerate(texts)], "ref long, body string")})
+    stored = S.StoredIndex.write(index, str(tmp_path / "index"))
+    for raw in ("license stupid", "word3 nosuchword", "licens* word1", "nosuchword nosuchterm"):
+        for keep in (None, F.col("ref") % 2 == 0):
+            found = [[(r.term, round(r.score, 9)) for r in S.neighbourhood(x, raw, keep).collect()] for x in (index, stored)]
+            assert found[0] == found[1]
+    monkeypatch.setattr(queries, "_WRITTEN", {})
+    sf = "/root/testdata/sf0.001"
+    alone = QUERIES["neighbourhood_terms"](spark, sf).collect()
+    assert not queries._WRITTEN
+    queries.documents_index(spark, sf)
+    assert alone == QUERIES["neighbourhood_terms"](spark, sf).collect() and len(alone) == 8
+
+
 @pytest.mark.parametrize(("own", "ranges"), [(True, 7), (False, 7), (True, 256), (False, 1)])
 def test_carried_state_equals_a_plain_window(spark, own, ranges):
     """A key of all rows, null keys and values, places that are missing; the hot key's rows are in many tasks."""
