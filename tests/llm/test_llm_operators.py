@@ -449,6 +449,25 @@ def test_texts_of_candidates_are_read_in_place(spark):
     assert expected <= bodies and len(bodies) < len(expected) + 30
 
 
+@pytest.mark.parametrize(("hot", "most"), [(linededup.HOT, linededup.MOST_POSTINGS), (1, 2)])
+def test_candidates_are_put_in_order_without_comparing_structs(spark, monkeypatch, hot, most):
+    """Comparisons of structs are long methods, whose compilation took hundreds of MB of an executor beside its heap."""
+    monkeypatch.setattr(linededup, "HOT", hot)
+    monkeypatch.setattr(linededup, "MOST_POSTINGS", most)
+    docs = documents(spark, [(k, f"a b c d e f g h i j k {k}\nanother line {k}", None, None) for k in range(30)])
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the whole plan is there before it runs
+    try:
+        surveyed = linededup.survey(docs)
+        gone = linededup.removed_classes(docs, linededup.bucket_counts(surveyed), linededup.classes_of(linededup.lines_of(surveyed)))
+        stages = gone._jdf.queryExecution().debug().codegenToSeq()
+        code = [stages.apply(k)._2() for k in range(stages.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert gone.count() == 29
+    assert code and not any("compareStruct" in x for x in code)
+
+
 def test_session_keeps_its_batches(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     linededup.marked_lines(documents(spark, [(1, "a b", None, None)])).collect()

@@ -359,22 +359,30 @@ KEYS = ["k1", "k2"]
 PAIR = ("later_k1", "later_k2", "early_k1", "early_k2")
 
 
-def _pair(a, b) -> list[Column]:
-    """Two classes in the order of their places."""
-    first = lambda x: F.struct(*(x(c).alias(c) for c in ("doc", "line", *KEYS)))
-    late, early = F.greatest(first(a), first(b)), F.least(first(a), first(b))
-    return [late["k1"].alias("later_k1"), late["k2"].alias("later_k2"), early["k1"].alias("early_k1"), early["k2"].alias("early_k2")]
+def _before(a, b) -> Column:
+    """Whether a's place comes before b's. Plain comparisons: those of structs become methods of thousands of bytes, and the
+    JVM's compiler took up to 490 MB, outside the heap, for one of them."""
+    return (a("doc") < b("doc")) | ((a("doc") == b("doc")) & (a("line") < b("line")))
 
 
-def _apart(a, b) -> Column:
-    """Whether two classes begin in different places; several documents may have one id."""
-    return (a("doc") != b("doc")) | (a("line") != b("line"))
+def _pair(late, early) -> list[Column]:
+    return [late("k1").alias("later_k1"), late("k2").alias("later_k2"), early("k1").alias("early_k1"), early("k2").alias("early_k2")]
 
 
-def _joined(probe: DataFrame, index: DataFrame, more) -> DataFrame:
-    """Candidates of two sets of postings; ``more(a, b)`` is a further condition."""
+def _ordered(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Candidates (a, b: first halves of keys) as classes in the order of their places; two that begin in one place, as
+    several documents of one id have it, are left out."""
+    at = lambda key: wanted.select(F.col("k1").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in (*KEYS, "doc", "line")))
+    side = lambda key: (lambda c: F.col(f"{key}_{c}"))
+    a, b = side("a"), side("b")
+    late, early = (lambda c: F.when(_before(a, b), b(c)).otherwise(a(c))), (lambda c: F.when(_before(a, b), a(c)).otherwise(b(c)))
+    return pairs.join(at("a"), "a").join(at("b"), "b").filter((a("doc") != b("doc")) | (a("line") != b("line"))).select(*_pair(late, early))
+
+
+def _joined(probe: DataFrame, index: DataFrame) -> DataFrame:
+    """Candidates of two sets of postings: probe's lines and earlier ones of index."""
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    return probe.alias("a").join(index.alias("b"), (a("word") == b("word")) & more(a, b) & _similar_enough(a, b)).select(*_pair(a, b)).distinct()
+    return probe.alias("a").join(index.alias("b"), (a("word") == b("word")) & _before(b, a) & _similar_enough(a, b)).select(*_pair(a, b)).distinct()
 
 
 def _bits(doc: np.ndarray, line: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -463,22 +471,17 @@ def removed_classes(docs: DataFrame, counts: np.ndarray, classes: DataFrame) ->
     # a posting has the first half of its line's key; two lines that share it both become candidates
     asked = pairs.select(F.explode(F.array("a", "b")).alias("k1")).unionByName(posted.select(F.col("a").alias("k1"))).distinct()
     wanted = staged(classes.join(asked, "k1", "left_semi"))
-    at = lambda key: wanted.select(F.col("k1").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in (*KEYS, "doc", "line")))
-    cold = pairs.join(at("a"), "a").join(at("b"), "b")
-    side = lambda key: (lambda c: F.col(f"{key}_{c}"))
-    cold = cold.filter(_apart(side("a"), side("b"))).select(*_pair(side("a"), side("b")))
-    hot = staged(posted.join(at("a"), "a").select("word", *(F.col(f"a_{c}").alias(c) for c in (*KEYS, "doc", "line")), "n", "bits", "pos"))
+    hot = staged(posted.withColumnRenamed("a", "k1").join(wanted, "k1").select("word", *KEYS, "doc", "line", "n", "bits", "pos"))
     bodies = staged(bodies_of(docs, wanted))
     later = lambda pairs: verified(pairs, bodies).select(F.col("later_k1").alias("k1"), F.col("later_k2").alias("k2"))
-    gone = later(cold)
+    gone = later(_ordered(pairs, wanted))
     # the words of many lines: the earliest lines first
     if not hot.isEmpty():
         first = hot.groupBy("word", F.pmod(F.xxhash64(*KEYS), F.lit(HEADS)).alias("nth")).agg(F.min(F.struct("doc", "line", *KEYS, "n", "bits", "pos")).alias("h"))
         heads = cut(first.select("word", "h.*"))
-        earlier = lambda a, b: F.struct(b("doc"), b("line")) < F.struct(a("doc"), a("line"))
-        gone = cut(gone.unionByName(later(_joined(hot, heads, earlier))).distinct())
+        gone = cut(gone.unionByName(later(_joined(hot, heads))).distinct())
         left = hot.join(gone, KEYS, "left_anti")
-        gone = gone.unionByName(later(_joined(left, hot, earlier)))
+        gone = gone.unionByName(later(_joined(left, hot)))
     return gone.distinct()
 
 
@@ -503,7 +506,7 @@ def marked_lines(docs: DataFrame) -> DataFrame:
         gone = cut(removed_classes(docs, bucket_counts(surveyed), classes)).withColumn("class_gone", F.lit(True))
     settled = classes.join(gone, KEYS, "left").select(*KEYS, F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "class_gone")
     found = lines.join(settled, KEYS, "left")
-    copy = F.struct("first_doc", "first_line") < F.struct("doc", "line")
+    copy = _before(lambda c: F.col(f"first_{c}"), F.col)
     return found.select("doc", "line", F.coalesce(F.col("first_doc").isNotNull() & (copy | F.col("class_gone")), F.lit(False)).alias("gone"))
 
 
