@@ -468,6 +468,19 @@ def test_candidates_are_put_in_order_without_comparing_structs(spark, monkeypatc
     assert code and not any("compareStruct" in x for x in code)
 
 
+def test_every_word_is_counted_once_however_many_a_task_has(spark):
+    """More words in one task than a worker keeps uncounted, and a last few after them."""
+    text = " ".join(f"w{k}" for k in range(2000))
+    docs = documents(spark, [(k, text, None, None) for k in range(300)] + [(300, "only here", None, None), (301, None, None, None)]).coalesce(1)
+    counts = linededup.bucket_counts(linededup.survey(docs))
+    expected = Counter({w: 300 for w in text.split()}) + Counter({"only": 1, "here": 1})
+    of = lambda w: int(linededup.word_hashes(w.encode())[0][0]) >> (64 - linededup.BUCKET_BITS)
+    buckets = Counter()
+    for w, n in expected.items():
+        buckets[of(w)] += n
+    assert 300 * 2000 > linededup.KEPT_WORDS and {int(k): int(counts[k]) for k in np.flatnonzero(counts)} == buckets
+
+
 def test_session_keeps_its_batches(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     linededup.marked_lines(documents(spark, [(1, "a b", None, None)])).collect()

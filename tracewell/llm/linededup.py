@@ -60,14 +60,14 @@ RAREST = 32
 WIDE_FROM, WIDE = 80, 2
 _WIDE = [f"w{k}" for k in range(WIDE)]
 #: Postings that a shard is meant to hold, the least number of shards, bytes and lines that are numbered at once.
-SHARD_POSTINGS, LEAST_SHARDS, PIECE_BYTES, PIECE_LINES = 100_000, 64, 1 << 19, 1 << (64 - CODE_BITS)
+SHARD_POSTINGS, LEAST_SHARDS, PIECE_BYTES, PIECE_LINES = 100_000, 64, 1 << 18, 1 << (64 - CODE_BITS)
 #: Documents that a task hands to Python at once.
 BATCH_DOCS = 512
 #: Bits of the bitmap of places for each line that is fetched, the most it has in all, and those of a part of it.
 PLACE_BITS, MOST_BITS, PART_BITS = 16, 28, 22
 NO_ID = -(1 << 63)
-#: What a worker keeps at most: hashes of lines that it has indexed, postings not yet sent.
-KEPT_LINES, KEPT_POSTINGS = 1 << 17, 1 << 18
+#: What a worker keeps at most: hashes of lines that it has indexed, postings not yet sent, words not yet counted.
+KEPT_LINES, KEPT_POSTINGS, KEPT_WORDS = 1 << 17, 1 << 17, 1 << 19
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SPACES = np.isin(np.arange(256), list(b" \t\n\r\v\f"))
 
@@ -134,11 +134,14 @@ def survey(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(BUCKETS, np.int64)
+        words: list[np.ndarray] = []
 
-        def count(bodies: list[bytes]) -> None:
-            words, _ = word_hashes(b"\n".join(bodies))
-            totals[:] += np.bincount((words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=BUCKETS)
+        def count(bodies: list[bytes], most: int) -> None:
+            words.append((word_hashes(b"\n".join(bodies))[0] >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
             bodies.clear()
+            if sum(map(len, words)) > most:
+                totals[:] += np.bincount(np.concatenate(words), minlength=BUCKETS)
+                words.clear()
 
         names = ["doc", "k1", "k2", "chunk", "counts"]
         longs, size = pa.list_(pa.int64()), BUCKETS // CHUNKS
@@ -151,14 +154,15 @@ def survey(docs: DataFrame) -> DataFrame:
                     own.append(body)
                     size_of += len(body)
                     if size_of > PIECE_BYTES:
-                        count(own)
+                        count(own, KEPT_WORDS)
                         size_of = 0
                     keys = [xxhash.xxh3_128_intdigest(line) if line.strip() else None for line in body.split(b"\n")]
                 first.append([None if k is None else _signed(k >> 64) for k in keys])
                 second.append([None if k is None else _signed(k & 0xFFFFFFFFFFFFFFFF) for k in keys])
-            count(own)
+            count(own, KEPT_WORDS)
             none = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, longs), pa.array(second, longs), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names)
+        count([], 0)
         if totals.any():
             parts = [np.minimum(totals[k * size : k * size + size], (1 << 32) - 1).astype(np.uint32).tobytes() for k in range(CHUNKS)]
             yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, longs), pa.nulls(CHUNKS, longs), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names)
